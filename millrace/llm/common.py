@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,25 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 _tables: list[tuple[SparkSession, str]] = []
 
 
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent.parent
+        path = Path(tempfile.mkdtemp(prefix="millrace-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(path))
+        _shipped.add(app)
+
+
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small, since one document may be very long."""
+    """Ready a session for Python workers: they get this package, and small Arrow batches, since one document may be very long."""
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -106,3 +125,38 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+#: Bits of the filter below and of one row of it; 2 MB in all, whatever the number of ids.
+FILTER_BITS, ROW_BITS = 1 << 24, 32768
+
+
+def marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``rows`` with a boolean ``maybe``: false only where ``key`` is surely not among ``ids(id long)``.
+
+    A fixed-size bitmap of hashed ids is broadcast, so wide rows need no shuffle to be told apart;
+    with very many ids it fills up and more rows are marked, never fewer.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = (
+        ids.select(slot(F.col("id").cast("long")).alias("s"))
+        .groupBy((F.col("s") / ROW_BITS).cast("int").alias("_row"))
+        .agg(F.expr(f"bitmap_construct_agg(s % {ROW_BITS})").alias("_bits"))
+    )
+    at = rows.withColumn("_slot", slot(F.col(key).cast("long"))).withColumn("_row", (F.col("_slot") / ROW_BITS).cast("int"))
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast((_slot % {ROW_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), F.col("_slot") % 8).cast("int")) != 0, F.lit(False))
+    return at.join(F.broadcast(bits), "_row", "left").withColumn("maybe", hit).drop("_row", "_slot", "_bits")
+
+
+def with_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is among ``ids(id long)``; only rows that pass the bitmap are shuffled."""
+    some = marked(rows, key, ids).where("maybe").drop("maybe")
+    return some.join(ids.select(F.col("id").alias("_id")), F.col(key) == F.col("_id"), "left_semi")
+
+
+def without_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The other rows (a null key stays)."""
+    some = marked(rows, key, ids)
+    rest = some.where("maybe").drop("maybe").join(ids.select(F.col("id").alias("_id")), F.col(key) == F.col("_id"), "left_anti")
+    return some.where("not maybe").drop("maybe").unionByName(rest)

@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.ann import op3_ann
 from millrace.llm.bpe import op6_bpe
+from millrace.llm.minhash import op7_minhash
+from millrace.llm.neardup import op1_neardup
 from millrace.llm.packing import op2_packing
 from millrace.llm.sharding import op8_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neardup": op1_neardup,
     "op2_packing": op2_packing,
+    "op3_ann": op3_ann,
     "op6_bpe": op6_bpe,
+    "op7_minhash": op7_minhash,
     "op8_sharding": op8_sharding,
 }
 
