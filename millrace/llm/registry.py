@@ -8,18 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.ann import op3_ann
 from millrace.llm.bpe import op6_bpe
+from millrace.llm.html import op5_html
+from millrace.llm.language import op4_language
 from millrace.llm.minhash import op7_minhash
 from millrace.llm.neardup import op1_neardup
 from millrace.llm.packing import op2_packing
+from millrace.llm.pii import op10_pii
+from millrace.llm.quality import op9_quality
 from millrace.llm.sharding import op8_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_packing": op2_packing,
     "op3_ann": op3_ann,
+    "op4_language": op4_language,
+    "op5_html": op5_html,
     "op6_bpe": op6_bpe,
     "op7_minhash": op7_minhash,
     "op8_sharding": op8_sharding,
+    "op9_quality": op9_quality,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {}
