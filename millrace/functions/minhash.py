@@ -20,8 +20,11 @@ def paragraph_shingles(text: Column, k: int) -> Column:
 
 def signature(shingles: Column, permutations: int) -> Column:
     """Smallest of 32 bits of md5(seed:shingle) per seed; null for no shingles. Portable to any engine with md5."""
-    value = lambda seed, x: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), x).cast("binary")), 1, 8), 16, 10).cast("long")
-    return F.when(F.size(shingles) > 0, F.array(*[F.array_min(F.transform(shingles, lambda x, s=s: value(s, x))) for s in range(permutations)]))
+
+    def least(seed: int) -> Column:
+        return F.array_min(F.transform(shingles, lambda x: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), x).cast("binary")), 1, 8), 16, 10).cast("long")))
+
+    return F.when(F.size(shingles) > 0, F.array(*[least(s) for s in range(permutations)]))
 
 
 def fast_signature(shingles: Column, permutations: int) -> Column:

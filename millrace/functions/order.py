@@ -18,17 +18,17 @@ def with_rank(df: DataFrame, *order: Column | str, name: str = "rank", parts: in
     """
     dealt = _dealt(df, list(order), parts)
     sizes = dealt.groupBy("_part").count()
-    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_before")
+    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_base"))
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_base")
 
 
 def with_running_sum(df: DataFrame, value: str, *order: Column | str, name: str = "before", parts: int | None = None) -> DataFrame:
     """Adds the sum of ``value`` over all rows before, in total ``order``; ranges are summed in parallel."""
     dealt = _dealt(df, list(order), parts)
     sums = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_base"))
     within = Window.partitionBy("_part").orderBy("_at")
-    return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.sum(value).over(within) - F.col(value)).drop("_at", "_part", "_before")
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_base") + F.sum(value).over(within) - F.col(value)).drop("_at", "_part", "_base")
 
 
 def keep_top_share(df: DataFrame, share: float, *order: Column | str, key: str, parts: int | None = None) -> DataFrame:

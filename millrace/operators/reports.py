@@ -20,7 +20,7 @@ def discards_by_source(judged: DataFrame, by: str = "source") -> DataFrame:
 
 def crawl_span(log: DataFrame, ts: str = "ts", cleaning_s: float = 0.0) -> DataFrame:
     """Seconds from the first to the last logged request, plus the cleaning time."""
-    seconds = F.col(ts).cast("double") if dict(log.dtypes)[ts] != "timestamp" else F.unix_micros(ts) / 1e6
+    seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6 if dict(log.dtypes)[ts].startswith("timestamp") else F.col(ts).cast("double")
     return log.agg((F.max(seconds) - F.min(seconds) + cleaning_s).alias("duration_s"))
 
 

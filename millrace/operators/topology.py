@@ -61,7 +61,7 @@ def cosine_pairs(points: DataFrame, max_distance: float | None = None, key: str
     sides = ranked.withColumn("block", F.expr(f"cast((rank - 1) div {BLOCK} as int)"))
     sides = sides.withColumn("pair", F.explode(F.expr(f"transform(sequence(0, {blocks - 1}), o -> least(block, o) * {blocks} + greatest(block, o))")))
 
-    def meet(key_, pdf: pd.DataFrame) -> pd.DataFrame:
+    def meet(key_, pdf):
         pdf = pdf.sort_values("id")
         x = np.stack(pdf["v"].to_numpy())
         norm = np.sqrt((x * x).sum(axis=1, keepdims=True))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.ship import ship
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: A run per user, a round per event in order of time.
@@ -92,7 +95,10 @@ def cte(*names: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base or derived table."""
+    """A base or derived table; readies the session for operators that run Python or cut lineage."""
+    ship(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="millrace-"))
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = sql_of(name)

@@ -87,7 +87,7 @@ def q_quality_keep(spark, d):
     return keep_top_share(scored, 0.8, F.desc("score"), F.col("doc_id"), key="doc_id").select("doc_id")
 
 
-@query(f"WITH {FEATURES} SELECT doc_id, array_to_string({_broken('CASE WHEN source = ''src7'' THEN 0.2 ELSE 0.1 END', 'CASE WHEN source = ''src7'' THEN 0.5 ELSE 0.8 END')}, ',') AS violations FROM feats")
+@query(f"WITH {FEATURES} SELECT doc_id, array_to_string({_broken("CASE WHEN source = 'src7' THEN 0.2 ELSE 0.1 END", "CASE WHEN source = 'src7' THEN 0.5 ELSE 0.8 END")}, ',') AS violations FROM feats")
 def q_relaxed_sources(spark, d):
     return D.judged(docs(spark, d), CleanConfig(relaxed_sources=("src7",))).select("doc_id", F.array_join("violations", ",").alias("violations"))
 
