@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zipfile
 from functools import cache
+from pathlib import Path
 
+import pyspark
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,7 +21,10 @@ WEIGHTS = {"stopword": 0.40, "symbol": 0.20, "punct": 0.25, "word_len": 0.15}
 
 @cache
 def stopwords() -> tuple[str, ...]:
-    """Spark's public English list."""
+    """Spark's public English list, from its jar; so no session is needed to write SQL with it."""
+    for jar in sorted((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar")):
+        with zipfile.ZipFile(jar) as z:
+            return tuple(sorted(set(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")) - {""}))
     return tuple(sorted(set(StopWordsRemover.loadDefaultStopWords("english"))))
 
 

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Phrases of bot-challenge pages.
 CHALLENGE_MARKERS = (
@@ -40,7 +41,7 @@ def strip_boilerplate(text: Column) -> Column:
     return F.when(text.rlike(start), F.trim(F.regexp_replace(F.regexp_replace(text, start, ""), end, ""))).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no such function."""
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))

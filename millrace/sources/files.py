@@ -27,8 +27,8 @@ def tolerant_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     wide = T.StructType.fromDDL(schema).add("_corrupt_record", T.StringType())
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").json(path)
-    return rows.where("_corrupt_record is null").drop("_corrupt_record")
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.from_json("value", wide, {"mode": "PERMISSIVE"}).alias("r"))
+    return lines.where("r is not null and r._corrupt_record is null").select("r.*").drop("_corrupt_record")
 
 
 def strict_triplets(spark: SparkSession, path: str) -> DataFrame:
