@@ -77,8 +77,9 @@ class Centroids:
         if languages:
             model.matrix, model.of = np.concatenate(matrix), np.array(of)
             best, size = (x @ model.matrix.T).max(axis=1), length_class(counts.sum(axis=1))
-            model.floors = np.array([REJECT_SHARE * np.quantile(best[size == c], REJECT_QUANTILE) if (size == c).any() else 0.0 for c in range(len(LENGTHS) + 1)])
+            model.floors = np.array([REJECT_SHARE * np.quantile(best[size == c], REJECT_QUANTILE) if (size == c).any() else np.inf for c in range(len(LENGTHS) + 1)])
             model.floors = np.minimum.accumulate(model.floors[::-1])[::-1]  # a shorter text is never held to more
+            model.floors = np.where(np.isinf(model.floors), model.floors[np.isfinite(model.floors)].max(initial=0.0), model.floors)  # lengths without a sample
         return model
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
