@@ -5,37 +5,21 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.ship import ship
+
 #: Rows and bytes of one Arrow batch handed to Python; bounds a worker's memory whatever the text lengths.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 _tables: list[tuple[SparkSession, str]] = []
 
 
-_shipped: set[str] = set()
-
-
-def _ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers, once per application."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        package = Path(__file__).resolve().parent.parent
-        path = Path(tempfile.mkdtemp(prefix="millrace-")) / f"{package.name}.zip"
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        spark.sparkContext.addPyFile(str(path))
-        _shipped.add(app)
-
-
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Ready a session for Python workers: they get this package, and small Arrow batches, since one document may be very long."""
-    _ship(spark)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
