@@ -30,4 +30,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: The other queries sample, learn, hash or tokenize; tests hold them against brute force, held-out labels or the library.
+ORACLES: dict[str, str] = {
+    "op1_neardup": """WITH RECURSIVE good AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  half AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+  links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+  reach(id, met) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.met = links.a),
+  comp AS (SELECT id, min(met) AS c FROM reach GROUP BY id), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+  SELECT vec_id, coalesce(n.n, 0) AS n_links, comp.c AS component_id, vec_id = comp.c AS kept FROM embeddings JOIN comp ON id = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op7_minhash": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, w[i] || ' ' || w[i + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w) x UNION ALL SELECT doc_id, w[1] FROM w WHERE len(w) = 1) y),
+  n AS (SELECT w.doc_id, count(g) AS n FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id),
+  sized AS (SELECT s.doc_id, g, n FROM s JOIN n ON n.doc_id = s.doc_id),
+  half AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sized a JOIN sized b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+  links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+  reach(id, met) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.met = links.a),
+  comp AS (SELECT id, min(met) AS c FROM reach GROUP BY id)
+  SELECT n.doc_id, n.n AS n_shingles, comp.c AS component_id, n.doc_id = comp.c AS kept FROM n JOIN comp ON comp.id = n.doc_id""",
+}
