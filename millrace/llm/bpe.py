@@ -29,7 +29,7 @@ from millrace.llm.common import bound_batches
 PLAIN = ((33, 126), (161, 172), (174, 255))
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a worker's cache of encoded chunks; it is emptied when full.
-CACHE = 300_000
+CACHE = 150_000
 #: Longest chunk, in characters, that the cache keeps.
 CACHED_CHARS = 64
 
@@ -215,7 +215,7 @@ class Automaton(Chunked):
                     state = path[-1] if path else -1
                     continue
                 break
-        if len(table) > 1_000_000:
+        if len(table) > 300_000:
             table.clear()
         return path
 
