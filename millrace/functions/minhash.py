@@ -8,32 +8,36 @@ from pyspark.sql import functions as F
 
 def paragraph_shingles(text: Column, k: int) -> Column:
     """Distinct k-grams of lower-case words, within lines only; short lines give none."""
+    # words are bound to a lambda's variable: an expression used inside another lambda is evaluated for each element
+    lines = F.transform(F.split(F.lower(text), "\n", -1), lambda line: F.filter(F.split(line, r"\s+", -1), lambda x: x != ""))
+    long = F.filter(lines, lambda words: F.size(words) >= k)
 
-    def grams(line: Column) -> Column:
-        toks = F.filter(F.split(line, r"\s+", -1), lambda x: x != "")
-        # sequence() would run backwards below k words
-        starts = F.when(F.size(toks) >= k, F.sequence(F.lit(1), F.size(toks) - k + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(toks, i, k), " "))
+    def grams(words: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)]))
 
-    return F.array_distinct(F.flatten(F.transform(F.split(F.lower(text), "\n", -1), grams)))
+    return F.array_distinct(F.flatten(F.transform(long, grams)))
 
 
 def signature(shingles: Column, permutations: int) -> Column:
     """Smallest of 32 bits of md5(seed:shingle) per seed; null for no shingles. Portable to any engine with md5."""
 
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform(shingles, lambda x: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), x).cast("binary")), 1, 8), 16, 10).cast("long")))
+    # the first 8 hexadecimal digits order as the numbers that they write, so only the smallest is converted
+    def least(grams: Column, seed: int) -> Column:
+        first = F.array_min(F.transform(grams, lambda x: F.substring(F.md5(F.concat(F.lit(f"{seed}:"), x).cast("binary")), 1, 8)))
+        return F.conv(first, 16, 10).cast("long")
 
-    return F.when(F.size(shingles) > 0, F.array(*[least(s) for s in range(permutations)]))
+    every = lambda grams: F.when(F.size(grams) > 0, F.array(*[least(grams, s) for s in range(permutations)]))
+    return F.get(F.transform(F.array(shingles), every), 0)
 
 
 def fast_signature(shingles: Column, permutations: int) -> Column:
     """As :func:`signature`, by one 64-bit hash per shingle and cheap remixing; for production."""
-    hashes = F.transform(shingles, lambda x: F.xxhash64(x))
-    return F.when(
-        F.size(shingles) > 0,
-        F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda s: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, s)))),
-    )
+    seeds = F.sequence(F.lit(0), F.lit(permutations - 1))
+
+    def least(hashes: Column) -> Column:
+        return F.when(F.size(hashes) > 0, F.transform(seeds, lambda s: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, s)))))
+
+    return F.get(F.transform(F.array(F.transform(shingles, lambda x: F.xxhash64(x))), least), 0)
 
 
 def band_keys(sig: Column, bands: int, rows: int) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zipfile
+from collections.abc import Callable
 from functools import cache
 from pathlib import Path
 
@@ -32,27 +33,34 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("[A-Za-z']+"), F.lit(0))
 
 
+def share(part: Column, whole: Column) -> Column:
+    """``part / whole``, 0.0 where there is nothing; each is evaluated once."""
+    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+
+
+def listed_share(items: Column, test: Callable[[Column], Column]) -> Column:
+    """Share of the elements that pass ``test``; the array is built once, as a lambda's variable."""
+    some = F.coalesce(items, F.array().cast("array<string>"))
+    return F.get(F.transform(F.array(some), lambda a: share(F.size(F.filter(a, test)), F.size(a))), 0)
+
+
 def mean_word_len(text: Column) -> Column:
     # letters are counted once for the whole text instead of word by word
     letters = F.length(F.regexp_replace(text, "[^A-Za-z']", ""))
-    n = F.size(words(text))
-    return F.when(n > 0, letters / n).otherwise(0.0)
+    return share(letters, F.regexp_count(text, F.lit("[A-Za-z']+")))
 
 
 def symbol_ratio(text: Column) -> Column:
-    return F.when(F.length(text) > 0, F.length(F.regexp_replace(text, "[a-zA-Z0-9 ]", "")) / F.length(text)).otherwise(0.0)
+    return share(F.length(F.regexp_replace(text, "[a-zA-Z0-9 ]", "")), F.length(text))
 
 
 def punct_line_frac(text: Column) -> Column:
     lines = F.filter(F.transform(F.split(text, "\n", -1), F.trim), lambda x: x != "")
-    closed = F.filter(lines, lambda x: F.instr(F.lit(LINE_CLOSERS), F.right(x, F.lit(1))) > 0)
-    return F.when(F.size(lines) > 0, F.size(closed) / F.size(lines)).otherwise(0.0)
+    return listed_share(lines, lambda x: F.instr(F.lit(LINE_CLOSERS), F.right(x, F.lit(1))) > 0)
 
 
 def stopword_ratio(text: Column, stop: tuple[str, ...] | None = None) -> Column:
-    tokens = words(F.lower(text))
-    listed = F.array(*map(F.lit, stop or stopwords()))
-    return F.when(F.size(tokens) > 0, F.size(F.filter(tokens, lambda x: F.array_contains(listed, x))) / F.size(tokens)).otherwise(0.0)
+    return listed_share(words(F.lower(text)), lambda x: x.isin(*(stop or stopwords())))
 
 
 def violations(mean_len: Column, symbols: Column, punct: Column, stop: Column, cfg: CleanConfig = CLEAN, symbol_max: Column | None = None, punct_min: Column | None = None) -> Column:

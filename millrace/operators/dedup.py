@@ -47,9 +47,12 @@ def not_in_holdout(docs: DataFrame, holdout: DataFrame) -> DataFrame:
 
 
 def shingled(docs: DataFrame, k: int, key: str) -> DataFrame:
-    """``key, n, shingle`` per distinct shingle of each row."""
+    """``key, n, shingle`` per distinct shingle of each row.
+
+    An inner explode would have the optimizer test the array's size below it and build every array twice.
+    """
     grams = docs.select(key, M.paragraph_shingles(F.col("text"), k).alias("g"))
-    return grams.select(key, F.size("g").alias("n"), F.explode("g").alias("shingle"))
+    return grams.select(key, F.size("g").alias("n"), F.explode_outer("g").alias("shingle")).where("shingle is not null")
 
 
 def _prefix_length(n: Column, threshold: float) -> Column:
@@ -86,7 +89,9 @@ def contamination(docs: DataFrame, holdout: DataFrame, threshold: float = CLEAN.
 
 def signatures(docs: DataFrame, permutations: int, k: int, key: str = "doc_id", portable: bool = False) -> DataFrame:
     make = M.signature if portable else M.fast_signature
-    return docs.select(key, M.paragraph_shingles(F.col("text"), k).alias("_g")).select(key, make(F.col("_g"), permutations).alias("sig")).where("sig is not null")
+    made = docs.select(key, M.paragraph_shingles(F.col("text"), k).alias("_g")).select(key, make(F.col("_g"), permutations).alias("_sig"))
+    # the filter stays above the generator, so signatures are not computed once more to be tested
+    return made.select(key, F.explode_outer(F.array("_sig")).alias("sig")).where("sig is not null")
 
 
 def lsh_candidates(sigs: DataFrame, bands: int, rows: int, key: str = "doc_id") -> DataFrame:

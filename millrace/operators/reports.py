@@ -13,9 +13,15 @@ def source_report(docs: DataFrame, by: str = "source") -> DataFrame:
     return docs.groupBy(by).agg(F.count("*").alias("docs"), F.round(F.sum(F.octet_length("text")) / 1048576, 3).alias("mb"))
 
 
+def discard_counts(judged: DataFrame, *by: str) -> DataFrame:
+    """Counts of broken rules; an outer explode, since an inner one would judge every row once more to drop empty lists."""
+    each = judged.select(*by, F.explode_outer("violations").alias("reason")).where("reason is not null")
+    return each.groupBy(*by, "reason").agg(F.count("*").alias("n"))
+
+
 def discards_by_source(judged: DataFrame, by: str = "source") -> DataFrame:
     """True counts of broken rules by source."""
-    return judged.select(by, F.explode("violations").alias("reason")).groupBy(by, "reason").agg(F.count("*").alias("n"))
+    return discard_counts(judged, by)
 
 
 def crawl_span(log: DataFrame, ts: str = "ts", cleaning_s: float = 0.0) -> DataFrame:

@@ -11,6 +11,9 @@ from millrace.ship import ship
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+#: Tables whose rows are costly to work on.
+TEXTS = ("documents", "pages")
+
 #: A run per user, a round per event in order of time.
 ROUNDS = """
 SELECT user_id AS run_id, event_id, value, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS round_id
@@ -94,13 +97,28 @@ def cte(*names: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({sql_of(n)})" for n in names) + " "
 
 
+def spread(rows: DataFrame, path: str) -> DataFrame:
+    """Deals the rows of a small table to all cores, since a file of one row group is read by one task.
+
+    Only tables of less than one wave of full splits are dealt, so what is shuffled is bounded by the
+    cores; a larger table is read as it is.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return rows.repartition(cores) if size < cores * split else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base or derived table; readies the session for operators that run Python or cut lineage."""
     ship(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="millrace-"))
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(rows, f"{sf_dir}/{name}.parquet") if name in TEXTS else rows
     text = sql_of(name)
     used = {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"\bFROM {t}\b", text)}
     return spark.sql(re.sub(r"\bFROM (\w+)\b", lambda m: f"FROM {{{m[1]}}}" if m[1] in used else m[0], text), **used)

@@ -68,7 +68,7 @@ def q_gopher_violations(spark, d):
 
 @query(f"WITH {FEATURES} SELECT reason, count(*) AS n FROM (SELECT unnest({_broken()}) AS reason FROM feats) x GROUP BY reason")
 def q_discard_counts(spark, d):
-    return D.judged(docs(spark, d)).select(F.explode("violations").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    return R.discard_counts(D.judged(docs(spark, d)))
 
 
 @query(f"WITH {FEATURES} SELECT source, reason, count(*) AS n FROM (SELECT source, unnest({_broken()}) AS reason FROM feats) x GROUP BY source, reason")
