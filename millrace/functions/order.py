@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.lineage import cut
+
 
 def _dealt(df: DataFrame, order: list, parts: int | None) -> DataFrame:
+    """``df`` in ranges of ``order``, with the range ``_part`` and the place ``_at``, written once.
+
+    Bounds of ranges are sampled anew for every plan that contains them, so sizes and rows must be
+    read from one written table: two evaluations would not agree on which row lies in which range.
+    """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftrightunsigned("_at", 33).cast("int"))
+    return cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftrightunsigned("_at", 33).cast("int")))
 
 
 def with_rank(df: DataFrame, *order: Column | str, name: str = "rank", parts: int | None = None) -> DataFrame:

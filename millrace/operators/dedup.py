@@ -10,6 +10,7 @@ from millrace.functions import minhash as M
 from millrace.functions import quality as Q
 from millrace.functions import text as T
 from millrace.functions.order import keep_top_share
+from millrace.lineage import cut
 
 
 def best_bands(permutations: int, threshold: float) -> tuple[int, int]:
@@ -108,17 +109,15 @@ def first_inserted_wins(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     kept earlier neighbour is dropped; undecided rows go on. ``pairs(a, b)`` has a < b.
     """
     spark = pairs.sparkSession
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    state = ids.withColumn("kept", F.lit(None).cast("boolean")).checkpoint()
-    edges = pairs.select("a", "b").distinct().checkpoint()
+    edges = cut(pairs.select("a", "b").distinct())
+    ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    state = ids.withColumn("kept", F.lit(None).cast("boolean"))
     for _ in range(rounds):
         earlier = edges.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a").groupBy(F.col("b").alias("id")).agg(
             F.max(F.coalesce("ka", F.lit(False))).alias("hit"), F.max(F.col("ka").isNull()).alias("open")
         )
-        state = state.join(earlier, "id", "left").select(
-            "id",
-            F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(False)), None).otherwise(True).alias("kept"),
-        ).checkpoint()
+        decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(False)), None).otherwise(True)
+        state = cut(state.join(earlier, "id", "left").select("id", decided.alias("kept")))
         if state.where("kept is null").limit(1).count() == 0:
             return state
     raise RuntimeError(f"undecided rows after {rounds} rounds in {spark.sparkContext.appName}")
@@ -157,16 +156,16 @@ def clean(docs: DataFrame, holdout: DataFrame, history: DataFrame | None = None,
     long = drop_short(docs, cfg.min_chars)
     unique = first_by_hash(long, order)
     fresh = unique if history is None else not_in_history(unique, history)
-    fresh = fresh.checkpoint()
+    fresh = cut(fresh)
     # a pair is similar whatever the order of ids, so the exact join decides and needs no second look
     state = first_inserted_wins(similar_pairs(fresh, cfg.jaccard, cfg.shingle)) if fresh.limit(1).count() else None
     dropped = state.where("not kept").select(F.col("id").alias("doc_id")) if state is not None else fresh.select("doc_id").limit(0)
     distinct = fresh.join(dropped, "doc_id", "left_anti")
-    tainted = contamination(distinct, holdout, cfg.jaccard, cfg.shingle).select(F.col("doc").alias("doc_id")).distinct()
-    guarded = judged(distinct.join(tainted, "doc_id", "left_anti"), cfg).checkpoint()
+    tainted = cut(contamination(distinct, holdout, cfg.jaccard, cfg.shingle).select(F.col("doc").alias("doc_id")).distinct())
+    guarded = cut(judged(distinct.join(tainted, "doc_id", "left_anti"), cfg))
     passed = guarded.where(F.size("violations") == 0)
     kept = keep_top_share(passed, cfg.keep_quantile, F.round("score", 9).desc(), F.col("doc_id"), key="doc_id") if passed.limit(1).count() else passed
-    kept = kept.checkpoint()
+    kept = cut(kept)
     count = lambda name, a, b: a.agg(F.count("*").alias("x")).crossJoin(b.agg(F.count("*").alias("y"))).select(F.lit(name).alias("reason"), (F.col("x") - F.col("y")).alias("n"))  # noqa: E731  one row each
     reasons = guarded.select(F.explode("violations").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
     for part in (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.order import keep_top_share, with_rank, with_running_sum
+from millrace.lineage import cut
 
 
 def freeze_holdout(docs: DataFrame, fraction: float = 0.02) -> DataFrame:
@@ -85,7 +86,7 @@ def budgeted(files: DataFrame, budget: int, seed: int, name: str = "name", size:
     again, and neither can any as large, so they leave before the next round.
     """
     order = files.select(name, F.col(size).cast("long").alias("_size"), F.md5(F.concat(F.lit(f"{seed}:"), F.col(name).cast("string")).cast("binary")).alias("_h"))
-    rest, left, taken = with_rank(order, "_h", name, name="_pos").checkpoint(), budget, None
+    rest, left, taken = cut(with_rank(order, "_h", name, name="_pos")), budget, None
     while True:
         fits = rest.where(F.col("_size") <= left)
         sums = with_running_sum(fits, "_size", "_pos", name="_before")

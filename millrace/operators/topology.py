@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.order import with_rank
+from millrace.lineage import cut
 
 #: Most points of a cloud for which diagrams are computed; larger ones are subsampled first, as a parameter.
 MAX_POINTS = 500
@@ -86,14 +87,14 @@ def betti0(diagrams: DataFrame, eps: float, by: str = "cloud_id") -> DataFrame:
 
 def betti0_points(points: DataFrame, eps: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Connected components of points joined at cosine distance up to ``eps``: one row."""
-    edges = cosine_pairs(points, eps, key, vector).select("a", "b").checkpoint()
+    edges = cut(cosine_pairs(points, eps, key, vector).select("a", "b"))
     n = points.count()
-    labels = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("c", F.col("id")).checkpoint()
-    both = edges.union(edges.select(F.col("b"), F.col("a"))).checkpoint()
+    labels = cut(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("c", F.col("id")))
+    both = edges.union(edges.select(F.col("b"), F.col("a")))
     while True:
         low = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("n"))
         new = labels.join(low, "id").select("id", F.least("c", "n").alias("c"))
-        new = new.join(labels.select(F.col("id").alias("c"), F.col("c").alias("up")), "c").select("id", F.least("c", "up").alias("c")).checkpoint()
+        new = cut(new.join(labels.select(F.col("id").alias("c"), F.col("c").alias("up")), "c").select("id", F.least("c", "up").alias("c")))
         if new.join(labels.withColumnRenamed("c", "old"), "id").where("c <> old").limit(1).count() == 0:
             break
         labels = new

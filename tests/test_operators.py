@@ -212,3 +212,13 @@ def test_ingest_is_incremental(spark, tmp_path):
     (raw / "d.raw").write_text(" ".join(f"other{i}" for i in range(200)) + ".")
     run()
     assert spark.read.parquet(f"{store}/documents").count() == 2
+
+
+def test_ranks_and_sums_over_more_rows_than_the_range_sampler_reads(spark):
+    n = 60_000
+    rows = spark.range(0, n, 1, 6).select("id", F.md5(F.col("id").cast("string").cast("binary")).alias("h"), (F.col("id") % 7).alias("v"), F.sha1(F.col("id").cast("string").cast("binary")).alias("wide"))
+    ranked = with_rank(rows, "h", "id", parts=8).agg(F.count_distinct("rank"), F.min("rank"), F.max("rank"), F.count_distinct("wide")).first()
+    assert tuple(ranked) == (n, 1, n, n)
+    last = with_running_sum(rows, "v", "h", "id", parts=8).agg(F.max(F.col("before") + F.col("v")), F.min("before"), F.count_distinct("wide")).first()
+    assert tuple(last) == (sum(i % 7 for i in range(n)), 0, n)
+    assert keep_top_share(rows, 0.3, "h", "id", key="id", parts=8).count() == round(0.3 * n)
