@@ -5,8 +5,8 @@ values; each tree is the sorted order of its labels. Neighbours that share at le
 values are candidates; a region of more than DENSE neighbours is taken one value deeper, up to MAX_DEPTH.
 Candidates are settled in three rounds, each confirming pairs on full sets and joining components:
 every member of a region against its smallest document; then each member still apart against the most
-similar signature of another component of its region; then, in regions that still hold several
-components, every member outside the largest against all.
+similar signature of another component of its piece of a region; then, in regions that still hold
+several components, every member outside the largest against all, block against block in large regions.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from millrace.llm.common import Scratch, bound_batches, components, with_ids
 
 #: Labels (sorted orders), values that neighbours share at least and at most, and the size from which a region goes deeper.
 TREES, MIN_DEPTH, MAX_DEPTH, DENSE = 20, 4, 6, 64
-#: Members of a region that are compared with each other at once (nearest in the sorted order); pairs farther apart meet in other trees.
+#: Members that are compared with each other at once; a larger region is compared block against block.
 SPAN = 2048
 #: Share of equal signature values from which the second round confirms a pair: over 4 standard deviations under 0.8.
 LIKELY = 0.65
@@ -104,7 +104,11 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _regions(classes: DataFrame) -> DataFrame:
-    """``region, pivot, doc``: neighbours of each sorted order that share enough leading values, with their smallest document."""
+    """``region, piece, pivot, doc, n``: neighbours of each sorted order that share enough leading values, with their smallest document.
+
+    A piece is a part of bounded size. Only the labels of a range's first and last row go on in other
+    ranges; their rows form a region named by the label, which is the same in all ranges.
+    """
     size = 2 * MAX_DEPTH
     labels = classes.select("doc", "n", F.posexplode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(sig, t * {size} + 1, {size}))")).alias("tree", "label"))
     ordered = labels.repartitionByRange("tree", "label", "doc").sortWithinPartitions("tree", "label", "doc")
@@ -126,13 +130,25 @@ def _regions(classes: DataFrame) -> DataFrame:
         place = np.arange(len(doc)) - np.repeat(starts, sizes)
         heavy = np.cumsum(weight, dtype=np.int64) // WEIGHT
         heavy -= np.repeat(heavy[starts], sizes)
-        region = (TaskContext.get().partitionId() << 40) + np.repeat(starts, sizes) + np.minimum(place // SPAN + heavy, sizes.repeat(sizes) - 1)
+        region = (TaskContext.get().partitionId() << 40) + np.repeat(starts, sizes)
+        piece = region + np.minimum(place // SPAN + heavy, sizes.repeat(sizes) - 1)
         keep = np.repeat(sizes > 1, sizes)
-        out = [region[keep], pivots[keep], doc[keep]]
+        other = np.flatnonzero(same < MAX_DEPTH)  # the last rows of the labels
+        edges = {(0, int(other[0]) + 1 if len(other) else len(doc)), (int(other[-1]) + 1 if len(other) else 0, len(doc))}
+        more = []
+        for a, b in sorted(edges):
+            name = xxhash.xxh3_64_intdigest(bytes([tree[a]]) + label[a].tobytes()) >> 1 | 1 << 62
+            own = np.searchsorted(starts, a, "right") - 1
+            if starts[own] == a and sizes[own] == b - a:
+                region[a:b], keep[a:b] = name, True
+            else:
+                more.append((np.full(b - a, name), piece[a:b] - region[a:b] + (TaskContext.get().partitionId() << 40 | 1 << 39) + a, np.full(b - a, doc[a:b].min()), doc[a:b], weight[a:b]))
+        out = [np.concatenate(x) for x in zip((region[keep], piece[keep], pivots[keep], doc[keep], weight[keep]), *more, strict=True)]
+        names = ["region", "piece", "pivot", "doc", "n"]
         for at in range(0, len(out[0]), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in out], ["region", "pivot", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000].astype(np.int64)) for x in out], names)
 
-    return ordered.mapInArrow(run, "region long, pivot long, doc long")
+    return ordered.mapInArrow(run, "region long, piece long, pivot long, doc long, n long")
 
 
 def _cut(start: np.ndarray, end: int, same: np.ndarray, depth: int) -> np.ndarray:
@@ -168,7 +184,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
 
 def _likeliest(members: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of ``members(region, doc, component, sig)``: for each member outside a region's largest component, the most similar signature of another component."""
+    """Pairs ``(a, b)`` of ``members(piece, doc, component, sig)``: for each member outside a piece's largest component, the most similar signature of another component."""
 
     def run(_key, table):
         doc, comp = table.column("doc").to_numpy(), table.column("component").to_numpy()
@@ -188,7 +204,7 @@ def _likeliest(members: DataFrame) -> DataFrame:
         a, b = np.concatenate(a), np.concatenate(b)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return members.groupBy("region").applyInArrow(run, "a long, b long").distinct()
+    return members.groupBy("piece").applyInArrow(run, "a long, b long").distinct()
 
 
 def _outside(component: np.ndarray) -> np.ndarray:
@@ -197,33 +213,64 @@ def _outside(component: np.ndarray) -> np.ndarray:
     return np.flatnonzero(component != values[counts.argmax()])
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """``region, low, high, first, doc, component`` of ``members(region, doc, n, component)``: the pairs of blocks that meet.
+
+    A region within SPAN and WEIGHT is one block. In a larger one, members outside the largest component
+    are dealt to blocks of half that size, which meet each other, and the blocks of the largest component.
+    Pairs inside the largest component are joined already, so every pair that may be a link meets once.
+    """
+    size = F.struct("c", "component")
+    of = members.groupBy("region", "component").agg(F.count("*").alias("c"), F.sum("n").alias("w")).groupBy("region").agg(
+        F.max_by("component", size).alias("main"), F.max("c").alias("mc"), F.max_by("w", size).alias("mw"), F.sum("c").alias("c"), F.sum("w").alias("w")
+    )
+    whole = (F.col("c") <= SPAN) & (F.col("w") <= WEIGHT)
+    parts = lambda c, w: F.greatest(F.lit(1), F.ceil(c * 2 / SPAN), F.ceil(w * 2 / WEIGHT)).cast("int")
+    of = of.select("region", "main", F.when(whole, 1).otherwise(parts(F.col("c") - F.col("mc"), F.col("w") - F.col("mw"))).alias("outer"), F.when(whole, 0).otherwise(parts(F.col("mc"), F.col("mw"))).alias("inner"))
+    dealt = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
+    outside = (F.col("component") != F.col("main")) | (F.col("inner") == 0)
+    at = members.join(of, "region").withColumn("block", F.when(outside, dealt(F.col("outer"))).otherwise(F.col("outer") + dealt(F.greatest("inner", F.lit(1)))))
+    met = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(outside, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)))
+    return met.select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") <= F.col("other")).alias("first"), "doc", "component")
+
+
 def _links_within(members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links ``(a, b)`` between components of a region of ``members(region, doc, component, text)``, on full sets.
+    """Links ``(a, b)`` between components of ``members(region, low, high, first, doc, component, text)`` of two blocks, on full sets.
 
-    Each member outside the largest component is compared with all members at once; one link per
-    component that it reaches is returned, so the rows never exceed members times their components.
+    Of one block, each member outside the largest component is compared with all members at once; of
+    two, each of the first with all of the second. One link per component that it reaches is
+    returned, so the rows never exceed members times their components.
     """
 
-    def run(_key, table):
+    def run(key, table):
+        one = key[1].as_py() == key[2].as_py()
+        if not one:
+            table = table.sort_by("first")  # the second block comes before the first
         doc, comp = table.column("doc").to_numpy(), table.column("component").to_numpy().copy()
+        asked = np.flatnonzero(table.column("first").to_numpy())
+        n = len(doc) if one else len(doc) - len(asked)
+        if not n or not len(asked):
+            return pa.table({x: pa.array([], pa.int64()) for x in "ab"})
         sets = [shingles(t, width) for t in table.column("text").to_pylist()]
         _hash.clear()
         sizes = np.array([len(x) for x in sets])
         known, flat = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         mark, out = np.zeros(len(known), np.int64), []
-        for x in _outside(comp):
+        met, begin, size = flat[: sizes[:n].sum()], starts[:n], sizes[:n]
+        for x in _outside(comp) if one else asked:
             own = flat[starts[x] : starts[x] + sizes[x]]
             mark[own] = 1
-            shared = np.add.reduceat(mark[flat], starts)
+            shared = np.add.reduceat(mark[met], begin)
             mark[own] = 0
-            for c in np.unique(comp[(100 * shared >= percent * (sizes + sizes[x] - shared)) & (comp != comp[x])]):
-                y = np.flatnonzero((comp == c) & (100 * shared >= percent * (sizes + sizes[x] - shared)))[0]
+            alike = 100 * shared >= percent * (size + sizes[x] - shared)
+            for c in np.unique(comp[:n][alike & (comp[:n] != comp[x])]):
+                y = np.flatnonzero((comp[:n] == c) & alike)[0]
                 out.append((min(doc[x], doc[y]), max(doc[x], doc[y])))
                 comp[comp == c] = comp[x]
         return pa.table({n: pa.array([p[i] for p in out], pa.int64()) for i, n in enumerate("ab")})
 
-    return members.groupBy("region").applyInArrow(run, "a long, b long").distinct()
+    return members.groupBy("region", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
@@ -240,24 +287,26 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     base = scratch.keep(_signatures(docs, width))
     classes = scratch.keep(base.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.max("sig").alias("sig"), F.max("n").cast("int").alias("n")))
     regions = scratch.keep(_regions(classes.select("doc", "sig", "n")))
+    first = regions.where(F.col("region") >= 1 << 62).groupBy("region").agg(F.min("pivot").alias("first"))  # two rows a range at most
     ids = regions.select(F.col("doc").alias("id")).distinct()
     texts = scratch.keep(with_ids(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), "doc", ids))
 
-    tried = scratch.keep(regions.where("pivot <> doc").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct())
+    pivots = regions.join(F.broadcast(first), "region", "left").select(F.coalesce("first", "pivot").alias("a"), F.col("doc").alias("b"))
+    tried = scratch.keep(pivots.where("a <> b").distinct())
     links = scratch.keep(_confirmed(tried, texts, width, percent))
     comp = scratch.keep(components(links, scratch))
     spent = [regions, texts, tried, links, comp]
 
-    def mixed(comp: DataFrame) -> DataFrame:
-        """Members of the regions that hold several components."""
-        members = regions.select("region", "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        several = members.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("region")
-        return members.join(several, "region")
+    def mixed(comp: DataFrame, by: str) -> DataFrame:
+        """Members of the regions, or pieces, that hold several components."""
+        members = regions.select(by, "doc", "n").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        several = members.groupBy(by).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(by)
+        return members.join(several, by)
 
-    pairs = scratch.keep(_likeliest(mixed(comp).join(classes.select("doc", "sig"), "doc")).join(tried, ["a", "b"], "left_anti"))
+    pairs = scratch.keep(_likeliest(mixed(comp, "piece").drop("n").join(classes.select("doc", "sig"), "doc")).join(tried, ["a", "b"], "left_anti"))
     more = scratch.keep(_confirmed(pairs, texts, width, percent))
     comp = scratch.keep(components(links.union(more), scratch))
-    last = scratch.keep(_links_within(mixed(comp).join(texts, "doc"), width, percent))
+    last = scratch.keep(_links_within(_blocks(mixed(comp, "region")).join(texts, "doc"), width, percent))
     spent += [pairs, more, last, comp]
     comp = scratch.keep(components(links.union(more).union(last), scratch))
     scratch.drop(*spent)

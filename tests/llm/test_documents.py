@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -75,6 +76,27 @@ def test_one_large_group_of_near_copies(spark):
     assert got == want
 
 
+def test_pairs_far_apart_among_thousands_of_documents_on_one_template(spark):
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(200)]
+    rows, kept, last = [], [], 7199
+    for i in range(last + 1):
+        text = list(base)
+        for at in rng.sample(range(200), 5 if i in (60, last) else 9):
+            text[at] = f"u{i}x{at}"
+        rows.append((i, " ".join(text)))
+        kept.append([text[j] == base[j] and text[j + 1] == base[j + 1] for j in range(199)])
+    same = np.array(kept, np.float32)
+    shared = same @ same.T  # own words are in no other document, and every document has 199 shingles
+    a, b = np.nonzero(np.triu(100 * shared >= 80 * (398 - shared), 1))
+    assert len(a) < 1000 and (60, last) in set(zip(a.tolist(), b.tolist(), strict=True))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(frame(spark, rows)).collect()}
+    found = [got[x] == got[y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert got[60] == got[last] and sum(found) >= 0.98 * len(found)
+    linked = set(a.tolist()) | set(b.tolist())
+    assert all(c == i for i, c in got.items() if i not in linked)
+
+
 def test_id_filters(spark):
     rows = frame(spark, [(i, str(i)) for i in range(200)] + [(None, "n")])
     ids = spark.range(0, 200, 7)
