@@ -76,3 +76,21 @@ def test_search_with_few_candidates(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in out] == [(0, 1, 50), (0, 2, 7), (50, 1, 0), (50, 2, 7)]
     empty = frame(spark, [])
     assert search(empty, empty).count() == 0
+
+
+def test_search_in_a_crowd_of_near_copies(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((20_000, 32))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x[::3] = x[0] + 0.02 * rng.standard_normal((len(x[::3]), 32)) / 32**0.5
+    rows = frame(spark, [(i, v) for i, v in enumerate(x.astype(np.float32).tolist())])
+    out = search(rows, rows.where("vec_id % 200 = 0"), 5).collect()
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    hits = {True: [], False: []}
+    for q in range(0, len(x), 200):
+        score = unit @ unit[q]
+        score[q] = -9
+        want = set(np.argsort(-score)[:5].tolist())
+        hits[q % 3 == 0].append(len({r["vec_id"] for r in out if r["query_id"] == q} & want) / 5)
+    assert np.mean(hits[True]) >= 0.9 and np.mean(hits[False]) >= 0.9, (np.mean(hits[True]), np.mean(hits[False]))
