@@ -88,6 +88,14 @@ def contamination(docs: DataFrame, holdout: DataFrame, threshold: float = CLEAN.
     return shared.select("doc", "item", (F.col("c") / (F.col("nd") + F.col("nh") - F.col("c"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def contained(docs: DataFrame, holdout: DataFrame, share: float = 0.8, k: int = CLEAN.shingle, key: str = "doc_id", item: str = "item_id") -> DataFrame:
+    """``doc, item, containment`` of documents that hold at least ``share`` of a held-out text's shingles, however long they are."""
+    d = shingled(docs, k, key).select(F.col(key).alias("doc"), F.xxhash64("shingle").alias("s"))
+    h = shingled(holdout, k, item).select(F.col(item).alias("item"), F.col("n").alias("nh"), F.xxhash64("shingle").alias("s"))
+    shared = d.join(h, "s").groupBy("doc", "item", "nh").agg(F.count("*").alias("c"))
+    return shared.select("doc", "item", (F.col("c") / F.col("nh")).alias("containment")).where(F.col("containment") >= share)
+
+
 def signatures(docs: DataFrame, permutations: int, k: int, key: str = "doc_id", portable: bool = False) -> DataFrame:
     make = M.signature if portable else M.fast_signature
     made = docs.select(key, M.paragraph_shingles(F.col("text"), k).alias("_g")).select(key, make(F.col("_g"), permutations).alias("_sig"))

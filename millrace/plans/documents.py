@@ -207,6 +207,13 @@ def q_contamination(spark, d):
     return D.contamination(docs(spark, d), table(spark, d, "benchmark"), 0.02).select("doc", "item", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query(f"""WITH sh AS ({_shingles('documents', 'doc_id')}), hs AS ({_shingles('benchmark', 'item_id')}), hn AS (SELECT item_id, count(*) AS n FROM hs GROUP BY item_id),
+  pr AS (SELECT doc_id, item_id, count(*) AS c FROM sh JOIN hs USING (s) GROUP BY 1, 2)
+  SELECT doc_id AS doc, item_id AS item, round(c::DOUBLE / hn.n, 6) AS containment FROM pr JOIN hn USING (item_id) WHERE c::DOUBLE / hn.n >= 0.8""")
+def q_contained_items(spark, d):
+    return D.contained(docs(spark, d), table(spark, d, "benchmark"), 0.8).select("doc", "item", F.round("containment", 6).alias("containment"))
+
+
 _SIG = f"sg AS (SELECT doc_id, p, min(('0x' || substr(md5(p::VARCHAR || ':' || s), 1, 8))::BIGINT) AS v FROM ({_shingles('documents', 'doc_id')}) x, range(4) t(p) GROUP BY doc_id, p)"
 
 

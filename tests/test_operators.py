@@ -222,3 +222,12 @@ def test_ranks_and_sums_over_more_rows_than_the_range_sampler_reads(spark):
     last = with_running_sum(rows, "v", "h", "id", parts=8).agg(F.max(F.col("before") + F.col("v")), F.min("before"), F.count_distinct("wide")).first()
     assert tuple(last) == (sum(i % 7 for i in range(n)), 0, n)
     assert keep_top_share(rows, 0.3, "h", "id", key="id", parts=8).count() == round(0.3 * n)
+
+
+def test_a_passage_in_a_long_document_is_contained(spark):
+    item = " ".join(f"q{i}" for i in range(24))
+    long = "\n".join(" ".join(f"w{i}x{j}" for j in range(40)) for i in range(60))
+    docs = spark.createDataFrame([(1, f"{long}\nfirst {item} last\n{long[::-1]}"), (2, long), (3, item), (4, " ".join(item.split()[:14]))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (8, "too short")], "item_id long, text string")
+    assert rows(dedup.contained(docs, items, 0.8)) == [(1, 7, 1.0), (3, 7, 1.0)]
+    assert rows(dedup.contamination(docs, items, 0.02).select("doc")) == [(3,), (4,)]
