@@ -12,6 +12,8 @@ from millrace.lineage import cut
 
 #: Most points of a cloud for which diagrams are computed; larger ones are subsampled first, as a parameter.
 MAX_POINTS = 500
+#: Most nodes of a graph for which diagrams are computed.
+MAX_NODES = 800
 #: Rows of a block of the distance computation.
 BLOCK = 1024
 
@@ -107,10 +109,12 @@ def persistent_h1(diagrams: DataFrame, floor: float, by: str = "cloud_id") -> Da
 
 
 def rips_diagrams(distance: np.ndarray, max_dim: int = 1) -> list[tuple[int, float, float]]:
-    """``(dim, birth, death)`` of the Vietoris-Rips filtration of a distance matrix, by reduction of the boundary matrix.
+    """``(dim, birth, death)`` of the Vietoris-Rips filtration of a distance matrix, by reduction of the coboundary matrix.
 
-    H0 by joining components along edges in order; H1 by reducing triangle columns against the edges
-    that made a cycle. Pairs of zero persistence are left out.
+    H0 by joining components along edges in order; H1 by reducing the columns of the edges that made a
+    cycle, last edge first. From the least radius at which one point reaches all others the complex is
+    a cone, so cycles that are left die there and longer edges need no column. Pairs of zero
+    persistence are left out.
     """
     n = len(distance)
     if not n:
@@ -126,36 +130,52 @@ def rips_diagrams(distance: np.ndarray, max_dim: int = 1) -> list[tuple[int, flo
             x = root[x]
         return x
 
-    out, cycle, index = [], set(), np.full((n, n), -1)
-    index[i, j] = index[j, i] = np.arange(len(i))
+    out, joins, left = [], set(), n
     for k, (a, b, d) in enumerate(zip(i.tolist(), j.tolist(), length.tolist(), strict=True)):
+        if left == 1:
+            break
         ra, rb = find(a), find(b)
         if ra != rb:
             root[max(ra, rb)] = min(ra, rb)
+            joins.add(k)
+            left -= 1
             if d > 0:
                 out.append((0, 0.0, d))
-        elif max_dim > 0:
-            cycle.add(k)
-    out += [(0, 0.0, float("inf"))] * len({find(x) for x in range(n)})
+    out += [(0, 0.0, float("inf"))] * left
     if max_dim < 1:
         return out
-    reduced: dict[int, set[int]] = {}
-    for k in range(len(i)):  # triangles in order of their longest edge k
-        if len(reduced) == len(cycle):
-            break
+    cone = float(np.where(np.eye(n, dtype=bool), 0, distance).max(axis=1).min())
+    count = int(np.searchsorted(length, cone))
+    at = np.full((n, n), -1)
+    at[i[:count], j[:count]] = at[j[:count], i[:count]] = np.arange(count)
+
+    def column(k: int) -> np.ndarray:
+        """The triangles on edge k below the cone, as longest edge and vertex opposite it, in order."""
         a, b = i[k], j[k]
-        thirds = np.flatnonzero((index[a] >= 0) & (index[b] >= 0) & (index[a] < k) & (index[b] < k))
-        for c in thirds:
-            column = {k, int(index[a, c]), int(index[b, c])}
-            while column:
-                low = max(column)
-                if low not in reduced:
-                    reduced[low] = column
-                    if length[k] > length[low]:
-                        out.append((1, float(length[low]), float(length[k])))
-                    break
-                column = column ^ reduced[low]
-    out += [(1, float(length[k]), float("inf")) for k in cycle - set(reduced)]
+        c = np.flatnonzero((at[a] >= 0) & (at[b] >= 0))
+        x, y = at[a, c], at[b, c]
+        top = np.maximum(np.maximum(x, y), k)
+        return np.sort(top * n + np.where(top == k, c, np.where(top == x, b, a)))
+
+    owner: dict[int, int | np.ndarray] = {}
+    for k in range(count - 1, -1, -1):
+        if k in joins:
+            continue
+        rest = column(k)
+        if len(rest) and rest[0] not in owner:
+            owner[int(rest[0])] = k  # its column is built again where it is needed
+        else:
+            while len(rest) and int(rest[0]) in owner:
+                other = owner[int(rest[0])]
+                both = np.concatenate([rest, column(other) if isinstance(other, int) else other])
+                both.sort(kind="stable")  # merges the two runs
+                once = np.concatenate([[True], both[1:] != both[:-1], [True]])
+                rest = both[once[1:] & once[:-1]]
+            if len(rest):
+                owner[int(rest[0])] = rest
+        death = float(length[rest[0] // n]) if len(rest) else cone
+        if death > length[k]:
+            out.append((1, float(length[k]), death))
     return out
 
 
@@ -181,12 +201,12 @@ def diagrams(points: DataFrame, cloud: str = "cloud_id", vector: str = "x", max_
 
 
 def graph_diagrams(distances: DataFrame, max_dim: int = 1) -> DataFrame:
-    """Diagrams of a sparse distance graph ``a, b, distance`` (missing pairs at 1) of at most MAX_POINTS nodes."""
+    """Diagrams of a sparse distance graph ``a, b, distance`` (missing pairs at 1) of at most MAX_NODES nodes."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = sorted(set(pdf["a"]) | set(pdf["b"]))
-        if len(nodes) > MAX_POINTS:
-            raise ValueError(f"{len(nodes)} nodes; at most {MAX_POINTS} can be reduced")
+        if len(nodes) > MAX_NODES:
+            raise ValueError(f"{len(nodes)} nodes; at most {MAX_NODES} can be reduced")
         at = {x: k for k, x in enumerate(nodes)}
         d = np.ones((len(nodes), len(nodes)))
         np.fill_diagonal(d, 0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.config import FACTS, GATE, GraphConfig
+from millrace.functions.order import with_rank
 from millrace.operators import facts, gates, graph, reports, splits, topology
 from millrace.plans.derived import cte, table
 from millrace.sources import crawl
@@ -181,10 +182,10 @@ def q_projected(spark, d):
 
 
 def _clouds(spark, d):
-    """Clouds of at most MAX_POINTS points: all vectors, dealt by hash."""
+    """Clouds of MAX_POINTS points or little less, two at least: all vectors, dealt in turn."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    n = max(2, -(-e.count() // 24))
-    return e.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("cloud_id"), F.col("embedding").alias("x"))
+    n = max(2, -(-e.count() // topology.MAX_POINTS))
+    return with_rank(e, "vec_id").select(F.pmod("rank", F.lit(n)).cast("long").alias("cloud_id"), F.col("embedding").alias("x"))
 
 
 @query()
@@ -213,7 +214,7 @@ def q_bottleneck(spark, d):
 @query()
 def q_graph_persistence(spark, d):
     # the feature is bounded by its graph: the strongest nodes only
-    return topology.graph_diagrams(graph.distances(graph.build(table(spark, d, "links"), GraphConfig(top_nodes=120))))
+    return topology.graph_diagrams(graph.distances(graph.build(table(spark, d, "links"))))
 
 
 _GATE = cte("rounds", "metrics")

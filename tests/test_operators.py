@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.config import CleanConfig, GraphConfig
 from millrace.functions.order import keep_top_share, with_rank, with_running_sum
 from millrace.operators import dedup, facts, gates, graph, reports, sampling, splits, topology
+from millrace.plans import logs
 from millrace.sources import crawl, files
 from millrace.streaming import ingest
 
@@ -231,3 +233,21 @@ def test_a_passage_in_a_long_document_is_contained(spark):
     items = spark.createDataFrame([(7, item), (8, "too short")], "item_id long, text string")
     assert rows(dedup.contained(docs, items, 0.8)) == [(1, 7, 1.0), (3, 7, 1.0)]
     assert rows(dedup.contamination(docs, items, 0.02).select("doc")) == [(3,), (4,)]
+
+
+def test_diagrams_of_production_size(spark):
+    ring = spark.createDataFrame([(f"n{i:03d}", f"n{(i + 1) % 800:03d}", 0.5) for i in range(800)], "a string, b string, distance double")
+    out = topology.graph_diagrams(ring)
+    assert rows(out.where("dim = 1")) == [(1, 0.5, 1.0)] and out.where("dim = 0").count() == 800
+    turn = np.linspace(0, 2 * np.pi, 120, endpoint=False)
+    side = lambda k: 2 * math.sin(math.pi * k / 120)
+    circle = np.stack([np.cos(turn), np.sin(turn)], axis=1)
+    dist = np.sqrt(((circle[:, None] - circle[None]) ** 2).sum(axis=2))
+    long = [(b, d) for k, b, d in topology.rips_diagrams(dist) if k == 1 and d - b > 0.1]
+    assert long == [(pytest.approx(side(1)), pytest.approx(side(40)))]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_clouds_are_of_production_size(spark):
+    sizes = [r["count"] for r in logs._clouds(spark, "/root/testdata/sf0.001").groupBy("cloud_id").count().collect()]
+    assert len(sizes) == 2 and max(sizes) - min(sizes) <= 1 and 100 < max(sizes) <= topology.MAX_POINTS
