@@ -110,17 +110,17 @@ def lsh_candidates(sigs: DataFrame, bands: int, rows: int, key: str = "doc_id")
     return banded.join(first, ["band", "bucket"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
-def first_inserted_wins(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def first_inserted_wins(pairs: DataFrame) -> DataFrame:
     """``id, kept``: in order of id, a row is dropped iff it is similar to an earlier row that is kept.
 
     Rounds of a parallel scan: a row whose earlier neighbours are all dropped is kept, one with a
-    kept earlier neighbour is dropped; undecided rows go on. ``pairs(a, b)`` has a < b.
+    kept earlier neighbour is dropped; undecided rows go on. Each round decides at least the first of
+    them, so the rounds end; a chain of neighbours takes about as many as it is long. ``pairs(a, b)`` has a < b.
     """
-    spark = pairs.sparkSession
     edges = cut(pairs.select("a", "b").distinct())
     ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
     state = ids.withColumn("kept", F.lit(None).cast("boolean"))
-    for _ in range(rounds):
+    while True:
         earlier = edges.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a").groupBy(F.col("b").alias("id")).agg(
             F.max(F.coalesce("ka", F.lit(False))).alias("hit"), F.max(F.col("ka").isNull()).alias("open")
         )
@@ -128,7 +128,6 @@ def first_inserted_wins(pairs: DataFrame, rounds: int = 50) -> DataFrame:
         state = cut(state.join(earlier, "id", "left").select("id", decided.alias("kept")))
         if state.where("kept is null").limit(1).count() == 0:
             return state
-    raise RuntimeError(f"undecided rows after {rounds} rounds in {spark.sparkContext.appName}")
 
 
 def dup_sample(pairs: DataFrame, limit: int = 100) -> DataFrame:

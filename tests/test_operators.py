@@ -251,3 +251,8 @@ def test_diagrams_of_production_size(spark):
 def test_clouds_are_of_production_size(spark):
     sizes = [r["count"] for r in logs._clouds(spark, "/root/testdata/sf0.001").groupBy("cloud_id").count().collect()]
     assert len(sizes) == 2 and max(sizes) - min(sizes) <= 1 and 100 < max(sizes) <= topology.MAX_POINTS
+
+
+def test_a_long_chain_of_neighbours_is_decided(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(56)], "a long, b long").coalesce(1)
+    assert rows(dedup.first_inserted_wins(chain)) == [(i, i % 2 == 0) for i in range(57)]
