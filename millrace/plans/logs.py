@@ -427,9 +427,19 @@ def q_param_count(spark, d):
     return reports.parameter_count(p).select("p_partkey", "parameters")
 
 
-@query()
+_LOGITS = """WITH t AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+  s AS (SELECT vec_id, i, CASE WHEN i IN (0, 3) THEN CASE WHEN x > 0 THEN x / 1.2::DOUBLE ELSE x * 1.2::DOUBLE END ELSE x END / 0.7::DOUBLE AS x FROM t),
+  k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC) AS r, max(x) OVER (PARTITION BY vec_id) AS top FROM s),
+  f AS (SELECT *, max(CASE WHEN r = 20 THEN x END) OVER (PARTITION BY vec_id) AS floor FROM k),
+  e AS (SELECT vec_id, i, CASE WHEN x >= floor THEN exp(x - top) ELSE 0.0 END AS e FROM f), p AS (SELECT vec_id, i, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM e),
+  c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p),
+  n AS (SELECT vec_id, i, CASE WHEN before <= 0.9::DOUBLE THEN p ELSE 0.0 END AS p FROM c)"""
+
+
+@query(_LOGITS + " SELECT vec_id, i AS token_id, round(p / sum(p) OVER (PARTITION BY vec_id), 6) AS probability FROM n")
 def q_sampling_filters(spark, d):
     from millrace.operators.sampling import filtered_probabilities
 
-    e = table(spark, d, "embeddings")
-    return e.select("vec_id", filtered_probabilities(F.col("embedding").cast("array<double>"), F.array(F.lit(0), F.lit(3)), 1.2, 0.7, 20, 0.9).alias("probabilities"))
+    probabilities = filtered_probabilities(F.col("embedding").cast("array<double>"), F.array(F.lit(0), F.lit(3)), 1.2, 0.7, 20, 0.9)
+    each = table(spark, d, "embeddings").select("vec_id", F.posexplode_outer(probabilities).alias("token_id", "p"))
+    return each.select("vec_id", F.col("token_id").cast("long").alias("token_id"), F.round("p", 6).alias("probability"))

@@ -184,6 +184,25 @@ def test_sampling(spark):
     assert p[2:] == [0.0, 0.0] and sum(p) == pytest.approx(1)
 
 
+def test_sampling_equals_a_plain_loop(spark):
+    rng = np.random.default_rng(6)
+    data = [(i, [float(x) for x in rng.integers(-3, 4, int(rng.integers(1, 90)))]) for i in range(60)] + [(90, []), (91, None)]
+    seen, penalty, temperature, k, top = {0, 2, 5}, 1.3, 0.6, 7, 0.8
+
+    def plain(x):
+        x = np.array([(v / penalty if v > 0 else v * penalty) if i in seen else v for i, v in enumerate(x)]) / temperature
+        x[x < np.sort(x)[::-1][min(k, len(x)) - 1]] = -np.inf
+        p = np.exp(x - x.max())
+        p /= p.sum()
+        order = np.lexsort((np.arange(len(p)), -p))
+        p[order[np.concatenate([[0.0], np.cumsum(p[order])[:-1]]) > top]] = 0
+        return p / p.sum()
+
+    df = spark.createDataFrame(data, "id long, x array<double>")
+    for r in df.select("id", "x", sampling.filtered_probabilities(F.col("x"), F.array(*map(F.lit, seen)), penalty, temperature, k, top).alias("p")).collect():
+        assert r["p"] == (r["x"] if not r["x"] else pytest.approx(plain(r["x"]).tolist())), r["id"]
+
+
 def test_sources(spark, tmp_path):
     path = tmp_path / "t.jsonl"
     path.write_text(json.dumps({"sub": "a", "rel": "is_a", "obj": "b", "conf": 0.5}) + "\nbroken\n")
