@@ -1,14 +1,18 @@
 """BPE encoding by a tokenization automaton, and decoding by its arc labels.
 
-The merges are compiled in order. The automaton starts with one state and a looping arc for each
+The merges are compiled in order. The token automaton starts with one state and a looping arc for each
 byte; the gadget of merge k = (u, v) -> w redirects the arcs labelled u to a new state that is a copy
 of their target without the arc v, and adds an arc w wherever u could be read, leading where v led.
 Reading a token sequence is then possible exactly if it is the BPE encoding of its bytes, and each
-byte string has one such path.
-
-The copies are kept implicitly: the state behind a token is named by that token, the arc a gadget
-removes is stored with its step, and a state inherits what was removed from its model up to the step
-at which it was copied. A transition is looked up in a table that is filled from those on first use.
+byte string has one such path. The state behind a token is named by that token; its row holds the arcs
+that its gadget removed, each with its step, and goes on in the row of the state it was copied from.
+
+Bytes are read by a deterministic table over those arcs. What may follow a word's beginning depends on
+the longest ending of it that begins an arc label, and on the arcs that end inside that ending and
+before it: that is a state of the table. Its transition by a byte extends the ending and names the arc
+that ends there: the longest label whose first byte follows a state that has that arc. So a word is read
+once from left to right, one transition a byte, and its path is the chain of arcs that end at its end.
+States and transitions are entered when first used, and the table starts anew when it is full.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 CACHE = 150_000
 #: Longest chunk, in characters, that the cache keeps.
 CACHED_CHARS = 64
+#: Transitions of the byte table from which it starts anew.
+TRANSITIONS = 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -108,6 +114,32 @@ class Ranked(Chunked):
         return array("I", self._native.encode_ordinary(text)).tobytes()
 
 
+class _Table(dict):
+    """The byte table, ``state << 8 | byte`` to state, and per state its label node, the arcs that end in it and the last of them."""
+
+    def __init__(self, owner: Automaton):
+        self.owner = owner
+        self.restart()
+
+    def restart(self) -> None:
+        self.clear()
+        self.states: dict[tuple, int] = {(0, (-1,)): 0}
+        self.of: list[tuple[int, tuple[int, ...]]] = [(0, (-1,))]
+        self.arc: list[int] = [-1]
+
+    def __missing__(self, key: int) -> int:
+        node, ended = self.of[key >> 8]
+        node, token = self.owner.follow(node, key & 255, ended)
+        state = node, (*ended, token)[-self.owner.depth[node] - 1 :]
+        found = self.states.get(state)
+        if found is None:
+            found = self.states[state] = len(self.of)
+            self.of.append(state)
+            self.arc.append(token)
+        self[key] = found
+        return found
+
+
 class Automaton(Chunked):
     """Compiled from a byte-level BPE file of the tokenizers library."""
 
@@ -125,98 +157,107 @@ class Automaton(Chunked):
         for s, i in self.special.items():
             self.labels[i] = s.encode()
         self._pieces = regex.compile(PATTERN)
-        n = len(self.labels)
-        self.first, self.last, self.born = [-1] * n, [-1] * n, [1 << 40] * n
-        self.removed: dict[int, int] = {}
-        self.table: dict[int, bool] = {}
+        n = self.size = len(self.labels)
+        self.first, self.last, self.born = [-1] * n, [-1] * n, [1 << 62] * n
+        self.removed: list[dict[int, int] | None] = [None] * n  # by state: arc -> step of its removal
         live = [False] * n
         for c in letters:
             live[ids[c]] = True
         for step, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self._gadget(step, ids[left], ids[right], ids[left + right], live)
-        self.table.clear()
-        self._grow_trie([i for i in range(n) if live[i]])
+        self._compile_labels([i for i in range(n) if live[i]])
+        self.table = _Table(self)
         self.words: dict[str, bytes] = {}
 
     def _gadget(self, step: int, u: int, v: int, w: int, live: list[bool]) -> None:
         if live[w] or not (live[u] and live[v] and self._reads(u, v)):
             return  # no path reads u then v by now: the merge never fires
-        self.removed[u << 20 | v] = step
+        row = self.removed[u]
+        if row is None:
+            row = self.removed[u] = {}
+        row[v] = step
         self.first[w], self.last[w], self.born[w], live[w] = u, v, step, True
 
     def _reads(self, state: int, token: int) -> bool:
-        """Whether the state behind one token has an arc for another: none of its removals hits."""
-        model, before = state, 1 << 41
-        while model >= 0:
-            arc, until = token, 1 << 41
-            while arc >= 0:
-                step = self.removed.get(model << 20 | arc)
-                if step is not None and step < before and step <= until:
-                    return False
-                until = self.born[arc]
-                arc = self.first[arc]
-            before = self.born[model]
-            model = self.last[model]
+        """Whether a state has an arc: not if its row, or one it was copied from, lost the arc, or an arc that was copied to it, in time."""
+        before = 1 << 62
+        while state >= 0:
+            row = self.removed[state]
+            if row:
+                arc, until = token, 1 << 62
+                while arc >= 0:
+                    step = row.get(arc)
+                    if step is not None and step < before and step <= until:
+                        return False
+                    until = self.born[arc]
+                    arc = self.first[arc]
+            before = self.born[state]
+            state = self.last[state]
         return True
 
-    def _grow_trie(self, tokens: list[int]) -> None:
-        """Arc labels, by byte: (node, byte) -> node, and the token that a node ends."""
-        self.step: dict[int, int] = {}
-        self.ends: list[int] = [-1]
+    def _compile_labels(self, tokens: list[int]) -> None:
+        """Nodes for the beginnings of labels with their longest proper endings, and per node the longest label that it ends with."""
+        self.next: dict[int, int] = {}
+        ends, parent, letter = [-1], [0], [0]
+        self.depth = [0]
         for t in tokens:
             node = 0
             for b in self.labels[t]:
                 key = node << 8 | b
-                if (nxt := self.step.get(key)) is None:
-                    nxt = self.step[key] = len(self.ends)
-                    self.ends.append(-1)
-                node = nxt
-            self.ends[node] = t
+                found = self.next.get(key)
+                if found is None:
+                    found = self.next[key] = len(ends)
+                    ends.append(-1)
+                    self.depth.append(self.depth[node] + 1)
+                    parent.append(node)
+                    letter.append(b)
+                node = found
+            ends[node] = t
+        n = len(ends)
+        self.ending, self.longest, self.shorter = [0] * n, [-1] * n, [-1] * self.size
+        for node in sorted(range(1, n), key=self.depth.__getitem__):
+            if self.depth[node] > 1:
+                self.ending[node] = self._step(self.ending[parent[node]], letter[node])
+            below = self.longest[self.ending[node]]
+            self.longest[node] = below if ends[node] < 0 else ends[node]
+            if ends[node] >= 0:
+                self.shorter[ends[node]] = below
+        self.widths = [len(x) for x in self.labels]
+
+    def _step(self, node: int, byte: int) -> int:
+        """The longest beginning of a label that the node's string and one more byte end with."""
+        found = self.next.get(node << 8 | byte)
+        while found is None and node:
+            node = self.ending[node]
+            found = self.next.get(node << 8 | byte)
+        return found or 0
+
+    def follow(self, node: int, byte: int, ended: tuple[int, ...]) -> tuple[int, int]:
+        """The node after one more byte, and the arc that ends there, where ``ended`` holds the arcs that end in the node's string, its first end included."""
+        node = self._step(node, byte)
+        token = self.longest[node]
+        while True:
+            before = ended[-self.widths[token]]
+            if before < 0 or self._reads(before, token):  # the first state has every arc
+                return node, token
+            token = self.shorter[token]
 
     def encode_piece(self, word: bytes) -> list[int]:
-        """Ids of one pre-split piece: the only path of the automaton that spells it, longest arcs tried first."""
-        step, ends, table, n = self.step, self.ends, self.table, len(word)
-        path: list[int] = []
-        starts: list[int] = []
-        choices: list[list[int]] = []
-        dead: set[tuple[int, int]] = set()
-        pos, state = 0, -1
-        while pos < n:
-            node, found = 0, []
-            for b in word[pos : pos + 256]:
-                node = step.get(node << 8 | b)
-                if node is None:
-                    break
-                if ends[node] >= 0:
-                    found.append(ends[node])
-            while True:
-                while found:
-                    token = found.pop()
-                    if state >= 0:
-                        key = state << 20 | token
-                        ok = table.get(key)
-                        if ok is None:
-                            ok = table[key] = self._reads(state, token)
-                        if not ok:
-                            continue
-                    end = pos + len(self.labels[token])
-                    if dead and (end, token) in dead:
-                        continue
-                    path.append(token)
-                    starts.append(pos)
-                    choices.append(found)
-                    pos, state = end, token
-                    break
-                else:  # no arc leads on: step back
-                    dead.add((pos, state))
-                    path.pop()
-                    pos, found = starts.pop(), choices.pop()
-                    state = path[-1] if path else -1
-                    continue
-                break
-        if len(table) > 300_000:
-            table.clear()
+        """Ids of one pre-split piece: the only path of the automaton that spells it, one transition a byte, never backwards."""
+        table, arc, widths = self.table, self.table.arc, self.widths
+        if len(table) > TRANSITIONS:
+            table.restart()
+            arc = table.arc
+        state, ends = 0, []
+        for byte in word:
+            state = table[state << 8 | byte]
+            ends.append(arc[state])
+        path, at = [], len(ends)
+        while at:
+            path.append(ends[at - 1])
+            at -= widths[ends[at - 1]]
+        path.reverse()
         return path
 
     def presplit(self, text: str) -> bytes:

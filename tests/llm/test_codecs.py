@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import struct
+import zlib
 
 import public_tokenizers
 import pytest
@@ -30,6 +31,22 @@ def test_ids_and_round_trip(both):
         assert automaton.decode(got) == reference.decode(ids, skip_special_tokens=False)
 
 
+def test_tables_that_start_anew_give_the_same_ids(both, monkeypatch):
+    from millrace.llm import bpe
+
+    reference, automaton, _ = both
+    monkeypatch.setattr(bpe, "TRANSITIONS", 40)
+    rng = random.Random(9)
+    automaton.words.clear()
+    for _ in range(400):
+        word = "".join(rng.choice("aeioubcdrstlnéß中") for _ in range(rng.randint(1, 14)))
+        ids = reference.encode(word, add_special_tokens=False).ids
+        assert automaton.encode_piece(word.encode()) == ids, word
+    assert len(automaton.table) <= 40 + 14 * 4
+    longest = max(automaton.labels, key=len).decode()
+    assert automaton.encode_piece(longest.encode() * 3) == reference.encode(longest * 3, add_special_tokens=False).ids
+
+
 def test_long_piece(both):
     reference, automaton, _ = both
     for text in ("a" * 3000, "=" * 3000, "ab" * 1500, " " * 500):
@@ -69,6 +86,11 @@ def test_packing(spark, both):
     by_doc: dict = {}
     for r in out:
         by_doc.setdefault(r["doc_id"], []).append(r)
+    texts = {i: t for i, t in rows if len(lengths[i]) == 1}
+    for r in out:  # each piece holds the ids of its stretch
+        if r["doc_id"] in texts:
+            ids = [*both[0].encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 1][r["start"] : r["start"] + r["length"]]
+            assert r["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)) and len(ids) == r["length"]
     assert by_doc.keys() == lengths.keys()
     for i, pieces in by_doc.items():
         assert sum(p["length"] for p in pieces) == sum(lengths[i])
