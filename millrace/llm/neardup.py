@@ -14,15 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch, bound_batches, components
 
 #: Directions, half-width of a window in standard deviations of a threshold pair's difference, and the wanted recall at the threshold.
 PROJECTIONS, HALF_WIDTH, RECALL = 48, 1.15, 0.9995
-#: Rows of a block, queries counted at once, bins of a half-width.
-BLOCK, QUERIES, BINS = 16384, 64, 4
+#: Components of all vectors of a block, least rows of a block, queries counted at once, bins of a half-width.
+BLOCK_VALUES, LEAST_BLOCK, QUERIES, BINS = 1 << 22, 4096, 64, 4
 #: Least cosine of a link in the query.
 COSINE = 0.9
 
@@ -44,11 +44,15 @@ def unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def is_sound(v: Column) -> Column:
+    """Whether a vector has only finite components, not all zero."""
+    fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return F.coalesce(fine, F.lit(False))
+
+
 def sound(vectors: DataFrame) -> DataFrame:
     """Rows whose vector has only finite components, not all zero."""
-    v = F.col("embedding")
-    fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(F.coalesce(fine, F.lit(False)))
+    return vectors.where(is_sound(F.col("embedding")))
 
 
 class Projector:
@@ -150,20 +154,24 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, scratch: Scratch
     Equal vectors are one class with a weight. Classes are dealt into blocks; each pair of blocks is
     one group of bounded size that returns, per class, its number of linked rows and a spanning link,
     never the pairs. Vectors that are null, zero, or hold null or non-finite components link with
-    nothing, as do vectors of different lengths; repeated rows count each; an empty table gives no rows.
-    Returns ``vec_id, n_links, component_id, kept`` (a null vec_id has no links and is kept).
+    nothing, as do vectors of different lengths. Repeated rows count each: rows that repeat a vec_id
+    keep a result of their own. An empty table gives no rows; other columns are ignored.
+    Returns ``vec_id, n_links, component_id, kept``; a null vec_id has no links and is kept.
     """
     spark = vectors.sparkSession
     bound_batches(spark, 10_000)
     scratch = scratch or Scratch(spark, "neardup")
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
-    good = sound(rows.where("vec_id is not null")).select("vec_id", F.transform("embedding", lambda x: x + F.lit(0.0)).alias("embedding")).withColumn("key", F.sha2(F.to_json("embedding").cast("binary"), 256))
-    classes = scratch.keep(good.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")))
-    members = scratch.keep(good.select("vec_id", "key").join(classes, "key").select("vec_id", "id", "weight"))
-    one = scratch.keep(classes.join(good, (good.vec_id == classes.id) & (good.key == classes.key)).select("id", "weight", "embedding").dropDuplicates(["id"]))
-    n = one.count()
-    blocks = max(1, -(-n // BLOCK))
-    dealt = one.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"  # floats are shuffled as floats
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind))
+    key = F.unhex(F.sha2(F.to_json(F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))).cast("binary"), 256))
+    keyed = rows.withColumn("key", F.when(F.col("vec_id").isNotNull() & is_sound(F.col("embedding")), key))
+    tagged = scratch.keep(keyed.select("vec_id", "key"))
+    alike = keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.any_value("embedding").alias("embedding"))
+    classes = scratch.keep(alike.withColumn("id", F.monotonically_increasing_id()))  # named by place in a written table: vec_ids may repeat
+    n, dim = classes.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    # few rows make blocks for all cores
+    blocks = max(1, -(-n // max(LEAST_BLOCK, BLOCK_VALUES // dim)), min(n // LEAST_BLOCK, math.isqrt(2 * spark.sparkContext.defaultParallelism) + 1))
+    dealt = classes.select("id", "weight", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     # block b meets itself and every other block once
     sides = dealt.withColumn("pair", F.explode(F.expr(f"transform(sequence(0, {blocks - 1}), o -> least(block, o) * {blocks} + greatest(block, o))")))
     least = needed_collisions()
@@ -203,12 +211,13 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, scratch: Scratch
     met = scratch.keep(sides.groupBy("pair").applyInArrow(run, "id long, links long, to long"))
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(met.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")), scratch)
-    of = one.select("id").join(links, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
-    known = members.join(of, "id").select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    known = known.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = rows.select("vec_id").join(known, "vec_id", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    comp = scratch.keep(comp.join(classes.select(F.col("id").alias("node"), "least"), "node"))
+    comp = comp.join(comp.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(F.col("node").alias("id"), "component_id")
+    found = classes.select("key", "id", "weight", "least").join(links, "id", "left").join(comp, "id", "left")
+    found = found.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    out = tagged.where("key is not null").join(found, "key").select("vec_id", "n_links", "component_id")
+    rest = tagged.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.union(rest).select("vec_id", "n_links", "component_id", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,39 @@ def test_links_equal_brute_force(spark, sample):
     assert got[1005]["n_links"] == 1 and got[1006]["component_id"] == 1005
 
 
+def test_rows_that_repeat_an_id_keep_their_own_links(spark):
+    rows = frame(spark, [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (3, [0.01, 1.0]), (9, [-1.0, -0.0]), (8, [-1.0, 0.0]), (None, [1.0, 0.0])])
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in linked_vectors(rows).collect())
+    assert got == [(0, 0, 0, True), (1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), (8, 1, 8, True), (9, 1, 8, False)]
+
+
+def test_recall_by_band_of_cosine(spark):
+    """Over several blocks: pairs planted at known cosines, and a group of near copies that holds a third of the rows."""
+    rng = np.random.default_rng(12)
+    n, dim = 12_000, 48
+    x = rng.standard_normal((n, dim))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    hot = np.arange(0, n, 3)
+    x[hot] = x[0] + 0.02 * rng.standard_normal((len(hot), dim))
+    for k, i in enumerate(range(1, n - 3, 6)):  # i is cold, as is i + 1
+        cosine = 0.88 + 0.12 * (k % 120) / 120
+        other = x[i + 1] - (x[i + 1] @ x[i]) * x[i]
+        x[i + 1] = cosine * x[i] + np.sqrt(1 - cosine**2) * other / np.sqrt(other @ other)
+    x = x.astype(np.float32)
+    got = {r["vec_id"]: r for r in linked_vectors(frame(spark, list(enumerate(x.tolist())))).collect()}
+    unit = x.astype(float)
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    alike = unit @ unit.T
+    np.fill_diagonal(alike, -1)
+    true = (alike >= 0.9).sum(axis=1)
+    found = np.array([got[i]["n_links"] for i in range(n)])
+    assert (found <= true).all()
+    for low, high in ((0.9, 0.91), (0.91, 0.93), (0.93, 0.96), (0.96, 1.01)):
+        band = (alike.max(axis=1) >= low) & (alike.max(axis=1) < high) & (np.arange(n) % 3 != 0)
+        assert band.sum() >= 50 and found[band].sum() >= 0.99 * true[band].sum(), (low, found[band].sum(), true[band].sum())
+    assert found[hot].sum() >= 0.999 * true[hot].sum() and sum(got[i]["component_id"] == 0 for i in hot) >= len(hot) - 5
+
+
 def test_links_of_an_empty_table(spark):
     assert linked_vectors(frame(spark, [])).count() == 0
 
