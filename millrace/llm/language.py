@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch, bound_batches
 
-#: Buckets of hashed byte trigrams, centroids per language, labelled documents per language that fit them (bounded sample).
-BUCKETS, CENTROIDS, PER_LANGUAGE = 8192, 4, 400
+#: Buckets of hashed byte trigrams, centroids per language, distinct labelled texts per language that fit them (bounded sample), bits of the hash that picks them.
+BUCKETS, CENTROIDS, PER_LANGUAGE, HASH_BITS = 8192, 4, 400, 62
 #: A document farther from every centroid than this share of the similarity that all but 1 in 200 sampled documents of its length reach is rejected.
 REJECT_SHARE, REJECT_QUANTILE = 0.3, 0.005
 #: Upper ends, in n-grams, of the length classes for rejection.
@@ -93,32 +94,57 @@ class Centroids:
         return self.languages[self.of[best]], score, bool(score < self.floors[int(length_class(n))])
 
 
+def _limits(rows: DataFrame, wanted: int) -> dict[str, int]:
+    """Per language, the bound under which about ``wanted`` distinct hashes ``u`` lie, or twice as many; above all of them if there are fewer.
+
+    Distinct hashes are counted by their leading zeros: 32 sketches a language, whatever repeats.
+    """
+    zeros = (F.lit(HASH_BITS) - F.length(F.bin("u"))).alias("zeros")
+    found = rows.groupBy("lang", zeros).agg(F.approx_count_distinct("u", 0.05).alias("n")).collect()
+    limits, sums = {}, {}
+    for r in sorted(found, key=lambda r: -r["zeros"]):
+        if sums.get(r["lang"], 0) < wanted:
+            sums[r["lang"]] = sums.get(r["lang"], 0) + r["n"]
+            limits[r["lang"]] = 1 << HASH_BITS - r["zeros"] if sums[r["lang"]] >= wanted else 1 << HASH_BITS
+    return limits
+
+
+def _by_language(values: dict[str, int]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in sorted(values.items()) for x in kv])[F.col("lang")]
+
+
 def train(labelled: DataFrame) -> Centroids:
-    """Fits on ``labelled(doc_id, text, lang)``: one scan sums document frequencies over all rows and picks the bounded sample."""
+    """Fits on ``labelled(text, lang)``: document frequencies are summed over all rows, centroids are fitted on a bounded sample.
+
+    The sample is, per language, the PER_LANGUAGE distinct texts of least hash: the same in every run,
+    and never without a language that has a row, however often its texts repeat.
+    """
     spark = labelled.sparkSession
     bound_batches(spark)
-    rows = labelled.select(F.col("doc_id").cast("long"), "text", "lang").where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
-    shares = {k: int(min(1.0, PER_LANGUAGE / n) * (1 << 31)) for k, n in counts.items()}
-    share_of = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]) if shares else None
-    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31)) < (share_of[F.col("lang")] if shares else 0)
+    rows = labelled.select("text", "lang").where("lang is not null and text is not null")
+    rows = rows.withColumn("u", F.xxhash64("text").bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    limits = _limits(rows, PER_LANGUAGE + PER_LANGUAGE // 4)
+    if not limits:
+        return Centroids.fit(np.empty((0, BUCKETS), np.int32), [], np.zeros(BUCKETS, np.int64), 0)
+    rows = rows.withColumn("u", F.when(F.col("u") < _by_language(limits), F.col("u")))
 
     def run(batches):
-        df, n = np.zeros(BUCKETS, np.int64), 0
+        df, n, seen = np.zeros(BUCKETS, np.int64), 0, set()
         for b in batches:
-            langs, picked = [], []
-            for text, lang, pick in zip(*(b.column(c).to_pylist() for c in ("text", "lang", "pick")), strict=True):
+            out = [[], [], []]
+            for text, lang, u in zip(*(b.column(c).to_pylist() for c in ("text", "lang", "u")), strict=True):
                 c, _ = grams(text)
                 df += c > 0
                 n += 1
-                if pick:
-                    langs.append(lang)
-                    picked.append(c.astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(picked, pa.binary()), pa.array([1] * len(langs), pa.int64())], ["lang", "counts", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([df.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["lang", "counts", "n"])
+                if u is not None and (lang, u) not in seen:
+                    seen.add((lang, u))
+                    for x, v in zip(out, (lang, u, zlib.compress(c.astype(np.int32).tobytes(), 1)), strict=True):
+                        x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array([1] * len(out[0]), pa.int64())], ["lang", "u", "counts", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([None], pa.int64()), pa.array([df.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["lang", "u", "counts", "n"])
 
     scratch = Scratch(spark, "language")
-    found = scratch.keep(rows.withColumn("pick", chosen).select("text", "lang", "pick").mapInArrow(run, "lang string, counts binary, n long"))
+    found = scratch.keep(rows.mapInArrow(run, "lang string, u long, counts binary, n long"))
 
     def add(batches):
         df, n = np.zeros(BUCKETS, np.int64), 0
@@ -130,19 +156,26 @@ def train(labelled: DataFrame) -> Centroids:
 
     sums = found.where("lang is null").select("counts", "n").coalesce(16).mapInArrow(add, "counts binary, n long").collect()
     df = sum((np.frombuffer(r["counts"], np.int64) for r in sums), np.zeros(BUCKETS, np.int64))
-    sample = sorted((r["lang"], bytes(r["counts"])) for r in found.where("lang is not null").select("lang", "counts").limit(2 * PER_LANGUAGE * max(1, len(counts))).collect())
+    picked = found.where("lang is not null")
+    hashes: dict[str, list[int]] = {}
+    for r in picked.select("lang", "u").distinct().collect():  # a few times PER_LANGUAGE a language
+        hashes.setdefault(r["lang"], []).append(r["u"])
+    last = {lang: sorted(u)[:PER_LANGUAGE][-1] for lang, u in hashes.items()}
+    sample = picked.where(F.col("u") <= _by_language(last)).dropDuplicates(["lang", "u"]).select("lang", "u", "counts").collect()
+    sample = sorted((r["lang"], r["u"], bytes(r["counts"])) for r in sample)
     scratch.drop(found)
-    vectors = np.array([np.frombuffer(c, np.int32) for _, c in sample], np.int32).reshape(-1, BUCKETS)
-    return Centroids.fit(vectors, [lang for lang, _ in sample], df, sum(r["n"] for r in sums))
+    vectors = np.array([np.frombuffer(zlib.decompress(c), np.int32) for *_, c in sample], np.int32).reshape(-1, BUCKETS)
+    return Centroids.fit(vectors, [lang for lang, *_ in sample], df, sum(r["n"] for r in sums))
 
 
 def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Language of every whole text of ``docs(doc_id, text)``, learned from ``labelled(doc_id, text, lang)``.
+    """Language of every whole text of ``docs(doc_id, text)``, learned from ``labelled(text, lang)``.
 
     A null text, or one without a letter, is ``und`` with score 0 and counts as rejected; any other
     text gets its nearest centroid's language, and is rejected if even that is too far. Without
-    labelled rows all are ``und``. Ties go to the first language by name; repeated rows are judged
-    each; an empty table gives no rows. Other columns of ``docs`` pass through, unless they clash.
+    labelled rows all are ``und``. Every language that has a labelled row is known, however often its
+    rows repeat. Ties go to the first language by name; repeated rows are judged each; very long texts
+    are read whole; an empty table gives no rows. Other columns of ``docs`` pass through, unless they clash.
     Returns the columns of ``docs`` and ``lang_pred, lang_score, rejected``.
     """
     spark = docs.sparkSession

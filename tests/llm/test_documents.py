@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import pii
+from millrace.llm import language, pii
 from millrace.llm.common import with_ids, without_ids
 from millrace.llm.html import main_text
 from millrace.llm.language import identify
@@ -129,10 +129,27 @@ def test_language(spark):
     assert [got[i]["lang_pred"] for i in range(1, 6)] == ["en", "de", "und", "und", "und"]
     assert not got[1]["rejected"] and got[3]["rejected"] and got[6]["rejected"] and got[1]["digest"] == "clash"
     assert all(0 <= r["lang_score"] <= 1 for r in got.values())
+    many = train.unionByName(spark.range(5000).selectExpr("id doc_id", "'the river and the house with this' text", "'xx' lang")).where("lang <> 'en'")
+    rare = many.unionByName(spark.createDataFrame([(7, "und der die haus " * 9, "yy")], "doc_id long, text string, lang string"))
+    model = language.train(rare)
+    assert model.languages == ["de", "xx", "yy"] and model.predict("the river and the house")[0] == "xx"
+    again = language.train(rare.repartition(3))
+    assert (again.matrix == model.matrix).all() and (again.idf == model.idf).all()
+    long = identify(frame(spark, [(1, "the river with the house " * 60_000), (1, "the river with the house " * 60_000)]), train).collect()
+    assert [r["lang_pred"] for r in long] == ["en", "en"]
     none = identify(docs, train.limit(0)).collect()
     assert {r["lang_pred"] for r in none} == {"und"} and identify(docs.limit(0), train).count() == 0
 
 
+def test_sampled_texts_are_bounded_and_of_least_hash(spark, monkeypatch):
+    monkeypatch.setattr(language, "PER_LANGUAGE", 30)
+    rows = spark.range(4000).selectExpr("concat('text ', cast(id % 700 as string)) text", "if(id % 7 = 0, 'a', 'b') lang")
+    got = {}
+    monkeypatch.setattr(language.Centroids, "fit", classmethod(lambda cls, counts, labels, df, n: got.update(labels=labels, n=n, df=df)))
+    language.train(rows)
+    assert got["n"] == 4000 and {x: got["labels"].count(x) for x in "ab"} == {"a": 30, "b": 30} and got["df"].max() == 4000
+
+
 def test_quality(spark):
     rng = random.Random(6)
     rows = [(i, (words(rng, 60) + ". ") if i % 2 else " ".join("#$%" + str(rng.randint(0, 9)) + "&&" for _ in range(60))) for i in range(400)]
