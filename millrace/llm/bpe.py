@@ -7,12 +7,11 @@ Reading a token sequence is then possible exactly if it is the BPE encoding of i
 byte string has one such path. The state behind a token is named by that token; its row holds the arcs
 that its gadget removed, each with its step, and goes on in the row of the state it was copied from.
 
-Bytes are read by a deterministic table over those arcs. What may follow a word's beginning depends on
-the longest ending of it that begins an arc label, and on the arcs that end inside that ending and
-before it: that is a state of the table. Its transition by a byte extends the ending and names the arc
-that ends there: the longest label whose first byte follows a state that has that arc. So a word is read
-once from left to right, one transition a byte, and its path is the chain of arcs that end at its end.
-States and transitions are entered when first used, and the table starts anew when it is full.
+Bytes are read by a second table, compiled from the arc labels: a state for each beginning of a label,
+standing for the longest ending of what was read that begins a label, and the longest label that ends
+there. The arc that ends after a byte is the longest such label whose first byte follows a state that
+has that arc. So a word is read once from left to right, and its path is the chain of arcs that end at
+its end. Words of one batch are read side by side, one byte of each at a time; very long ones alone.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ import json
 import struct
 from array import array
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -36,8 +36,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 CACHE = 150_000
 #: Longest chunk, in characters, that the cache keeps.
 CACHED_CHARS = 64
-#: Transitions of the byte table from which it starts anew.
-TRANSITIONS = 250_000
+#: Longest word, in bytes, that is read beside others, characters of texts that are encoded at once, and slots (as a power of 2) for answers about arcs.
+SIDE_BY_SIDE, AT_ONCE, ARC_BITS = 48, 2_000_000, 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -47,6 +47,14 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+PIECES = regex.compile(PATTERN)
+
+
+def split_pattern(special: dict[str, int]):
+    """Pattern that cuts a text at added tokens, the longer first; none without any."""
+    return regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+
+
 class _Chunks(dict):
     """Encoded chunks that follow a single space; filled on demand."""
 
@@ -68,8 +76,7 @@ class Chunked:
     """Encodes whole texts chunk by chunk; a subclass gives ``presplit`` (text to ids as bytes) and ``special``."""
 
     def __init__(self, special: dict[str, int]):
-        self.special = special
-        self._split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.special, self._split_special = special, split_pattern(special)
         self.chunks = _Chunks(self)
 
     def presplit(self, text: str) -> bytes:
@@ -114,33 +121,7 @@ class Ranked(Chunked):
         return array("I", self._native.encode_ordinary(text)).tobytes()
 
 
-class _Table(dict):
-    """The byte table, ``state << 8 | byte`` to state, and per state its label node, the arcs that end in it and the last of them."""
-
-    def __init__(self, owner: Automaton):
-        self.owner = owner
-        self.restart()
-
-    def restart(self) -> None:
-        self.clear()
-        self.states: dict[tuple, int] = {(0, (-1,)): 0}
-        self.of: list[tuple[int, tuple[int, ...]]] = [(0, (-1,))]
-        self.arc: list[int] = [-1]
-
-    def __missing__(self, key: int) -> int:
-        node, ended = self.of[key >> 8]
-        node, token = self.owner.follow(node, key & 255, ended)
-        state = node, (*ended, token)[-self.owner.depth[node] - 1 :]
-        found = self.states.get(state)
-        if found is None:
-            found = self.states[state] = len(self.of)
-            self.of.append(state)
-            self.arc.append(token)
-        self[key] = found
-        return found
-
-
-class Automaton(Chunked):
+class Automaton:
     """Compiled from a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str):
@@ -150,13 +131,13 @@ class Automaton(Chunked):
         spell = lambda s: bytes(letters[c] for c in s)
         ids = model["vocab"]
         self.labels: list[bytes] = [b""] * (1 + max([*ids.values(), *(t["id"] for t in spec["added_tokens"])]))
-        super().__init__({t["content"]: t["id"] for t in spec["added_tokens"]})
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self._split_special = split_pattern(self.special)
         for s, i in ids.items():
             if s not in self.special:
                 self.labels[i] = spell(s)
         for s, i in self.special.items():
             self.labels[i] = s.encode()
-        self._pieces = regex.compile(PATTERN)
         n = self.size = len(self.labels)
         self.first, self.last, self.born = [-1] * n, [-1] * n, [1 << 62] * n
         self.removed: list[dict[int, int] | None] = [None] * n  # by state: arc -> step of its removal
@@ -167,8 +148,8 @@ class Automaton(Chunked):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self._gadget(step, ids[left], ids[right], ids[left + right], live)
         self._compile_labels([i for i in range(n) if live[i]])
-        self.table = _Table(self)
-        self.words: dict[str, bytes] = {}
+        self.known, self.answers = np.full(1 << ARC_BITS, -1, np.int64), np.zeros(1 << ARC_BITS, np.bool_)
+        self.chunks: dict[str, bytes] = {}  # ids of chunks that follow a single space
 
     def _gadget(self, step: int, u: int, v: int, w: int, live: list[bool]) -> None:
         if live[w] or not (live[u] and live[v] and self._reads(u, v)):
@@ -197,93 +178,226 @@ class Automaton(Chunked):
         return True
 
     def _compile_labels(self, tokens: list[int]) -> None:
-        """Nodes for the beginnings of labels with their longest proper endings, and per node the longest label that it ends with."""
-        self.next: dict[int, int] = {}
-        ends, parent, letter = [-1], [0], [0]
-        self.depth = [0]
+        """The byte table, rows laid over each other: state s goes on by byte b at ``base[s] + b`` if ``owner`` there is s.
+
+        ``ending``: state of the longest proper ending; ``longest``: longest label that a state ends
+        with; ``shorter``: the next shorter label that ends like a label.
+        """
+        rows: list[dict[int, int]] = [{}]
+        ends, parent, letter, depth = [-1], [0], [0], [0]
         for t in tokens:
-            node = 0
+            state = 0
             for b in self.labels[t]:
-                key = node << 8 | b
-                found = self.next.get(key)
+                found = rows[state].get(b)
                 if found is None:
-                    found = self.next[key] = len(ends)
+                    found = rows[state][b] = len(rows)
+                    rows.append({})
                     ends.append(-1)
-                    self.depth.append(self.depth[node] + 1)
-                    parent.append(node)
+                    parent.append(state)
                     letter.append(b)
-                node = found
-            ends[node] = t
-        n = len(ends)
-        self.ending, self.longest, self.shorter = [0] * n, [-1] * n, [-1] * self.size
-        for node in sorted(range(1, n), key=self.depth.__getitem__):
-            if self.depth[node] > 1:
-                self.ending[node] = self._step(self.ending[parent[node]], letter[node])
-            below = self.longest[self.ending[node]]
-            self.longest[node] = below if ends[node] < 0 else ends[node]
-            if ends[node] >= 0:
-                self.shorter[ends[node]] = below
-        self.widths = [len(x) for x in self.labels]
-
-    def _step(self, node: int, byte: int) -> int:
-        """The longest beginning of a label that the node's string and one more byte end with."""
-        found = self.next.get(node << 8 | byte)
-        while found is None and node:
-            node = self.ending[node]
-            found = self.next.get(node << 8 | byte)
-        return found or 0
-
-    def follow(self, node: int, byte: int, ended: tuple[int, ...]) -> tuple[int, int]:
-        """The node after one more byte, and the arc that ends there, where ``ended`` holds the arcs that end in the node's string, its first end included."""
-        node = self._step(node, byte)
-        token = self.longest[node]
-        while True:
-            before = ended[-self.widths[token]]
-            if before < 0 or self._reads(before, token):  # the first state has every arc
-                return node, token
-            token = self.shorter[token]
-
-    def encode_piece(self, word: bytes) -> list[int]:
-        """Ids of one pre-split piece: the only path of the automaton that spells it, one transition a byte, never backwards."""
-        table, arc, widths = self.table, self.table.arc, self.widths
-        if len(table) > TRANSITIONS:
-            table.restart()
-            arc = table.arc
-        state, ends = 0, []
+                    depth.append(depth[state] + 1)
+                state = found
+            ends[state] = t
+        n = len(rows)
+        ending, longest, shorter = [0] * n, [-1] * n, [-1] * self.size
+        for state in sorted(range(1, n), key=depth.__getitem__):
+            if depth[state] > 1:
+                at, b = ending[parent[state]], letter[state]
+                while at and b not in rows[at]:
+                    at = ending[at]
+                ending[state] = rows[at].get(b, 0)
+            below = longest[ending[state]]
+            longest[state] = below if ends[state] < 0 else ends[state]
+            if ends[state] >= 0:
+                shorter[ends[state]] = below
+        base, owner, target = [0] * n, [-1] * 256, [0] * 256
+        taken, place = 0, 0  # taken: places as bits
+        for state in sorted((i for i in range(n) if rows[i]), key=lambda i: -len(rows[i])):
+            row = rows[state]
+            if len(row) > 1:  # the first shift at which no place is taken
+                blocked = 0
+                for b in row:
+                    blocked |= taken >> b
+                at = (~blocked & (blocked + 1)).bit_length() - 1
+                for b in row:
+                    taken |= 1 << at + b
+            else:  # single arcs fill the gaps in order
+                b = next(iter(row))
+                place = max(place, b)
+                while place < len(owner) and owner[place] >= 0:
+                    place += 1
+                at = place - b
+            if len(owner) < at + 256:
+                target += [0] * (at + 256 - len(owner))
+                owner += [-1] * (at + 256 - len(owner))
+            base[state] = at
+            for b, to in row.items():
+                owner[at + b], target[at + b] = state, to
+        self.base, self.owner, self.target, self.ending, self.longest, self.shorter, self.widths = (
+            np.array(x, np.int32) for x in (base, owner, target, ending, longest, shorter, [len(x) for x in self.labels])
+        )
+
+    def _has_arc(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """:meth:`_reads` of many pairs; answers are remembered by a table of fixed size."""
+        key = state.astype(np.int64) * self.size + token
+        slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - ARC_BITS)).astype(np.int64)
+        out = self.answers[slot]
+        new = np.flatnonzero(self.known[slot] != key)
+        if len(new):
+            keys, at, back = np.unique(key[new], return_index=True, return_inverse=True)
+            found = np.array([self._reads(*divmod(k, self.size)) for k in keys.tolist()], np.bool_)
+            self.known[slot[new][at]], self.answers[slot[new][at]] = keys, found
+            # of keys that share a slot the last written stays, with its own answer
+            self.answers[slot[new][at]] = found[np.searchsorted(keys, self.known[slot[new][at]])]
+            out[new] = found[back]
+        return out
+
+    def _side_by_side(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words, longest first, none longer than SIDE_BY_SIDE: all are read one byte further in each step."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        width, starts = int(lengths[0]), np.cumsum(lengths) - lengths
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        ended = np.full((width + 1, len(words)), -1, np.int32)  # the arc that ends after so many bytes
+        state = np.zeros(len(words), np.int32)
+        for at in range(width):
+            n = int(np.searchsorted(-lengths, -at))  # words that go on
+            now, byte = state[:n], letters[starts[:n] + at]
+            todo = np.arange(n)
+            while len(todo):
+                place = self.base[now[todo]] + byte[todo]
+                goes = self.owner[place] == now[todo]
+                hit = todo[goes]
+                now[hit] = self.target[place[goes]]
+                todo = todo[~goes]
+                todo = todo[now[todo] > 0]
+                now[todo] = self.ending[now[todo]]
+            token, todo = self.longest[now], np.arange(n)
+            while len(todo):
+                before = ended[at + 1 - self.widths[token[todo]], todo]
+                later = before >= 0  # the first state has every arc
+                fails = np.zeros(len(todo), np.bool_)
+                fails[later] = ~self._has_arc(before[later], token[todo[later]])
+                todo = todo[fails]
+                token[todo] = self.shorter[token[todo]]
+            ended[at + 1, :n] = token
+        paths = np.full((len(words), width), -1, np.int32)
+        todo, step = np.arange(len(words)), width
+        end = lengths.copy()
+        while len(todo):
+            step -= 1
+            paths[todo, step] = ended[end[todo], todo]
+            end[todo] -= self.widths[paths[todo, step]]
+            todo = todo[end[todo] > 0]
+        real = paths >= 0
+        ids, cuts = paths[real].astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(real.sum(axis=1)) * 4]).tolist()
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def encode_piece(self, word: bytes) -> bytes:
+        """Ids of one pre-split piece: the only path of the automaton that spells it, read byte by byte, never backwards."""
+        base, owner, target, ending, longest, shorter, widths = (memoryview(x) for x in (self.base, self.owner, self.target, self.ending, self.longest, self.shorter, self.widths))
+        state, ended, answers = 0, [-1], {}
         for byte in word:
-            state = table[state << 8 | byte]
-            ends.append(arc[state])
-        path, at = [], len(ends)
-        while at:
-            path.append(ends[at - 1])
-            at -= widths[ends[at - 1]]
-        path.reverse()
-        return path
-
-    def presplit(self, text: str) -> bytes:
-        """Ids (little-endian unsigned 32-bit) of a text by the full pre-split pattern."""
+            while owner[base[state] + byte] != state and state:
+                state = ending[state]
+            if owner[base[state] + byte] == state:
+                state = target[base[state] + byte]
+            token = longest[state]
+            while (before := ended[-widths[token]]) >= 0:
+                has = answers.get((before, token))
+                if has is None:
+                    if len(answers) > 50_000:
+                        answers.clear()
+                    has = answers[before, token] = self._reads(before, token)
+                if has:
+                    break
+                token = shorter[token]
+            ended.append(token)
+        path, end = [], len(word)
+        while end:
+            path.append(ended[end])
+            end -= widths[ended[end]]
+        return array("I", reversed(path)).tobytes()
+
+    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pre-split pieces (little-endian unsigned 32-bit)."""
+        words = [p.encode() for p in pieces]
+        order = np.argsort(-np.fromiter(map(len, words), np.int64, len(words)), kind="stable").tolist()
+        out, side = {}, []
+        for i in order:
+            if len(words[i]) > SIDE_BY_SIDE:
+                out[pieces[i]] = self.encode_piece(words[i])
+            else:
+                side.append(i)
+        for at in range(0, len(side), 16384):
+            part = side[at : at + 16384]
+            out.update(zip([pieces[i] for i in part], self._side_by_side([words[i] for i in part]), strict=True))
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts (little-endian unsigned 32-bit).
+
+        Chunks between single spaces are pre-split alone, since no piece of the pattern crosses their
+        ends; a text with other runs of white space is pre-split as a whole.
+        """
+        plans, wanted, words, fresh = [], set(), set(), {}
+        for text in texts:
+            parts = self._split_special.split(text) if self._split_special and any(s in text for s in self.special) else [text]
+            plan = []
+            for part in parts:
+                if part in self.special:
+                    plan.append((None, part))
+                    continue
+                head, _, rest = part.partition(" ")
+                pieces, chunks = None, rest.split(" ") if rest and head and not head[-1].isspace() else None
+                if chunks:
+                    new = set(chunks).difference(self.chunks).difference(fresh)
+                    odd = [c for c in new if not c.isalpha()]
+                    if any(not c or c[0].isspace() or c[-1].isspace() for c in odd):
+                        chunks = None
+                    else:
+                        for c in odd:
+                            fresh[c] = found = PIECES.findall(" " + c)
+                            wanted.update(found)
+                        words.update(new.difference(odd))  # letters are one piece with the space
+                        pieces = PIECES.findall(head)
+                if chunks is None:
+                    pieces = PIECES.findall(part)
+                wanted.update(pieces)
+                plan.append((chunks, pieces))
+            plans.append(plan)
+        spaced = {" " + c: c for c in words}
+        wanted.update(spaced)
+        ids = self.encode_pieces(list(wanted))
+        if len(self.chunks) + len(fresh) + len(words) > CACHE:  # what this batch uses stays
+            used = {c for plan in plans for chunks, _ in plan if chunks for c in chunks}
+            self.chunks = {c: self.chunks[c] for c in used.intersection(self.chunks)}
+        self.chunks.update((c, b"".join(map(ids.__getitem__, pieces))) for c, pieces in fresh.items())
+        self.chunks.update((c, ids[p]) for p, c in spaced.items())
         out = []
-        for piece in self._pieces.findall(text):
-            ids = self.words.get(piece)
-            if ids is None:
-                path = self.encode_piece(piece.encode())
-                ids = struct.pack(f"<{len(path)}I", *path)
-                if len(piece) <= CACHED_CHARS:
-                    if len(self.words) >= CACHE:
-                        self.words.clear()
-                    self.words[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        for plan in plans:
+            done = []
+            for chunks, pieces in plan:
+                if isinstance(pieces, str):
+                    done.append(struct.pack("<I", self.special[pieces]))
+                else:
+                    done += map(ids.__getitem__, pieces)
+                    if chunks:
+                        done += map(self.chunks.__getitem__, chunks)
+            out.append(b"".join(done))
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """The text that the arcs' labels spell; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.labels.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
-_compiled: dict[tuple[type, str], Chunked] = {}
+_compiled: dict[tuple[type, str], Chunked | Automaton] = {}
 
 
-def compiled(kind: type[Chunked], path: str) -> Chunked:
+def compiled(kind: type, path: str) -> Chunked | Automaton:
     """One encoder per worker process, kind and file."""
     if (kind, path) not in _compiled:
         _compiled[kind, path] = kind(path)
@@ -301,7 +415,14 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         bpe = compiled(Automaton, path)
         for b in batches:
-            ids = [bpe.encode(t) if t else b"" for t in b.column("text").to_pylist()]
+            ids, waiting, size = [], [], 0
+            for text in b.column("text").to_pylist():
+                waiting.append(text or "")
+                size += len(waiting[-1])
+                if size >= AT_ONCE:
+                    ids += bpe.encode_all(waiting)
+                    waiting, size = [], 0
+            ids += bpe.encode_all(waiting)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([bpe.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, decoded string")

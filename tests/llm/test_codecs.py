@@ -31,20 +31,33 @@ def test_ids_and_round_trip(both):
         assert automaton.decode(got) == reference.decode(ids, skip_special_tokens=False)
 
 
-def test_tables_that_start_anew_give_the_same_ids(both, monkeypatch):
+def test_words_side_by_side_and_alone_give_the_same_ids(both, monkeypatch):
     from millrace.llm import bpe
 
     reference, automaton, _ = both
-    monkeypatch.setattr(bpe, "TRANSITIONS", 40)
     rng = random.Random(9)
-    automaton.words.clear()
-    for _ in range(400):
-        word = "".join(rng.choice("aeioubcdrstlnéß中") for _ in range(rng.randint(1, 14)))
-        ids = reference.encode(word, add_special_tokens=False).ids
-        assert automaton.encode_piece(word.encode()) == ids, word
-    assert len(automaton.table) <= 40 + 14 * 4
+    words = list({"".join(rng.choice("aeioubcdrstlnéß中") for _ in range(rng.randint(1, 20))) for _ in range(3000)})
     longest = max(automaton.labels, key=len).decode()
-    assert automaton.encode_piece(longest.encode() * 3) == reference.encode(longest * 3, add_special_tokens=False).ids
+    words += [longest, longest * 3, "a" * 47, "a" * 48, "a" * 49, "é" * 24, "\x00", "x\x00\x00"]
+    got = automaton.encode_pieces(words)
+    monkeypatch.setattr(bpe, "ARC_BITS", 4)  # answers about arcs drive each other out
+    small = Automaton(PATH)
+    for w in words:
+        ids = reference.encode(w, add_special_tokens=False).ids
+        assert got[w] == automaton.encode_piece(w.encode()) == struct.pack(f"<{len(ids)}I", *ids), w
+    assert small.encode_pieces(words) == got
+
+
+def test_a_full_cache_keeps_what_a_batch_uses(both, monkeypatch):
+    from millrace.llm import bpe
+
+    reference, automaton, _ = both
+    monkeypatch.setattr(bpe, "CACHE", 20)
+    rng = random.Random(2)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choice("abcdef12,") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 30))) for _ in range(5)]
+        want = [reference.encode(t, add_special_tokens=False).ids for t in texts]
+        assert automaton.encode_all(texts) == [struct.pack(f"<{len(i)}I", *i) for i in want]
 
 
 def test_long_piece(both):
