@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.ship import ship
@@ -111,36 +111,54 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     )
 
 
-#: Bits of the filter below and of one row of it; 2 MB in all, whatever the number of ids.
+def extended(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components ``(node, component)`` of the links behind ``comp`` and more ``links(a long, b long)``: only the new links between components are followed."""
+    if links.limit(1).count() == 0:
+        return comp
+    of = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c)
+    to = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    joined = scratch.keep(components(links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(of("a"), of("b")), scratch))
+    lead = joined.select(F.col("node").alias("component"), F.col("component").alias("_lead"))
+    grown = comp.join(lead, "component", "left").select("node", F.coalesce("_lead", "component").alias("component"))
+    return grown.union(joined.join(comp.select("node"), "node", "left_anti").select("node", "component"))
+
+
+#: Bits of the filter below and of one row of it; 2 MB in all, whatever the number of rows.
 FILTER_BITS, ROW_BITS = 1 << 24, 32768
+#: Stands for a null id in keys.
+NO_ID = -(1 << 63)
+
+
+def row_keys() -> list[Column]:
+    """``did, th``, never null: the id, or NO_ID, and the hash of the text; they tell rows apart, but for those that repeat both."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("did"), F.xxhash64("text").alias("th")]
 
 
-def marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """``rows`` with a boolean ``maybe``: false only where ``key`` is surely not among ``ids(id long)``.
+def marked(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """``rows`` with a boolean ``_maybe``: false only where their ``keys``, which are never null, are surely not among those of ``wanted``.
 
-    A fixed-size bitmap of hashed ids is broadcast, so wide rows need no shuffle to be told apart;
-    with very many ids it fills up and more rows are marked, never fewer.
+    A fixed-size bitmap of hashed keys is broadcast, so wide rows need no shuffle to be told apart;
+    with very many keys it fills up and more rows are marked, never fewer.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    slot = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
     bits = (
-        ids.select(slot(F.col("id").cast("long")).alias("s"))
-        .groupBy((F.col("s") / ROW_BITS).cast("int").alias("_row"))
-        .agg(F.expr(f"bitmap_construct_agg(s % {ROW_BITS})").alias("_bits"))
+        wanted.select(slot.alias("s"))
+        .groupBy((F.col("s") / ROW_BITS).cast("int").alias("_filter_row"))
+        .agg(F.expr(f"bitmap_construct_agg(s % {ROW_BITS})").alias("_filter_bits"))
     )
-    at = rows.withColumn("_slot", slot(F.col(key).cast("long"))).withColumn("_row", (F.col("_slot") / ROW_BITS).cast("int"))
-    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast((_slot % {ROW_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), F.col("_slot") % 8).cast("int")) != 0, F.lit(False))
-    return at.join(F.broadcast(bits), "_row", "left").withColumn("maybe", hit).drop("_row", "_slot", "_bits")
+    at = rows.withColumn("_filter_slot", slot).withColumn("_filter_row", (F.col("_filter_slot") / ROW_BITS).cast("int"))
+    byte = F.conv(F.hex(F.expr(f"substring(_filter_bits, cast((_filter_slot % {ROW_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), F.col("_filter_slot") % 8).cast("int")) != 0, F.lit(False))
+    return at.join(F.broadcast(bits), "_filter_row", "left").withColumn("_maybe", hit).drop("_filter_row", "_filter_slot", "_filter_bits")
 
 
-def with_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows whose ``key`` is among ``ids(id long)``; only rows that pass the bitmap are shuffled."""
-    some = marked(rows, key, ids).where("maybe").drop("maybe")
-    return some.join(ids.select(F.col("id").alias("_id")), F.col(key) == F.col("_id"), "left_semi")
+def with_keys(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """The rows whose ``keys`` are among those of ``wanted``; only rows that pass the bitmap are shuffled."""
+    return marked(rows, keys, wanted).where("_maybe").drop("_maybe").join(wanted.select(*keys), keys, "left_semi")
 
 
-def without_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The other rows (a null key stays)."""
-    some = marked(rows, key, ids)
-    rest = some.where("maybe").drop("maybe").join(ids.select(F.col("id").alias("_id")), F.col(key) == F.col("_id"), "left_anti")
-    return some.where("not maybe").drop("maybe").unionByName(rest)
+def without_keys(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """The other rows."""
+    some = marked(rows, keys, wanted)
+    rest = some.where("_maybe").drop("_maybe").join(wanted.select(*keys), keys, "left_anti").select(*rows.columns)
+    return some.where("not _maybe").drop("_maybe").unionByName(rest)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, bound_batches, components, with_ids
+from millrace.llm.common import NO_ID, Scratch, bound_batches, components, extended, marked, row_keys, without_keys
 
 #: Labels (sorted orders), values that neighbours share at least and at most, and the size from which a region goes deeper.
 TREES, MIN_DEPTH, MAX_DEPTH, DENSE = 20, 4, 6, 64
@@ -80,7 +80,7 @@ class Signer:
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, digest, sig`` per row; sig is null where the same task has given it for an equal set."""
+    """``did, th, n, digest, sig`` per row: its id, where null NO_ID, and the hash of its text; sig is null where the same task has given it for an equal set."""
 
     def run(batches):
         sign, seen = Signer(TREES * MAX_DEPTH), set()
@@ -97,17 +97,18 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
                     if len(seen) < 200_000:
                         seen.add(digest)
                     sigs.append(sign(s))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("did"), b.column("th"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["did", "th", "n", "digest", "sig"])
         _hash.clear()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, sig binary")
+    return docs.select(*row_keys(), "text").mapInArrow(run, "did long, th long, n long, digest binary, sig binary")
 
 
 def _regions(classes: DataFrame) -> DataFrame:
-    """``region, piece, pivot, doc, n``: neighbours of each sorted order that share enough leading values, with their smallest document.
+    """``region, piece, pivot, pivot_n, doc, n``: neighbours of each sorted order that share enough leading values, with their smallest document.
 
-    A piece is a part of bounded size. Only the labels of a range's first and last row go on in other
-    ranges; their rows form a region named by the label, which is the same in all ranges.
+    A piece is a part of bounded size. Where a range begins or ends inside a stretch of equal leading
+    values, that part of it also forms a region named by those values, which is the same in all ranges:
+    at each depth at which the part is not dense, and at the last. So a region that ranges cut is whole again.
     """
     size = 2 * MAX_DEPTH
     labels = classes.select("doc", "n", F.posexplode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(sig, t * {size} + 1, {size}))")).alias("tree", "label"))
@@ -126,29 +127,36 @@ def _regions(classes: DataFrame) -> DataFrame:
             deeper = [_cut(starts[i : i + 1], ends[i], same, depth) for i in np.flatnonzero(dense)]
             starts = np.sort(np.concatenate([starts[~dense], *deeper]))
         sizes = np.diff(np.append(starts, len(doc)))
-        pivots = np.repeat(np.minimum.reduceat(doc, starts), sizes)
+        first = np.lexsort((doc, np.repeat(np.arange(len(starts)), sizes)))[starts]  # the row of each region's smallest document
+        pivots, pivot_n = np.repeat(doc[first], sizes), np.repeat(weight[first], sizes)
         place = np.arange(len(doc)) - np.repeat(starts, sizes)
         heavy = np.cumsum(weight, dtype=np.int64) // WEIGHT
         heavy -= np.repeat(heavy[starts], sizes)
-        region = (TaskContext.get().partitionId() << 40) + np.repeat(starts, sizes)
+        own = TaskContext.get().partitionId() << 40
+        region = own + np.repeat(starts, sizes)
         piece = region + np.minimum(place // SPAN + heavy, sizes.repeat(sizes) - 1)
         keep = np.repeat(sizes > 1, sizes)
-        other = np.flatnonzero(same < MAX_DEPTH)  # the last rows of the labels
-        edges = {(0, int(other[0]) + 1 if len(other) else len(doc)), (int(other[-1]) + 1 if len(other) else 0, len(doc))}
-        more = []
-        for a, b in sorted(edges):
-            name = xxhash.xxh3_64_intdigest(bytes([tree[a]]) + label[a].tobytes()) >> 1 | 1 << 62
-            own = np.searchsorted(starts, a, "right") - 1
-            if starts[own] == a and sizes[own] == b - a:
-                region[a:b], keep[a:b] = name, True
-            else:
-                more.append((np.full(b - a, name), piece[a:b] - region[a:b] + (TaskContext.get().partitionId() << 40 | 1 << 39) + a, np.full(b - a, doc[a:b].min()), doc[a:b], weight[a:b]))
-        out = [np.concatenate(x) for x in zip((region[keep], piece[keep], pivots[keep], doc[keep], weight[keep]), *more, strict=True)]
-        names = ["region", "piece", "pivot", "doc", "n"]
+        more, named = [], set()
+        for depth in range(MIN_DEPTH, MAX_DEPTH + 1):
+            other = np.flatnonzero(same < depth)  # the last rows of the stretches
+            for a, b in {(0, int(other[0]) + 1 if len(other) else len(doc)), (int(other[-1]) + 1 if len(other) else 0, len(doc))}:
+                if b - a > DENSE and depth < MAX_DEPTH:
+                    continue
+                name = xxhash.xxh3_64_intdigest(bytes([tree[a], depth]) + label[a, :depth].tobytes()) >> 2 | 1 << 62
+                at = np.searchsorted(starts, a, "right") - 1
+                if starts[at] == a and sizes[at] == b - a and a not in named:
+                    named.add(a)
+                    region[a:b], keep[a:b] = name, True
+                else:
+                    low = a + doc[a:b].argmin()
+                    parts = (1 << 39 | depth << 36 | a) + own + np.minimum(np.arange(b - a) // SPAN, b - a - 1)
+                    more.append((np.full(b - a, name), parts, np.full(b - a, doc[low]), np.full(b - a, weight[low]), doc[a:b], weight[a:b]))
+        out = [np.concatenate(x) for x in zip((region[keep], piece[keep], pivots[keep], pivot_n[keep], doc[keep], weight[keep]), *more, strict=True)]
+        names = ["region", "piece", "pivot", "pivot_n", "doc", "n"]
         for at in range(0, len(out[0]), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000].astype(np.int64)) for x in out], names)
 
-    return ordered.mapInArrow(run, "region long, piece long, pivot long, doc long, n long")
+    return ordered.mapInArrow(run, "region long, piece long, pivot long, pivot_n long, doc long, n long")
 
 
 def _cut(start: np.ndarray, end: int, same: np.ndarray, depth: int) -> np.ndarray:
@@ -273,29 +281,24 @@ def _links_within(members: DataFrame, width: int, percent: int) -> DataFrame:
     return members.groupBy("region", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
-    """Components of documents whose shingle sets overlap by at least ``percent`` of their union.
-
-    Null and empty texts, and texts of white space, have no shingles: they link with nothing and are
-    kept. Rows with one doc_id count as one document; a null doc_id takes no part and is kept. Very
-    long texts are taken whole. Other columns of ``docs`` are ignored, an empty table gives no rows.
-    Returns per row ``doc_id, n_shingles, component_id, kept``.
-    """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    scratch = scratch or Scratch(spark, "minhash")
+def _grouped(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """``did, th, n, digest, lead``: per row its group's first row ``(did, th)``, those without an id last; null without shingles."""
+    bound_batches(docs.sparkSession)
     base = scratch.keep(_signatures(docs, width))
-    classes = scratch.keep(base.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.max("sig").alias("sig"), F.max("n").cast("int").alias("n")))
+    first = F.struct((F.col("did") == NO_ID).alias("none"), "did", "th")
+    alike = base.where("digest is not null").groupBy("digest").agg(F.min(first).alias("lead"), F.max("sig").alias("sig"), F.max("n").cast("int").alias("n"))
+    classes = scratch.keep(alike.withColumn("doc", F.monotonically_increasing_id()))  # named by place in a written table: ids may repeat
     regions = scratch.keep(_regions(classes.select("doc", "sig", "n")))
-    first = regions.where(F.col("region") >= 1 << 62).groupBy("region").agg(F.min("pivot").alias("first"))  # two rows a range at most
-    ids = regions.select(F.col("doc").alias("id")).distinct()
-    texts = scratch.keep(with_ids(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), "doc", ids))
+    pivot = F.min(F.struct("pivot", "pivot_n")).alias("p")
+    shared = regions.where(F.col("region") >= 1 << 62).groupBy("region").agg(pivot)  # a few rows a range
+    wanted = classes.join(regions.select("doc").distinct(), "doc", "left_semi").select("lead.did", "lead.th", "doc")
+    some = marked(docs.select(*row_keys(), "text"), ["did", "th"], wanted).where("_maybe").drop("_maybe").dropDuplicates(["did", "th"])
+    texts = scratch.keep(some.join(wanted, ["did", "th"]).select("doc", "text"))
 
-    pivots = regions.join(F.broadcast(first), "region", "left").select(F.coalesce("first", "pivot").alias("a"), F.col("doc").alias("b"))
-    tried = scratch.keep(pivots.where("a <> b").distinct())
-    links = scratch.keep(_confirmed(tried, texts, width, percent))
-    comp = scratch.keep(components(links, scratch))
-    spent = [regions, texts, tried, links, comp]
+    whole = regions.join(F.broadcast(shared), "region", "left").select(F.coalesce("p.pivot", "pivot").alias("a"), F.coalesce("p.pivot_n", "pivot_n").alias("na"), F.col("doc").alias("b"), "n")
+    # sets of too different sizes cannot be alike; so a long text never meets a region of short ones
+    tried = scratch.keep(whole.where((F.col("a") != F.col("b")) & (100 * F.least("na", "n") >= percent * F.greatest("na", "n"))).select("a", "b").distinct())
+    comp = scratch.keep(components(scratch.keep(_confirmed(tried, texts, width, percent)), scratch))
 
     def mixed(comp: DataFrame, by: str) -> DataFrame:
         """Members of the regions, or pieces, that hold several components."""
@@ -304,16 +307,50 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         return members.join(several, by)
 
     pairs = scratch.keep(_likeliest(mixed(comp, "piece").drop("n").join(classes.select("doc", "sig"), "doc")).join(tried, ["a", "b"], "left_anti"))
-    more = scratch.keep(_confirmed(pairs, texts, width, percent))
-    comp = scratch.keep(components(links.union(more), scratch))
+    comp = scratch.keep(extended(comp, scratch.keep(_confirmed(pairs, texts, width, percent)), scratch))
     last = scratch.keep(_links_within(_blocks(mixed(comp, "region")).join(texts, "doc"), width, percent))
-    spent += [pairs, more, last, comp]
-    comp = scratch.keep(components(links.union(more).union(last), scratch))
-    scratch.drop(*spent)
-    of = classes.select("digest", F.col("doc").alias("_doc")).join(comp.withColumnRenamed("node", "_doc"), "_doc", "left").select("digest", F.coalesce("component", "_doc").alias("component_id"))
-    out = base.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(of, "digest", "left")
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    comp = scratch.keep(extended(comp, last, scratch))
+    scratch.drop(regions, texts, tried, pairs, last)
+    joined = comp.join(classes.select(F.col("doc").alias("node"), "lead"), "node")
+    leads = comp.join(joined.groupBy("component").agg(F.min("lead").alias("_lead")), "component").select(F.col("node").alias("doc"), "_lead")
+    of = classes.select("doc", "digest", "lead").join(leads, "doc", "left").select("digest", F.coalesce("_lead", "lead").alias("lead"))
+    rows = base.select("did", "th", "n", "digest")
+    # rows without a digest would all meet in one task of a join
+    return rows.where("digest is not null").join(of, "digest").unionByName(rows.where("digest is null").join(of.limit(0), "digest", "left"))
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
+    """Components of documents whose shingle sets overlap by at least ``percent`` of their union.
+
+    Null and empty texts, and texts of white space, have no shingles: they link with nothing and are
+    kept. Rows that repeat a doc_id are documents of their own, by their texts; a null doc_id takes part
+    and is kept only where no member of its component has an id. Very long texts are taken whole. Other
+    columns of ``docs`` are ignored, an empty table gives no rows.
+    Returns per row ``doc_id, n_shingles, component_id, kept``.
+    """
+    found = _grouped(docs, width, percent, scratch or Scratch(docs.sparkSession, "minhash"))
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    out = found.select(known("did").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), known("did")).otherwise(known("lead.did")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of least doc_id, those without an id last, then of least text hash.
+
+    Of rows that repeat both id and text the least by all columns stays. Texts without words are no
+    duplicates of anything: such rows all stay. An empty table gives no rows.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "minhash")
+    found = scratch.keep(_grouped(docs, width, percent, scratch).where("digest is not null").select("did", "th", "lead"))
+    leads = (F.col("did") == F.col("lead.did")) & (F.col("th") == F.col("lead.th"))
+    gone = found.where(~leads).select("did", "th").distinct()
+    repeated = scratch.keep(found.where(leads).groupBy("did", "th").count().where("count > 1").select("did", "th"))
+    keyed = docs.select(*row_keys(), F.struct(*docs.columns).alias("row"))
+    rest = without_keys(keyed, ["did", "th"], gone.union(repeated)).select("row.*")
+    if repeated.limit(1).count() == 0:
+        return rest
+    some = marked(keyed, ["did", "th"], repeated).where("_maybe").groupBy("did", "th").agg(F.min("row").alias("row"))
+    return rest.unionByName(some.join(repeated, ["did", "th"], "left_semi").select("row.*"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

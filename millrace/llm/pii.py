@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, bound_batches, with_ids, without_ids
+from millrace.llm.common import NO_ID, Scratch, bound_batches, row_keys, with_keys, without_keys
 
 #: Kinds in the order of ties.
 KINDS = ("email", "ip", "card", "phone")
@@ -150,11 +150,11 @@ def _scan(docs: DataFrame) -> DataFrame:
                         for s, k, e in found
                     ]
                 )
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("crc"), pa.array(spans, pa.list_(_SPAN)), pa.array(mentions, pa.list_(_MENTION))], ["doc_id", "crc", "base", "mentions"])
+            yield pa.RecordBatch.from_arrays([b.column("did"), b.column("th"), pa.array(spans, pa.list_(_SPAN)), pa.array(mentions, pa.list_(_MENTION))], ["did", "th", "base", "mentions"])
 
     span = "start: int, kind: int, end: int"
-    return docs.select(F.col("doc_id").cast("long"), F.crc32(F.col("text").cast("binary")).alias("crc"), "text").mapInArrow(
-        run, f"doc_id long, crc long, base array<struct<{span}>>, mentions array<struct<{span}, instance: string, patterns: array<string>, seed: boolean>>"
+    return docs.select(*row_keys(), "text").mapInArrow(
+        run, f"did long, th long, base array<struct<{span}>>, mentions array<struct<{span}, instance: string, patterns: array<string>, seed: boolean>>"
     )
 
 
@@ -177,15 +177,15 @@ def _accepted(mentions: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _added(scanned: DataFrame, scratch: Scratch) -> DataFrame:
-    """``doc_id, crc, added``: the spans that the method adds, per document."""
-    mentions = scanned.select("doc_id", "crc", F.explode("mentions").alias("m")).select("doc_id", "crc", "m.*")
+    """``did, th, added``: the spans that the method adds, per document."""
+    mentions = scanned.select("did", "th", F.explode("mentions").alias("m")).select("did", "th", "m.*")
     if mentions.where("not seed").limit(1).count() == 0:
-        return scratch.spark.createDataFrame([], "doc_id long, crc long, added array<struct<start: int, kind: int, end: int>>")
+        return scratch.spark.createDataFrame([], "did long, th long, added array<struct<start: int, kind: int, end: int>>")
     # a candidate with the digits of a seed is reached as well: it is the same identifier
     known = mentions.where("seed").select("kind", "instance").distinct()
     reached = _accepted(mentions, scratch).union(known).distinct()
-    hits = mentions.where("not seed").join(reached, ["kind", "instance"]).select("doc_id", "crc", F.struct("start", "kind", "end").alias("s"))
-    return scratch.keep(hits.groupBy("doc_id", "crc").agg(F.sort_array(F.collect_set("s")).alias("added")))
+    hits = mentions.where("not seed").join(reached, ["kind", "instance"]).select("did", "th", F.struct("start", "kind", "end").alias("s"))
+    return scratch.keep(hits.groupBy("did", "th").agg(F.sort_array(F.collect_set("s")).alias("added")))
 
 
 def find(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -199,10 +199,9 @@ def find(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     bound_batches(docs.sparkSession)
     scratch = scratch or Scratch(docs.sparkSession, "pii")
     scanned = scratch.keep(_scan(docs))
-    added = _added(scanned, scratch).withColumnRenamed("doc_id", "_id").withColumnRenamed("crc", "_crc")
-    same = scanned.doc_id.eqNullSafe(F.col("_id")) & scanned.crc.eqNullSafe(F.col("_crc"))
     none = F.array().cast("array<struct<start: int, kind: int, end: int>>")
-    return scanned.join(added, same, "left").select("doc_id", "crc", "base", F.coalesce("added", none).alias("added"))
+    out = scanned.join(_added(scanned, scratch), ["did", "th"], "left")
+    return out.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "base", F.coalesce("added", none).alias("added"))
 
 
 def _mask(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -220,20 +219,18 @@ def redact(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with every found span replaced by its kind in brackets, and ``n_chars``, where there is one, counted anew.
 
     Base spans are found again while the texts are rewritten; only documents with added spans are
-    shuffled. Null and empty texts stay as they are.
+    shuffled. Rows are told apart by id and text, so rows with a null or repeated id are masked like
+    others. Null and empty texts stay as they are; an empty table gives no rows; all columns are kept.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "redact")
     bound_batches(spark)
-    added = _added(scratch.keep(_scan(docs)), scratch).where("doc_id is not null")
+    added = _added(scratch.keep(_scan(docs)), scratch)
     names = docs.columns
-    extra = "_added array<struct<start: int, kind: int, end: int>>"
-    none = F.array().cast(extra.removeprefix("_added "))
-    ids = added.select(F.col("doc_id").alias("id"))
-    key = added.select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), F.col("added").alias("_added"))
-    some = with_ids(docs, "doc_id", ids)
-    some = some.join(key, (F.col("doc_id") == F.col("_id")) & (F.crc32(F.col("text").cast("binary")) == F.col("_crc")), "left").select(*names, F.coalesce("_added", none).alias("_added"))
-    every = without_ids(docs, "doc_id", ids).select(*names, none.alias("_added")).unionByName(some)
+    extra = "array<struct<start: int, kind: int, end: int>>"
+    keyed = docs.select(*row_keys(), F.struct(*names).alias("_row"))
+    some = with_keys(keyed, ["did", "th"], added).join(added, ["did", "th"]).select("_row.*", F.col("added").alias("_added"))
+    every = without_keys(keyed, ["did", "th"], added).select("_row.*", F.array().cast(extra).alias("_added")).unionByName(some)
 
     def run(batches):
         for b in batches:

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, bound_batches
+from millrace.llm.common import Scratch, bound_batches, with_keys
 from millrace.llm.language import fold
 
 #: Random features, width of the Gaussian kernel over standardised statistics, ridge weight, bins of scores for calibration.
@@ -110,7 +110,7 @@ def _summed(parts: DataFrame, columns: int) -> np.ndarray:
 
 
 def _fit(labelled: DataFrame, scratch: Scratch) -> Quality:
-    """From ``labelled(stats, y, part)``: rows of part 0 calibrate, the others fit."""
+    """From ``labelled(stats, y, part)``: rows of part 0 calibrate, the others fit; where either has none, all rows do."""
     d = len(NAMES)
 
     def moments(batches):
@@ -135,7 +135,12 @@ def _fit(labelled: DataFrame, scratch: Scratch) -> Quality:
             gram += z.T @ np.column_stack([z, b.column("y").to_numpy()])
         yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary())], ["v"])
 
-    parts = scratch.keep(labelled.where("part <> 0").select("stats", "y").mapInArrow(normal, "v binary"))
+    def outcomes(condition: str) -> list:
+        some = labelled.where(condition).select("stats", "y").mapInArrow(binned, "bin int, y double")
+        return some.groupBy("bin").agg(F.sum("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()
+
+    fits = "part <> 0" if labelled.where("part <> 0").limit(1).count() else "true"
+    parts = scratch.keep(labelled.where(fits).select("stats", "y").mapInArrow(normal, "v binary"))
     gram = _summed(parts, f * (f + 1)).reshape(f, f + 1)
     scratch.drop(parts)
     penalty = RIDGE * np.eye(f)
@@ -147,36 +152,45 @@ def _fit(labelled: DataFrame, scratch: Scratch) -> Quality:
             at = np.clip(((model.raw(_rows(b)) + 1) / 3 * SCORE_BINS).astype(np.int32), 0, SCORE_BINS - 1)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), b.column("y")], ["bin", "y"])
 
-    bins = labelled.where("part = 0").select("stats", "y").mapInArrow(binned, "bin int, y double").groupBy("bin").agg(F.sum("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()
+    bins = outcomes("part = 0") or outcomes("true")
     if bins:
         at = (np.array([r["bin"] for r in bins]) + 0.5) / SCORE_BINS * 3 - 1
         model.knots = isotonic(at, np.array([r["y"] for r in bins]), np.array([float(r["n"]) for r in bins]))
     return model
 
 
+def _measured(docs: DataFrame, columns: str) -> DataFrame:
+    """``columns`` (names and types) of ``docs``, as they are, and the ``stats`` of each text."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def measure(batches):
+        for b in batches:
+            stats = [np.array(statistics(t)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(stats, pa.binary())], [*names, "stats"])
+
+    return docs.mapInArrow(measure, f"{columns}, stats binary")
+
+
+def _known(labels: DataFrame) -> DataFrame:
+    """One label ``doc_id, y`` an id."""
+    return labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
+
+
 def assess(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Quality of every whole text of ``docs(doc_id, text)``, learned from ``labels(doc_id, quality)``.
 
     Texts are read once, for their statistics; labels meet those. Normal equations and moments are
-    summed by task. A quarter of the labelled rows, by hash of the id, calibrates. Null and empty
-    texts have the statistics of an empty text and get a score like any other; null labels teach
-    nothing and of repeated labels the larger counts; without labels each score is 0.5. Repeated
-    rows are judged each; an empty table gives no rows. Other columns are ignored.
-    Returns ``doc_id, score, predicted``.
+    summed by task. A quarter of the labelled rows, by hash of the id, calibrates and does not fit (all
+    do both where that quarter is empty). Null and empty texts have the statistics of an empty text and
+    get a score like any other; null labels teach nothing and of repeated labels the larger counts;
+    without labels each score is 0.5. Repeated rows are judged each; an empty table gives no rows.
+    Other columns are ignored. Returns ``doc_id, score, predicted``.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     scratch = scratch or Scratch(spark, "quality")
-
-    def measure(batches):
-        for b in batches:
-            stats = [np.array(statistics(t)).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(stats, pa.binary())], ["doc_id", "stats"])
-
-    measured = scratch.keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(measure, "doc_id long, stats binary"))
-    known = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("part")
-    labelled = scratch.keep(measured.join(known, "doc_id").select("stats", "y", part))
+    measured = scratch.keep(_measured(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long"))
+    labelled = scratch.keep(measured.join(_known(labels), "doc_id").select("stats", "y", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("part")))
     model = spark.sparkContext.broadcast(_fit(labelled, scratch))
     scratch.drop(labelled)
 
@@ -188,6 +202,30 @@ def assess(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -
     return measured.mapInArrow(judge, "doc_id long, score double, predicted int")
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` whose texts are predicted to be good, with all their columns; learned like :func:`assess`.
+
+    The labelled texts are measured first; then each row is judged by its own text while it is read, so
+    a null or repeated id decides nothing. Without labels all rows stay; an empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    scratch = scratch or Scratch(spark, "quality")
+    known = _known(labels)
+    taught = with_keys(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text"), ["doc_id"], known).join(known, "doc_id").select("doc_id", "text", "y", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("part"))
+    labelled = scratch.keep(_measured(taught, "y double, part long"))
+    model = spark.sparkContext.broadcast(_fit(labelled, scratch))
+    scratch.drop(labelled)
+
+    def judge(batches):
+        for b in batches:
+            if b.num_rows:
+                score = model.value.score(np.array([statistics(t) for t in b.column("text").to_pylist()]))
+                yield b.filter(pa.array(score >= CUT))
+
+    return docs.mapInArrow(judge, docs.schema)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """:func:`assess` over the whole table, learned from the labels that are not held out."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))

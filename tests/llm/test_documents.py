@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import language, pii
-from millrace.llm.common import with_ids, without_ids
+from millrace.llm.common import with_keys, without_keys
 from millrace.llm.html import main_text
 from millrace.llm.language import identify
-from millrace.llm.minhash import near_duplicates, shingles
+from millrace.llm.minhash import near_duplicates, one_of_each, shingles
 from millrace.llm.quality import assess
 from millrace.llm.sharding import shard_by_bytes
 
@@ -76,6 +76,37 @@ def test_one_large_group_of_near_copies(spark):
     assert got == want
 
 
+def test_ranges_of_the_orders_change_nothing(spark):
+    rng = random.Random(15)
+    rows = []
+    for g in range(40):  # templates: regions of many sizes, sparse and dense
+        base = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(rng.choice((2, 5, 40, 90))):
+            text = list(base)
+            for at in rng.sample(range(60), rng.randint(0, 9)):
+                text[at] = f"u{len(rows)}x{at}"
+            rows.append((len(rows), " ".join(text)))
+    got = []
+    for parts in ("1", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got.append({r["doc_id"]: r["component_id"] for r in near_duplicates(frame(spark, rows)).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got[0] == got[1] and sum(c != i for i, c in got[0].items()) > 100
+
+
+def test_rows_that_repeat_an_id_or_have_none(spark):
+    rng = random.Random(21)
+    a, b, c = (words(rng, 50) for _ in range(3))
+    rows = [(5, a), (5, b), (5, a), (7, a), (9, b + " more"), (None, b), (None, c), (None, c + " x"), (4, None), (4, None), (3, "  ")]
+    got = sorted(((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in near_duplicates(frame(spark, rows)).collect()))
+    assert got == sorted([(5, 5, True), (5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False), (0, 5, False), (0, 0, True), (0, 0, True), (4, 4, True), (4, 4, True), (3, 3, True)])
+    kept = one_of_each(frame(spark, rows)).collect()
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept)) in [sorted([(0, x), (3, "  "), (4, ""), (4, ""), (5, a), (5, b)]) for x in (c, c + " x")]
+    assert all(r["digest"] == "clash" for r in kept) and one_of_each(frame(spark, [])).count() == 0
+
+
 def test_pairs_far_apart_among_thousands_of_documents_on_one_template(spark):
     rng = random.Random(3)
     base = [f"t{i}" for i in range(200)]
@@ -97,11 +128,12 @@ def test_pairs_far_apart_among_thousands_of_documents_on_one_template(spark):
     assert all(c == i for i, c in got.items() if i not in linked)
 
 
-def test_id_filters(spark):
-    rows = frame(spark, [(i, str(i)) for i in range(200)] + [(None, "n")])
-    ids = spark.range(0, 200, 7)
-    assert {r["doc_id"] for r in with_ids(rows, "doc_id", ids).collect()} == set(range(0, 200, 7))
-    assert {r["doc_id"] for r in without_ids(rows, "doc_id", ids).collect()} == set(range(200)) - set(range(0, 200, 7)) | {None}
+def test_key_filters(spark):
+    rows = spark.createDataFrame([(i, i % 3, str(i)) for i in range(200)], "a long, b long, text string")
+    wanted = spark.range(0, 200, 7).selectExpr("id a", "id % 3 b", "'x' extra")
+    assert {r["a"] for r in with_keys(rows, ["a", "b"], wanted).collect()} == set(range(0, 200, 7))
+    assert {r["a"] for r in without_keys(rows, ["a", "b"], wanted).collect()} == set(range(200)) - set(range(0, 200, 7))
+    assert without_keys(rows, ["a", "b"], wanted.limit(0)).count() == 200 and with_keys(rows, ["a", "b"], wanted.limit(0)).count() == 0
 
 
 def test_shards(spark):
@@ -197,6 +229,16 @@ def test_context_finds_what_the_formats_miss(spark):
     assert pii.find(frame(spark, [])).count() == 0
 
 
+def test_personal_data_of_rows_without_an_id(spark):
+    seeds = [(i, f"please call phone +1 (523) 555-1{i:03d} now") for i in range(30)]
+    rows = [*seeds, (None, "call phone (523) 555-9999 today"), (77, "call phone (523) 555-9999 today"), (77, "call phone (523) 555-8888 now"), (77, "call phone (523) 555-8888 now")]
+    masked = sorted(r["text"] for r in pii.redact(frame(spark, rows)).collect())
+    assert masked.count("call phone [PHONE] today") == 2 and masked.count("call phone [PHONE] now") == 2 and len(masked) == len(rows)
+    long = [(1, "x " * 400_000 + "mail a@b.example.com"), (1, "x " * 400_000 + "mail a@b.example.com")]
+    assert [[tuple(s) for s in r["base"]] for r in pii.find(frame(spark, long)).collect()] == [[(800_005, 0, 800_020)]] * 2
+    assert pii.redact(frame(spark, [])).count() == 0
+
+
 def test_html():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><ul><li>One</li></ul></nav>
     <div class="ad">Buy</div><div id="cookie-notice">Cookies</div><article><h1>Head &amp; line</h1><p>First   <b>paragraph</b>
@@ -209,6 +251,21 @@ def test_html():
     assert main_text(soup).count("\n") >= 3 and "something. 3" in main_text(soup)
 
 
+def test_pipeline_judges_rows_without_an_id_and_with_a_repeated_one(spark, tmp_path):
+    rng = random.Random(19)
+    clean = [(i, words(rng, 80) + ".", "en") for i in range(150)]
+    bad = lambda: " ".join(rng.choice(("#$%&", "!!!", "&&&x")) for _ in range(80))
+    rows = [*clean, (None, clean[0][1], "en"), (None, bad(), "en"), (7, bad(), "en"), (8, words(rng, 80) + ".", "en"), (9, clean[9][1], "en"), *[(600 + i, bad(), "en") for i in range(60)]]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, int(i < 500), 0) for i, *_ in rows if i and (i < 140 or i >= 600)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        at = stage(spark, at, str(tmp_path))
+    got = sorted((r["doc_id"], r["text"]) for r in at.collect())
+    assert got == sorted([(i, t) for i, t, _ in [*clean, rows[153]]])
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     rng = random.Random(9)
     clean = [(i, words(rng, 80) + ".", "en") for i in range(150)]
@@ -224,6 +281,10 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
         at = spark.read.parquet(f"{tmp_path}/{name}")
     ids = {r["doc_id"] for r in at.collect()}
     assert ids == {i for i, _, _ in clean}
+    assert at.where("doc_id = 3").first()["text"] == clean[3][1]
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path))
     assert {r["doc_id"] for r in packed.collect()} == ids
     assert packed.agg(F.min("length")).first()[0] > 0
