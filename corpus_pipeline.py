@@ -4,43 +4,37 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, with_ids, without_ids
+from millrace.llm.common import Scratch
 from millrace.llm.language import fold, identify
-from millrace.llm.minhash import near_duplicates
+from millrace.llm.minhash import one_of_each
 from millrace.llm.packing import pack_documents
 from millrace.llm.pii import redact
-from millrace.llm.quality import assess
+from millrace.llm.quality import good_documents
 
 #: Words of a shingle and percentage of shared shingles from which documents are near duplicates.
 WIDTH, PERCENT = 5, 80
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that language identification rejects: without a letter, or far from every centroid."""
+    """Drops documents that language identification rejects: without a letter, or far from every centroid. Each row is judged by its text, whatever its id."""
     judged = identify(docs, docs.where(fold("doc_id", 4) != 2))
     return judged.where("not rejected").select(*docs.columns)
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier predicts to be bad; learned from the labels that are not held out."""
+    """Drops documents that the quality classifier predicts to be bad; learned from the labels that are not held out. Each row is judged by its text, whatever its id."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 5) != 0)
-    bad = assess(docs, labels).where("predicted = 0 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
-    return without_ids(docs, "doc_id", bad)
+    return good_documents(docs, labels)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates, and one of the rows that repeat a doc_id."""
-    judged = near_duplicates(docs, WIDTH, PERCENT).where("doc_id is not null")
-    gone = judged.where("not kept").select(F.col("doc_id").alias("id")).distinct()
-    repeated = judged.where("kept").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
-    rest = without_ids(docs, "doc_id", gone.union(repeated))
-    return rest.unionByName(with_ids(docs, "doc_id", repeated).dropDuplicates(["doc_id"]))
+    """Keeps the smallest doc_id of each group of near duplicates, a null id only where none has one. Rows that repeat an id are documents of their own, by their texts."""
+    return one_of_each(docs, WIDTH, PERCENT)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts."""
+    """Replaces personal data in the texts of all rows, also of those with a null or repeated id."""
     return redact(docs)
 
 
