@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from millrace.llm import ann
 from millrace.llm.ann import search
 from millrace.llm.neardup import linked_vectors, needed_collisions
 
@@ -111,6 +112,50 @@ def test_search_with_few_candidates(spark):
     assert search(empty, empty).count() == 0
 
 
+def test_search_finds_enough_where_lists_are_small(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 8))
+    x[:250] = x[0] + 1e-3 * rng.standard_normal((250, 8))  # most lists of the others hold a row or two
+    rows = frame(spark, [(i, [float(y) for y in v]) for i, v in enumerate(x)])
+    monkeypatch.setattr(ann, "COVERAGE", 0.0)  # one probe, so that only the guards find more
+    out = search(rows, rows.where("vec_id % 3 = 0"), 5).collect()
+    assert all(sum(r["query_id"] == q for r in out) == 5 for q in range(0, 300, 3))
+
+
+def test_search_among_rows_that_repeat_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (50, [1.0, 0.02]), (7, [1.0, 0.1]), (7, [1.0, 0.01]), (7, [0.0, 1.0]), (8, [1.0, 0.1]), (8, [1.0, 0.1]), (8, [1.0, 0.1]), (9, [1.0, 0.3]), (10, [1.0, 0.4]), (50, [1.0, 0.02])] + [(11, [1.0, 0.05 + i / 1e6]) for i in range(200)]
+    rows = frame(spark, rows)
+    out = search(rows, rows.where("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in out] == [(0, 7), (0, 50), (0, 11), (0, 8), (0, 9), (50, 7), (50, 0), (50, 11), (50, 8), (50, 9)]
+    assert [r["rank"] for r in out] == [1, 2, 3, 4, 5] * 2
+
+
+def test_recall_by_density_with_few_lists_visited(spark):
+    """Clustered data of several spreads: recall is reached in each, and lists are left out."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((60, 32))
+    spread = np.repeat([0.05, 0.2, 0.6], 20)
+    which = rng.integers(0, 60, 12_000)
+    which[:4000] = 0  # a dense place holds a third
+    x = (centres[which] + spread[which][:, None] * rng.standard_normal((len(which), 32))).astype(np.float32)
+    perm = rng.permutation(len(x))
+    x, which = x[perm], which[perm]
+    rows = frame(spark, [(i, v) for i, v in enumerate(x.tolist())])
+    out = {}
+    for r in search(rows, rows.where("vec_id % 50 = 0"), 5).collect():
+        out.setdefault(r["query_id"], set()).add(r["vec_id"])
+    unit = x.astype(float)
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    hits: dict = {}
+    for q in range(0, len(x), 50):
+        score = unit @ unit[q]
+        score[q] = -9
+        hits.setdefault((which[q] == 0, spread[which[q]]), []).append(len(out[q] & set(np.argsort(-score)[:5].tolist())) / 5)
+    assert all(np.mean(h) >= 0.9 for h in hits.values()) and len(hits) == 4, {k: np.mean(h) for k, h in hits.items()}
+    index = ann.Index.fit(unit, int(len(x) ** 0.5), 5)
+    assert index.probes <= 0.3 * len(index.centres), (index.probes, len(index.centres))
+
+
 def test_search_in_a_crowd_of_near_copies(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((20_000, 32))
