@@ -22,7 +22,7 @@ from millrace.llm.common import Scratch, bound_batches, components
 #: Directions, half-width of a window in standard deviations of a threshold pair's difference, and the wanted recall at the threshold.
 PROJECTIONS, HALF_WIDTH, RECALL = 48, 1.15, 0.9995
 #: Components of all vectors of a block, least rows of a block, queries counted at once, bins of a half-width.
-BLOCK_VALUES, LEAST_BLOCK, QUERIES, BINS = 1 << 22, 4096, 64, 4
+BLOCK_VALUES, LEAST_BLOCK, QUERIES, BINS = 1 << 22, 1024, 64, 4
 #: Least cosine of a link in the query.
 COSINE = 0.9
 
