@@ -1,17 +1,21 @@
 """Personal data: base formats, and more identifiers by bootstrapped contextual extraction.
 
-Entities of the base formats are the seeds. Words beside them are lexical patterns; patterns and
-instances form a bipartite graph that is scored in rounds: a pattern's score for a kind is the share
-of that kind among the scores of all instances it stands beside (so words that stand beside anything
-score low), an instance's score is that of its best pattern. Looser identifier shapes that no base
-format covers are instances without a score; those that trusted patterns reach are accepted, and
-count as instances of their kind in the next round.
+Entities of the base formats are the seeds. Words beside them and the shape of their characters are
+lexical patterns. Any run of tokens with the digits or the marks of a kind, whatever its form, is a
+candidate instance of it. Patterns and instances form a bipartite graph that is scored in rounds: a
+pattern's score for a kind is the sum of the scores of that kind's instances beside it over the number of
+those, accepted or not, and of the other kinds' seeds (so words and shapes that stand beside anything
+score low, as do rare ones), an instance's score is that of its best pattern. Instances that trusted
+patterns reach are accepted, and count as instances of their kind in the next round.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
+from collections import deque
+from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +25,10 @@ from millrace.llm.common import NO_ID, Scratch, bound_batches, row_keys, with_ke
 
 #: Kinds in the order of ties.
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of the scoring, instances added to a pattern's count as a prior, distinct instances a pattern needs, score that is trusted.
-ROUNDS, PRIOR, SUPPORT, TRUST = 3, 1.0, 5, 0.8
+#: Rounds of the scoring, instances added to a pattern's count as a prior (so six that agree are the least that reach the trust), score that is trusted.
+ROUNDS, PRIOR, TRUST = 3, 1.5, 0.8
+#: Mentions that are handed on at once.
+MENTIONS = 20_000
 #: Characters beside a span that are searched for context words.
 REACH = 40
 
@@ -34,15 +40,12 @@ _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _any = re.compile(r"[0-9@]")
 
-#: Looser shapes: candidates of each kind.
-_shapes = (
-    (0, re.compile(r"(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)(?=([A-Za-z0-9-]+(?:(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]+)+))")),
-    (1, re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\x20\.\x20)[0-9]{1,3}){3}(?![0-9])")),
-    (2, re.compile(r"(?<![0-9])[0-9]{4}([\x20./_-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])")),
-    (3, re.compile(r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")),
-    (3, re.compile(r"(?<![0-9A-Za-z+(])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20./-])[0-9]{3}[\x20./-][0-9]{4}(?![0-9A-Za-z])")),
-    (3, re.compile(r"(?<![0-9A-Za-z+])00[1-9][0-9]?[\x20./-][0-9\x20().-]{6,18}[0-9](?![0-9A-Za-z])")),
-)
+#: Runs with digits; the most tokens and characters of a candidate in one; an address with its signs written out.
+_run = re.compile(r"[0-9+(\[][0-9+()\[\]./_\x20-]*[0-9]")
+_tokens = re.compile(r"[^\x20]+")
+_digit = re.compile("[0-9]")
+TOKENS, LONGEST = 7, 80
+_written = re.compile(r"(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)(?=([A-Za-z0-9-]+(?:(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]+)+))")
 _hint = re.compile(r"[\[(]at[\])]|\x20at\x20[^\x20]+(?:\x20dot\x20|\x20?[\[(]dot)")
 _words = re.compile(r"[^\W\d_]+")
 
@@ -88,31 +91,73 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """``(start, kind, end)`` of looser identifier shapes that touch no base span and no other loose one."""
+def _kinds(part: str, digits: str) -> list[int]:
+    """Kinds that a run of tokens may be of, by its digits alone."""
+    out = []
+    groups = re.findall("[0-9]+", part)
+    if len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups) and part[0].isdigit():
+        out.append(1)
+    if 12 <= len(digits) <= 19 and luhn(digits):
+        out.append(2)
+    if 7 <= len(digits) <= 17:
+        out.append(3)
+    return out
+
+
+def loose_spans(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """``(start, kind, end)`` of candidates that touch no base span.
+
+    A stretch of digits and signs between words and base spans is one candidate; if it cannot be any
+    kind as a whole, it is cut from its start into the longest runs of tokens that can.
+    """
     if not text or not (_any.search(text) or _hint.search(text)):
-        return []
-    taken, out = [(s, e) for s, _, e in base], []
-    for kind, shape in _shapes:
-        if kind == 0 and not _hint.search(text):
-            continue
-        for m in shape.finditer(text):
-            start, end = m.span()
-            if kind == 0:
-                if not re.search(r"dot|[\[(]at", text[start : m.end(1)]):
-                    continue
-                end = m.end(1)
-                while start > 0 and text[start - 1] in _local_chars:
-                    start -= 1
-                if start == m.start():
-                    continue
-            digits = _digits(text[start:end])
-            if kind == 1 and any(int(p) > 255 for p in re.findall("[0-9]+", text[start:end])) or kind == 2 and not luhn(digits) or kind == 3 and not 9 <= len(digits) <= 17:
+        return
+    taken = sorted((s, e) for s, _, e in base)
+    starts = [s for s, _ in taken]
+    ends = list(accumulate((e for _, e in taken), max))  # the last end so far
+
+    def possible(start: int, end: int) -> list[tuple[int, int, int]]:
+        while not text[end - 1].isdigit():
+            end -= 1
+        while text[start] in ")]./_-":
+            start += 1
+        if end - start > LONGEST:
+            return []
+        part = text[start:end]
+        return [(start, kind, end) for kind in _kinds(part, _digits(part))]
+
+    def within(low: int, high: int) -> Iterator[tuple[int, int, int]]:
+        found = _tokens.finditer(text, low, high)
+        window = deque(islice(found, TOKENS))
+        while window:
+            hit = 0
+            if _digit.search(window[0][0]) or window[0][0][0] in "+([":
+                for j in range(min(TOKENS, len(window)) - 1, -1, -1):
+                    if _digit.search(window[j][0]) and (some := possible(window[0].start(), window[j].end())):
+                        yield from some
+                        hit = j + 1
+                        break
+            for _ in range(hit or 1):
+                window.popleft()
+            window.extend(islice(found, hit or 1))
+
+    for run in _run.finditer(text):
+        at = run.start()
+        for k in range(max(0, bisect_left(starts, at) - 1), bisect_left(starts, run.end())):
+            if ends[k] > at:
+                yield from within(at, starts[k])
+                at = ends[k]
+        yield from within(at, run.end())
+    if _hint.search(text):
+        for m in _written.finditer(text):
+            start, end = m.start(), m.end(1)
+            if not re.search(r"dot|[\[(]at", text[start:end]):
                 continue
-            if all(end <= s or start >= e for s, e in taken):
-                taken.append((start, end))
-                out.append((start, kind, end))
-    return sorted(out)
+            while start > 0 and text[start - 1] in _local_chars:
+                start -= 1
+            before = bisect_left(starts, end)
+            if start < m.start() and (not before or ends[before - 1] <= start):
+                yield start, 0, end
 
 
 def contexts(text: str, start: int, end: int, kind: int) -> list[str]:
@@ -134,23 +179,31 @@ _MENTION = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.in
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """One scan of the texts: base spans, and mentions with their contexts."""
+    """One scan of the texts: base spans, and mentions with their contexts. A row without base spans (null) holds more mentions of a document that has another row."""
+
+    names = ["did", "th", "base", "mentions"]
 
     def run(batches):
         for b in batches:
-            spans, mentions = [], []
-            for text in b.column("text").to_pylist():
-                base = base_spans(text)
-                loose = loose_spans(text, base)
-                spans.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in base])
-                mentions.append(
-                    [
-                        {"start": s, "kind": k, "end": e, "instance": text[s:e].lower() if k == 0 else _digits(text[s:e]), "patterns": contexts(text, s, e, k), "seed": seed}
-                        for seed, found in ((True, base), (False, loose))
-                        for s, k, e in found
-                    ]
-                )
-            yield pa.RecordBatch.from_arrays([b.column("did"), b.column("th"), pa.array(spans, pa.list_(_SPAN)), pa.array(mentions, pa.list_(_MENTION))], ["did", "th", "base", "mentions"])
+            rows, held = [], 0
+            for did, th, text in zip(*(b.column(c).to_pylist() for c in ("did", "th", "text")), strict=True):
+                base, mentions = base_spans(text), []
+                spans = [dict(zip(("start", "kind", "end"), x, strict=True)) for x in base]
+                for seed, found in ((True, base), (False, loose_spans(text, base))):
+                    for s, k, e in found:
+                        instance = text[s:e].lower() if k == 0 else _digits(text[s:e])
+                        mentions.append({"start": s, "kind": k, "end": e, "instance": instance, "patterns": contexts(text, s, e, k), "seed": seed})
+                        held += 1
+                        if held >= MENTIONS:  # a text of many numbers gives several rows
+                            rows.append((did, th, None, mentions))
+                            yield batch(rows)
+                            rows, mentions, held = [], [], 0
+                rows.append((did, th, spans, mentions))
+            yield batch(rows)
+
+    def batch(rows):
+        types = pa.int64(), pa.int64(), pa.list_(_SPAN), pa.list_(_MENTION)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, types, strict=True)], names)
 
     span = "start: int, kind: int, end: int"
     return docs.select(*row_keys(), "text").mapInArrow(
@@ -159,33 +212,51 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def _accepted(mentions: DataFrame, scratch: Scratch) -> DataFrame:
-    """``kind, instance`` of the candidates that trusted patterns reach, from ``mentions(kind, instance, patterns, seed)``."""
-    edges = scratch.keep(mentions.select("kind", "instance", "seed", F.explode("patterns").alias("pattern")).distinct())
-    seeds = edges.where("seed").select("kind", "instance").distinct().withColumn("score", F.lit(1.0))
-    scores, accepted = seeds, None
+    """``kind, instance, score`` of the candidates that trusted patterns reach, and of the seeds, from ``mentions(kind, instance, patterns, seed)``.
+
+    A word beside very many instances has one row in each aggregate and in ``patterns``; its edges meet
+    that row in a join that adaptive execution splits.
+    """
+    each = mentions.select("kind", "instance", "seed", F.explode("patterns").alias("pattern"))
+    edges = scratch.keep(each.groupBy("kind", "instance", "pattern").agg(F.max("seed").alias("seed")))
+    seeds = scratch.keep(mentions.where("seed").select("kind", "instance").distinct().withColumn("score", F.lit(1.0)))
+    counts = edges.groupBy("pattern", "kind").agg(F.count("*").alias("n"), F.count_if("seed").alias("s"))
+    others = counts.groupBy("pattern").agg(F.sum("s").alias("all"))
+    beside = scratch.keep(counts.where("s > 0 or n > 1").join(others, "pattern").select("pattern", "kind", (F.col("n") + F.col("all") - F.col("s")).alias("n")))
+    scores = seeds
     for _ in range(ROUNDS):
-        beside = edges.select("kind", "instance", "pattern").distinct().join(scores, ["kind", "instance"])
-        sums = beside.groupBy("pattern", "kind").agg(F.sum("score").alias("own"), F.count("*").alias("n"))
-        total = sums.groupBy("pattern").agg(F.sum("own").alias("all"))
-        patterns = sums.join(total, "pattern").select("pattern", "kind", "n", (F.col("own") / (F.col("all") + PRIOR)).alias("trust")).where((F.col("n") >= SUPPORT) & (F.col("trust") >= TRUST))
+        own = edges.join(scores, ["kind", "instance"]).groupBy("pattern", "kind").agg(F.sum("score").alias("own"))
+        patterns = own.join(beside, ["pattern", "kind"]).select("pattern", "kind", (F.col("own") / (F.col("n") + PRIOR)).alias("trust")).where(F.col("trust") >= TRUST)
         reached = edges.where("not seed").join(patterns, ["pattern", "kind"]).groupBy("kind", "instance").agg(F.max("trust").alias("score"))
-        new = scratch.keep(reached.join(seeds, ["kind", "instance"], "left_anti"))
-        scratch.drop(accepted)
-        accepted = new
-        scores = seeds.unionByName(accepted)
-    return accepted.select("kind", "instance")
+        scores = scratch.keep(seeds.unionByName(reached.join(seeds, ["kind", "instance"], "left_anti")))
+    return scores
 
 
 def _added(scanned: DataFrame, scratch: Scratch) -> DataFrame:
-    """``did, th, added``: the spans that the method adds, per document."""
+    """``did, th, added``: the spans that the method adds, per document; where accepted ones overlap, the best scored, then the longest, then the first."""
     mentions = scanned.select("did", "th", F.explode("mentions").alias("m")).select("did", "th", "m.*")
+    span = "start: int, kind: int, end: int"
     if mentions.where("not seed").limit(1).count() == 0:
-        return scratch.spark.createDataFrame([], "did long, th long, added array<struct<start: int, kind: int, end: int>>")
-    # a candidate with the digits of a seed is reached as well: it is the same identifier
-    known = mentions.where("seed").select("kind", "instance").distinct()
-    reached = _accepted(mentions, scratch).union(known).distinct()
-    hits = mentions.where("not seed").join(reached, ["kind", "instance"]).select("did", "th", F.struct("start", "kind", "end").alias("s"))
-    return scratch.keep(hits.groupBy("did", "th").agg(F.sort_array(F.collect_set("s")).alias("added")))
+        return scratch.spark.createDataFrame([], f"did long, th long, added array<struct<{span}>>")
+    # a candidate that is a seed elsewhere has the seed's score: it is the same identifier
+    hits = mentions.where("not seed").join(_accepted(mentions, scratch), ["kind", "instance"])
+    found = hits.groupBy("did", "th").agg(F.collect_set(F.struct("start", "kind", "end", "score")).alias("hits"))
+
+    def choose(batches):
+        for b in batches:
+            out = []
+            for row in b.column("hits").to_pylist():
+                taken: list[dict] = []
+                starts: list[int] = []
+                for h in sorted(row, key=lambda h: (-h["score"], h["start"] - h["end"], h["start"], h["kind"])):
+                    at = bisect_left(starts, h["start"])
+                    if (at == len(starts) or h["end"] <= starts[at]) and (not at or taken[at - 1]["end"] <= h["start"]):
+                        starts.insert(at, h["start"])
+                        taken.insert(at, {"start": h["start"], "kind": h["kind"], "end": h["end"]})
+                out.append(taken)
+            yield pa.RecordBatch.from_arrays([b.column("did"), b.column("th"), pa.array(out, pa.list_(_SPAN))], ["did", "th", "added"])
+
+    return scratch.keep(found.mapInArrow(choose, f"did long, th long, added array<struct<{span}>>"))
 
 
 def find(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -200,7 +271,7 @@ def find(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     scratch = scratch or Scratch(docs.sparkSession, "pii")
     scanned = scratch.keep(_scan(docs))
     none = F.array().cast("array<struct<start: int, kind: int, end: int>>")
-    out = scanned.join(_added(scanned, scratch), ["did", "th"], "left")
+    out = scanned.where("base is not null").join(_added(scanned, scratch), ["did", "th"], "left")
     return out.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "base", F.coalesce("added", none).alias("added"))
 
 

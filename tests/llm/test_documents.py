@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import language, pii
-from millrace.llm.common import with_keys, without_keys
+from millrace.llm.common import Scratch, with_keys, without_keys
 from millrace.llm.html import main_text
 from millrace.llm.language import identify
 from millrace.llm.minhash import near_duplicates, one_of_each, shingles
@@ -229,11 +229,63 @@ def test_context_finds_what_the_formats_miss(spark):
     assert pii.find(frame(spark, [])).count() == 0
 
 
+def test_candidates_are_runs_of_tokens_outside_base_spans():
+    def spans(text):
+        return [(text[s:e], k) for s, k, e in sorted(pii.loose_spans(text, pii.base_spans(text)))]
+
+    assert spans("in 1999 to 2004, no 030/1234 5678.") == [("030/1234 5678", 3)]
+    assert spans("1.2.3.4, 4111111111111111, +1 (523) 555-1055") == [] and spans("") == spans("no digit") == []
+    assert ("+1 (843) 555-7672", 3) in spans("x +1 (843) 555-7672 170.106.47.218 y") and ("170.106.47.218", 1) not in spans("x +1 (843) 555-7672 170.106.47.218 y")
+    assert ("7536784127813050", 2) in spans("7536784127813050 4845168114407329")
+    assert spans("bob at mail dot example dot org, or amy[at]mail.example") == [("bob at mail dot example dot org", 0), ("amy[at]mail.example", 0)]
+    rng = random.Random(3)
+    parts = ["1", "22", "333", ".", " ", " - ", "(", ")", "+", "4111111111111111", "a", "@b.c", "1.2.3.4", "/", "[.]"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        base = pii.base_spans(text)
+        for s, _, e in pii.loose_spans(text, base):
+            assert 0 <= s < e <= len(text) and text[e - 1].isdigit() and all(e <= a or s >= b for a, _, b in base), text
+
+
+def test_contexts_discover_forms_that_no_seed_has(spark):
+    seeds = [(i, f"please call phone +1 (523) 555-1{i:03d} now") for i in range(30)]
+    rows = [*seeds, (500, "they call phone 030/1234 5678 today"), (501, "call phone 19 - 28 / 37 - 46 often"), (502, "our part number 030/1234 5679 only"), (503, "call phone number 12 of them"), (504, "write to sales at shop dot example dot org")]
+    got = {r["doc_id"]: [tuple(s) for s in r["added"]] for r in pii.find(frame(spark, rows)).collect()}
+    assert got[500] == [(16, 3, 29)] and got[501] == [(11, 3, 28)] and got[502] == got[503] == got[504] == []
+
+
+def test_scores_equal_a_plain_loop(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(900):
+        kind, i = rng.randint(0, 3), rng.randint(0, 60)
+        seed = i < 54
+        patterns = {f"p{kind}{rng.randint(0, 3)}" if rng.random() < 0.98 else f"p{rng.randint(0, 3)}{rng.randint(0, 3)}" for _ in range(3)}
+        rows.append((kind, f"{kind}-{i}", sorted(patterns), seed))
+    edges, seeds = {(p, k, i) for k, i, ps, _ in rows for p in ps}, {(k, i): 1.0 for k, i, _, s in rows if s}
+    sides: dict = {}
+    for p, k, i in edges:
+        sides.setdefault(p, set()).add((k, i))
+    scores = dict(seeds)
+    for _ in range(pii.ROUNDS):
+        trust = {(p, k): sum(scores.get(x, 0) for x in at if x[0] == k) / (sum(x[0] == k or x in seeds for x in at) + pii.PRIOR) for p, at in sides.items() for k in range(4)}
+        found: dict = {}
+        for p, k, i in edges:
+            if trust[p, k] >= pii.TRUST and (k, i) not in seeds:
+                found[k, i] = max(found.get((k, i), 0), trust[p, k])
+        scores = seeds | found
+    df = spark.createDataFrame(rows, "kind int, instance string, patterns array<string>, seed boolean")
+    got = {(r["kind"], r["instance"]): r["score"] for r in pii._accepted(df, Scratch(spark, "test")).collect()}
+    assert got.keys() == scores.keys() and all(abs(got[x] - scores[x]) < 1e-9 for x in got) and 0 < len(got) - len(seeds) < 64
+
+
 def test_personal_data_of_rows_without_an_id(spark):
     seeds = [(i, f"please call phone +1 (523) 555-1{i:03d} now") for i in range(30)]
     rows = [*seeds, (None, "call phone (523) 555-9999 today"), (77, "call phone (523) 555-9999 today"), (77, "call phone (523) 555-8888 now"), (77, "call phone (523) 555-8888 now")]
     masked = sorted(r["text"] for r in pii.redact(frame(spark, rows)).collect())
     assert masked.count("call phone [PHONE] today") == 2 and masked.count("call phone [PHONE] now") == 2 and len(masked) == len(rows)
+    numbers = pii.find(frame(spark, [(5, "12 34 5. " * 30_000), (6, "a@b.example.com")])).collect()
+    assert {r["doc_id"]: len(r["base"]) for r in numbers} == {5: 0, 6: 1}  # more mentions than one row holds
     long = [(1, "x " * 400_000 + "mail a@b.example.com"), (1, "x " * 400_000 + "mail a@b.example.com")]
     assert [[tuple(s) for s in r["base"]] for r in pii.find(frame(spark, long)).collect()] == [[(800_005, 0, 800_020)]] * 2
     assert pii.redact(frame(spark, [])).count() == 0
