@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.lineage import cut
 
 
-def _dealt(df: DataFrame, order: list, parts: int | None) -> DataFrame:
+def dealt_ranges(df: DataFrame, order: list, parts: int | None) -> DataFrame:
     """``df`` in ranges of ``order``, with the range ``_part`` and the place ``_at``, written once.
 
     Bounds of ranges are sampled anew for every plan that contains them, so sizes and rows must be
@@ -23,7 +23,7 @@ def with_rank(df: DataFrame, *order: Column | str, name: str = "rank", parts: in
 
     Ranges are sorted in parallel; only one row per range (its size) passes through one task.
     """
-    dealt = _dealt(df, list(order), parts)
+    dealt = dealt_ranges(df, list(order), parts)
     sizes = dealt.groupBy("_part").count()
     before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_base"))
     return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_base")
@@ -31,7 +31,7 @@ def with_rank(df: DataFrame, *order: Column | str, name: str = "rank", parts: in
 
 def with_running_sum(df: DataFrame, value: str, *order: Column | str, name: str = "before", parts: int | None = None) -> DataFrame:
     """Adds the sum of ``value`` over all rows before, in total ``order``; ranges are summed in parallel."""
-    dealt = _dealt(df, list(order), parts)
+    dealt = dealt_ranges(df, list(order), parts)
     sums = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"))
     before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_base"))
     within = Window.partitionBy("_part").orderBy("_at")

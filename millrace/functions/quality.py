@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.config import CLEAN, CleanConfig
+from millrace.functions.text import lines, strip
 
 # Characters that close a line.
 LINE_CLOSERS = ".!?'\"”’):;]"
@@ -55,8 +56,7 @@ def symbol_ratio(text: Column) -> Column:
 
 
 def punct_line_frac(text: Column) -> Column:
-    lines = F.filter(F.transform(F.split(text, "\n", -1), F.trim), lambda x: x != "")
-    return listed_share(lines, lambda x: F.instr(F.lit(LINE_CLOSERS), F.right(x, F.lit(1))) > 0)
+    return listed_share(F.filter(F.transform(lines(text), strip), lambda x: x != ""), lambda x: F.instr(F.lit(LINE_CLOSERS), F.right(x, F.lit(1))) > 0)
 
 
 def stopword_ratio(text: Column, stop: tuple[str, ...] | None = None) -> Column:

@@ -2,17 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import tempfile
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[tuple[SparkSession, str]] = []
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed, computed once: a plain checkpoint() runs the plan for the action and again to write it.
 
-    Blocks kept meanwhile spill to disk, and are computed again where an executor is lost; afterwards
-    only the files in the shared folder are read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the context's.
+
+    Where neither is set, a temporary folder of this machine, which only a local master can share; an
+    error on a cluster.
     """
-    kept = df.persist()
-    try:
-        return kept.checkpoint()
-    finally:
-        kept.unpersist()
+    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="millrace-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as a table to the shared folder and read again: computed once, and safe from lost executors. Deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/millrace-cut-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _forget() -> None:
+    for spark, path in _written:
+        try:
+            if spark.sparkContext._jsc is not None:
+                target = spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the gateway may be gone; the cluster's own clean-up remains
+            return

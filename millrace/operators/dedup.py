@@ -60,24 +60,48 @@ def _prefix_length(n: Column, threshold: float) -> Column:
     return n - F.ceil(n * threshold - 1e-9) + 1
 
 
-def similar_pairs(docs: DataFrame, threshold: float = CLEAN.jaccard, k: int = CLEAN.shingle, key: str = "doc_id") -> DataFrame:
-    """``a, b, jaccard`` of all pairs with exact Jaccard similarity of at least ``threshold``.
+def shingle_classes(docs: DataFrame, k: int = CLEAN.shingle, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """``id, rep`` of each row with shingles, and ``rep, set`` of each class of rows with equal sets; rep is the class's smallest id. The texts are read once."""
+    hashed = F.array_sort(F.array_distinct(F.transform("_g", lambda x: F.xxhash64(x))))
+    rows = docs.select(F.col(key).alias("id"), M.paragraph_shingles(F.col("text"), k).alias("_g")).select("id", hashed.alias("set"))
+    sets = cut(rows.select("id", F.explode_outer(F.array("set")).alias("set")).where(F.size("set") > 0).withColumn("_c", F.sha2(F.array_join(F.col("set").cast("array<string>"), ",").cast("binary"), 256)))
+    reps = cut(sets.groupBy("_c").agg(F.min("id").alias("rep")))
+    members = sets.select("id", "_c").join(reps, "_c").select("id", "rep")
+    return cut(members), cut(sets.join(reps, (sets["_c"] == reps["_c"]) & (sets["id"] == reps["rep"]), "left_semi").select(F.col("id").alias("rep"), "set"))
+
+
+def similar_classes(sets: DataFrame, threshold: float = CLEAN.jaccard) -> DataFrame:
+    """``a, b, jaccard`` (a < b) of all pairs of different ``sets(rep, set)`` with exact Jaccard similarity of at least ``threshold``.
 
     Prefix filter: with shingles ordered by frequency, two sets that similar share one of their
     rarest few, so only those meet in a join; frequent shingles meet only where a set has no rarer.
     """
-    rows = shingled(docs, k, key).select(F.col(key).alias("id"), "n", F.xxhash64("shingle").alias("s"))
+    rows = sets.select(F.col("rep").alias("id"), F.size("set").alias("n"), F.explode("set").alias("s"))
     frequency = rows.groupBy("s").agg(F.count("*").alias("df"))
     ordered = Window.partitionBy("id").orderBy("df", "s")
     prefix = rows.join(frequency, "s").withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= _prefix_length(F.col("n"), threshold))
     left, right = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "s"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "s")
     met = left.join(right, "s").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9))
     pairs = met.select("a", "b").distinct()
-    sets = rows.groupBy("id").agg(F.collect_list("s").alias("set"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    out = both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("jaccard"))
-    return out.where(F.col("jaccard") >= threshold)
+    return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def similar_pairs(docs: DataFrame, threshold: float = CLEAN.jaccard, k: int = CLEAN.shingle, key: str = "doc_id") -> DataFrame:
+    """``a, b, jaccard`` of all pairs of rows with exact Jaccard similarity of at least ``threshold``.
+
+    Rows with equal sets are one class, so a text that many rows share is compared once. The pairs of
+    its rows are listed all the same, as many as their number squared; callers that need no list use
+    :func:`similar_classes`.
+    """
+    members, sets = shingle_classes(docs, k, key)
+    found = similar_classes(sets, threshold)
+    of = lambda x, rep: members.select(F.col("id").alias(x), F.col("rep").alias(rep))
+    across = found.select(F.col("a").alias("ra"), F.col("b").alias("rb"), "jaccard").join(of("x", "ra"), "ra").join(of("y", "rb"), "rb")
+    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+    within = of("a", "r").join(of("b", "r"), "r").where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
+    return across.unionByName(within)
 
 
 def contamination(docs: DataFrame, holdout: DataFrame, threshold: float = CLEAN.jaccard, k: int = CLEAN.shingle, key: str = "doc_id", item: str = "item_id") -> DataFrame:
@@ -164,9 +188,10 @@ def clean(docs: DataFrame, holdout: DataFrame, history: DataFrame | None = None,
     unique = first_by_hash(long, order)
     fresh = unique if history is None else not_in_history(unique, history)
     fresh = cut(fresh)
-    # a pair is similar whatever the order of ids, so the exact join decides and needs no second look
-    state = first_inserted_wins(similar_pairs(fresh, cfg.jaccard, cfg.shingle)) if fresh.limit(1).count() else None
-    dropped = state.where("not kept").select(F.col("id").alias("doc_id")) if state is not None else fresh.select("doc_id").limit(0)
+    # a pair is similar whatever the order of ids, so the exact join decides; of rows with equal sets the first decides for all
+    members, sets = shingle_classes(fresh, cfg.shingle)
+    state = first_inserted_wins(similar_classes(sets, cfg.jaccard))
+    dropped = state.where("not kept").select(F.col("id").alias("doc_id")).union(members.where("id <> rep").select("id"))
     distinct = fresh.join(dropped, "doc_id", "left_anti")
     tainted = cut(contamination(distinct, holdout, cfg.jaccard, cfg.shingle).select(F.col("doc").alias("doc_id")).distinct())
     guarded = cut(judged(distinct.join(tainted, "doc_id", "left_anti"), cfg))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.config import FACTS, FactConfig
 from millrace.functions import text as T
+from millrace.functions.order import with_rank
+from millrace.lineage import cut
 
 # Surface verbs that stand for a relation in an export.
 ALIASES = {
@@ -23,36 +25,70 @@ ALIASES = {
     "bear": ("born",),
     "have": ("has", "had"),
 }
-#: Pattern families without a parser: regular expression, relation (null: the verb), whether subject and object change places, confidence.
+#: Before a word, of whatever alphabet; Java and RE2 read it alike, which they do not with a word boundary.
+START = r"(?:^|[^\p{L}\p{N}_])"
+#: Pattern families without a parser: regular expression and confidence. Two groups are subject and class; of three the second is the verb, and a passive's object comes first.
 PATTERNS = (
-    ("copula", r"\b([A-Za-z]+) (?:is|are|was|were) (?:a|an|the) ([A-Za-z]+)", 0.9),
-    ("apposition", r"\b([A-Z][A-Za-z]+), (?:a|an|the) ([A-Za-z]+),", 0.6),
-    ("passive", r"\b([A-Za-z]+) (?:is|are|was|were) ([a-z]+ed) by ([A-Za-z]+)", 0.65),
+    ("copula", START + r"([A-Za-z]+) (?:is|are|was|were) (?:a|an|the) ([A-Za-z]+)", 0.9),
+    ("apposition", START + r"([A-Z][A-Za-z]+), (?:a|an|the) ([A-Za-z]+),", 0.6),
+    ("passive", START + r"([A-Za-z]+) (?:is|are|was|were) ([a-z]+ed) by ([A-Za-z]+)", 0.65),
+    ("active", START + r"([A-Za-z]+) ([a-z]+(?:ed|s)) (?:a|an|the) ([A-Za-z]+)", 0.7),
 )
+#: Words that end like verbs of the active pattern but are none.
+NO_VERBS = ("as", "does", "has", "his", "hers", "is", "its", "ours", "plus", "these", "this", "those", "thus", "towards", "us", "was", "whereas", "yes", "yours")
+#: Endings of regular verbs and what a lemma has instead, the first that fits; expressions that Java and RE2 read alike.
+ENDINGS = (("ie[ds]$", "y"), ("(bb|dd|gg|mm|nn|pp|rr|tt)ed$", None), ("(ch|sh|ss|x|z)es$", "\\1"), ("ed$", ""), ("([^s])s$", "\\1"))
 
 
-def extract(docs: DataFrame, min_conf: float = FACTS.min_conf, key: str = "doc_id") -> DataFrame:
-    """``key, sub, rel, obj, conf`` by regular expressions: copula, apposition and agent phrases; lower recall than a parser.
+def lemma(verb: Column) -> Column:
+    """A relation's name for a surface verb: of a listed alias its relation, else without a regular ending."""
+    known = F.create_map(*[F.lit(x) for rel, names in ALIASES.items() if rel != "is_a" for n in names for x in (n, rel)])
+    out = verb
+    for pattern, instead in reversed(ENDINGS):
+        cut_off = F.regexp_replace(verb, pattern, instead.replace("\\1", "$1")) if instead is not None else F.left(verb, F.length(verb) - 3)
+        out = F.when(verb.rlike(pattern), cut_off).otherwise(out)
+    return F.coalesce(F.try_element_at(known, verb), out)
+
+
+def extract(docs: DataFrame, min_conf: float = FACTS.min_conf, key: str = "doc_id", places: bool = False) -> DataFrame:
+    """``key, sub, rel, obj, conf`` by regular expressions: copula, apposition, agent and active phrases; lower recall than a parser.
 
     A parser can be plugged in by mapInPandas over the same columns; what follows only needs T7.
+    ``places`` adds the pattern's number and the match's place, ``part, pos``.
     """
     parts = []
-    for name, pattern, conf in PATTERNS:
+    for k, (name, pattern, conf) in enumerate(PATTERNS):
         if conf < min_conf:
             continue
-        groups = [F.regexp_extract_all("text", F.lit(pattern), F.lit(i)) for i in range(1, 4 if name == "passive" else 3)]
-        z = docs.select(key, F.explode(F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)])).alias("g"))
-        sub, rel, obj = (F.col("g.g2"), F.lower(F.col("g.g1")), F.col("g.g0")) if name == "passive" else (F.col("g.g0"), F.lit("is_a"), F.col("g.g1"))
-        parts.append(z.select(key, T.normalize_entity(sub).alias("sub"), rel.alias("rel"), T.normalize_entity(obj).alias("obj"), F.lit(conf).alias("conf")))
-    out = reduce(DataFrame.unionByName, parts)
-    return out.where(T.is_valid_entity(F.col("sub")) & T.is_valid_entity(F.col("obj")))
+        verbal = name in ("passive", "active")
+        groups = [F.regexp_extract_all("text", F.lit(pattern), F.lit(i)) for i in range(1, 4 if verbal else 3)]
+        z = docs.select(key, F.posexplode(F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)])).alias("pos", "g"))
+        if name == "active":
+            z = z.where(~F.lower("g.g1").isin(*NO_VERBS))
+        first, last = F.col("g.g0"), F.col("g.g2" if verbal else "g.g1")
+        sub, obj = (last, first) if name == "passive" else (first, last)
+        rel = lemma(F.lower(F.col("g.g1"))) if verbal else F.lit("is_a")
+        parts.append(z.select(key, T.normalize_entity(sub).alias("sub"), rel.alias("rel"), T.normalize_entity(obj).alias("obj"), F.lit(conf).alias("conf"), F.lit(k).alias("part"), "pos"))
+    out = reduce(DataFrame.unionByName, parts).where(T.is_valid_entity(F.col("sub")) & T.is_valid_entity(F.col("obj")))
+    return out if places else out.drop("part", "pos")
 
 
 def extract_corpus(docs: DataFrame, holdout: DataFrame, cfg: FactConfig = FACTS) -> DataFrame:
-    """Triplets of all documents but exact copies of held-out ones, with the hash of their document."""
+    """Triplets of all documents but exact copies of held-out ones: ``sub, rel, obj, conf, source_doc_hash, triplet_id, ord``.
+
+    In order of document hash, pattern and place; the id names all three, so it is the same in every run.
+    """
     hashed = docs.withColumn("source_doc_hash", T.doc_hash(F.col("text")))
     rest = hashed.join(holdout.select(T.doc_hash(F.col("text")).alias("source_doc_hash")).distinct(), "source_doc_hash", "left_anti")
-    return extract(rest, cfg.min_conf, "source_doc_hash")
+    found = extract(rest, cfg.min_conf, "source_doc_hash", places=True)
+    named = found.withColumn("triplet_id", F.concat_ws("-", F.left("source_doc_hash", F.lit(12)), "part", "pos"))
+    ranked = with_rank(named, "source_doc_hash", "part", "pos", name="ord")
+    return ranked.select("sub", "rel", "obj", "conf", "source_doc_hash", "triplet_id", "ord")
+
+
+def corpus_stats(triplets: DataFrame) -> DataFrame:
+    """One row: documents with a triplet, triplets, relations."""
+    return triplets.agg(F.count_distinct("source_doc_hash").alias("docs"), F.count("*").alias("triplets"), F.count_distinct("rel").alias("relations"))
 
 
 def class_conflicts(triplets: DataFrame, cfg: FactConfig = FACTS) -> DataFrame:
@@ -87,14 +123,38 @@ def quarantine(*conflicts: DataFrame) -> DataFrame:
     return sides.where("coalesce(source_doc_hash, '') <> ''").distinct()
 
 
-def entity_graph(triplets: DataFrame, cap: int) -> DataFrame:
-    """``sub, obj, rel, conf[], docs[]`` among the first ``cap`` entities seen; the first relation of an edge wins."""
-    seen = triplets.select(F.col("sub").alias("node"), "ord").union(triplets.select("obj", "ord")).groupBy("node").agg(F.min("ord").alias("o"))
-    nodes = seen.orderBy("o", "node").limit(cap).select("node")
+def capped_nodes(triplets: DataFrame, cap: int) -> DataFrame:
+    """``node``: the entities of a graph that takes facts in order of ``ord`` (unique) and refuses one that would exceed ``cap`` nodes, with all that it would add.
+
+    Up to the first refusal nodes come in order. It leaves room for one node at most, which the first
+    later fact with a single new entity takes. Only about ``cap`` rows pass through one task.
+    """
+    seen = triplets.select(F.explode(F.array("sub", "obj")).alias("node"), "ord").groupBy("node").agg(F.min("ord").alias("o"))
+    first = cut(seen.orderBy("o", "node").limit(cap + 2))  # a fact brings two at most
+    counts = first.withColumn("n", F.count("*").over(Window.orderBy("o").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    nodes = cut(counts.where(F.col("n") <= cap).select("node", "o"))
+    held, last = nodes.agg(F.count("*"), F.max("o")).first()
+    if held >= cap or first.count() == held:
+        return nodes.select("node")
+    known = lambda c: nodes.select(F.col("node").alias(c), F.lit(True).alias(f"_{c}"))
+    later = triplets.where(F.col("ord") > F.lit(last if last is not None else -(1 << 62))).join(known("sub"), "sub", "left").join(known("obj"), "obj", "left")
+    new = later.where((F.col("_sub").isNull() != F.col("_obj").isNull()) | (F.col("_sub").isNull() & (F.col("sub") == F.col("obj"))))
+    one = new.agg(F.min_by(F.when(F.col("_sub").isNull(), F.col("sub")).otherwise(F.col("obj")), "ord").alias("node")).where("node is not null")
+    return nodes.select("node").union(one)
+
+
+def entity_facts(triplets: DataFrame, cap: int) -> DataFrame:
+    """The facts that a graph of at most ``cap`` entities takes, with its first relation for their edge: ``sub, obj, rel, conf, source_doc_hash, ord``."""
+    nodes = cut(capped_nodes(triplets, cap))
     inside = triplets.join(nodes.withColumnRenamed("node", "sub"), "sub", "left_semi").join(nodes.withColumnRenamed("node", "obj"), "obj", "left_semi")
-    facts = F.array_sort(F.collect_list(F.struct("ord", "conf", "source_doc_hash")))
-    e = inside.groupBy("sub", "obj").agg(F.min_by("rel", "ord").alias("rel"), facts.alias("f"))
-    return e.select("sub", "obj", "rel", F.transform("f", lambda x: x["conf"]).alias("conf"), F.transform("f", lambda x: x["source_doc_hash"]).alias("docs"))
+    edge = inside.groupBy("sub", "obj").agg(F.min_by("rel", "ord").alias("rel"))
+    return inside.drop("rel").join(edge, ["sub", "obj"]).select("sub", "obj", "rel", "conf", "source_doc_hash", "ord")
+
+
+def entity_graph(triplets: DataFrame, cap: int) -> DataFrame:
+    """Edges among the entities that the graph takes: ``sub, obj, rel, facts, conf`` (summed), ``docs`` (counted); :func:`entity_facts` lists them, as an edge may have very many."""
+    edges = entity_facts(triplets, cap).groupBy("sub", "obj", "rel")
+    return edges.agg(F.count("*").alias("facts"), F.sum("conf").alias("conf"), F.count_distinct("source_doc_hash").alias("docs"))
 
 
 def export_graph(triplets: DataFrame, *conflicts: DataFrame) -> DataFrame:
@@ -114,12 +174,20 @@ def claim_status(claims: DataFrame, triplets: DataFrame, cfg: FactConfig = FACTS
     A claim is unverified without known objects, ok if its object is known, and contradicts if a known
     object excludes it, by class or as a listed pair. A claim with null sub makes its sentence ok.
     """
-    peers = triplets.groupBy("sub", "rel").agg(F.collect_set("obj").alias("peers"))  # as many as distinct objects of one fact
+    facts = cut(triplets.select("sub", "rel", "obj").distinct())
+    claim = [key, "sub", "rel", "obj"]
+    asked = cut(claims.where("sub is not null").select(*claim).distinct())
     classes = F.array(*map(F.lit, cfg.classes))
     against = F.create_map(*[F.lit(x) for a, b in cfg.pairs for x in (a, b, b, a)])
-    clash = F.exists("peers", lambda x: (x == F.coalesce(F.try_element_at(against, F.col("obj")), F.lit(""))) | ((F.col("rel") == "is_a") & F.array_contains(classes, F.col("obj")) & F.array_contains(classes, x) & (x != F.col("obj"))))
-    rank = F.when(F.col("sub").isNull(), 0).when(F.col("peers").isNull(), 1).when(F.array_contains("peers", F.col("obj")), 0).when(clash, 2).otherwise(1)
-    worst = claims.join(peers, ["sub", "rel"], "left").groupBy(key).agg(F.max(rank).alias("r"))
+    opposite = F.try_element_at(against, F.col("obj"))
+    rivals = F.when((F.col("rel") == "is_a") & F.array_contains(classes, F.col("obj")), F.array_except(classes, F.array("obj")))
+    clashing = F.concat(F.array_compact(F.array(opposite)), F.coalesce(rivals, F.array().cast("array<string>")))
+    # each claim asks for its own object and for the few that exclude it, so no list of a subject's objects is needed
+    probes = asked.select(*claim, F.explode(F.concat(F.array(F.struct(F.col("obj").alias("x"), F.lit(True).alias("same"))), F.transform(clashing, lambda x: F.struct(x.alias("x"), F.lit(False).alias("same"))))).alias("p"))
+    met = probes.select(*claim, "p.*").join(facts.withColumnRenamed("obj", "x"), ["sub", "rel", "x"], "left_semi")
+    found = met.groupBy(*claim).agg(F.max("same").alias("same"), F.max(~F.col("same")).alias("clash"))
+    rank = F.when(F.col("same"), 0).when(F.col("clash"), 2).otherwise(1)
+    worst = asked.join(found, claim, "left").select(key, rank.alias("r")).unionByName(claims.where("sub is null").select(key, F.lit(0).alias("r"))).groupBy(key).agg(F.max("r").alias("r"))
     return worst.select(key, F.element_at(F.array(F.lit("ok"), F.lit("unverified"), F.lit("contradicts")), F.col("r") + 1).alias("status"))
 
 
@@ -128,5 +196,3 @@ def run_stats(triplets: DataFrame, *conflicts: DataFrame) -> DataFrame:
     one = lambda df, name: df.agg(F.count("*").alias(name))
     found = reduce(DataFrame.union, [c.select("sub") for c in conflicts])
     return one(triplets, "triplets").crossJoin(one(found, "contradictions")).crossJoin(one(quarantine(*conflicts), "quarantined_docs"))
-
-

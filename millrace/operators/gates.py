@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.config import GATE, GateConfig
+from millrace.lineage import cut
 from millrace.operators.splits import strided
 
 
@@ -128,12 +130,40 @@ def round_metrics(log: DataFrame, round_id: int) -> DataFrame:
     return found
 
 
-def inventory_hash(files: DataFrame, *by: str, name: str = "name", size: str = "bytes") -> DataFrame:
-    """``treatment_sha256`` over the sorted names and sizes of each group: hashes by name range, then of those, so no row holds all names."""
-    line = F.concat_ws("\t", F.col(name).cast("string"), F.col(size).cast("string"))
-    part = F.substring(F.md5(F.col(name).cast("string").cast("binary")), 1, 2)
-    parts = files.withColumn("_p", part).groupBy(*by, "_p").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("_h"))
-    return parts.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("_p", "_h"))), "\n"), 256).alias("treatment_sha256"))
+def inventory_hash(files: DataFrame, *by: str, name: str = "name", size: str = "bytes", as_name: str = "treatment_sha256") -> DataFrame:
+    """One hash over the names and sizes of each group, whatever their order and number: the sha256 of the count and of the sums of all lines' hashes, in four parts of 60 bits.
+
+    Sums are aggregated in parallel, so no row or task holds all names. Any line that changes, comes or
+    goes changes the hash; its value differs from a hash over the sorted lines.
+    """
+    line = F.sha2(F.concat_ws("\t", F.col(name).cast("string"), F.col(size).cast("string")).cast("binary"), 256)
+    parts = files.select(*by, line.alias("_h"))
+    sums = [F.sum(F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"_s{i}") for i in range(4)]
+    summed = parts.groupBy(*by).agg(F.count("*").alias("_n"), *sums)
+    text = F.concat_ws("-", "_n", *[F.coalesce(F.col(f"_s{i}"), F.lit(0)).cast("string") for i in range(4)])
+    return summed.select(*by, F.sha2(text.cast("binary"), 256).alias(as_name))
+
+
+def treatment_hash(files: DataFrame, holdout_digest: str, triplets: DataFrame, manifest: str, stress: DataFrame | None = None, settings: dict | None = None) -> str:
+    """sha256 of everything a round trains on: the corpus inventory, the holdout's digest and the extraction's settings, the triplets, the rate manifest and the files of a stress treatment.
+
+    ``files`` and ``stress`` have names and sizes (of ``stress`` also ``sha256``, where known); what is
+    read on the driver is one row for each part.
+    """
+    out = hashlib.sha256()
+    out.update(corpus_inventory(files, holdout_digest, settings).encode())
+    rows = triplets.select(F.to_json(F.struct(*sorted(triplets.columns))).alias("name"), F.lit(0).alias("bytes"))
+    out.update(inventory_hash(rows).first()[0].encode())
+    out.update(manifest.encode())
+    if stress is not None:
+        out.update(inventory_hash(stress, size="sha256" if "sha256" in stress.columns else "bytes").first()[0].encode())
+    return out.hexdigest()
+
+
+def corpus_inventory(files: DataFrame, holdout_digest: str, settings: dict | None = None) -> str:
+    """sha256 that names a corpus snapshot: names and sizes, the holdout's digest, the extraction's settings."""
+    head = json.dumps({"files": inventory_hash(files).first()[0], "holdout": holdout_digest, "settings": settings or {}}, sort_keys=True)
+    return hashlib.sha256(head.encode()).hexdigest()
 
 
 def dup_flood(docs: DataFrame, ratio: float, order: str = "rank") -> DataFrame:
@@ -149,19 +179,28 @@ def flood_size(k: int) -> int:
 
 
 def contradiction_flood(triplets: DataFrame, top_k: int, seed: int, conf: float = 0.99) -> DataFrame:
-    """Planted is_a triangles among the nodes of largest degree (repeated facts count), by seeded hashes: ``sub, rel, obj, conf, triplet_id, planted``."""
+    """``triplets`` and planted is_a triangles among the nodes of largest degree (repeated facts count): ``sub, rel, obj, conf, triplet_id, planted``.
+
+    The three corners of each triangle are distinct, drawn by seeded hashes; with fewer than three nodes none is planted.
+    """
     isa = triplets.where("rel = 'is_a'")
     degree = isa.select(F.explode(F.array("sub", "obj")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
-    top = degree.orderBy(F.desc("d"), "node").limit(top_k)
-    ranked = top.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("d"), "node")) - 1)  # top_k rows
+    top = cut(degree.orderBy(F.desc("d"), "node").limit(top_k))
+    ranked = top.withColumn("i", F.row_number().over(Window.orderBy(F.desc("d"), "node")) - 1)  # top_k rows
     k = top.count()
-    n = flood_size(k)
-    pick = lambda j: F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{j}:"), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") + j, F.lit(max(1, k)))
-    corners = triplets.sparkSession.range(n).select("id", *[pick(j).alias(f"p{j}") for j in range(3)])
+    draw = lambda j: F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{j}:"), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(max(1, k - j)))
+    # each draw is a place among the nodes that are left, in order
+    picks = triplets.sparkSession.range(flood_size(k) if k >= 3 else 0).select("id", *[draw(j).alias(f"d{j}") for j in range(3)])
+    picks = picks.withColumn("p0", F.col("d0")).withColumn("p1", F.col("d1") + (F.col("d1") >= F.col("d0")).cast("long"))
+    low, high = F.least("p0", "p1"), F.greatest("p0", "p1")
+    second = F.col("d2") + (F.col("d2") >= low).cast("long")
+    picks = picks.withColumn("p2", second + (second >= high).cast("long"))
     for j in range(3):
-        corners = corners.join(F.broadcast(ranked.select(F.col("i").alias(f"p{j}"), F.col("node").alias(f"n{j}"))), f"p{j}")
+        picks = picks.join(F.broadcast(ranked.select(F.col("i").cast("long").alias(f"p{j}"), F.col("node").alias(f"n{j}"))), f"p{j}")
     side = F.explode(F.array(*[F.struct(F.col(f"n{a}").alias("sub"), F.col(f"n{b}").alias("obj"), F.lit(a).alias("e")) for a, b in ((0, 1), (1, 2), (2, 0))])).alias("s")
-    return corners.select("id", side).select("s.sub", F.lit("is_a").alias("rel"), "s.obj", F.lit(conf).alias("conf"), F.concat(F.lit("planted-"), F.col("id").cast("string"), F.lit("-"), F.col("s.e").cast("string")).alias("triplet_id"), F.lit(True).alias("planted")).where("sub <> obj")
+    name = F.concat(F.lit("planted-"), F.col("id").cast("string"), F.lit("-"), F.col("s.e").cast("string"))
+    planted = picks.select("id", side).select("s.sub", F.lit("is_a").alias("rel"), "s.obj", F.lit(conf).alias("conf"), name.alias("triplet_id"), F.lit(True).alias("planted"))
+    return triplets.select("sub", "rel", "obj", "conf", "triplet_id", F.lit(False).alias("planted")).unionByName(planted)
 
 
 def lr_spike(docs: DataFrame, order: str, key: str, share: float = 0.1, multiplier: float = 10.0) -> DataFrame:
@@ -182,13 +221,35 @@ def human_gate(round_id: Column | str, every: int = GATE.human_gate_every, auto:
     return F.lit(False) if auto else (_c(round_id) % every == 0)
 
 
-def suite_errors(prompts: DataFrame, required: tuple[str, ...], key: str = "id") -> DataFrame:
-    """``key, error``: repeated ids and missing required fields."""
+SUITE_VERSION, SUITE_SECTIONS, SUITE_FIELDS = 1, ("defaults", "prompts"), ("id", "category", "prompt", "review_note")
+
+
+def suite_errors(prompts: DataFrame, required: tuple[str, ...] = SUITE_FIELDS, key: str = "id") -> DataFrame:
+    """``key, error``: repeated ids and missing required fields; a column that is not there is missing in every row."""
     repeated = prompts.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, F.lit("duplicate id").alias("error"))
-    missing = prompts.select(key, F.explode(F.array_compact(F.array(*[F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", f"missing {c}") for c in required]))).alias("error"))
+    value = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) if c in prompts.columns else F.lit("")
+    missing = prompts.select(key, F.explode(F.array_compact(F.array(*[F.when(value(c) == "", f"missing {c}") for c in required]))).alias("error"))
     return repeated.unionByName(missing)
 
 
+def checked_suite(suite: DataFrame, required: tuple[str, ...] = SUITE_FIELDS) -> DataFrame:
+    """The prompts of ``suite(schema_version, defaults map, prompts array of structs)``, one row, each with its parameters: the defaults, overridden by its own.
+
+    An error for a wrong version, a missing section, a repeated id or a missing field. A prompt's
+    ``params`` map, where it has one, overrides only what the defaults name.
+    """
+    if missing := [c for c in SUITE_SECTIONS if c not in suite.columns]:
+        raise ValueError(f"the suite lacks {missing}")
+    if "schema_version" not in suite.columns or (version := suite.first()["schema_version"]) != SUITE_VERSION:
+        raise ValueError(f"unsupported version {version if 'schema_version' in suite.columns else None}")
+    prompts = suite.select("defaults", F.inline("prompts"))
+    if found := suite_errors(prompts, required).orderBy("id", "error").limit(1).collect():
+        raise ValueError(f"prompt {found[0]['id']}: {found[0]['error']}")
+    own = F.col("params") if "params" in prompts.columns else F.lit(None).cast("map<string,string>")
+    named = F.map_filter(own, lambda k, _: F.map_contains_key(F.col("defaults"), k))
+    return prompts.withColumn("params", with_overrides(F.col("defaults"), named)).drop("defaults")
+
+
 def with_overrides(defaults: Column, overrides: Column) -> Column:
     """Defaults overridden key by key."""
     return F.map_concat(F.map_filter(defaults, lambda k, v: ~F.map_contains_key(F.coalesce(overrides, F.create_map().cast("map<string,string>")), k)), F.coalesce(overrides, F.create_map().cast("map<string,string>")))

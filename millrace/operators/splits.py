@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.functions.order import keep_top_share, with_rank, with_running_sum
-from millrace.lineage import cut
+from millrace.functions.order import dealt_ranges, keep_top_share, with_rank, with_running_sum
+from millrace.sources.files import exists
 
 
 def freeze_holdout(docs: DataFrame, fraction: float = 0.02) -> DataFrame:
@@ -19,15 +21,50 @@ def freeze_holdout(docs: DataFrame, fraction: float = 0.02) -> DataFrame:
     return keep_top_share(docs.withColumn("hash", T.doc_hash(F.col("text"))), fraction, "hash", "doc_id", key="doc_id")
 
 
+def freeze(docs: DataFrame, path: str, fraction: float = 0.02, name: str = "doc_id") -> dict:
+    """Splits the holdout off once: writes it to ``path/holdout`` and its digest beside it, the remaining rows to ``path/rest``.
+
+    A second call changes nothing and answers ``already-frozen``; an error if the stored rows no longer
+    have the stored digest, or if there are no documents. Returns status, docs and sha256.
+    """
+    spark = docs.sparkSession
+    stored = lambda: spark.read.parquet(f"{path}/holdout")
+    digest = lambda: holdout_digest(stored().select(F.col(name).cast("string").alias("name"), F.col("text").alias("content")))
+    if exists(spark, f"{path}/anchor"):
+        expected, actual = spark.read.text(f"{path}/anchor").first()[0], digest()
+        if actual != expected:
+            raise RuntimeError(f"the holdout's digest is {actual}, the anchor says {expected}: it may not be made again")
+        return {"status": "already-frozen", "docs": stored().count(), "sha256": expected}
+    held = freeze_holdout(docs, fraction)
+    held.write.mode("overwrite").parquet(f"{path}/holdout")
+    docs.join(stored().select(name), name, "left_anti").write.mode("overwrite").parquet(f"{path}/rest")
+    found = digest()
+    spark.createDataFrame([(found,)], "value string").coalesce(1).write.text(f"{path}/anchor")  # last, so that a broken attempt is made again
+    return {"status": "frozen", "docs": stored().count(), "sha256": found}
+
+
 def holdout_digest(files: DataFrame, name: str = "name", content: str = "content") -> str:
-    """sha256 over names and bytes in order of names; one content is hashed per row on the executors, names and hashes on the driver.
+    """sha256 over each name, a zero byte and the bytes, in order of names.
 
-    The value differs from one over raw bytes, but changes with any name or byte alike.
+    The value is defined by one pass over all bytes, so they stream through the driver, one partition
+    at a time: for holdouts, which are small. :func:`parallel_digest` hashes contents on the executors.
     """
+    rows = files.select(F.col(name).cast("string"), F.col(content).cast("binary")).orderBy(F.col(name).cast("string").cast("binary")).toLocalIterator()
+    out, n = hashlib.sha256(), 0
+    for r in rows:
+        out.update(r[0].encode() + b"\0" + bytes(r[1]))
+        n += 1
+    if not n:
+        raise ValueError("empty holdout")
+    return out.hexdigest()
+
+
+def parallel_digest(files: DataFrame, name: str = "name", content: str = "content") -> str:
+    """Changes with any name or byte like :func:`holdout_digest`, with another value: contents are hashed on the executors, names and hashes on the driver."""
     rows = files.select(name, F.sha2(F.col(content).cast("binary"), 256).alias("h")).orderBy(name).toLocalIterator()
     out, n = hashlib.sha256(), 0
     for r in rows:
-        out.update(r[0].encode() + b"\0" + bytes.fromhex(r[1]))
+        out.update(str(r[0]).encode() + b"\0" + bytes.fromhex(r[1]))
         n += 1
     if not n:
         raise ValueError("empty holdout")
@@ -79,29 +116,52 @@ def seeded_sample(rows: DataFrame, k: int, seed: int, key: str) -> DataFrame:
     return rows.join(chosen.select(key), key, "left_semi")
 
 
-def budgeted(files: DataFrame, budget: int, seed: int, name: str = "name", size: str = "bytes") -> DataFrame:
+def budgeted(files: DataFrame, budget: int, seed: int, name: str = "name", size: str = "bytes", parts: int | None = None) -> DataFrame:
     """Files in seeded order while they fit into a byte budget; one that does not fit is skipped and later ones are tried.
 
-    Each round takes the longest run that fits by running sums; the file that stops it can never fit
-    again, and neither can any as large, so they leave before the next round.
+    Ranges of the order are decided one after the other: a range that fits whole and one whose least
+    file is too large need no look at their rows; any other is run through in one task, which returns
+    what it leaves. Then all ranges list their files at once, each from what was left before it.
     """
-    order = files.select(name, F.col(size).cast("long").alias("_size"), F.md5(F.concat(F.lit(f"{seed}:"), F.col(name).cast("string")).cast("binary")).alias("_h"))
-    rest, left, taken = cut(with_rank(order, "_h", name, name="_pos")), budget, None
-    while True:
-        fits = rest.where(F.col("_size") <= left)
-        sums = with_running_sum(fits, "_size", "_pos", name="_before")
-        stop = sums.where(F.col("_before") + F.col("_size") > left).agg(F.min("_pos")).first()[0]
-        run = fits if stop is None else fits.where(F.col("_pos") < stop)
-        taken = run.select(name) if taken is None else taken.union(run.select(name))
-        if stop is None:
-            return files.join(taken, name, "left_semi")
-        left -= run.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
-        rest = rest.where(F.col("_pos") > stop)
+    spark = files.sparkSession
+    sized = files.select(F.col(name).alias("name"), F.col(size).cast("long").alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.col(name).cast("string")).cast("binary")).alias("h"))
+    dealt = dealt_ranges(sized, ["h", "name"], parts)
+    stats = dealt.groupBy("_part").agg(F.sum("size").alias("total"), F.min("size").alias("least")).orderBy("_part").collect()  # a row per range
+
+    def taken(left: int, pdf: pd.DataFrame) -> tuple[np.ndarray, int]:
+        pdf.sort_values("_at", inplace=True)
+        keep = np.zeros(len(pdf), bool)
+        for i, n in enumerate(pdf["size"].to_numpy()):
+            if n <= left:
+                keep[i], left = True, left - int(n)
+        return keep, left
+
+    def rest(left: int):
+        return lambda pdf: pd.DataFrame({"left": [taken(left, pdf)[1]]})
+
+    starts, left = [], budget
+    for r in stats:
+        if r["least"] > left:
+            continue
+        starts.append((r["_part"], left))
+        if r["total"] <= left:
+            left -= r["total"]
+        else:
+            left = dealt.where(F.col("_part") == r["_part"]).groupBy("_part").applyInPandas(rest(left), "left long").first()[0]
+    before = spark.createDataFrame(starts, "_part int, _left long")
+    kind = dict(sized.dtypes)["name"]
+
+    def listed(pdf: pd.DataFrame) -> pd.DataFrame:
+        keep, _ = taken(int(pdf["_left"].iloc[0]), pdf)
+        return pdf.loc[keep, ["name"]]
+
+    chosen = dealt.join(F.broadcast(before), "_part").groupBy("_part").applyInPandas(listed, f"name {kind}")
+    return files.join(chosen.withColumnRenamed("name", name), name, "left_semi")
 
 
 def probe_sentences(docs: DataFrame, k: int, seed: int, min_chars: int = 40, min_tokens: int = 8, max_tokens: int = 256) -> DataFrame:
     """``k`` distinct sentences of fitting length; an error if there are too few."""
-    pieces = docs.select(F.explode(T.sentences(F.col("text"))).alias("sentence")).select(F.trim("sentence").alias("sentence"))
+    pieces = docs.select(F.explode(T.sentences(F.col("text"))).alias("sentence")).select(T.strip(F.col("sentence")).alias("sentence"))
     n = F.size(F.filter(F.split("sentence", r"\s+", -1), lambda x: x != ""))
     fit = pieces.where((F.length("sentence") >= min_chars) & n.between(min_tokens, max_tokens)).distinct()
     out = fit.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("sentence")).cast("binary"))).orderBy("_h", "sentence").limit(k)
@@ -116,20 +176,38 @@ def strided(rows: DataFrame, keep: int, order: str, key: str) -> DataFrame:
 
 
 def pack(docs: DataFrame, window: int, order: str, end: int | None = None, pad: int = 0) -> DataFrame:
-    """``window_id, tokens, flags`` from ``docs(order, tokens array<int>)``: concatenated in order, cut, the tail padded; flags mark starts."""
+    """``window_id, tokens, flags`` from ``docs(order, tokens array<int>)``: concatenated in order, cut, the tail padded; flags mark starts.
+
+    A document is cut into its piece of each window that it meets; a window is at most ``window`` pieces.
+    """
     toks = F.concat("tokens", F.array(F.lit(end))) if end is not None else F.col("tokens")
-    sized = docs.select(order, toks.alias("tokens")).withColumn("_n", F.size("tokens").cast("long"))
+    sized = docs.select(order, toks.alias("tokens")).withColumn("_n", F.size("tokens").cast("long")).where("_n > 0")
     placed = with_running_sum(sized, "_n", order, name="_before")
-    flat = placed.select("_before", F.posexplode("tokens").alias("_i", "token")).select((F.col("_before") + F.col("_i")).alias("pos"), "token", (F.col("_i") == 0).cast("int").alias("flag"))
-    w = flat.groupBy(F.expr(f"pos div {window}").alias("window_id")).agg(F.sort_array(F.collect_list(F.struct("pos", "token", "flag"))).alias("x"))
-    fill = lambda c, v: F.concat(F.transform("x", lambda e: e[c]), F.array_repeat(F.lit(v), F.lit(window) - F.size("x")))
-    return w.select("window_id", fill("token", pad).alias("tokens"), fill("flag", 0).alias("flags"))
+    first, last = F.expr(f"_before div {window}"), F.expr(f"(_before + _n - 1) div {window}")
+
+    def piece(w: Column) -> Column:
+        start = F.greatest(w * window - F.col("_before"), F.lit(0))  # in the document
+        stop = F.least((w + 1) * window - F.col("_before"), F.col("_n"))
+        at = F.greatest(F.col("_before") - w * window, F.lit(0)).cast("int")
+        return F.struct(w.alias("window_id"), F.struct(at.alias("at"), (start == 0).alias("starts"), F.slice("tokens", (start + 1).cast("int"), (stop - start).cast("int")).alias("tokens")).alias("p"))
+
+    pieces = placed.select(F.explode(F.transform(F.sequence(first, last), piece)).alias("x")).select("x.*")
+    w = pieces.groupBy("window_id").agg(F.sort_array(F.collect_list("p")).alias("x"))
+    flags = lambda p: F.concat(F.array(p["starts"].cast("int")), F.array_repeat(F.lit(0), F.size(p["tokens"]) - 1))
+    filled = lambda parts, v: F.get(F.transform(F.array(F.flatten(parts)), lambda a: F.concat(a, F.array_repeat(F.lit(v), F.lit(window) - F.size(a)))), 0)
+    return w.select("window_id", filled(F.transform("x", lambda p: p["tokens"]), pad).alias("tokens"), filled(F.transform("x", flags), 0).alias("flags"))
 
 
 def segments(windows: DataFrame) -> DataFrame:
-    """Document number of each position: the running sum of flags; equal numbers see each other."""
-    run = F.transform(F.sequence(F.lit(1), F.size("flags")), lambda i: F.aggregate(F.slice("flags", 1, i), F.lit(0), lambda a, x: a + x))
-    return windows.select("window_id", run.alias("segments"))
+    """Document number of each position: the running sum of flags; equal numbers see each other. Built from the stretches between flags."""
+
+    def numbered(starts: Column) -> Column:
+        bounds = F.concat(F.array(F.lit(0)), starts, F.array(F.size("flags")))
+        runs = lambda b: F.flatten(F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda i: F.array_repeat(i, F.get(b, i + 1) - F.get(b, i))))
+        return F.get(F.transform(F.array(bounds), runs), 0)
+
+    starts = F.filter(F.transform("flags", lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())
+    return windows.select("window_id", F.get(F.transform(F.array(starts), numbered), 0).alias("segments"))
 
 
 def same_document(segments: Column, i: Column, j: Column) -> Column:

@@ -14,8 +14,8 @@ from millrace.lineage import cut
 MAX_POINTS = 500
 #: Most nodes of a graph for which diagrams are computed.
 MAX_NODES = 800
-#: Rows of a block of the distance computation.
-BLOCK = 1024
+#: Components of all vectors of a block of the distance computation.
+BLOCK_VALUES = 1 << 19
 
 
 def centred(points: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -41,8 +41,16 @@ def projected(points: DataFrame, components: int, key: str = "vec_id", vector: s
                 g += x.T @ x
         yield pd.DataFrame({"g": [g.tobytes()]})
 
-    parts = points.select(vector).mapInPandas(gram, "g binary").collect()  # one d x d matrix per task
-    values, vectors = np.linalg.eigh(sum(np.frombuffer(r["g"]).reshape(d, d) for r in parts))
+    def add(batches):
+        total = np.zeros((d, d))
+        for b in batches:
+            for g in b["g"]:
+                total += np.frombuffer(g).reshape(d, d)
+        yield pd.DataFrame({"g": [total.tobytes()]})
+
+    parts = cut(points.select(vector).mapInPandas(gram, "g binary"))  # one matrix per task, added in a few tasks
+    sums = parts.coalesce(16).mapInPandas(add, "g binary").collect()
+    values, vectors = np.linalg.eigh(sum((np.frombuffer(r["g"]).reshape(d, d) for r in sums), np.zeros((d, d))))
     basis = vectors[:, np.argsort(-values)[: min(components, d)]].T
     basis *= np.sign(basis[np.arange(len(basis)), np.abs(basis).argmax(axis=1)])[:, None]
 
@@ -53,31 +61,34 @@ def projected(points: DataFrame, components: int, key: str = "vec_id", vector: s
     return points.select(key, project(vector).alias("v"))
 
 
-def cosine_pairs(points: DataFrame, max_distance: float | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``a, b, distance`` (a < b) by cosine, optionally only up to a distance; blocks meet pairwise, each pair of blocks one task.
+def cosine_pairs(points: DataFrame, max_distance: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``a, b, distance`` (a < b) by cosine, up to a distance; blocks meet pairwise, each pair of blocks one task.
 
-    A zero vector is at distance 1 from all.
+    All pairs are compared, so work grows with the square of the points, and what is shuffled with the
+    square over the rows of a block. A zero vector is at distance 1 from all.
     """
-    ranked = with_rank(points.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")), "id")
-    n = ranked.count()
-    blocks = max(1, -(-n // BLOCK))
-    sides = ranked.withColumn("block", F.expr(f"cast((rank - 1) div {BLOCK} as int)"))
+    ranked = with_rank(points.select(F.col(key).alias("id"), F.col(vector).alias("v")), "id")
+    n, dim = ranked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    block = max(1024, BLOCK_VALUES // max(1, dim))
+    blocks = max(1, -(-n // block))
+    sides = ranked.withColumn("block", F.expr(f"cast((rank - 1) div {block} as int)"))
     sides = sides.withColumn("pair", F.explode(F.expr(f"transform(sequence(0, {blocks - 1}), o -> least(block, o) * {blocks} + greatest(block, o))")))
 
     def meet(key_, pdf):
         pdf = pdf.sort_values("id")
-        x = np.stack(pdf["v"].to_numpy())
+        x = np.stack(pdf["v"].to_numpy()).astype(float)
         norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
         norm[norm == 0] = 1
         x, ids, block = x / norm, pdf["id"].to_numpy(), pdf["block"].to_numpy()
         low, high = key_[0] // blocks, key_[0] % blocks
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        d = 1 - np.clip(x[left] @ x[right].T, -1, 1)
-        ok = ids[left][:, None] < ids[right][None, :]
-        if max_distance is not None:
-            ok &= d <= max_distance
-        i, j = np.nonzero(ok)
-        return pd.DataFrame({"a": ids[left][i], "b": ids[right][j], "distance": d[i, j]})
+        out = []
+        for at in range(0, len(left), 1024):
+            some = left[at : at + 1024]
+            d = 1 - np.clip(x[some] @ x[right].T, -1, 1)
+            i, j = np.nonzero((ids[some][:, None] < ids[right][None, :]) & (d <= max_distance))
+            out.append(pd.DataFrame({"a": ids[some][i], "b": ids[right][j], "distance": d[i, j]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"a": [], "b": [], "distance": []})
 
     return sides.groupBy("pair").applyInPandas(meet, "a long, b long, distance double")
 
@@ -285,7 +296,8 @@ def bottleneck_pairs(diagrams_: DataFrame, pairs: DataFrame, cloud: str = "cloud
 
 
 def self_noise(diagrams_: DataFrame, cloud: str = "cloud_id") -> DataFrame:
-    """95th percentile of distances between all pairs of repeated measurements, by dimension."""
-    c = diagrams_.select(cloud).distinct()
-    pairs = c.select(F.col(cloud).alias("a")).join(c.select(F.col(cloud).alias("b")), F.col("a") < F.col("b"))
+    """95th percentile of distances between all pairs of repeated measurements, by dimension. Measurements are a handful, so their pairs are listed from one row."""
+    ids = diagrams_.agg(F.array_sort(F.collect_set(cloud)).alias("c"))
+    later = F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = ids.select(F.explode(later).alias("p")).select("p.*")
     return bottleneck_pairs(diagrams_, pairs, cloud).groupBy("dim").agg(F.percentile("distance", 0.95).alias("p95"))

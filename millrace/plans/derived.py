@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -112,10 +111,8 @@ def spread(rows: DataFrame, path: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base or derived table; readies the session for operators that run Python or cut lineage."""
+    """A base or derived table; readies the session for operators that run Python."""
     ship(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="millrace-"))
     if name in TABLES:
         rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         return spread(rows, f"{sf_dir}/{name}.parquet") if name in TEXTS else rows

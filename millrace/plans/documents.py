@@ -47,7 +47,7 @@ FEATURES = """feats AS (
     CASE WHEN len(ln) > 0 THEN len(list_filter(ln, lambda x: contains('.!?''"”’):;]', right(x, 1))))::DOUBLE / len(ln) ELSE 0.0 END AS punct,
     CASE WHEN len(w) > 0 THEN len(list_filter(wl, lambda x: list_contains([{stop}], x)))::DOUBLE / len(w) ELSE 0.0 END AS sw
   FROM (SELECT doc_id, source, text, regexp_extract_all(text, '[A-Za-z'']+') AS w, regexp_extract_all(lower(text), '[A-Za-z'']+') AS wl,
-    list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ln FROM documents) d)"""
+    list_filter(list_transform(string_split_regex(text, '{breaks}'), lambda x: regexp_replace(x, '^{space}+|{space}+$', '', 'g')), lambda x: x <> '') AS ln FROM documents) d)"""
 SCORE = "0.40*greatest(0.0, least(1.0, sw/0.45)) + 0.20*greatest(0.0, least(1.0, 1 - sym/0.1/1.5)) + 0.25*greatest(0.0, least(1.0, punct/0.95)) + 0.15*greatest(0.0, least(1.0, 1 - abs(ml - 6.5)/3.5))"
 
 
@@ -92,7 +92,7 @@ def q_relaxed_sources(spark, d):
     return D.judged(docs(spark, d), CleanConfig(relaxed_sources=("src7",))).select("doc_id", F.array_join("violations", ",").alias("violations"))
 
 
-NORMAL = "array_to_string(list_filter(list_transform(string_split(nfc_normalize(text), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
+NORMAL = "array_to_string(list_filter(list_transform(string_split_regex(nfc_normalize(text), '{breaks}'), lambda x: trim(regexp_replace(x, '{space}+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
 
 
 @query(f"SELECT doc_id, md5({NORMAL}) AS h, length({NORMAL}) AS n FROM documents")
@@ -111,7 +111,11 @@ def q_doc_hash(spark, d):
     return docs(spark, d).select("doc_id", T.doc_hash(F.col("text")).alias("hash"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text <> '') x),
+  r(doc_id, i, chunk, size) AS (SELECT doc_id, i, 0, length(line) + 1 FROM l WHERE i = 1
+    UNION ALL SELECT l.doc_id, l.i, CASE WHEN r.size + length(line) + 1 > 2000 THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN r.size + length(line) + 1 > 2000 THEN length(line) + 1 ELSE r.size + length(line) + 1 END
+    FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1)
+  SELECT doc_id, r.chunk::INT AS i, string_agg(line, chr(10) ORDER BY l.i) AS chunk FROM r JOIN l USING (doc_id, i) GROUP BY doc_id, r.chunk""")
 def q_chunks(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(T.chunks(F.col("text"), 2000)).alias("i", "chunk"))
 
@@ -228,18 +232,46 @@ def q_lsh_candidates(spark, d):
     return D.lsh_candidates(D.signatures(docs(spark, d), 4, 5, portable=True), 2, 2)
 
 
-@query()
+def _greedy(sim: str) -> str:
+    """One row after the other, by id: dropped if an earlier kept one is similar."""
+    return f"""nb AS (SELECT id, row_number() OVER (ORDER BY id) AS k, coalesce(before, []) AS before FROM (SELECT a AS id FROM {sim} UNION SELECT b FROM {sim}) i LEFT JOIN (SELECT b AS id, list(a) AS before FROM {sim} GROUP BY b) e USING (id)),
+  scan(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT nb.k, CASE WHEN list_has_any(scan.kept, nb.before) THEN scan.kept ELSE list_append(scan.kept, nb.id) END FROM scan JOIN nb ON nb.k = scan.k + 1),
+  greedy AS (SELECT id, list_contains((SELECT arg_max(kept, k) FROM scan), id) AS kept FROM nb)"""
+
+
+@query(f"WITH RECURSIVE {_SETS}, {_PAIRS}, {_greedy('sim')} SELECT id, kept FROM greedy")
 def q_near_dup_greedy(spark, d):
     return D.first_inserted_wins(D.similar_pairs(docs(spark, d)))
 
 
-@query()
+def _clean_sql(symbol: str, stop: str) -> str:
+    """The pass, step by step: length, first of equal texts, greedy near duplicates, holdout, rules, top share."""
+    sets = _SETS.replace("FROM documents)", "FROM fresh)")
+    tainted = f"""hs AS ({_shingles('benchmark', 'item_id')}), hn AS (SELECT item_id, count(*) AS n FROM hs GROUP BY item_id),
+  tainted AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, item_id, count(*) AS c FROM sh JOIN hs USING (s) GROUP BY 1, 2) x JOIN cn USING (doc_id) JOIN hn USING (item_id)
+    WHERE c::DOUBLE / (cn.n + hn.n - c) >= 0.8 AND doc_id IN (SELECT doc_id FROM distinct_docs))"""
+    rules = _broken(symbol).replace("sw < 0.3", f"sw < {stop}")
+    return f"""WITH RECURSIVE long AS (SELECT * FROM documents WHERE length(text) >= 500), fresh AS (SELECT * FROM long WHERE doc_id IN (SELECT min(doc_id) FROM long GROUP BY sha256(text))),
+  {sets}, {_PAIRS}, {_greedy('sim')}, distinct_docs AS (SELECT * FROM fresh WHERE doc_id NOT IN (SELECT id FROM greedy WHERE NOT kept)), {tainted},
+  guarded_docs AS (SELECT * FROM distinct_docs WHERE doc_id NOT IN (SELECT doc_id FROM tainted)), {FEATURES.replace('FROM documents) d', 'FROM guarded_docs) d')},
+  guarded AS (SELECT doc_id, source, sha256(text) AS hash, {SCORE.replace('sym/0.1/', f'sym/{symbol}/')} AS score, {rules} AS violations FROM feats), passed AS (SELECT * FROM guarded WHERE len(violations) = 0),
+  kept AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r, count(*) OVER () AS m FROM passed) x WHERE r <= greatest(1, round_even(0.8 * m, 0)))"""
+
+
+@query(f"{_clean_sql('0.35', '0.02')} SELECT doc_id, source, hash, round(score, 6) AS score FROM kept")
 def q_clean_pass(spark, d):
     kept, _ = D.clean(docs(spark, d), table(spark, d, "benchmark"), None, CleanConfig(symbol_max=0.35, stop_min=0.02))
     return kept.select("doc_id", "source", "hash", F.round("score", 6).alias("score"))
 
 
-@query()
+def _fewer(reason: str, before: str, after: str) -> str:
+    return f"SELECT '{reason}' AS reason, (SELECT count(*) FROM {before}) - (SELECT count(*) FROM {after}) AS n"
+
+
+@query(
+    f"{_clean_sql('0.1', '0.3')} SELECT reason, count(*) AS n FROM (SELECT unnest(violations) AS reason FROM guarded) x GROUP BY reason UNION ALL "
+    + " UNION ALL ".join((_fewer("length", "documents", "long"), _fewer("exact", "long", "fresh"), _fewer("near", "fresh", "distinct_docs"), "SELECT 'holdout', (SELECT count(*) FROM tainted)", _fewer("quantile", "passed", "kept")))
+)
 def q_clean_discards(spark, d):
     return D.clean(docs(spark, d), table(spark, d, "benchmark"))[1]
 
@@ -296,7 +328,12 @@ def q_replay(spark, d):
     return S.replay(named, 0.5, 3, F.col("source") == "src0", score=F.md5(F.concat(F.lit("3:"), F.col("doc_id").cast("string")).cast("binary"))).select("doc_id")
 
 
-@query()
+# crc32 bit by bit over the bytes of an ASCII name: every ninth step takes a byte in, the others shift
+_CRC = """xor(list_reduce(range(9 * length(name)), lambda c, j: CASE WHEN j % 9 = 0 THEN xor(c, ascii(substr(name, (j // 9)::INT + 1, 1))::BIGINT) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, 4294967295::BIGINT), 4294967295)"""
+
+
+@query(f"""WITH n AS (SELECT doc_id, doc_id || '.txt' AS name FROM documents WHERE source <> 'src0'), h AS (SELECT doc_id, row_number() OVER (ORDER BY xor({_CRC}, (3 * 2654435769) % 4294967296), name) AS k, count(*) OVER () AS n FROM n)
+  SELECT doc_id FROM h WHERE k <= round_even(0.5 * n, 0) UNION ALL SELECT doc_id FROM documents WHERE source = 'src0'""")
 def q_replay_crc(spark, d):
     named = docs(spark, d).select("doc_id", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"))
     return S.replay(named, 0.5, 3, F.col("source") == "src0").select("doc_id")
@@ -307,13 +344,16 @@ def q_subsample(spark, d):
     return S.seeded_sample(table(spark, d, "embeddings").select("vec_id"), 100, 42, "vec_id")
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT doc_id AS name, strlen(text) AS bytes, row_number() OVER (ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) AS k FROM documents),
+  s(k, name, bytes, taken, room) AS (SELECT 0::BIGINT, NULL::BIGINT, 0::BIGINT, false, 1000000::BIGINT
+    UNION ALL SELECT f.k, f.name, f.bytes, f.bytes <= s.room, s.room - CASE WHEN f.bytes <= s.room THEN f.bytes ELSE 0 END FROM s JOIN f ON f.k = s.k + 1)
+  SELECT name, bytes FROM s WHERE taken""")
 def q_budget_sample(spark, d):
     sized = docs(spark, d).select(F.col("doc_id").alias("name"), F.octet_length("text").alias("bytes"))
     return S.budgeted(sized, 1_000_000, 42)
 
 
-@query("""WITH p AS (SELECT DISTINCT trim(s) AS sentence FROM (SELECT unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM documents) x)
+@query("""WITH p AS (SELECT DISTINCT regexp_replace(s, '^{space}+|{space}+$', '', 'g') AS sentence FROM (SELECT unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM documents) x)
   SELECT sentence FROM p WHERE length(sentence) >= 40 AND len(list_filter(string_split_regex(sentence, '\\s+'), lambda x: x <> '')) BETWEEN 8 AND 256 ORDER BY md5('42:' || sentence), sentence LIMIT 256""")
 def q_probe_sentences(spark, d):
     return S.probe_sentences(docs(spark, d), 256, 42)
@@ -347,19 +387,29 @@ def q_doc_mask_segments(spark, d):
     return s.select("window_id", F.element_at("segments", -1).alias("last_segment"), F.aggregate("segments", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-def _triplet_sql() -> str:
+def _lemma_sql(verb: str) -> str:
+    known = " ".join(f"WHEN '{n}' THEN '{rel}'" for rel, names in facts.ALIASES.items() if rel != "is_a" for n in names)
+    cases = " ".join(
+        f"WHEN regexp_matches({verb}, '{p}') THEN " + (f"regexp_replace({verb}, '{p}', '{instead}')" if instead is not None else f"left({verb}, length({verb}) - 3)") for p, instead in facts.ENDINGS
+    )
+    return f"CASE {verb} {known} ELSE CASE {cases} ELSE {verb} END END"
+
+
+def _triplet_sql(key: str = "doc_id", source: str = "documents") -> str:
     norm = lambda x: f"trim(regexp_replace(lower(trim({x})), '^((the|a|an|his|her|its|their) )+', ''))"
     valid = lambda x: f"length({x}) BETWEEN 2 AND 60 AND {x} NOT IN ({', '.join(repr(p) for p in T.PRONOUNS)}) AND regexp_matches({x}, '[\\p{{L}}\\p{{N}}]')"
     parts = []
-    for name, pattern, conf in facts.PATTERNS:
-        g = [f"regexp_extract_all(text, '{pattern}', {i})" for i in range(1, 4 if name == "passive" else 3)]
-        cols = ", ".join(f"unnest({x}) AS g{i}" for i, x in enumerate(g))
-        sub, rel, obj = ("g2", "lower(g1)", "g0") if name == "passive" else ("g0", "'is_a'", "g1")
-        parts.append(f"SELECT doc_id, {norm(sub)} AS sub, {rel} AS rel, {norm(obj)} AS obj, {conf}::DOUBLE AS conf FROM (SELECT doc_id, {cols} FROM documents) x")
+    for k, (name, pattern, conf) in enumerate(facts.PATTERNS):
+        verbal = name in ("passive", "active")
+        g = [f"regexp_extract_all(text, '{pattern}', {i})" for i in range(1, 4 if verbal else 3)]
+        cols = ", ".join(f"unnest({x}) AS g{i}" for i, x in enumerate(g)) + f", generate_subscripts({g[0]}, 1) - 1 AS pos"
+        sub, rel, obj = ("g2" if name == "passive" else "g0", _lemma_sql("lower(g1)"), "g0" if name == "passive" else "g2") if verbal else ("g0", "'is_a'", "g1")
+        but = f" WHERE lower(g1) NOT IN ({', '.join(map(repr, facts.NO_VERBS))})" if name == "active" else ""
+        parts.append(f"SELECT {key}, {norm(sub)} AS sub, {rel} AS rel, {norm(obj)} AS obj, {conf}::DOUBLE AS conf, {k} AS part, pos FROM (SELECT {key}, {cols} FROM {source}) x{but}")
     return f"SELECT * FROM ({' UNION ALL '.join(parts)}) t WHERE {valid('sub')} AND {valid('obj')}"
 
 
-@query(_triplet_sql())
+@query(f"SELECT doc_id, sub, rel, obj, conf FROM ({_triplet_sql()}) x")
 def q_regex_triplets(spark, d):
     return facts.extract(docs(spark, d))
 
@@ -369,11 +419,20 @@ def q_document_relations(spark, d):
     return R.relation_histogram(facts.extract(docs(spark, d)))
 
 
-@query()
+_HASHED = "(SELECT sha256(text) AS source_doc_hash, text FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM benchmark)) h"
+_CORPUS = f"SELECT sub, rel, obj, conf, source_doc_hash, left(source_doc_hash, 12) || '-' || part || '-' || pos AS triplet_id, row_number() OVER (ORDER BY source_doc_hash, part, pos) AS ord FROM ({_triplet_sql('source_doc_hash', _HASHED)}) x"
+
+
+@query(_CORPUS)
 def q_corpus_triplets(spark, d):
     return facts.extract_corpus(docs(spark, d), table(spark, d, "benchmark"))
 
 
+@query(f"SELECT count(DISTINCT source_doc_hash) AS docs, count(*) AS triplets, count(DISTINCT rel) AS relations FROM ({_CORPUS}) x")
+def q_corpus_stats(spark, d):
+    return facts.corpus_stats(facts.extract_corpus(docs(spark, d), table(spark, d, "benchmark")))
+
+
 @query("SELECT page_id, e, length(e) BETWEEN 2 AND 60 AND e NOT IN (" + ", ".join(repr(p) for p in T.PRONOUNS) + ") AND regexp_matches(e, '[\\p{L}\\p{N}]') AS valid FROM (SELECT page_id, trim(regexp_replace(lower(trim('The ' || url)), '^((the|a|an|his|her|its|their) )+', '')) AS e FROM pages) x")
 def q_entities(spark, d):
     e = table(spark, d, "pages").select("page_id", T.normalize_entity(F.concat(F.lit("The "), "url")).alias("e"))
@@ -393,5 +452,5 @@ def q_conversation_checks(spark, d):
 
 def oracles() -> dict[str, str]:
     stop = _stop_sql()
-    return {k: v.replace("{stop}", stop) for k, v in ORACLES.items()}
+    return {k: v.replace("{stop}", stop).replace("{breaks}", T.BREAKS).replace("{space}", T.SPACE) for k, v in ORACLES.items()}
 

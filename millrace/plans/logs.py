@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from millrace.config import FACTS, GATE, GraphConfig
@@ -95,14 +97,19 @@ def q_graph_export(spark, d):
     return facts.export_graph(*_conflicts(spark, d))
 
 
+# facts in order, one after the other, until the graph is full: one that would bring it over 300 nodes is refused
+_CAPPED = """, f AS (SELECT sub, obj, row_number() OVER (ORDER BY ord) AS k FROM triplets),
+  g(k, nodes) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT f.k, CASE WHEN len(list_distinct(list_concat(g.nodes, [f.sub, f.obj]))) <= 300 THEN list_distinct(list_concat(g.nodes, [f.sub, f.obj])) ELSE g.nodes END
+    FROM g JOIN f ON f.k = g.k + 1 WHERE len(g.nodes) < 300), top AS (SELECT unnest(arg_max(nodes, k)) AS node FROM g)"""
+
+
 @query(
-    cte("triplets")
-    + """, seen AS (SELECT node, min(ord) AS o FROM (SELECT sub AS node, ord FROM triplets UNION ALL SELECT obj, ord FROM triplets) x GROUP BY node), top AS (SELECT node FROM seen ORDER BY o, node LIMIT 300)
-  SELECT sub, obj, arg_min(rel, ord) AS rel, count(*) AS facts, round(sum(conf), 6) AS conf FROM triplets WHERE sub IN (SELECT node FROM top) AND obj IN (SELECT node FROM top) GROUP BY sub, obj"""
+    cte("triplets").replace("WITH ", "WITH RECURSIVE ", 1)
+    + _CAPPED
+    + """SELECT sub, obj, arg_min(rel, ord) AS rel, count(*) AS facts, round(sum(conf), 6) AS conf, count(DISTINCT source_doc_hash) AS docs FROM triplets WHERE sub IN (SELECT node FROM top) AND obj IN (SELECT node FROM top) GROUP BY sub, obj"""
 )
 def q_entity_graph(spark, d):
-    g = facts.entity_graph(table(spark, d, "triplets"), 300)
-    return g.select("sub", "obj", "rel", F.size("conf").cast("long").alias("facts"), F.round(F.aggregate("conf", F.lit(0.0), lambda a, x: a + x), 6).alias("conf"))
+    return facts.entity_graph(table(spark, d, "triplets"), 300).withColumn("conf", F.round("conf", 6))
 
 
 _GRAPH = """, sure AS (SELECT sub AS u, obj AS v, conf, triplet_id FROM links WHERE coalesce(rel, 'is_a') = 'is_a' AND conf >= 0.6),
@@ -211,6 +218,14 @@ def q_bottleneck(spark, d):
     return topology.bottleneck_pairs(g, pairs)
 
 
+@query()
+def q_self_noise(spark, d):
+    """Five repeated measurements: seeded samples of MAX_POINTS vectors (all, if there are fewer)."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    clouds = [splits.seeded_sample(e, topology.MAX_POINTS, seed, "vec_id").select(F.lit(seed).cast("long").alias("cloud_id"), F.col("embedding").alias("x")) for seed in range(5)]
+    return topology.self_noise(topology.diagrams(reduce(lambda a, b: a.unionByName(b), clouds), max_dim=1, cosine=True))
+
+
 @query()
 def q_graph_persistence(spark, d):
     # the feature is bounded by its graph: the strongest nodes only
@@ -368,7 +383,10 @@ def q_robots(spark, d):
     return crawl.allowed(pages, rules).select("page_id")
 
 
-@query()
+_PARTS = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::HUGEINT) AS s{i}" for i in range(4))
+
+
+@query(f"SELECT source, sha256(n || '-' || s0 || '-' || s1 || '-' || s2 || '-' || s3) AS treatment_sha256 FROM (SELECT source, count(*) AS n, {_PARTS} FROM (SELECT source, sha256(doc_id || chr(9) || strlen(text)) AS h FROM documents) x GROUP BY source) y")
 def q_treatment_hash(spark, d):
     return gates.inventory_hash(table(spark, d, "documents").select("source", F.col("doc_id").alias("name"), F.octet_length("text").alias("bytes")), "source")
 
@@ -381,7 +399,20 @@ def q_dup_flood(spark, d):
     return gates.dup_flood(ranked, 0.9).select("i", "doc_id", "copy")
 
 
-@query()
+_DRAWS = ", ".join(f"('0x' || substr(md5('42:{j}:' || id), 1, 8))::BIGINT % (k - {j}) AS d{j}" for j in range(3))
+
+
+@query(
+    cte("triplets")
+    + f""", deg AS (SELECT node, count(*) AS d FROM (SELECT unnest([sub, obj]) AS node FROM triplets WHERE rel = 'is_a') x GROUP BY node ORDER BY d DESC, node LIMIT 800),
+  top AS (SELECT node, row_number() OVER (ORDER BY d DESC, node) - 1 AS i, count(*) OVER () AS k FROM deg), n AS (SELECT DISTINCT k FROM top WHERE k >= 3),
+  draws AS (SELECT id, {_DRAWS} FROM n, range((SELECT least(600, greatest(50, k // 2)) FROM n)) t(id)),
+  two AS (SELECT id, d0 AS p0, d1 + (d1 >= d0)::INT AS p1, d2 FROM draws),
+  picks AS (SELECT id, p0, p1, list_filter(range(800), lambda x: x <> p0 AND x <> p1)[d2 + 1] AS p2 FROM two),
+  sides AS (SELECT id, unnest([[p0, p1], [p1, p2], [p2, p0]]) AS s, unnest([0, 1, 2]) AS e FROM picks)
+  SELECT sub, rel, obj, conf, triplet_id, false AS planted FROM triplets
+  UNION ALL SELECT a.node, 'is_a', b.node, 0.99::DOUBLE, 'planted-' || id || '-' || e, true FROM sides JOIN top a ON a.i = s[1] JOIN top b ON b.i = s[2]"""
+)
 def q_contradiction_flood(spark, d):
     return gates.contradiction_flood(table(spark, d, "triplets"), 800, 42)
 

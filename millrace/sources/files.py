@@ -10,7 +10,8 @@ TRIPLETS = "sub string, rel string, obj string, conf double, source_doc_hash str
 CRAWL_LOG = "url string, status int, bytes long, ts double, note string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or any that a pattern matches, is there."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
     return found is not None and len(found) > 0
@@ -24,7 +25,7 @@ def raw_files(spark: SparkSession, root: str) -> DataFrame:
 
 def tolerant_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows that parse; blank and broken lines are skipped, a missing file is an empty table."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     wide = T.StructType.fromDDL(schema).add("_corrupt_record", T.StringType())
     lines = spark.read.text(path).where("trim(value) <> ''").select(F.from_json("value", wide, {"mode": "PERMISSIVE"}).alias("r"))
@@ -33,7 +34,7 @@ def tolerant_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def strict_triplets(spark: SparkSession, path: str) -> DataFrame:
     """All triplets; a broken line fails the read, a missing file is empty, a missing document hash is blank."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], TRIPLETS)
     rows = spark.read.schema(TRIPLETS).option("mode", "FAILFAST").json(path)
     return rows.withColumn("source_doc_hash", F.coalesce("source_doc_hash", F.lit("")))
@@ -74,7 +75,7 @@ def read_windows(spark: SparkSession, path: str, start: int, stop: int) -> DataF
 def cached_diagrams(spark: SparkSession, root: str, tensor_sha256: str, compute) -> DataFrame:
     """Diagrams stored under the hash of their tensor; computed and stored if absent."""
     path = f"{root}/tensor_sha256={tensor_sha256}"
-    if not _exists(spark, f"{path}/_SUCCESS"):
+    if not exists(spark, f"{path}/_SUCCESS"):
         compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

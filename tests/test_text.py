@@ -78,3 +78,27 @@ def test_signature_matches_md5(spark):
 
     sig = one(spark, ["x y", "y z"], lambda c: M.signature(c, 3), "array<string>")
     assert sig == [min(int(hashlib.md5(f"{s}:{g}".encode()).hexdigest()[:8], 16) for g in ("x y", "y z")) for s in range(3)]
+
+
+def test_lines_and_white_space_of_any_kind(spark):
+    assert one(spark, "One.\r\nTwo.\t\r\n \u00a0\x0b\x1c three!\u2028", Q.punct_line_frac) == 1.0
+    assert one(spark, "a\u00a0\u3000b\r\nc\x0bd\x85e", T.normalize) == "a b\nc\nd\ne"
+    assert one(spark, "\u2003x y\u00a0\x1f", T.strip) == "x y"
+
+
+def test_repair():
+    cases = {
+        "cafÃ© dÃ©jÃ\u00a0 vu": "café déjà vu", "â€œquotedâ€\u009d itâ€™s": '"quoted" it\'s', "é\u00a0» fin": "é\u00a0» fin", "NÃO São": "NÃO São", "a &amp; b": "a & b", "<p>a &amp; b</p>": "<p>a &amp; b</p>",
+        "ﬁne ＡＢ": "fine AB", "\x1b[31mred\x1b[0m\x00": "red", "Ã\u0083Â©": "é", "e\u0301": "é", "plain": "plain", "": "",
+    }
+    assert {x: T.repair(x) for x in cases} == cases
+
+
+def test_extractors_can_be_replaced(spark):
+    page = "<div><p>body</p></div>"
+    fails = T.guarded(lambda p: 1 / 0)
+    assert one(spark, page, lambda c: T.extract_main(c, fails, T.pattern_text)) == "body"
+    assert one(spark, page, lambda c: T.extract_main(c, T.guarded(lambda p: " mine "), fails)) == "mine"
+    assert one(spark, page, lambda c: T.extract_main(c, T.guarded(lambda p: "  "), fails)) is None
+    assert one(spark, "<nav>only this</nav>", lambda c: T.extract_main(c, T.pattern_text, T.tag_free_text)) == "only this"
+    assert one(spark, "captcha", lambda c: T.extract_main(c, T.guarded(lambda p: "x"))) is None
