@@ -292,7 +292,9 @@ def _grouped(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> Dat
     pivot = F.min(F.struct("pivot", "pivot_n")).alias("p")
     shared = regions.where(F.col("region") >= 1 << 62).groupBy("region").agg(pivot)  # a few rows a range
     wanted = classes.join(regions.select("doc").distinct(), "doc", "left_semi").select("lead.did", "lead.th", "doc")
-    some = marked(docs.select(*row_keys(), "text"), ["did", "th"], wanted).where("_maybe").drop("_maybe").dropDuplicates(["did", "th"])
+    some = marked(docs.select(*row_keys(), "text"), ["did", "th"], wanted).where("_maybe").drop("_maybe")
+    if base.groupBy("did", "th").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count():
+        some = some.dropDuplicates(["did", "th"])  # rows that repeat an id and a text
     texts = scratch.keep(some.join(wanted, ["did", "th"]).select("doc", "text"))
 
     whole = regions.join(F.broadcast(shared), "region", "left").select(F.coalesce("p.pivot", "pivot").alias("a"), F.coalesce("p.pivot_n", "pivot_n").alias("na"), F.col("doc").alias("b"), "n")

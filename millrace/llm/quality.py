@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, bound_batches, with_keys
+from millrace.llm.common import Scratch, bound_batches, marked
 from millrace.llm.language import fold
 
 #: Random features, width of the Gaussian kernel over standardised statistics, ridge weight, bins of scores for calibration.
@@ -212,8 +212,9 @@ def good_documents(docs: DataFrame, labels: DataFrame, scratch: Scratch | None =
     bound_batches(spark)
     scratch = scratch or Scratch(spark, "quality")
     known = _known(labels)
-    taught = with_keys(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text"), ["doc_id"], known).join(known, "doc_id").select("doc_id", "text", "y", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("part"))
-    labelled = scratch.keep(_measured(taught, "y double, part long"))
+    some = marked(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text"), ["doc_id"], known).where("_maybe").select("doc_id", "text")
+    measured = _measured(some, "doc_id long")  # before the join, so that no text is shuffled
+    labelled = scratch.keep(measured.join(known, "doc_id").select("stats", "y", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("part")))
     model = spark.sparkContext.broadcast(_fit(labelled, scratch))
     scratch.drop(labelled)
 
