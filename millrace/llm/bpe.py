@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bound_batches
+from millrace.llm.common import bound_batches, trim
 
 #: Fixed values of the byte-level format: bytes written as themselves, and its pre-split pattern.
 PLAIN = ((33, 126), (161, 172), (174, 255))
@@ -424,6 +424,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                     waiting, size = [], 0
             ids += bpe.encode_all(waiting)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([bpe.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
+        bpe.chunks.clear()
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
 

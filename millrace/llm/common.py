@@ -3,34 +3,41 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.lineage import shared_folder
 from millrace.ship import ship
 
 #: Rows and bytes of one Arrow batch handed to Python; bounds a worker's memory whatever the text lengths.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 _tables: list[tuple[SparkSession, str]] = []
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Ready a session for Python workers: they get this package, and small Arrow batches, since one document may be very long."""
+def bound_batches(spark: SparkSession) -> None:
+    """Ready a session for Python workers: they get this package, and small Arrow batches, since one document may be very long.
+
+    The bounds are the session's and the same for all operators, so plans that run later keep them.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
-    if not found:
-        found = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def trim() -> None:
+    """At the end of a task: gives memory that a worker holds but does not use back to the system, since workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -46,7 +53,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex[:12]}", 0
+        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/millrace-{name}-{uuid.uuid4().hex[:12]}", 0
         self.paths: dict[int, str] = {}
         _tables.append((spark, self.root))
 

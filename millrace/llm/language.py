@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, bound_batches
+from millrace.llm.common import Scratch, bound_batches, trim
 
 #: Buckets of hashed byte trigrams, centroids per language, distinct labelled texts per language that fit them (bounded sample), bits of the hash that picks them.
 BUCKETS, CENTROIDS, PER_LANGUAGE, HASH_BITS = 8192, 4, 400, 62
@@ -190,6 +190,7 @@ def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
             got = [held.value.predict(t) for t in b.column("text").to_pylist()]
             columns = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, "lang_pred", "lang_score", "rejected"])
+        trim()
 
     return keep.mapInArrow(run, schema)
 

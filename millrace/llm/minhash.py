@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NO_ID, Scratch, bound_batches, components, extended, marked, row_keys, without_keys
+from millrace.llm.common import NO_ID, Scratch, bound_batches, components, extended, marked, row_keys, trim, without_keys
 
 #: Labels (sorted orders), values that neighbours share at least and at most, and the size from which a region goes deeper.
 TREES, MIN_DEPTH, MAX_DEPTH, DENSE = 20, 4, 6, 64
@@ -99,6 +99,8 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
                     sigs.append(sign(s))
             yield pa.RecordBatch.from_arrays([b.column("did"), b.column("th"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["did", "th", "n", "digest", "sig"])
         _hash.clear()
+        seen.clear()
+        trim()
 
     return docs.select(*row_keys(), "text").mapInArrow(run, "did long, th long, n long, digest binary, sig binary")
 
@@ -186,6 +188,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
                     out.append((a, c))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
         _hash.clear()
+        kept.clear()
+        trim()
 
     both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import Ranked, compiled
-from millrace.llm.common import bound_batches
+from millrace.llm.common import bound_batches, trim
 
 #: Capacity of a sequence, the id that ends each document, and the part of a bin that may stay empty before a length is cut.
 CAPACITY, END_ID, SLACK = 2048, 1, 1 / 128
@@ -116,6 +116,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
                     yield batch(rows)
                     rows = []
         yield batch(rows + bins.finish())
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{f} long" for f in FIELDS))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NO_ID, Scratch, bound_batches, row_keys, with_keys, without_keys
+from millrace.llm.common import NO_ID, Scratch, bound_batches, row_keys, trim, with_keys, without_keys
 
 #: Kinds in the order of ties.
 KINDS = ("email", "ip", "card", "phone")
@@ -200,6 +200,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                             rows, mentions, held = [], [], 0
                 rows.append((did, th, spans, mentions))
             yield batch(rows)
+        trim()
 
     def batch(rows):
         types = pa.int64(), pa.int64(), pa.list_(_SPAN), pa.list_(_MENTION)
@@ -313,6 +314,7 @@ def redact(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
             if "n_chars" in names:
                 new["n_chars"] = pa.array([None if t is None else len(t) for t in texts]).cast(b.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in names], names)
+        trim()
 
     return every.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
 

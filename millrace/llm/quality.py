@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, bound_batches, marked
+from millrace.llm.common import Scratch, bound_batches, marked, trim
 from millrace.llm.language import fold
 
 #: Random features, width of the Gaussian kernel over standardised statistics, ridge weight, bins of scores for calibration.
@@ -167,6 +167,7 @@ def _measured(docs: DataFrame, columns: str) -> DataFrame:
         for b in batches:
             stats = [np.array(statistics(t)).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(stats, pa.binary())], [*names, "stats"])
+        trim()
 
     return docs.mapInArrow(measure, f"{columns}, stats binary")
 
@@ -223,6 +224,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, scratch: Scratch | None =
             if b.num_rows:
                 score = model.value.score(np.array([statistics(t) for t in b.column("text").to_pylist()]))
                 yield b.filter(pa.array(score >= CUT))
+        trim()
 
     return docs.mapInArrow(judge, docs.schema)
 
