@@ -55,6 +55,8 @@ class GraphConfig:
     top_nodes: int = 800
     max_len: int = 5
     max_cycles: int = 10_000
+    #: edges that the census may try; beyond, its count is a floor
+    max_work: int = 2_000_000
 
 
 CLEAN, FACTS, GATE, GRAPH = CleanConfig(), FactConfig(), GateConfig(), GraphConfig()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.config import GRAPH, GraphConfig
+from millrace.lineage import cut
 
 
 def build(triplets: DataFrame, cfg: GraphConfig = GRAPH) -> DataFrame:
@@ -23,27 +24,59 @@ def build(triplets: DataFrame, cfg: GraphConfig = GRAPH) -> DataFrame:
     return edges.join(F.broadcast(top.withColumnRenamed("node", "u")), "u", "left_semi").join(F.broadcast(top.withColumnRenamed("node", "v")), "v", "left_semi").select("u", "v", "conf", "triplet_id")
 
 
+def _steps(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Paths of two nodes from their smaller one, the steps that a path may take, and the edges that close one."""
+    e = edges.where("u <> v").select("u", "v", "conf")
+    paths = e.where("u < v").select(F.col("u").alias("s"), F.col("v").alias("t"), F.array("u", "v").alias("path"), "conf")
+    step, back = e.select(F.col("u").alias("t"), F.col("v").alias("n"), F.col("conf").alias("c")), e.select(F.col("u").alias("t"), F.col("v").alias("s"), F.col("conf").alias("c"))
+    return paths, step, back
+
+
+def _closed(paths: DataFrame, back: DataFrame) -> DataFrame:
+    return paths.join(back, ["t", "s"]).select("path", F.least("conf", "c").alias("min_conf"))
+
+
+def _grown(paths: DataFrame, step: DataFrame) -> DataFrame:
+    longer = paths.join(step, "t").where((F.col("n") > F.col("s")) & ~F.array_contains("path", F.col("n")))
+    return longer.select("s", F.col("n").alias("t"), F.concat("path", F.array("n")).alias("path"), F.least("conf", "c").alias("conf"))
+
+
 def cycles(edges: DataFrame, cfg: GraphConfig = GRAPH) -> DataFrame:
     """``path, min_conf`` of the simple directed cycles of 2 to max_len nodes, each from its smallest node.
 
     Paths grow one join at a time and only through larger nodes, so each cycle is met once.
     """
-    e = edges.where("u <> v").select("u", "v", "conf")
-    paths = e.where("u < v").select(F.col("u").alias("s"), F.col("v").alias("t"), F.array("u", "v").alias("path"), "conf")
-    step, back, found = e.select(F.col("u").alias("t"), F.col("v").alias("n"), F.col("conf").alias("c")), e.select(F.col("u").alias("t"), F.col("v").alias("s"), F.col("conf").alias("c")), []
+    paths, step, back = _steps(edges)
+    found = []
     for length in range(2, cfg.max_len + 1):
-        found.append(paths.join(back, ["t", "s"]).select("path", F.least("conf", "c").alias("min_conf")))
+        found.append(_closed(paths, back))
         if length < cfg.max_len:
-            grown = paths.join(step, "t").where((F.col("n") > F.col("s")) & ~F.array_contains("path", F.col("n")))
-            paths = grown.select("s", F.col("n").alias("t"), F.concat("path", F.array("n")).alias("path"), F.least("conf", "c").alias("conf"))
+            paths = _grown(paths, step)
     return reduce(DataFrame.unionByName, found)
 
 
 def census(edges: DataFrame, cfg: GraphConfig = GRAPH) -> DataFrame:
-    """One row: cycles counted up to the cap, whether it was reached, and the first 50 for an audit."""
-    listed = cycles(edges, cfg).orderBy(F.size("path"), "path", F.desc("min_conf")).limit(cfg.max_cycles)
+    """One row: cycles counted up to the cap, whether it or the bound of work was reached, and the first 50 for an audit.
+
+    Before paths grow, the edges that they would try are counted; where that exceeds ``max_work`` in
+    all, longer cycles are not looked for, so the count is a floor and ``truncated`` says so.
+    """
+    edges = cut(edges)
+    paths, step, back = _steps(edges)
+    degree = cut(step.groupBy("t").agg(F.count("*").alias("d")))
+    found, work, stopped = [], edges.count(), False
+    for length in range(2, cfg.max_len + 1):
+        work += paths.join(degree, "t").agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0]
+        stopped = work > cfg.max_work
+        if stopped and length > 2:
+            break
+        found.append(_closed(paths, back))
+        if stopped or length == cfg.max_len:
+            break
+        paths = cut(_grown(paths, step))
+    listed = reduce(DataFrame.unionByName, found).orderBy(F.size("path"), "path", F.desc("min_conf")).limit(cfg.max_cycles)
     sample = F.slice(F.array_sort(F.collect_list(F.struct(F.size("path").alias("n"), "path", "min_conf"))), 1, 50)
-    return listed.agg(F.count("*").alias("count"), (F.count("*") >= cfg.max_cycles).alias("truncated"), sample.alias("sample"))
+    return listed.agg(F.count("*").alias("count"), (F.lit(stopped) | (F.count("*") >= cfg.max_cycles)).alias("truncated"), sample.alias("sample"))
 
 
 def triangles(edges: DataFrame, exclude_self_loops: bool = False) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +52,28 @@ def first_documents(docs: DataFrame, name: str, limit: int = 10_000) -> DataFram
     return docs.orderBy(name).limit(limit)
 
 
+def round_diversity(docs: DataFrame, round_id: int, name: str = "doc_id", limit: int = 10_000) -> DataFrame:
+    """``round_id, ratio``: the bigram ratio of a round's first documents by name, one row to append to the log of rounds."""
+    return bigram_ratio(first_documents(docs, name, limit), key=name).select(F.lit(round_id).alias("round_id"), "ratio")
+
+
+def token_counts(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` with ``tokens, words`` of every whole text instead of it: ids by a tokenizer's file, and white-space words. A null text has none of either."""
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        for texts in batches:
+            yield pd.Series([len(tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts], dtype="int64")
+
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+", -1), lambda x: x != "")).cast("long")
+    return docs.select(*[c for c in docs.columns if c not in ("text", "tokens", "words")], count("text").alias("tokens"), words.alias("words"))
+
+
 def fertility(tokens: Column, words: Column) -> Column:
     """Tokens per word; infinite without words. Both are aggregates."""
     return F.when(words > 0, tokens / words).otherwise(F.lit(float("inf")))

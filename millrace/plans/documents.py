@@ -239,6 +239,12 @@ def _greedy(sim: str) -> str:
   greedy AS (SELECT id, list_contains((SELECT arg_max(kept, k) FROM scan), id) AS kept FROM nb)"""
 
 
+@query()
+def q_lsh_production(spark, d):
+    """128 permutations in the bands that fit a similarity of 0.8; xxhash64 has no SQL, a test holds it against brute force."""
+    return D.lsh_candidates(D.signatures(docs(spark, d), 128, 5), *D.best_bands(128, 0.8))
+
+
 @query(f"WITH RECURSIVE {_SETS}, {_PAIRS}, {_greedy('sim')} SELECT id, kept FROM greedy")
 def q_near_dup_greedy(spark, d):
     return D.first_inserted_wins(D.similar_pairs(docs(spark, d)))
@@ -302,6 +308,14 @@ def q_fertility(spark, d):
     return docs(spark, d).groupBy("source").agg(F.round(R.fertility(F.sum(F.length("text")), F.sum(words)), 6).alias("fertility"))
 
 
+@query()
+def q_token_fertility(spark, d):
+    import public_tokenizers
+
+    counted = R.token_counts(docs(spark, d).select("source", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words"), F.round(R.fertility(F.sum("tokens"), F.sum("words")), 6).alias("fertility"))
+
+
 _RANKED = "r AS (SELECT doc_id, row_number() OVER (ORDER BY sha256(text), doc_id) AS k, count(*) OVER () AS n FROM documents)"
 
 
@@ -450,6 +464,27 @@ def q_conversation_checks(spark, d):
     return e.select("id.conv_id", F.replace(F.col("error"), F.lit("duplicate id"), F.lit("duplicate turn")).alias("error"))
 
 
+@query("""SELECT id, error FROM (SELECT conv_id AS id, 'duplicate id' AS error FROM conversations GROUP BY conv_id HAVING count(*) > 1
+  UNION ALL SELECT conv_id, unnest(CASE WHEN turn % 3 = 0 THEN ['missing role', 'missing review_note'] ELSE ['missing review_note'] END) FROM conversations) x""")
+def q_suite_errors(spark, d):
+    # conversations as prompts: an id repeats with every turn, some lack a role, all lack the note
+    from millrace.operators.gates import suite_errors
+
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.when(F.col("turn") % 3 != 0, F.col("role")).alias("role"), F.col("text").alias("prompt"))
+    return suite_errors(c, ("id", "role", "prompt", "review_note"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN turn::VARCHAR ELSE '40' END AS top_k, '0.9' AS top_p, CASE WHEN turn % 3 = 0 THEN role END AS own FROM conversations")
+def q_overrides(spark, d):
+    from millrace.operators.gates import with_overrides
+
+    text = lambda c: F.col(c).cast("string")
+    own = F.when(F.col("turn") % 2 == 0, F.create_map(F.lit("top_k"), text("turn")))
+    own = F.when(F.col("turn") % 3 == 0, F.map_concat(F.coalesce(own, F.create_map().cast("map<string,string>")), F.create_map(F.lit("own"), text("role")))).otherwise(own)
+    p = with_overrides(F.create_map(F.lit("top_k"), F.lit("40"), F.lit("top_p"), F.lit("0.9")), own)
+    return table(spark, d, "conversations").select("conv_id", "turn", p.alias("p")).select("conv_id", "turn", *[F.try_element_at("p", F.lit(k)).alias(k) for k in ("top_k", "top_p", "own")])
+
+
 def oracles() -> dict[str, str]:
     stop = _stop_sql()
     return {k: v.replace("{stop}", stop).replace("{breaks}", T.BREAKS).replace("{space}", T.SPACE) for k, v in ORACLES.items()}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from millrace.functions.text import url_domain
+from millrace.functions.text import url_domain, url_key
 
 
 def sampled_ids(spark: SparkSession, first: int, last: int, n: int, seed: int) -> DataFrame:
@@ -46,9 +49,68 @@ def rate_audit(log: DataFrame, rps: float, domain: str, ts: Column) -> DataFrame
     return gaps.groupBy("domain").agg(F.count("*").alias("requests"), F.count_if(F.col("gap") < 1 / rps).alias("too_soon"), F.round(F.min("gap"), 6).alias("min_gap"))
 
 
-def retry_delays(attempts: int = 3, base: float = 2.0) -> list[float]:
-    """Seconds before each retry: they double. 403 and 429 end the attempts at once."""
-    return [base * 2**i for i in range(attempts)]
+#: Seconds before the second, third and later attempts, and answers that end them at once.
+BACKOFFS, BLOCKED = (2.0, 4.0, 8.0), (403, 429)
+LOG = "source string, url string, status int, bytes long, ts double, note string, content binary"
+
+
+def fetch(url: str, get: Callable[[str], tuple[int, bytes]], retries: int = 3, wait: Callable[[], None] = lambda: None, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.time) -> Iterator[tuple]:
+    """``(status, bytes, ts, note, content)`` of every attempt; only a success, the last one, has content.
+
+    ``get`` gives status and content, or raises OSError. ``wait`` keeps the rate before each attempt;
+    between attempts the pause doubles; a blocked or rate-limited answer ends them.
+    """
+    attempts = max(1, retries)
+    for attempt in range(attempts):
+        wait()
+        try:
+            status, content = get(url)
+        except OSError as e:
+            yield -1, 0, clock(), f"error:{type(e).__name__}", None
+        else:
+            if status == 200 and content:
+                yield status, len(content), clock(), None, content
+                return
+            yield status, len(content or b""), clock(), None, None
+            if status in BLOCKED:
+                return
+        if attempt < attempts - 1:
+            sleep(BACKOFFS[min(attempt, len(BACKOFFS) - 1)])
+
+
+def crawl(urls: DataFrame, get: Callable[[str], tuple[int, bytes]], rps: float, retries: int = 3, rules: DataFrame | None = None, robots: DataFrame | None = None, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """One pass over ``urls(source, url)``: the log of all attempts, with the content of successes (see LOG).
+
+    Hosts are fetched beside each other, each in one task that keeps its rate. URLs that robots rules
+    forbid are logged with status -1 and not fetched. ``get`` runs on the executors.
+    """
+    if rps <= 0:
+        raise ValueError("rate must be positive")
+    permitted = urls if rules is None else allowed(urls, rules, robots)
+    denied = urls.join(permitted.select("url").distinct(), "url", "left_anti")
+    skipped = denied.select("source", "url", F.lit(-1).alias("status"), F.lit(0).cast("long").alias("bytes"), (F.unix_micros(F.current_timestamp()) / 1e6).alias("ts"), F.lit("robots_disallowed").alias("note"), F.lit(None).cast("binary").alias("content"))
+
+    def host(pdf):
+        rows, last = [], [None]
+
+        def wait():
+            now = time.time()
+            if last[0] is not None and now - last[0] < 1 / rps:
+                sleep(1 / rps - (now - last[0]))
+            last[0] = time.time()
+
+        for source, url in zip(pdf["source"], pdf["url"], strict=True):
+            rows += [(source, url, *r) for r in fetch(url, get, retries, wait, sleep)]
+        return pd.DataFrame(rows, columns=["source", "url", "status", "bytes", "ts", "note", "content"])
+
+    done = permitted.select("source", "url").groupBy(url_domain(F.col("url"))).applyInPandas(host, LOG)
+    return done.unionByName(skipped)
+
+
+def pages(log: DataFrame, root: str = "") -> DataFrame:
+    """Successes of a pass in the shape that raw files are read in: ``path, modificationTime, length, content``, a path per domain and URL key. The log itself, as a table, is the store."""
+    path = F.concat(F.lit(f"{root}/" if root else ""), url_domain(F.col("url")), F.lit("/"), url_key(F.col("url")), F.lit(".raw"))
+    return log.where("status = 200").select(path.alias("path"), F.timestamp_micros((F.col("ts") * 1e6).cast("long")).alias("modificationTime"), F.col("bytes").alias("length"), "content")
 
 
 class PagedSource(DataSource):
@@ -79,8 +141,8 @@ class _PagedReader(DataSourceReader):
             raise RuntimeError("no fetch function is registered")
         try:
             yield from self.fetch(partition.value, min(self.batch, self.count - partition.value))
-        except OSError:
-            return  # a failing page ends its batch
+        except OSError as e:
+            logging.getLogger(__name__).warning("page at %s failed, its batch ends: %s", partition.value, e)
 
 
 def register(spark: SparkSession, fetch: Callable[[int, int], list[tuple]]) -> None:

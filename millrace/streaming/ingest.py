@@ -22,7 +22,10 @@ def prepared(raw: DataFrame, cfg: CleanConfig = CLEAN) -> DataFrame:
     html = F.make_valid_utf8(F.col("content").cast("string"))
     main = F.when(html.contains("<"), T.extract_main(html)).otherwise(F.when(~T.is_challenge(html), T.strip_boilerplate(html)))
     parts = T.chunks(T.unwrap(T.normalize(main)), cfg.max_chars)
-    out = raw.select("path", F.element_at(F.split("path", "/"), -2).alias("source"), F.explode(parts).alias("text"))
+    folder = F.element_at(F.split("path", "/"), -2)
+    alias = F.create_map(*[F.lit(x) for kv in cfg.source_alias.items() for x in kv]) if cfg.source_alias else None
+    source = folder if alias is None else F.coalesce(F.try_element_at(alias, folder), folder)  # rules by source apply to crawled domains
+    out = raw.select("path", source.alias("source"), F.explode(parts).alias("text"))
     return out.where(F.length("text") >= cfg.min_chars).withColumn("hash", T.doc_hash(F.col("text")))
 
 
@@ -61,6 +64,14 @@ def ingest(raw: DataFrame, store: str, checkpoint: str, cfg: CleanConfig = CLEAN
     return prepared(raw, cfg).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def within(query: StreamingQuery, seconds: float) -> bool:
+    """Waits for a query as long as a round's wall-clock budget allows, then stops it; whether it had finished. The next round goes on from its checkpoint."""
+    try:
+        return bool(query.awaitTermination(seconds))
+    finally:
+        query.stop()
+
+
 def unique_stream(docs: DataFrame, key: str = "hash") -> DataFrame:
     """Stateful exact deduplication of a stream; its state grows with the stream, so prefer :func:`ingest` for long ones."""
     return docs.dropDuplicates([key])

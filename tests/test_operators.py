@@ -12,7 +12,7 @@ from millrace.config import CleanConfig, GraphConfig
 from millrace.functions.order import keep_top_share, with_rank, with_running_sum
 from millrace.operators import dedup, facts, gates, graph, reports, sampling, splits, topology
 from millrace.plans import logs
-from millrace.sources import crawl, files
+from millrace.sources import checkpoints, crawl, files
 from millrace.streaming import ingest
 
 
@@ -464,3 +464,177 @@ def test_projection_and_self_noise(spark):
     assert np.allclose(got, x @ basis.T)
     g = spark.createDataFrame([(1, 0, 0.0, 1.0), (2, 0, 0.0, 1.2), (3, 0, 0.0, 1.6)], "cloud_id long, dim int, birth double, death double")
     assert topology.self_noise(g).first()["p95"] == pytest.approx(np.percentile([0.2, 0.4, 0.6], 95))
+
+
+def test_census_stops_at_its_bound_of_work(spark):
+    pairs = [(f"n{i:02d}", f"n{j:02d}") for i in range(9) for j in range(9) if i != j]
+    g = graph.build(edges(spark, *[(u, v, 0.9) for u, v in pairs]))
+    whole = graph.census(g, GraphConfig()).first()
+    assert whole["count"] == graph.cycles(g).count() == 36 + 168 + 756 + 3024 and whole["truncated"] is False
+    part = graph.census(g, GraphConfig(max_work=1000)).first()
+    assert part["truncated"] is True and 36 <= part["count"] < whole["count"]
+
+
+def test_production_signatures_find_near_copies(spark):
+    rng = np.random.default_rng(6)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 200)] for _ in range(30)]
+    near = [[w if rng.random() > 0.01 else f"y{rng.integers(9999)}" for w in b] for b in base]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(base + near)] + [(99, "too short")], "doc_id long, text string")
+    bands = dedup.best_bands(128, 0.8)
+    assert bands == (9, 13) or bands[0] * bands[1] <= 128
+    sigs = dedup.signatures(docs, 128, 5)
+    got = {tuple(r) for r in dedup.lsh_candidates(sigs, *bands).collect()}
+    sets = [{tuple(t[i : i + 5]) for i in range(196)} for t in base + near]
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    alike = [(i, i + 30) for i in range(30) if share(i, i + 30) >= 0.9]
+    assert len(alike) >= 10 and sum(p in got for p in alike) >= 0.9 * len(alike) and all(share(a, b) > 0.4 for a, b in got)
+    sig = {r["doc_id"]: r["sig"] for r in sigs.collect()}
+    assert 99 not in sig and all(len(x) == 128 for x in sig.values())
+    estimate = np.mean([np.mean(np.array(sig[a]) == np.array(sig[b])) - share(a, b) for a, b in ((i, i + 30) for i in range(30))])
+    assert abs(estimate) < 0.02
+
+
+def test_equal_sets_are_one_class(spark):
+    docs = spark.createDataFrame([(i, "a b c d e f g") for i in range(40)] + [(50 + i, f"a b c d e f g h{i}") for i in range(2)] + [(90, "q r s")], "doc_id long, text string")
+    members, sets = dedup.shingle_classes(docs)
+    assert sets.count() == 3 and members.count() == 42
+    assert dedup.similar_pairs(docs, 0.7).count() == 40 * 39 // 2 + 2 * 40 and dedup.similar_classes(sets, 0.7).count() == 2
+
+
+def test_fetch_retries_and_stops(spark):
+    def run(answers, retries=3):
+        left, slept = list(answers), []
+
+        def get(url):
+            a = left.pop(0)
+            if isinstance(a, Exception):
+                raise a
+            return a
+
+        out = list(crawl.fetch("u", get, retries, sleep=slept.append, clock=lambda: 1.0))
+        return [(r[0], r[3], r[4]) for r in out], slept
+
+    assert run([(200, b"x")]) == ([(200, None, b"x")], [])
+    assert run([TimeoutError(), (500, b""), (200, b"y")]) == ([(-1, "error:TimeoutError", None), (500, None, None), (200, None, b"y")], [2.0, 4.0])
+    assert run([(429, b""), (200, b"y")]) == ([(429, None, None)], []) and run([(403, b"")])[0] == [(403, None, None)]
+    assert run([(500, b"")] * 9, 0) == ([(500, None, None)], []) and len(run([(500, b"")] * 9, 5)[0]) == 5
+    assert run([(500, b"")] * 9, 5)[1] == [2.0, 4.0, 8.0, 8.0]
+
+
+def test_crawl_pass(spark):
+    def get(url):
+        return (200, url.encode()) if "ok" in url else (404, b"gone")
+
+    urls = spark.createDataFrame([("s", "http://a/ok/1"), ("s", "http://a/no/2"), ("s", "http://b:8/ok/3"), ("s", "http://a/private/ok")], "source string, url string")
+    rules = spark.createDataFrame([("a", "/private", False)], "host string, prefix string, allow boolean")
+    log = crawl.crawl(urls, get, 1000.0, 2, rules, sleep=lambda s: None).collect()
+    assert sorted((r["url"], r["status"], r["note"]) for r in log) == [("http://a/no/2", 404, None)] * 2 + [("http://a/ok/1", 200, None), ("http://a/private/ok", -1, "robots_disallowed"), ("http://b:8/ok/3", 200, None)]
+    stored = crawl.pages(spark.createDataFrame([r for r in log if r["status"] == 200], crawl.LOG), "raw")
+    assert {r["path"].rsplit("/", 1)[0]: bytes(r["content"]) for r in stored.collect()} == {"raw/a": b"http://a/ok/1", "raw/b_8": b"http://b:8/ok/3"}
+    kept = ingest.prepared(stored, CleanConfig(min_chars=1))
+    assert {r["text"] for r in kept.collect()} == {"http://a/ok/1", "http://b:8/ok/3"}
+    with pytest.raises(ValueError):
+        crawl.crawl(urls, get, 0)
+
+
+def test_url_discovery(spark):
+    ids = [r["id"] for r in crawl.sampled_ids(spark, 1, 1000, 20, 7).collect()]
+    assert len(set(ids)) == 20 and ids == [r["id"] for r in crawl.sampled_ids(spark, 1, 1000, 20, 7).collect()] != [r["id"] for r in crawl.sampled_ids(spark, 1, 1000, 20, 8).collect()]
+    urls = spark.createDataFrame([(f"u{i}",) for i in range(30)], "url string")
+    order = [r[0] for r in crawl.shuffled(urls, 3).collect()]
+    assert sorted(order) == sorted(f"u{i}" for i in range(30)) and order == [r[0] for r in crawl.shuffled(urls.repartition(5), 3).collect()] != sorted(order)
+
+    def page(start, n):
+        if start == 40:
+            raise ConnectionError("down")
+        return [("arxiv", f"http://x/{i}") for i in range(start, start + n)]
+
+    crawl.register(spark, page)
+    got = {r["url"] for r in spark.read.format("millrace_paged").option("count", 65).option("batch", 20).load().collect()}
+    assert got == {f"http://x/{i}" for i in range(65) if not 40 <= i < 60}  # a failing page ends its batch alone
+
+
+def test_stores(spark, tmp_path):
+    root = str(tmp_path)
+    (tmp_path / "raw" / "site").mkdir(parents=True)
+    (tmp_path / "raw" / "site" / "a.raw").write_bytes(b"caf\xe9 ok")
+    r = files.raw_files(spark, f"{root}/raw").first()
+    assert r["source"] == "site" and r["text"] == "caf\ufffd ok"
+    log = spark.createDataFrame([("u", 200, 5, 1.5, None)], files.CRAWL_LOG)
+    files.append_log(log, f"{root}/log")
+    files.append_log(log, f"{root}/log")
+    assert spark.read.schema(files.CRAWL_LOG).json(f"{root}/log").count() == 2
+    files.write_once(log, f"{root}/once")
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        files.write_once(log, f"{root}/once")
+    index = spark.createDataFrame([("h1", "s", "p", 5), ("h1", "s", "q", 5), (None, "s", "r", 1)], "hash string, source string, path string, chars long")
+    index.write.json(f"{root}/index")
+    assert rows(files.hash_index(spark, f"{root}/index")) == [("h1",)] and files.hash_index(spark, f"{root}/none").count() == 0
+    windows = spark.range(100).selectExpr("id window_id", "array(cast(id as int)) tokens")
+    files.write_windows(windows, f"{root}/windows")
+    assert [r["window_id"] for r in files.read_windows(spark, f"{root}/windows", 10, 13).orderBy("window_id").collect()] == [10, 11, 12]
+    calls = []
+    compute = lambda: (calls.append(1), spark.range(3))[1]
+    assert files.cached_diagrams(spark, f"{root}/d", "sha", compute).count() == files.cached_diagrams(spark, f"{root}/d", "sha", compute).count() == 3 and len(calls) == 1
+    m = spark.createDataFrame([(1, 2.5, None)], "round_id int, ppl double, note string")
+    assert files.promotion_log(m, ("round_id", "ppl")) == "| round_id | ppl |\n|---|---|\n| 1 | 2.5 |\n"
+    with pytest.raises(Exception, match="note is null"):
+        files.promotion_log(m, ("round_id", "note"))
+
+
+def test_checkpoints_and_cache(spark, tmp_path):
+    folder = str(tmp_path / "ck")
+    (tmp_path / "ck").mkdir()
+    with pytest.raises(FileNotFoundError):
+        checkpoints.promote(spark, folder)
+    with pytest.raises(FileNotFoundError):
+        checkpoints.rollback(spark, folder)
+    latest, champion = tmp_path / "ck" / "latest", tmp_path / "ck" / "champion"
+    latest.write_text("one")
+    checkpoints.promote(spark, folder)
+    latest.write_text("two")
+    assert champion.read_text() == "one"
+    checkpoints.rollback(spark, folder)
+    assert latest.read_text() == "one" and champion.read_text() == "one"
+    latest.write_text("three")
+    checkpoints.promote(spark, folder)
+    assert champion.read_text() == "three" and not [f for f in os.listdir(folder) if f.endswith((".tmp", ".old"))]
+    calls = []
+    extract = lambda: (calls.append(1), spark.range(4))[1]
+    got = [checkpoints.cached(spark, f"{folder}/t", name, extract) for name in ("a", "a", "b")]
+    assert [(df.count(), known) for df, known in got] == [(4, False), (4, True), (4, False)] and len(calls) == 2
+
+
+def test_round_budget_and_fresh_files(spark, tmp_path):
+    raw, store = tmp_path / "raw" / "arxiv.org", str(tmp_path / "store")
+    raw.mkdir(parents=True)
+    (raw / "a.raw").write_text(" ".join(f"word{i}" for i in range(200)) + ".")
+    query = ingest.ingest(ingest.raw_stream(spark, str(tmp_path / "raw")), store, str(tmp_path / "cp"))
+    assert ingest.within(query, 300) is True and not query.isActive
+    assert [r["source"] for r in spark.read.parquet(f"{store}/documents").collect()] == ["arxiv"]  # the domain's alias
+    files_ = spark.createDataFrame([("a", 10), ("b", 20)], "path string, t long").select("path", F.timestamp_seconds("t").alias("modificationTime"))
+    assert [r["path"] for r in ingest.fresh(files_, files_.where("path = 'b'").first()["modificationTime"]).collect()] == ["b"]
+    text = spark.createDataFrame([("a",), ("b",), ("a",)], "hash string")
+    assert ingest.unique_stream(text).count() == 2
+
+
+def test_lookup_and_manifest(spark):
+    topo = spark.createDataFrame([(1, 1, True, ["R1"], 5), (1, 1, False, [], 9)], "run_id int, round_id int, veto boolean, causes array<string>, ord int")
+    asked = spark.createDataFrame([(1, 1), (1, 2)], "run_id int, round_id int")
+    assert rows(gates.veto_lookup(asked, topo, "run_id", "round_id")) == [(1, 1, True, ["R1"]), (1, 2, False, [])]
+    assert gates.treatment_manifest("lr_spike", b=1, a=2) == '{"a":2,"b":1,"kind":"lr_spike"}'
+    docs = spark.createDataFrame([(0, "a b a b"), (1, "a b")], "doc_id long, text string")
+    assert [tuple(r) for r in reports.round_diversity(docs, 3).collect()] == [(3, 0.5)]
+    with pytest.raises(RuntimeError):
+        gates.fail_closed(asked, topo.where("round_id = 1"), "run_id")
+
+
+def test_token_counts_equal_the_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["The cat sat.", "", None, "élan 12 " * 50]
+    docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, tokens int")
+    want = [(i, len(Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids), len((t or "").split())) for i, t in enumerate(texts)]
+    assert rows(reports.token_counts(docs, path)) == want
