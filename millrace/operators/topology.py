@@ -239,31 +239,27 @@ def bottleneck(a: np.ndarray, b: np.ndarray) -> float:
         gap = np.maximum(np.abs(a[:, None, 0] - b[None, :, 0]), np.nan_to_num(np.abs(a[:, None, 1] - b[None, :, 1]), nan=0.0, posinf=np.inf)) if len(a) and len(b) else np.empty((len(a), len(b)))
 
     def saturates(must: np.ndarray, near: np.ndarray) -> bool:
-        """Whether all rows in ``must`` can be matched at once: augmenting paths."""
-        owner: dict[int, int] = {}
-        for start in must:
-            parent, stack, goal = {}, [start], None
-            seen: set[int] = set()
-            while stack and goal is None:
+        """Whether all rows in ``must`` can be matched at once: a greedy start, then augmenting paths."""
+        owner, mate = np.full(near.shape[1], -1), {}
+        cols = {row: np.flatnonzero(near[row]) for row in must.tolist()}
+        for start in sorted(cols, key=lambda r: len(cols[r])):
+            parent, seen, stack, goal = np.full(near.shape[1], -1), np.zeros(near.shape[1], bool), [start], -1
+            while stack and goal < 0:
                 row = stack.pop()
-                for col in np.flatnonzero(near[row]).tolist():
-                    if col in seen:
-                        continue
-                    seen.add(col)
-                    parent[col] = row
-                    if col not in owner:
-                        goal = col
-                        break
-                    stack.append(owner[col])
-            if goal is None:
+                new = cols[row][~seen[cols[row]]]
+                seen[new], parent[new] = True, row
+                free = new[owner[new] < 0]
+                if len(free):
+                    goal = int(free[0])
+                else:
+                    stack += owner[new].tolist()
+            if goal < 0:
                 return False
-            while goal is not None:
-                row = parent[goal]
-                before = next((c for c, r in owner.items() if r == row), None)
-                owner[goal] = row
-                goal = before
-                if row == start:
-                    break
+            while goal >= 0:
+                row = int(parent[goal])
+                before = mate.get(row, -1)
+                owner[goal], mate[row] = row, goal
+                goal = before if row != start else -1
         return True
 
     def feasible(radius: float) -> bool:
@@ -272,8 +268,10 @@ def bottleneck(a: np.ndarray, b: np.ndarray) -> float:
         return saturates(np.flatnonzero(half[0] > radius + 1e-12), near) and saturates(np.flatnonzero(half[1] > radius + 1e-12), near.T)
 
     steps = np.unique(np.concatenate([[0.0], half[0], half[1], gap.ravel()]))
-    lo, hi = 0, len(steps) - 1
-    if not feasible(steps[hi]):
+    # each point needs its nearest partner or the diagonal; above that, few points are forced
+    least = max((float(np.minimum(h, g.min(axis=1, initial=np.inf)).max(initial=0.0)) for h, g in zip(half, (gap, gap.T), strict=True)), default=0.0)
+    lo, hi = int(np.searchsorted(steps, least)), len(steps) - 1
+    if lo > hi or not feasible(steps[hi]):
         return float("inf")
     while lo < hi:
         mid = (lo + hi) // 2
@@ -283,6 +281,7 @@ def bottleneck(a: np.ndarray, b: np.ndarray) -> float:
 
 def bottleneck_pairs(diagrams_: DataFrame, pairs: DataFrame, cloud: str = "cloud_id") -> DataFrame:
     """``a, b, dim, distance`` for listed pairs of clouds; one pair and dimension per task."""
+    diagrams_ = cut(diagrams_)  # read for both sides
     rows = lambda x: diagrams_.groupBy(F.col(cloud).alias(x), "dim").agg(F.collect_list(F.array("birth", "death")).alias(f"d{x}"))  # noqa: E731  one bounded diagram each
     dims = diagrams_.select("dim").distinct()
     both = pairs.select("a", "b").crossJoin(F.broadcast(dims)).join(rows("a"), ["a", "dim"], "left").join(rows("b"), ["b", "dim"], "left")
@@ -297,6 +296,7 @@ def bottleneck_pairs(diagrams_: DataFrame, pairs: DataFrame, cloud: str = "cloud
 
 def self_noise(diagrams_: DataFrame, cloud: str = "cloud_id") -> DataFrame:
     """95th percentile of distances between all pairs of repeated measurements, by dimension. Measurements are a handful, so their pairs are listed from one row."""
+    diagrams_ = cut(diagrams_)
     ids = diagrams_.agg(F.array_sort(F.collect_set(cloud)).alias("c"))
     later = F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     pairs = ids.select(F.explode(later).alias("p")).select("p.*")

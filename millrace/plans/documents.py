@@ -363,7 +363,7 @@ def q_subsample(spark, d):
     UNION ALL SELECT f.k, f.name, f.bytes, f.bytes <= s.room, s.room - CASE WHEN f.bytes <= s.room THEN f.bytes ELSE 0 END FROM s JOIN f ON f.k = s.k + 1)
   SELECT name, bytes FROM s WHERE taken""")
 def q_budget_sample(spark, d):
-    sized = docs(spark, d).select(F.col("doc_id").alias("name"), F.octet_length("text").alias("bytes"))
+    sized = docs(spark, d).select(F.col("doc_id").alias("name"), F.octet_length("text").cast("long").alias("bytes"))
     return S.budgeted(sized, 1_000_000, 42)
 
 

@@ -200,7 +200,12 @@ def q_diagrams(spark, d):
     return topology.diagrams(_clouds(spark, d), max_dim=1, cosine=True)
 
 
-@query()
+@query(
+    """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x, row_number() OVER (ORDER BY vec_id) % greatest(2, (count(*) OVER () + 499) // 500) AS cloud_id FROM embeddings),
+  e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.cloud_id = b.cloud_id AND a.vec_id < b.vec_id WHERE 1 - list_cosine_similarity(a.x, b.x) <= 0.5), sym AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+  r(id, m) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, sym.b FROM r JOIN sym ON r.m = sym.a), own AS (SELECT id FROM r GROUP BY id HAVING min(m) = id)
+  SELECT cloud_id, count(*) AS betti0 FROM own JOIN v ON vec_id = id GROUP BY cloud_id"""
+)
 def q_betti0_clouds(spark, d):
     return topology.betti0(topology.diagrams(_clouds(spark, d), max_dim=0, cosine=True), 0.5)
 

@@ -13,7 +13,6 @@ from millrace.plans import documents, logs
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-SLOW = {"q_diagrams", "q_persistent_h1", "q_graph_persistence", "q_clean_pass", "q_clean_discards"}
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +30,7 @@ def table(rows):
     return sorted((tuple(map(plain, r)) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(documents.QUERIES | logs.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(documents.QUERIES | logs.QUERIES))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     columns = sorted(df.columns)
