@@ -208,7 +208,8 @@ def diagrams(points: DataFrame, cloud: str = "cloud_id", vector: str = "x", max_
         return pd.DataFrame([(pdf[cloud].iloc[0], *r) for r in rows], columns=[cloud, "dim", "birth", "death"])
 
     kind = dict(points.dtypes)[cloud]
-    return points.groupBy(cloud).applyInPandas(run, f"{cloud} {kind}, dim int, birth double, death double")
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, since few rows would be coalesced into one task
+    return points.repartition(parts, cloud).groupBy(cloud).applyInPandas(run, f"{cloud} {kind}, dim int, birth double, death double")
 
 
 def graph_diagrams(distances: DataFrame, max_dim: int = 1) -> DataFrame:
@@ -291,7 +292,8 @@ def bottleneck_pairs(diagrams_: DataFrame, pairs: DataFrame, cloud: str = "cloud
         as_array = lambda v: np.array([list(p) for p in v], float) if v is not None and len(v) else np.empty((0, 2))
         return pd.Series([bottleneck(as_array(p), as_array(q)) for p, q in zip(x, y, strict=True)], dtype=float)
 
-    return both.select("a", "b", "dim", measure("da", "db").alias("distance"))
+    parts = int(diagrams_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(parts, "a", "b", "dim").select("a", "b", "dim", measure("da", "db").alias("distance"))
 
 
 def self_noise(diagrams_: DataFrame, cloud: str = "cloud_id") -> DataFrame:
