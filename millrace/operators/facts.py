@@ -103,24 +103,42 @@ def class_conflicts(triplets: DataFrame, cfg: FactConfig = FACTS) -> DataFrame:
     return pairs.select("sub", F.lit("is_a").alias("rel"), "obj_a", "doc_a", "obj_b", "doc_b", F.round((F.col("conf_a") + F.col("conf_b")) / 2, 4).alias("conf_mean"))
 
 
+def _sides(triplets: DataFrame, cfg: FactConfig) -> DataFrame:
+    """``sub, rel, obj, source_doc_hash, conf``: sure facts whose object excludes another; those that repeat are one, with their best confidence."""
+    sure = triplets.where((F.col("rel") != "is_a") & (F.col("conf") >= cfg.min_conf) & F.col("obj").isin(*{x for p in cfg.pairs for x in p}))
+    return sure.groupBy("sub", "rel", "obj", "source_doc_hash").agg(F.max("conf").alias("conf"))
+
+
+def _opposites(triplets: DataFrame, cfg: FactConfig, names: tuple[str, str], both: bool) -> DataFrame:
+    """The pairs of objects that exclude each other, in one order or both; a handful of rows."""
+    listed = [(min(p), max(p)) for p in cfg.pairs] + ([(max(p), min(p)) for p in cfg.pairs] if both else [])
+    return F.broadcast(triplets.sparkSession.createDataFrame(listed, f"{names[0]} string, {names[1]} string"))
+
+
 def exclusive_conflicts(triplets: DataFrame, cfg: FactConfig = FACTS) -> DataFrame:
-    """Sure facts of one subject and relation whose objects exclude each other: distinct sides ``(object, document)``.
+    """Sure facts of one subject and relation whose objects exclude each other: pairs of sides ``(object, document)``, for a report.
 
-    Facts that repeat are one side with their best confidence, so the pairs do not grow with repeats.
+    The pairs of a subject grow with its documents on one side times those on the other; what only asks
+    which sides or documents conflict uses :func:`exclusive_sides`.
     """
-    spark = triplets.sparkSession
-    pairs = spark.createDataFrame([(a, b) for x, y in cfg.pairs for a, b in ((x, y), (y, x)) if a < b], "obj_a string, obj_b string")
-    sure = triplets.where((F.col("rel") != "is_a") & (F.col("conf") >= cfg.min_conf) & F.col("obj").isin(*{x for p in cfg.pairs for x in p}))
-    sides = sure.groupBy("sub", "rel", "obj", "source_doc_hash").agg(F.max("conf").alias("conf"))
+    sides = _sides(triplets, cfg)
     side = lambda x: sides.select("sub", "rel", F.col("obj").alias(f"obj_{x}"), F.col("source_doc_hash").alias(f"doc_{x}"), F.col("conf").alias(f"conf_{x}"))
-    met = side("a").join(F.broadcast(pairs), "obj_a").join(side("b"), ["sub", "rel", "obj_b"])
+    met = side("a").join(_opposites(triplets, cfg, ("obj_a", "obj_b"), False), "obj_a").join(side("b"), ["sub", "rel", "obj_b"])
     return met.select("sub", "rel", "obj_a", "doc_a", "obj_b", "doc_b", F.round((F.col("conf_a") + F.col("conf_b")) / 2, 4).alias("conf_mean"))
 
 
+def exclusive_sides(triplets: DataFrame, cfg: FactConfig = FACTS) -> DataFrame:
+    """``sub, rel, obj, doc`` of every side of an exclusive conflict, each once: no pairs of documents."""
+    sides = _sides(triplets, cfg)
+    against = sides.select("sub", "rel", F.col("obj").alias("other")).distinct()
+    met = sides.join(_opposites(triplets, cfg, ("obj", "other"), True), "obj").join(against, ["sub", "rel", "other"], "left_semi")
+    return met.select("sub", "rel", "obj", F.col("source_doc_hash").alias("doc"))
+
+
 def quarantine(*conflicts: DataFrame) -> DataFrame:
-    """Distinct documents on either side of any conflict; blank hashes are ignored."""
-    sides = reduce(DataFrame.union, [c.select(F.explode(F.array("doc_a", "doc_b")).alias("source_doc_hash")) for c in conflicts])
-    return sides.where("coalesce(source_doc_hash, '') <> ''").distinct()
+    """Distinct documents of conflicts, given as pairs (``doc_a, doc_b``) or as sides (``doc``); blank hashes are ignored."""
+    docs = lambda c: c.select(F.explode(F.array("doc_a", "doc_b")) if "doc_a" in c.columns else F.col("doc")).toDF("source_doc_hash")
+    return reduce(DataFrame.union, map(docs, conflicts)).where("coalesce(source_doc_hash, '') <> ''").distinct()
 
 
 def capped_nodes(triplets: DataFrame, cap: int) -> DataFrame:
@@ -158,8 +176,8 @@ def entity_graph(triplets: DataFrame, cap: int) -> DataFrame:
 
 
 def export_graph(triplets: DataFrame, *conflicts: DataFrame) -> DataFrame:
-    """``s, p, o, consistent``: each fact once, and once per surface verb of its relation; a fact on a side of a conflict is inconsistent."""
-    sides = [c.select("sub", "rel", F.explode(F.array("obj_a", "obj_b")).alias("obj")) for c in conflicts]
+    """``s, p, o, consistent``: each fact once, and once per surface verb of its relation; a fact on a side of a conflict (pairs or sides) is inconsistent."""
+    sides = [c.select("sub", "rel", (F.explode(F.array("obj_a", "obj_b")) if "obj_a" in c.columns else F.col("obj")).alias("obj")) for c in conflicts]
     bad = reduce(DataFrame.union, sides).distinct().withColumn("_bad", F.lit(True))
     facts = triplets.select("sub", "rel", "obj").distinct().join(bad, ["sub", "rel", "obj"], "left")
     verbs = F.create_map(*[x for rel, names in ALIASES.items() for x in (F.lit(rel), F.array(*map(F.lit, names)))])
@@ -191,8 +209,12 @@ def claim_status(claims: DataFrame, triplets: DataFrame, cfg: FactConfig = FACTS
     return worst.select(key, F.element_at(F.array(F.lit("ok"), F.lit("unverified"), F.lit("contradicts")), F.col("r") + 1).alias("status"))
 
 
-def run_stats(triplets: DataFrame, *conflicts: DataFrame) -> DataFrame:
-    """One row: triplets, contradictions, quarantined documents."""
+def run_stats(triplets: DataFrame, cfg: FactConfig = FACTS) -> DataFrame:
+    """One row: triplets, contradictions, quarantined documents. Exclusive pairs are counted from the sizes of their sides."""
     one = lambda df, name: df.agg(F.count("*").alias(name))
-    found = reduce(DataFrame.union, [c.select("sub") for c in conflicts])
-    return one(triplets, "triplets").crossJoin(one(found, "contradictions")).crossJoin(one(quarantine(*conflicts), "quarantined_docs"))
+    classes, sizes = class_conflicts(triplets, cfg), cut(_sides(triplets, cfg).groupBy("sub", "rel", "obj").agg(F.count("*").alias("n")))
+    a, b = sizes.select("sub", "rel", F.col("obj").alias("x"), F.col("n").alias("na")), sizes.select("sub", "rel", F.col("obj").alias("y"), F.col("n").alias("nb"))
+    pairs = a.join(_opposites(triplets, cfg, ("x", "y"), False), "x").join(b, ["sub", "rel", "y"])
+    exclusive = pairs.agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("_e"))
+    found = one(classes, "_c").crossJoin(exclusive).select((F.col("_c") + F.col("_e")).alias("contradictions"))  # one row each
+    return one(triplets, "triplets").crossJoin(found).crossJoin(one(quarantine(classes, exclusive_sides(triplets, cfg)), "quarantined_docs"))

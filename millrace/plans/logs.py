@@ -39,29 +39,25 @@ _EXCL = f"""sides AS (SELECT sub, rel, obj, source_doc_hash AS doc, max(conf) AS
 _BOTH = cte("triplets") + f", {_CLASS}, {_EXCL}, q AS (SELECT DISTINCT unnest([doc_a, doc_b]) AS source_doc_hash FROM (SELECT doc_a, doc_b FROM cc UNION ALL SELECT doc_a, doc_b FROM ec) x) "
 
 
-def _conflicts(spark, d):
-    t = table(spark, d, "triplets")
-    return t, facts.class_conflicts(t), facts.exclusive_conflicts(t)
-
-
 @query(_BOTH + "SELECT * FROM cc")
 def q_isa_conflicts(spark, d):
-    return _conflicts(spark, d)[1]
+    return facts.class_conflicts(table(spark, d, "triplets"))
 
 
 @query(_BOTH + "SELECT * FROM ec")
 def q_exclusive_conflicts(spark, d):
-    return _conflicts(spark, d)[2]
+    return facts.exclusive_conflicts(table(spark, d, "triplets"))
 
 
 @query(_BOTH + "SELECT source_doc_hash FROM q WHERE source_doc_hash <> ''")
 def q_quarantine(spark, d):
-    return facts.quarantine(*_conflicts(spark, d)[1:])
+    t = table(spark, d, "triplets")
+    return facts.quarantine(facts.class_conflicts(t), facts.exclusive_sides(t))
 
 
 @query(_BOTH + "SELECT (SELECT count(*) FROM triplets) AS triplets, (SELECT count(*) FROM cc) + (SELECT count(*) FROM ec) AS contradictions, (SELECT count(*) FROM q WHERE source_doc_hash <> '') AS quarantined_docs")
 def q_consistency_stats(spark, d):
-    return facts.run_stats(*_conflicts(spark, d))
+    return facts.run_stats(table(spark, d, "triplets"))
 
 
 @query(cte("triplets") + "SELECT rel, count(*) AS n, count(DISTINCT sub) AS subjects, count(DISTINCT obj) AS objects FROM triplets GROUP BY rel")
@@ -94,7 +90,8 @@ _VERBS = " ".join(f"WHEN '{r}' THEN [{', '.join(repr(x) for x in (r, *v))}]" for
   SELECT s, p, o, bool_and(c) AS consistent FROM e GROUP BY s, p, o"""
 )
 def q_graph_export(spark, d):
-    return facts.export_graph(*_conflicts(spark, d))
+    t = table(spark, d, "triplets")
+    return facts.export_graph(t, facts.class_conflicts(t), facts.exclusive_sides(t))
 
 
 # facts in order, one after the other, until the graph is full: one that would bring it over 300 nodes is refused

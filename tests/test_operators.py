@@ -119,7 +119,9 @@ def test_conflicts_and_claims(spark):
     t = spark.createDataFrame([("x", "is_a", "bird", 0.9, "d1", "1", 1), ("x", "is_a", "fish", 0.7, "d2", "2", 2), ("x", "state", "alive", 0.9, "d3", "3", 3), ("x", "state", "dead", 0.9, "", "4", 4)], TRIPLETS)
     c, e = facts.class_conflicts(t), facts.exclusive_conflicts(t)
     assert [(r["obj_a"], r["obj_b"], r["conf_mean"]) for r in c.collect()] == [("fish", "bird", 0.8)]
-    assert [r[0] for r in rows(facts.quarantine(c, e))] == ["d1", "d2", "d3"]
+    assert [r[0] for r in rows(facts.quarantine(c, e))] == ["d1", "d2", "d3"] == [r[0] for r in rows(facts.quarantine(c, facts.exclusive_sides(t)))]
+    assert rows(facts.exclusive_sides(t)) == [("x", "state", "alive", "d3"), ("x", "state", "dead", "")] and tuple(facts.run_stats(t).first()) == (4, 2, 3)
+    assert rows(facts.export_graph(t, c, e)) == rows(facts.export_graph(t, c, facts.exclusive_sides(t)))
     claims = spark.createDataFrame([(1, "x", "state", "dead"), (2, "x", "is_a", "tool"), (3, "y", "state", "dead"), (4, None, None, None)], "sentence_id long, sub string, rel string, obj string")
     assert rows(facts.claim_status(claims, t)) == [(1, "ok"), (2, "contradicts"), (3, "unverified"), (4, "ok")]
 
