@@ -221,6 +221,7 @@ def human_gate(round_id: Column | str, every: int = GATE.human_gate_every, auto:
     return F.lit(False) if auto else (_c(round_id) % every == 0)
 
 
+# What a prompt suite declares, holds, and asks of each prompt.
 SUITE_VERSION, SUITE_SECTIONS, SUITE_FIELDS = 1, ("defaults", "prompts"), ("id", "category", "prompt", "review_note")
 
 

@@ -49,7 +49,7 @@ def rate_audit(log: DataFrame, rps: float, domain: str, ts: Column) -> DataFrame
     return gaps.groupBy("domain").agg(F.count("*").alias("requests"), F.count_if(F.col("gap") < 1 / rps).alias("too_soon"), F.round(F.min("gap"), 6).alias("min_gap"))
 
 
-#: Seconds before the second, third and later attempts, and answers that end them at once.
+# Seconds before the second, third and later attempts, and answers that end them at once.
 BACKOFFS, BLOCKED = (2.0, 4.0, 8.0), (403, 429)
 LOG = "source string, url string, status int, bytes long, ts double, note string, content binary"
 
