@@ -32,7 +32,21 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/millrace-cut-{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._millrace_cut = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`cut` that no plan reads any more, such as a loop's earlier states; others are left alone."""
+    for t in tables:
+        if path := getattr(t, "_millrace_cut", None):
+            _delete(t.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
@@ -40,7 +54,6 @@ def _forget() -> None:
     for spark, path in _written:
         try:
             if spark.sparkContext._jsc is not None:
-                target = spark._jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+                _delete(spark, path)
         except Exception:  # noqa: BLE001  the gateway may be gone; the cluster's own clean-up remains
             return

@@ -10,7 +10,7 @@ from millrace.functions import minhash as M
 from millrace.functions import quality as Q
 from millrace.functions import text as T
 from millrace.functions.order import keep_top_share
-from millrace.lineage import cut
+from millrace.lineage import cut, drop
 
 
 def best_bands(permutations: int, threshold: float) -> tuple[int, int]:
@@ -149,7 +149,8 @@ def first_inserted_wins(pairs: DataFrame) -> DataFrame:
             F.max(F.coalesce("ka", F.lit(False))).alias("hit"), F.max(F.col("ka").isNull()).alias("open")
         )
         decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(False)), None).otherwise(True)
-        state = cut(state.join(earlier, "id", "left").select("id", decided.alias("kept")))
+        before, state = state, cut(state.join(earlier, "id", "left").select("id", decided.alias("kept")))
+        drop(before)
         if state.where("kept is null").limit(1).count() == 0:
             return state
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.order import with_rank
-from millrace.lineage import cut
+from millrace.lineage import cut, drop
 
 #: Most points of a cloud for which diagrams are computed; larger ones are subsampled first, as a parameter.
 MAX_POINTS = 500
@@ -110,6 +110,7 @@ def betti0_points(points: DataFrame, eps: float, key: str = "vec_id", vector: st
         new = cut(new.join(labels.select(F.col("id").alias("c"), F.col("c").alias("up")), "c").select("id", F.least("c", "up").alias("c")))
         if new.join(labels.withColumnRenamed("c", "old"), "id").where("c <> old").limit(1).count() == 0:
             break
+        drop(labels)
         labels = new
     touched, groups = labels.count(), labels.select("c").distinct().count()
     return points.sparkSession.createDataFrame([(n - touched + groups,)], "betti0 long")
