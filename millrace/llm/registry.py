@@ -12,6 +12,7 @@ from millrace.llm.html import op5_html
 from millrace.llm.language import op4_language
 from millrace.llm.minhash import op7_minhash
 from millrace.llm.neardup import op1_neardup
+from millrace.llm.overlap import op11_overlap
 from millrace.llm.packing import op2_packing
 from millrace.llm.pii import op10_pii
 from millrace.llm.quality import op9_quality
@@ -28,10 +29,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
+    "op11_overlap": op11_overlap,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: A table for crc32 by bytes, from the standard's polynomial, and the crc32 of ASCII text over it; DuckDB has no such function.
+_CRC_TABLE = """crc_table AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"""
+
+
+def _crc(text: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
 #: The other queries sample, learn, hash or tokenize; tests hold them against brute force, held-out labels or the library.
 ORACLES: dict[str, str] = {
     "op1_neardup": """WITH RECURSIVE good AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
@@ -51,4 +61,19 @@ ORACLES: dict[str, str] = {
   reach(id, met) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.met = links.a),
   comp AS (SELECT id, min(met) AS c FROM reach GROUP BY id)
   SELECT n.doc_id, n.n AS n_shingles, comp.c AS component_id, n.doc_id = comp.c AS kept FROM n JOIN comp ON comp.id = n.doc_id""",
+    "op11_overlap": f"""WITH {_CRC_TABLE},
+  times AS (SELECT client_id, epoch_us(ts) AS t, bool_or(coalesce(kind = 'click', FALSE)) AS hit FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL GROUP BY client_id, ts),
+  begun AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY client_id ORDER BY t) <= 300000000 THEN 0 ELSE 1 END AS b FROM times),
+  numbered AS (SELECT *, sum(b) OVER (PARTITION BY client_id ORDER BY t) AS n FROM begun),
+  found AS (SELECT client_id, min(t) AS first, max(t) AS last, arg_max(hit, t) AS open FROM numbered GROUP BY client_id, n),
+  sess AS (SELECT client_id, first // 86400000000 AS a, CASE WHEN open THEN NULL ELSE last // 86400000000 END AS b,
+    {_crc('first::VARCHAR')} AS crc FROM found, crc_table),
+  ends AS (SELECT sale_id, max(shipped_at) AS shipped_at FROM sale_lines GROUP BY sale_id),
+  sold AS (SELECT s.sale_id, client_id, epoch_us(sold_at) // 86400000000 AS s, CASE WHEN status = 'held' THEN NULL ELSE epoch_us(greatest(sold_at, shipped_at)) // 86400000000 END AS e
+    FROM sales s LEFT JOIN ends ON ends.sale_id = s.sale_id WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+  pairs AS (SELECT sale_id, [['overlaps', 'finished_by', 'contains'], ['starts', 'equals', 'started_by'], ['during', 'finishes', 'overlapped_by']][CASE WHEN s < a THEN 1 WHEN s = a THEN 2 ELSE 3 END][
+      CASE WHEN coalesce(e, 9000000000) < coalesce(b, 9000000000) THEN 1 WHEN coalesce(e, 9000000000) = coalesce(b, 9000000000) THEN 2 ELSE 3 END] AS relation,
+    CASE WHEN b IS NOT NULL OR e IS NOT NULL THEN least(coalesce(e, b), coalesce(b, e)) - greatest(s, a) + 1 END AS shared, crc
+    FROM sold JOIN sess ON sold.client_id = sess.client_id AND s <= coalesce(b, 9000000000) AND a <= coalesce(e, 9000000000))
+SELECT sale_id, relation, count(*) AS n_pairs, sum(shared)::BIGINT AS overlap_slots, sum(crc)::BIGINT AS sessions_crc FROM pairs GROUP BY sale_id, relation""",
 }
