@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.ann import op3_ann
 from millrace.llm.bpe import op6_bpe
 from millrace.llm.html import op5_html
+from millrace.llm.importance import op12_resample
 from millrace.llm.language import op4_language
 from millrace.llm.minhash import op7_minhash
 from millrace.llm.neardup import op1_neardup
@@ -30,16 +31,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
     "op11_overlap": op11_overlap,
+    "op12_resample": op12_resample,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: A table for crc32 by bytes, from the standard's polynomial, and the crc32 of ASCII text over it; DuckDB has no such function.
+#: A table for crc32 by bytes, from the standard's polynomial, and the crc32 of a text's UTF-8 bytes over it; DuckDB has no such function.
 _CRC_TABLE = """crc_table AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"""
 
 
 def _crc(text: str) -> str:
-    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+    of_bytes = f"list_transform(range(1, 2 * octet_length(encode({text})), 2), lambda i: ('0x' || substr(hex(encode({text})), i, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {of_bytes}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
 
 
 #: The other queries sample, learn, hash or tokenize; tests hold them against brute force, held-out labels or the library.
@@ -76,4 +79,18 @@ ORACLES: dict[str, str] = {
     CASE WHEN b IS NOT NULL OR e IS NOT NULL THEN least(coalesce(e, b), coalesce(b, e)) - greatest(s, a) + 1 END AS shared, crc
     FROM sold JOIN sess ON sold.client_id = sess.client_id AND s <= coalesce(b, 9000000000) AND a <= coalesce(e, 9000000000))
 SELECT sale_id, relation, count(*) AS n_pairs, sum(shared)::BIGINT AS overlap_slots, sum(crc)::BIGINT AS sessions_crc FROM pairs GROUP BY sale_id, relation""",
+    "op12_resample": f"""WITH {_CRC_TABLE},
+  texts AS (SELECT TRUE AS own, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT FALSE, row_number() OVER (), NULL, text FROM benchmark),
+  words AS (SELECT own, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts),
+  grams AS (SELECT own, r, array_to_string(w[i:i + k], ' ') AS g FROM (SELECT own, r, w, unnest(range(1, len(w) + 1)) AS i FROM words) x, range(3) k(k) WHERE i + k <= len(w)),
+  hashed AS (SELECT g, {_crc('g')} % 10000 AS b FROM (SELECT DISTINCT g FROM grams) x, crc_table),
+  used AS (SELECT own, r, b, count(*) AS n FROM grams JOIN hashed USING (g) GROUP BY own, r, b),
+  counts AS (SELECT b, coalesce(sum(n) FILTER (own), 0) AS s, coalesce(sum(n) FILTER (NOT own), 0) AS t FROM used GROUP BY b),
+  totals AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM counts),
+  gains AS (SELECT b, floor(1000 * ln((t::DOUBLE + 1) * (s_all::DOUBLE + 10000) / ((s::DOUBLE + 1) * (t_all::DOUBLE + 10000))))::BIGINT AS gain FROM counts, totals),
+  weights AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM used JOIN gains USING (b) WHERE own GROUP BY r),
+  scored AS (SELECT r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM (SELECT * FROM words WHERE own) x LEFT JOIN weights USING (r)),
+  able AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, r) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20 AND score IS NOT NULL)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN able USING (r)""",
 }
