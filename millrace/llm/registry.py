@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.ann import op3_ann
 from millrace.llm.bpe import op6_bpe
+from millrace.llm.bytepair import op13_bytepair
 from millrace.llm.html import op5_html
 from millrace.llm.importance import op12_resample
 from millrace.llm.language import op4_language
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_overlap": op11_overlap,
     "op12_resample": op12_resample,
+    "op13_bytepair": op13_bytepair,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
