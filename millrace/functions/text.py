@@ -25,8 +25,8 @@ CHALLENGE_MARKERS = (
 # Line ends that close a paragraph, and determiners that an entity loses.
 UNWRAP_CLOSERS = ".!?\"':;"
 DETERMINERS = ("the", "a", "an", "his", "her", "its", "their")
-#: Words that are no entities.
-PRONOUNS = ("he", "she", "it", "they", "we", "you", "i", "this", "that", "these", "those", "who", "which", "what")
+# Words that are no entities.
+PRONOUNS = ("this", "that", "these", "those", "there", "here", "it", "he", "she", "they", "we", "you", "i", "one", "someone", "something", "anything", "nothing", "everyone")
 
 
 # Line breaks and white space as the Unicode standard lists them, as regular expressions that Java and RE2 read alike.
@@ -151,9 +151,12 @@ def url_key(url: Column) -> Column:
 
 
 def normalize_entity(span: Column, lemma: Column | None = None) -> Column:
-    """Lower case without leading determiners; the head's lemma instead, where it has more than two letters."""
-    base = F.trim(F.regexp_replace(F.lower(F.trim(span)), "^((" + "|".join(DETERMINERS) + ") +)+", ""))
-    return base if lemma is None else F.when(F.length(lemma) > 2, F.lower(lemma)).otherwise(base)
+    """Lower case without leading determiners; the head's lemma instead, where it has more than two letters and may be an entity."""
+    base = F.trim(F.regexp_replace(F.lower(F.trim(span)), "^((" + "|".join(DETERMINERS) + ")( +|$))+", ""))
+    if lemma is None:
+        return base
+    low = F.trim(F.lower(lemma))
+    return F.when((F.length(low) > 2) & ~low.isin(*PRONOUNS), low).otherwise(base)
 
 
 def is_valid_entity(entity: Column) -> Column:

@@ -37,6 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables in the shared folder; deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables of :func:`cut` that no plan reads any more, such as a loop's earlier states; others are left alone."""
     for t in tables:

@@ -56,7 +56,7 @@ def shingled(docs: DataFrame, k: int, key: str) -> DataFrame:
     return grams.select(key, F.size("g").alias("n"), F.explode_outer("g").alias("shingle")).where("shingle is not null")
 
 
-def _prefix_length(n: Column, threshold: float) -> Column:
+def prefix_length(n: Column, threshold: float) -> Column:
     return n - F.ceil(n * threshold - 1e-9) + 1
 
 
@@ -79,7 +79,7 @@ def similar_classes(sets: DataFrame, threshold: float = CLEAN.jaccard) -> DataFr
     rows = sets.select(F.col("rep").alias("id"), F.size("set").alias("n"), F.explode("set").alias("s"))
     frequency = rows.groupBy("s").agg(F.count("*").alias("df"))
     ordered = Window.partitionBy("id").orderBy("df", "s")
-    prefix = rows.join(frequency, "s").withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= _prefix_length(F.col("n"), threshold))
+    prefix = rows.join(frequency, "s").withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= prefix_length(F.col("n"), threshold))
     left, right = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "s"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "s")
     met = left.join(right, "s").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9))
     pairs = met.select("a", "b").distinct()
@@ -155,9 +155,25 @@ def first_inserted_wins(pairs: DataFrame) -> DataFrame:
             return state
 
 
-def dup_sample(pairs: DataFrame, limit: int = 100) -> DataFrame:
-    """First ``limit`` (dropped, kept) pairs; kept is the smallest similar row."""
-    return pairs.groupBy(F.col("b").alias("dropped")).agg(F.min("a").alias("kept")).orderBy("dropped").limit(limit)
+def near_duplicates(docs: DataFrame, threshold: float = CLEAN.jaccard, k: int = CLEAN.shingle, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """``id, rep`` of the rows with shingles and ``a, b, jaccard`` of similar classes: what :func:`similar_pairs` says, without the pairs of rows."""
+    members, sets = shingle_classes(docs, k, key)
+    return members, cut(similar_classes(sets, threshold))
+
+
+def greedy(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``id, kept`` of all rows that are similar to another, the first inserted winning: a class of equal sets is decided by its first row, and the others of it are dropped."""
+    state = first_inserted_wins(pairs)
+    shared = members.groupBy("rep").agg(F.count("*").alias("_n"))
+    judged_ = members.join(shared, "rep").join(state.select(F.col("id").alias("rep"), F.col("kept").alias("_kept")), "rep", "left").where("_kept is not null or _n > 1")
+    return judged_.select("id", ((F.col("id") == F.col("rep")) & F.coalesce("_kept", F.lit(True))).alias("kept"))
+
+
+def dup_sample(members: DataFrame, pairs: DataFrame, limit: int = 100) -> DataFrame:
+    """First ``limit`` (dropped, kept) pairs; kept is the smallest similar row. The smallest row of a class stands for all of it."""
+    across = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(pairs.select("b", "a")).groupBy("rep").agg(F.min("other").alias("other"))
+    least = members.join(across, "rep", "left").select(F.col("id").alias("dropped"), F.least(F.col("rep"), F.col("other")).alias("kept"))
+    return least.where("kept < dropped").orderBy("dropped").limit(limit)
 
 
 def features(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -177,33 +193,44 @@ def judged(docs: DataFrame, cfg: CleanConfig = CLEAN, source: str = "source") ->
     )
 
 
+def tainted(docs: DataFrame, holdout: DataFrame, cfg: CleanConfig = CLEAN, share: float = 0.8) -> DataFrame:
+    """``doc_id`` of documents that are near copies of a held-out text, or hold at least ``share`` of one's shingles as a passage."""
+    near = contamination(docs, holdout, cfg.jaccard, cfg.shingle).select(F.col("doc").alias("doc_id"))
+    return near.union(contained(docs, holdout, share, cfg.shingle).select("doc")).distinct()
+
+
+def fewer(reason: str, before: DataFrame, after: DataFrame) -> DataFrame:
+    """``reason, n``: by how many rows ``after`` has fewer."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    return n(before, "x").crossJoin(n(after, "y")).select(F.lit(reason).alias("reason"), (F.col("x") - F.col("y")).alias("n"))  # one row each
+
+
+def discards(docs: DataFrame, long: DataFrame, fresh: DataFrame, distinct: DataFrame, tainted: DataFrame | None, guarded: DataFrame) -> DataFrame:
+    """``reason, n`` of what each step of the pass discarded before the top share; a row that breaks several rules counts once for each."""
+    out = guarded.select(F.explode("violations").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    for part in (fewer("length", docs, long), fewer("exact", long, fresh), fewer("near", fresh, distinct)):
+        out = out.union(part)
+    return out if tainted is None else out.union(tainted.agg(F.lit("holdout").alias("reason"), F.count("*").alias("n")))
+
+
 def clean(docs: DataFrame, holdout: DataFrame, history: DataFrame | None = None, cfg: CleanConfig = CLEAN) -> tuple[DataFrame, DataFrame]:
     """The whole pass over ``docs(doc_id, source, text)``: kept rows, and ``reason, n`` of what was discarded.
 
-    Order: length, exact duplicates (of this pass and of ``history(hash)``), near duplicates, near
-    copies of the holdout, rules, score, top share. A row that fails later still suppresses its later
-    duplicates. A row breaking several rules counts once for each.
+    Order: length, exact duplicates (of this pass, of ``history(hash)`` and of the holdout), near duplicates, near
+    copies and passages of the holdout, rules, score, top share. A row that fails later still suppresses its later
+    duplicates; an exact copy of a held-out text suppresses none.
     """
-    order = "doc_id"
     long = drop_short(docs, cfg.min_chars)
-    unique = first_by_hash(long, order)
-    fresh = unique if history is None else not_in_history(unique, history)
-    fresh = cut(fresh)
+    unique = first_by_hash(long, "doc_id")
+    fresh = cut(not_in_holdout(unique if history is None else not_in_history(unique, history), holdout))
     # a pair is similar whatever the order of ids, so the exact join decides; of rows with equal sets the first decides for all
     members, sets = shingle_classes(fresh, cfg.shingle)
     state = first_inserted_wins(similar_classes(sets, cfg.jaccard))
     dropped = state.where("not kept").select(F.col("id").alias("doc_id")).union(members.where("id <> rep").select("id"))
     distinct = fresh.join(dropped, "doc_id", "left_anti")
-    tainted = cut(contamination(distinct, holdout, cfg.jaccard, cfg.shingle).select(F.col("doc").alias("doc_id")).distinct())
-    guarded = cut(judged(distinct.join(tainted, "doc_id", "left_anti"), cfg))
+    held_out = cut(tainted(distinct, holdout, cfg))
+    guarded = cut(judged(distinct.join(held_out, "doc_id", "left_anti"), cfg))
     passed = guarded.where(F.size("violations") == 0)
     kept = keep_top_share(passed, cfg.keep_quantile, F.round("score", 9).desc(), F.col("doc_id"), key="doc_id") if passed.limit(1).count() else passed
     kept = cut(kept)
-    count = lambda name, a, b: a.agg(F.count("*").alias("x")).crossJoin(b.agg(F.count("*").alias("y"))).select(F.lit(name).alias("reason"), (F.col("x") - F.col("y")).alias("n"))  # noqa: E731  one row each
-    reasons = guarded.select(F.explode("violations").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
-    for part in (
-        count("length", docs, long), count("exact", long, fresh), count("near", fresh, distinct),
-        tainted.agg(F.lit("holdout").alias("reason"), F.count("*").alias("n")), count("quantile", passed, kept),
-    ):
-        reasons = reasons.unionByName(part.select("reason", "n"))
-    return kept, reasons
+    return kept, discards(docs, long, fresh, distinct, held_out, guarded).union(fewer("quantile", passed, kept))

@@ -53,23 +53,29 @@ def lemma(verb: Column) -> Column:
 def extract(docs: DataFrame, min_conf: float = FACTS.min_conf, key: str = "doc_id", places: bool = False) -> DataFrame:
     """``key, sub, rel, obj, conf`` by regular expressions: copula, apposition, agent and active phrases; lower recall than a parser.
 
-    A parser can be plugged in by mapInPandas over the same columns; what follows only needs T7.
+    The documents are read once: each pattern goes over a text once, and groups are taken from its short matches. Where a
+    parser is at hand, :func:`parse` and :func:`dependency_facts` give the same columns.
     ``places`` adds the pattern's number and the match's place, ``part, pos``.
     """
-    parts = []
-    for k, (name, pattern, conf) in enumerate(PATTERNS):
-        if conf < min_conf:
-            continue
-        verbal = name in ("passive", "active")
-        groups = [F.regexp_extract_all("text", F.lit(pattern), F.lit(i)) for i in range(1, 4 if verbal else 3)]
-        z = docs.select(key, F.posexplode(F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)])).alias("pos", "g"))
-        if name == "active":
-            z = z.where(~F.lower("g.g1").isin(*NO_VERBS))
-        first, last = F.col("g.g0"), F.col("g.g2" if verbal else "g.g1")
-        sub, obj = (last, first) if name == "passive" else (first, last)
-        rel = lemma(F.lower(F.col("g.g1"))) if verbal else F.lit("is_a")
-        parts.append(z.select(key, T.normalize_entity(sub).alias("sub"), rel.alias("rel"), T.normalize_entity(obj).alias("obj"), F.lit(conf).alias("conf"), F.lit(k).alias("part"), "pos"))
-    out = reduce(DataFrame.unionByName, parts).where(T.is_valid_entity(F.col("sub")) & T.is_valid_entity(F.col("obj")))
+    used = [(k, *p) for k, p in enumerate(PATTERNS) if p[2] >= min_conf]
+    matches = lambda k, pattern: F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda m, i: F.struct(F.lit(k).alias("part"), i.alias("pos"), m.alias("m")))
+    # the filter stays above the generator, so that matches are not looked for once more to count them
+    every = docs.select(key, F.concat(*[matches(k, pattern) for k, _, pattern, _ in used]).alias("_all")).select(key, F.explode_outer("_all").alias("_m")).where("_m is not null")
+    verbal = F.col("_m.part").isin(*[k for k, name, _, _ in used if name in ("passive", "active")])
+    passive = F.col("_m.part").isin(*[k for k, name, _, _ in used if name == "passive"])
+
+    def group(i: int) -> Column:
+        of = [(k, F.regexp_extract("_m.m", pattern, i)) for k, name, pattern, _ in used if i < 3 or name in ("passive", "active")]
+        return reduce(lambda out, x: F.when(F.col("_m.part") == x[0], x[1]).otherwise(out), of, F.lit(None).cast("string"))
+
+    z = every.select(key, "_m", *[group(i).alias(f"g{i - 1}") for i in (1, 2, 3)])
+    active = [k for k, name, _, _ in used if name == "active"]
+    z = z.where(~(F.col("_m.part").isin(*active) & F.lower("g1").isin(*NO_VERBS))) if active else z
+    sub, obj = F.when(passive, F.col("g2")).otherwise(F.col("g0")), F.when(passive, F.col("g0")).when(verbal, F.col("g2")).otherwise(F.col("g1"))
+    conf = reduce(lambda out, x: F.when(F.col("_m.part") == x[0], F.lit(x[3])).otherwise(out), used, F.lit(None).cast("double"))
+    rel = F.when(verbal, lemma(F.lower("g1"))).otherwise(F.lit("is_a"))
+    out = z.select(key, T.normalize_entity(sub).alias("sub"), rel.alias("rel"), T.normalize_entity(obj).alias("obj"), conf.alias("conf"), F.col("_m.part").alias("part"), F.col("_m.pos").alias("pos"))
+    out = out.where(T.is_valid_entity(F.col("sub")) & T.is_valid_entity(F.col("obj")))
     return out if places else out.drop("part", "pos")
 
 

@@ -84,7 +84,27 @@ SELECT 'host' || CAST(user_id % 20 AS STRING) AS domain, ts, event_id,
 FROM {events}
 """
 
-DERIVED = {"rounds": ROUNDS, "metrics": METRICS, "topo": TOPO, "decisions": DECISIONS, "triplets": TRIPLETS, "claims": CLAIMS, "links": LINKS, "crawl": CRAWL}
+
+def _token_sql() -> str:
+    """A parsed sentence per line item, of five kinds: in the active, the passive, with a form of be, with an apposition and a second verb, and of short words in phrases."""
+    part, supp = "'e' || CAST(l_partkey AS STRING)", "'book' || CAST(l_suppkey AS STRING)"
+    kinds = (
+        (("'The'", "'the'", "DET", "det", 2), (part, part, "NOUN", "nsubj", 3), ("'wrote'", "'Write'", "VERB", "ROOT", 3), ("'a'", "'a'", "DET", "det", 5), (supp, supp, "NOUN", "dobj", 3)),
+        ((supp, supp, "NOUN", "nsubjpass", 3), ("'was'", "'be'", "AUX", "auxpass", 3), ("'read'", "'read'", "VERB", "ROOT", 3), ("'by'", "'by'", "ADP", "agent", 3), (part, part, "NOUN", "pobj", 4)),
+        ((part, part, "NOUN", "nsubj", 2), ("'is'", "'be'", "AUX", "ROOT", 2), ("'its'", "'its'", "PRON", "poss", 4), ("'bird'", "'bird'", "NOUN", "attr", 2), ("'.'", "'.'", "PUNCT", "punct", 2)),
+        ((part, part, "NOUN", "nsubj", 4), ("','", "','", "PUNCT", "punct", 3), ("'fish'", "'fish'", "NOUN", "appos", 1), ("'saw'", "'see'", "VERB", "ROOT", 4), ("'it'", "'it'", "PRON", "dobj", 4), ("'took'", "'take'", "VERB", "conj", 4), ("'we'", "'we'", "PRON", "nsubj", 6), (supp, supp, "NOUN", "dobj", 6)),
+        (("'The'", "'the'", "DET", "det", 3), ("'Big'", "'big'", "ADJ", "amod", 3), ("'Ox'", "'ox'", "NOUN", "nsubj", 4), ("'pulls'", "'pull'", "VERB", "ROOT", 4), ("'Ax'", "'ax'", "NOUN", "dobj", 4), ("'of'", "'of'", "ADP", "prep", 5), (part, part, "NOUN", "pobj", 6), ("'!'", "'!'", "PUNCT", "punct", 5)),
+    )
+    quoted = lambda x, k: x if k < 2 else f"'{x}'" if k < 4 else str(x)
+    column = lambda k: "CASE kind * 10 + i " + " ".join(f"WHEN {n * 10 + i} THEN {quoted(t[k], k)}" for n, kind in enumerate(kinds) for i, t in enumerate(kind, 1)) + " END"
+    return f"""
+SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS sent, CAST(i AS INT) AS i, {column(0)} AS text, {column(1)} AS lemma, {column(2)} AS pos, {column(3)} AS dep, CAST({column(4)} AS INT) AS head
+FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, CAST((l_orderkey + l_linenumber) % 5 AS INT) AS kind FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber) x
+JOIN (VALUES (1), (2), (3), (4), (5), (6), (7), (8)) AS p(i) ON i <= CASE kind WHEN 3 THEN 8 WHEN 4 THEN 8 ELSE 5 END
+"""
+
+
+DERIVED = {"rounds": ROUNDS, "metrics": METRICS, "topo": TOPO, "decisions": DECISIONS, "triplets": TRIPLETS, "claims": CLAIMS, "links": LINKS, "crawl": CRAWL, "tokens": _token_sql()}
 
 
 def sql_of(name: str) -> str:

@@ -10,11 +10,13 @@ from millrace.functions import minhash as M
 from millrace.functions import quality as Q
 from millrace.functions import text as T
 from millrace.functions.order import keep_top_share
+from millrace.lineage import scratch_folder
 from millrace.operators import dedup as D
-from millrace.operators import facts
+from millrace.operators import facts, parsed
 from millrace.operators import reports as R
 from millrace.operators import splits as S
-from millrace.plans.derived import table
+from millrace.plans.derived import cte, table
+from millrace.streaming.state import CorpusState
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -201,7 +203,7 @@ def q_near_dup_pairs(spark, d):
 
 @query(f"WITH {_SETS}, {_PAIRS} SELECT b AS dropped, min(a) AS kept FROM sim GROUP BY b ORDER BY b LIMIT 100")
 def q_dup_sample(spark, d):
-    return D.dup_sample(D.similar_pairs(docs(spark, d)))
+    return D.dup_sample(*D.near_duplicates(docs(spark, d)))
 
 
 @query(f"""WITH {_SETS}, hs AS ({_shingles('benchmark', 'item_id')}), hn AS (SELECT item_id, count(*) AS n FROM hs GROUP BY item_id),
@@ -247,7 +249,7 @@ def q_lsh_production(spark, d):
 
 @query(f"WITH RECURSIVE {_SETS}, {_PAIRS}, {_greedy('sim')} SELECT id, kept FROM greedy")
 def q_near_dup_greedy(spark, d):
-    return D.first_inserted_wins(D.similar_pairs(docs(spark, d)))
+    return D.greedy(*D.near_duplicates(docs(spark, d)))
 
 
 def _clean_sql(symbol: str, stop: str) -> str:
@@ -255,9 +257,9 @@ def _clean_sql(symbol: str, stop: str) -> str:
     sets = _SETS.replace("FROM documents)", "FROM fresh)")
     tainted = f"""hs AS ({_shingles('benchmark', 'item_id')}), hn AS (SELECT item_id, count(*) AS n FROM hs GROUP BY item_id),
   tainted AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, item_id, count(*) AS c FROM sh JOIN hs USING (s) GROUP BY 1, 2) x JOIN cn USING (doc_id) JOIN hn USING (item_id)
-    WHERE c::DOUBLE / (cn.n + hn.n - c) >= 0.8 AND doc_id IN (SELECT doc_id FROM distinct_docs))"""
+    WHERE (c::DOUBLE / (cn.n + hn.n - c) >= 0.8 OR c::DOUBLE / hn.n >= 0.8) AND doc_id IN (SELECT doc_id FROM distinct_docs))"""
     rules = _broken(symbol).replace("sw < 0.3", f"sw < {stop}")
-    return f"""WITH RECURSIVE long AS (SELECT * FROM documents WHERE length(text) >= 500), fresh AS (SELECT * FROM long WHERE doc_id IN (SELECT min(doc_id) FROM long GROUP BY sha256(text))),
+    return f"""WITH RECURSIVE long AS (SELECT * FROM documents WHERE length(text) >= 500), fresh AS (SELECT * FROM long WHERE doc_id IN (SELECT min(doc_id) FROM long GROUP BY sha256(text)) AND sha256(text) NOT IN (SELECT sha256(text) FROM benchmark)),
   {sets}, {_PAIRS}, {_greedy('sim')}, distinct_docs AS (SELECT * FROM fresh WHERE doc_id NOT IN (SELECT id FROM greedy WHERE NOT kept)), {tainted},
   guarded_docs AS (SELECT * FROM distinct_docs WHERE doc_id NOT IN (SELECT doc_id FROM tainted)), {FEATURES.replace('FROM documents) d', 'FROM guarded_docs) d')},
   guarded AS (SELECT doc_id, source, sha256(text) AS hash, {SCORE.replace('sym/0.1/', f'sym/{symbol}/')} AS score, {rules} AS violations FROM feats), passed AS (SELECT * FROM guarded WHERE len(violations) = 0),
@@ -270,6 +272,23 @@ def q_clean_pass(spark, d):
     return kept.select("doc_id", "source", "hash", F.round("score", 6).alias("score"))
 
 
+def _in_batches(spark, d, cfg: CleanConfig):
+    """The state after the documents came in three batches, by id."""
+    state = CorpusState(spark, scratch_folder(spark, "state"), table(spark, d, "benchmark"), cfg)
+    all_ = docs(spark, d)
+    lo, hi = all_.agg(F.min("doc_id"), F.max("doc_id")).first()
+    third = F.floor((F.col("doc_id") - F.lit(lo)) * 3 / F.lit((hi or 0) - (lo or 0) + 1))
+    for k in range(3):
+        state.admit(all_.where(third == k), k)
+    return state
+
+
+@query(f"{_clean_sql('0.35', '0.02')} SELECT doc_id, source, hash, round(score, 6) AS score FROM kept")
+def q_clean_batches(spark, d):
+    kept, _ = _in_batches(spark, d, CleanConfig(symbol_max=0.35, stop_min=0.02)).publish()
+    return kept.select("doc_id", "source", "hash", F.round("score", 6).alias("score"))
+
+
 def _fewer(reason: str, before: str, after: str) -> str:
     return f"SELECT '{reason}' AS reason, (SELECT count(*) FROM {before}) - (SELECT count(*) FROM {after}) AS n"
 
@@ -410,7 +429,7 @@ def _lemma_sql(verb: str) -> str:
 
 
 def _triplet_sql(key: str = "doc_id", source: str = "documents") -> str:
-    norm = lambda x: f"trim(regexp_replace(lower(trim({x})), '^((the|a|an|his|her|its|their) )+', ''))"
+    norm = lambda x: f"trim(regexp_replace(lower(trim({x})), '^((the|a|an|his|her|its|their)( +|$))+', ''))"
     valid = lambda x: f"length({x}) BETWEEN 2 AND 60 AND {x} NOT IN ({', '.join(repr(p) for p in T.PRONOUNS)}) AND regexp_matches({x}, '[\\p{{L}}\\p{{N}}]')"
     parts = []
     for k, (name, pattern, conf) in enumerate(facts.PATTERNS):
@@ -447,7 +466,35 @@ def q_corpus_stats(spark, d):
     return facts.corpus_stats(facts.extract_corpus(docs(spark, d), table(spark, d, "benchmark")))
 
 
-@query("SELECT page_id, e, length(e) BETWEEN 2 AND 60 AND e NOT IN (" + ", ".join(repr(p) for p in T.PRONOUNS) + ") AND regexp_matches(e, '[\\p{L}\\p{N}]') AS valid FROM (SELECT page_id, trim(regexp_replace(lower(trim('The ' || url)), '^((the|a|an|his|her|its|their) )+', '')) AS e FROM pages) x")
+def _parsed_sql() -> str:
+    """The four rules over the token table, phrases by recursion."""
+    valid = lambda x: f"length({x}) BETWEEN 2 AND 60 AND {x} NOT IN ({', '.join(repr(p) for p in T.PRONOUNS)}) AND regexp_matches({x}, '[\\p{{L}}\\p{{N}}]')"
+    first = lambda name, *deps: f"min(i) FILTER (dep IN ({', '.join(map(repr, deps))})) AS {name}"
+    said = lambda a, b, rel, conf, where: f"SELECT doc_id, sent, {a} AS a, {b} AS b, {rel} AS rel, {conf}::DOUBLE AS conf FROM headed WHERE {where}"
+    verb = "pos = 'VERB' AND (i = head OR dep = 'conj')"
+    passive = "coalesce(auxpass, FALSE) AND done_to IS NOT NULL"
+    return f"""{cte('tokens').replace('WITH ', 'WITH RECURSIVE ', 1)}, below AS (SELECT doc_id, sent, head AS i, bool_or(dep = 'auxpass') AS auxpass, {first('subject', 'nsubj')}, {first('done_to', 'nsubjpass')}, {first('object', 'dobj', 'obj')},
+    {first('attribute', 'attr')}, {first('of_', 'pobj')} FROM tokens WHERE i <> head GROUP BY doc_id, sent, head),
+  agent AS (SELECT t.doc_id, t.sent, t.head AS i, arg_max(b.of_, t.i) AS agent FROM tokens t JOIN below b USING (doc_id, sent, i) WHERE t.dep = 'agent' AND b.of_ IS NOT NULL GROUP BY t.doc_id, t.sent, t.head),
+  headed AS (SELECT * FROM tokens JOIN below USING (doc_id, sent, i) LEFT JOIN agent USING (doc_id, sent, i)),
+  said AS ({said('subject', 'object', 'lower(lemma)', 0.7, f"{verb} AND NOT ({passive}) AND subject IS NOT NULL AND object IS NOT NULL")}
+    UNION ALL {said('agent', 'done_to', 'lower(lemma)', 0.65, f"{verb} AND {passive} AND agent IS NOT NULL")}
+    UNION ALL {said('subject', 'attribute', "'is_a'", 0.9, "lemma = 'be' AND pos IN ('AUX', 'VERB') AND subject IS NOT NULL AND attribute IS NOT NULL")}
+    UNION ALL SELECT x.doc_id, x.sent, y.i, x.i, 'is_a', 0.6::DOUBLE FROM tokens x JOIN tokens y ON x.doc_id = y.doc_id AND x.sent = y.sent AND x.head = y.i WHERE x.dep = 'appos' AND y.dep IN ('nsubj', 'nsubjpass', 'dobj', 'pobj', 'attr')),
+  asked AS (SELECT doc_id, sent, a AS i FROM said UNION SELECT doc_id, sent, b FROM said),
+  tree(doc_id, sent, i, k) AS (SELECT doc_id, sent, i, i FROM asked UNION SELECT tree.doc_id, tree.sent, tree.i, t.i FROM tree JOIN tokens t ON t.doc_id = tree.doc_id AND t.sent = tree.sent AND t.head = tree.k AND t.i <> t.head),
+  phrase AS (SELECT tree.doc_id, tree.sent, tree.i, string_agg(text, ' ' ORDER BY k) AS p FROM tree JOIN tokens t ON t.doc_id = tree.doc_id AND t.sent = tree.sent AND t.i = tree.k WHERE t.pos NOT IN ('PUNCT', 'SPACE') GROUP BY tree.doc_id, tree.sent, tree.i),
+  entity AS (SELECT doc_id, sent, i, CASE WHEN length(lemma) > 2 AND lower(lemma) NOT IN ({', '.join(repr(p) for p in T.PRONOUNS)}) THEN lower(lemma)
+    ELSE trim(regexp_replace(lower(CASE WHEN dep IN ('nsubj', 'nsubjpass', 'dobj', 'attr', 'appos', 'pobj') THEN p ELSE text END), '^((the|a|an|his|her|its|their)( +|$))+', '')) END AS e FROM asked JOIN tokens USING (doc_id, sent, i) JOIN phrase USING (doc_id, sent, i))
+  SELECT s.doc_id, x.e AS sub, rel, y.e AS obj, conf FROM said s JOIN entity x ON x.doc_id = s.doc_id AND x.sent = s.sent AND x.i = a JOIN entity y ON y.doc_id = s.doc_id AND y.sent = s.sent AND y.i = b WHERE {valid('x.e')} AND {valid('y.e')}"""
+
+
+@query(_parsed_sql())
+def q_parsed_triplets(spark, d):
+    return parsed.dependency_facts(table(spark, d, "tokens"))
+
+
+@query("SELECT page_id, e, length(e) BETWEEN 2 AND 60 AND e NOT IN (" + ", ".join(repr(p) for p in T.PRONOUNS) + ") AND regexp_matches(e, '[\\p{L}\\p{N}]') AS valid FROM (SELECT page_id, trim(regexp_replace(lower(trim('The ' || url)), '^((the|a|an|his|her|its|their)( +|$))+', '')) AS e FROM pages) x")
 def q_entities(spark, d):
     e = table(spark, d, "pages").select("page_id", T.normalize_entity(F.concat(F.lit("The "), "url")).alias("e"))
     return e.select("page_id", "e", T.is_valid_entity(F.col("e")).alias("valid"))

@@ -8,7 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millrace.config import CLEAN, CleanConfig
 from millrace.functions import text as T
-from millrace.functions.minhash import band_keys, fast_signature, paragraph_shingles
+from millrace.ship import ship
+from millrace.streaming.state import CorpusState
 
 RAW = "path string, modificationTime timestamp, length long, content binary"
 
@@ -18,50 +19,27 @@ def raw_stream(spark: SparkSession, root: str) -> DataFrame:
 
 
 def prepared(raw: DataFrame, cfg: CleanConfig = CLEAN) -> DataFrame:
-    """``path, source, text, hash``: extracted, normalized, unwrapped and chunked, long enough."""
+    """``doc_id, path, source, text``: extracted, normalized, unwrapped and chunked; the id is the path and the chunk's number, so it orders as they do."""
+    ship(raw.sparkSession)
     html = F.make_valid_utf8(F.col("content").cast("string"))
     main = F.when(html.contains("<"), T.extract_main(html)).otherwise(F.when(~T.is_challenge(html), T.strip_boilerplate(html)))
     parts = T.chunks(T.unwrap(T.normalize(main)), cfg.max_chars)
     folder = F.element_at(F.split("path", "/"), -2)
     alias = F.create_map(*[F.lit(x) for kv in cfg.source_alias.items() for x in kv]) if cfg.source_alias else None
     source = folder if alias is None else F.coalesce(F.try_element_at(alias, folder), folder)  # rules by source apply to crawled domains
-    out = raw.select("path", source.alias("source"), F.explode(parts).alias("text"))
-    return out.where(F.length("text") >= cfg.min_chars).withColumn("hash", T.doc_hash(F.col("text")))
+    out = raw.select("path", source.alias("source"), F.posexplode(parts).alias("_part", "text"))
+    return out.select(F.concat("path", F.lit("#"), F.lpad(F.col("_part").cast("string"), 8, "0")).alias("doc_id"), "path", "source", "text")
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+def ingest(raw: DataFrame, store: str, checkpoint: str, cfg: CleanConfig = CLEAN, holdout: DataFrame | None = None) -> StreamingQuery:
+    """Runs the cleaning pass over new files, batch by batch, until no input is left; :class:`CorpusState` in ``store`` holds what it knows.
 
-
-def ingest(raw: DataFrame, store: str, checkpoint: str, cfg: CleanConfig = CLEAN, bands: int = 9, rows: int = 13) -> StreamingQuery:
-    """Appends new documents to ``store/documents`` and their bands to ``store/bands``, until no input is left.
-
-    Exact copies of anything stored are dropped, and rows that share a band with a stored document or
-    an earlier one of the batch; so near copies of history are found too. State lives in the tables,
-    not in the stream's memory. A batch that is replayed after a failure replaces its own folders.
+    Exact and near copies of anything that an earlier batch put into the index are dropped, texts of the holdout too, and
+    ``CorpusState.publish`` gives the kept rows of all batches so far. State lives in the tables, not in the
+    stream's memory. A batch that is replayed after a failure replaces its own folders.
     """
-
-    def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        documents = _table(spark, f"{store}/documents", "hash string, source string, text string, batch long").where(F.col("batch") != number)
-        stored = _table(spark, f"{store}/bands", "band int, bucket string, hash string, batch long").where(F.col("batch") != number)
-        new = df.groupBy("hash").agg(F.min_by(F.struct("source", "text"), "path").alias("d")).select("hash", "d.source", "d.text")
-        new = new.join(documents.select("hash"), "hash", "left_anti").persist()
-        sig = new.select("hash", fast_signature(paragraph_shingles(F.col("text"), cfg.shingle), bands * rows).alias("sig")).where("sig is not null")
-        keys = sig.select("hash", F.posexplode(band_keys(F.col("sig"), bands, rows)).alias("band", "bucket")).persist()
-        old = keys.join(stored.select("band", "bucket").distinct(), ["band", "bucket"], "left_semi").select("hash")
-        first = keys.groupBy("band", "bucket").agg(F.min("hash").alias("first"))
-        later = keys.join(first, ["band", "bucket"]).where("hash <> first").select("hash")
-        gone = old.union(later).distinct()
-        new.join(gone, "hash", "left_anti").write.mode("overwrite").parquet(f"{store}/documents/batch={number}")
-        keys.select("band", "bucket", "hash").join(gone, "hash", "left_anti").select("band", "bucket", "hash").write.mode("overwrite").parquet(f"{store}/bands/batch={number}")
-        new.unpersist()
-        keys.unpersist()
-
-    return prepared(raw, cfg).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    state = CorpusState(raw.sparkSession, store, holdout, cfg, "string")
+    return prepared(raw, cfg).writeStream.foreachBatch(lambda df, number: state.admit(df, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def within(query: StreamingQuery, seconds: float) -> bool:
