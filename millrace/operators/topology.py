@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.order import with_rank
 from millrace.lineage import cut, drop
+from millrace.ship import ship
 
 #: Most points of a cloud for which diagrams are computed; larger ones are subsampled first, as a parameter.
 MAX_POINTS = 500
@@ -31,6 +32,7 @@ def centred(points: DataFrame, key: str = "vec_id", vector: str = "embedding") -
 
 def projected(points: DataFrame, components: int, key: str = "vec_id", vector: str = "v") -> DataFrame:
     """Coordinates on the leading right singular vectors, largest entry positive; from the Gram matrix summed by task."""
+    ship(points.sparkSession)
     d = points.select(F.size(vector)).first()[0]
 
     def gram(batches):
@@ -67,6 +69,7 @@ def cosine_pairs(points: DataFrame, max_distance: float, key: str = "vec_id", ve
     All pairs are compared, so work grows with the square of the points, and what is shuffled with the
     square over the rows of a block. A zero vector is at distance 1 from all.
     """
+    ship(points.sparkSession)
     ranked = with_rank(points.select(F.col(key).alias("id"), F.col(vector).alias("v")), "id")
     n, dim = ranked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     block = max(1024, BLOCK_VALUES // max(1, dim))
@@ -93,27 +96,86 @@ def cosine_pairs(points: DataFrame, max_distance: float, key: str = "vec_id", ve
     return sides.groupBy("pair").applyInPandas(meet, "a long, b long, distance double")
 
 
+def spanning_tree(points: DataFrame, key: str = "vec_id", vector: str = "embedding", max_distance: float = float("inf"), block: int | None = None) -> DataFrame:
+    """``a, b, distance`` (a < b): the minimum spanning tree of a whole table by cosine distance, or forest of edges up to ``max_distance``; ties by id.
+
+    Rounds after Borůvka: every component takes its lightest edge to another, blocks of points meeting pairwise as in
+    :func:`cosine_pairs`, each handing on one row per component that it holds; then components are joined along those
+    edges. Each round at least halves the components, so there are log2(n) at most, whatever the diameter; the work of a round
+    grows with the square of the points. Labels and edges are tables, nothing is gathered. Null vectors take no part, a zero
+    vector is at distance 1 from all, ids must be unique; no or one point gives no edge.
+    """
+    spark = points.sparkSession
+    ship(spark)
+    ranked = with_rank(points.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null"), "id")
+    n, dim = ranked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    block = block or max(1024, BLOCK_VALUES // max(1, dim))
+    blocks = max(1, -(-n // block))
+    rows = ranked.withColumn("block", F.expr(f"cast((rank - 1) div {block} as int)"))
+    labels = cut(ranked.select("id", F.col("id").alias("c")))
+    tree = spark.createDataFrame([], "a long, b long, distance double")
+
+    def meet(key_, pdf):
+        pdf = pdf.sort_values("id")
+        x = np.stack(pdf["v"].to_numpy())
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        norm[norm == 0] = 1
+        x, ids, comp, of = x / norm, pdf["id"].to_numpy(), pdf["c"].to_numpy(), pdf["block"].to_numpy()
+        low, high = key_[0] // blocks, key_[0] % blocks
+        left, right = np.flatnonzero(of == low), np.flatnonzero(of == high)
+        out = []
+        for at in range(0, len(left), 1024):
+            some = left[at : at + 1024]
+            d = np.round(1 - np.clip(x[some] @ x[right].T, -1, 1), 12)
+            d[(comp[some][:, None] == comp[right][None, :]) | (d > max_distance)] = np.inf
+            if low == high:  # each pair once
+                d[ids[some][:, None] >= ids[right][None, :]] = np.inf
+            for i, j in ((np.arange(len(some)), d.argmin(axis=1)), (d.argmin(axis=0), np.arange(len(right)))) if d.size else ():
+                good = np.isfinite(d[i, j])
+                u, w = some[i[good]], right[j[good]]
+                ends = {"distance": d[i, j][good], "a": np.minimum(ids[u], ids[w]), "b": np.maximum(ids[u], ids[w])}
+                out += [pd.DataFrame({"c": comp[u], **ends, "o": comp[w]}), pd.DataFrame({"c": comp[w], **ends, "o": comp[u]})]
+        if not out:
+            return pd.DataFrame({"c": [], "distance": [], "a": [], "b": [], "o": []})
+        return pd.concat(out, ignore_index=True).sort_values(["c", "distance", "a", "b"]).drop_duplicates("c")
+
+    for _ in range(64):
+        sides = rows.join(labels, "id").withColumn("pair", F.explode(F.expr(f"transform(sequence(0, {blocks - 1}), o -> least(block, o) * {blocks} + greatest(block, o))")))
+        lightest = sides.select("id", "v", "c", "block", "pair").groupBy("pair").applyInPandas(meet, "c long, distance double, a long, b long, o long")
+        best = cut(lightest.groupBy("c").agg(F.min(F.struct("distance", "a", "b", "o")).alias("e")).select("c", "e.*"))
+        if best.limit(1).count() == 0:
+            return tree
+        tree = cut(tree.union(best.select("a", "b", "distance").distinct()))
+        # along the lightest edges components form trees around pairs that chose each other; the smaller of these is the root
+        other = best.select(F.col("c").alias("o"), F.col("o").alias("back"))
+        up = cut(best.join(other, "o", "left").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("p")))
+        while True:
+            nearer = cut(up.join(up.select(F.col("c").alias("p"), F.col("p").alias("q")), "p").select("c", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")))
+            drop(up)
+            up = nearer.select("c", "p")
+            if nearer.where("moved").limit(1).count() == 0:
+                break
+        before, labels = labels, cut(labels.join(up, "c").select("id", F.col("p").alias("c")))
+        drop(before)
+    raise RuntimeError("components did not join")
+
+
+def h0(points: DataFrame, key: str = "vec_id", vector: str = "embedding", block: int | None = None) -> DataFrame:
+    """``dim, birth, death`` of the components of a whole table by cosine distance: those of :func:`rips_diagrams`, without its limit of points. Equal points are one component from the start."""
+    tree = spanning_tree(points, key, vector, block=block)
+    some = points.where(F.col(vector).isNotNull()).limit(1).select(F.lit(float("inf")).alias("death"))
+    return tree.where("distance > 0").select(F.col("distance").alias("death")).union(some).select(F.lit(0).alias("dim"), F.lit(0.0).alias("birth"), "death")
+
+
 def betti0(diagrams: DataFrame, eps: float, by: str = "cloud_id") -> DataFrame:
     """Components alive at ``eps``: births up to it and later deaths."""
     return diagrams.where("dim = 0").groupBy(by).agg(F.count_if((F.col("birth") <= eps) & (F.col("death") > eps)).alias("betti0"))
 
 
 def betti0_points(points: DataFrame, eps: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Connected components of points joined at cosine distance up to ``eps``: one row."""
-    edges = cut(cosine_pairs(points, eps, key, vector).select("a", "b"))
-    n = points.count()
-    labels = cut(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("c", F.col("id")))
-    both = edges.union(edges.select(F.col("b"), F.col("a")))
-    while True:
-        low = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("n"))
-        new = labels.join(low, "id").select("id", F.least("c", "n").alias("c"))
-        new = cut(new.join(labels.select(F.col("id").alias("c"), F.col("c").alias("up")), "c").select("id", F.least("c", "up").alias("c")))
-        if new.join(labels.withColumnRenamed("c", "old"), "id").where("c <> old").limit(1).count() == 0:
-            break
-        drop(labels)
-        labels = new
-    touched, groups = labels.count(), labels.select("c").distinct().count()
-    return points.sparkSession.createDataFrame([(n - touched + groups,)], "betti0 long")
+    """Connected components of points joined at cosine distance up to ``eps``: one row. Every edge of the spanning forest joins two."""
+    forest = spanning_tree(points, key, vector, eps).agg(F.count("*").alias("joined"))
+    return points.agg(F.count("*").alias("n")).join(forest).select((F.col("n") - F.col("joined")).alias("betti0"))  # one row each
 
 
 def persistent_h1(diagrams: DataFrame, floor: float, by: str = "cloud_id") -> DataFrame:

@@ -170,6 +170,17 @@ def q_betti0_eps(spark, d):
     return topology.betti0_points(table(spark, d, "embeddings").select("vec_id", "embedding"), 0.55)
 
 
+@query(
+    f"""WITH RECURSIVE t AS (SELECT unnest([0.4, 0.45, 0.5, 0.55]::DOUBLE[]) AS eps), e AS (SELECT eps, a, b FROM ({_COS}) x JOIN t ON distance <= eps), sym AS (SELECT eps, a, b FROM e UNION ALL SELECT eps, b, a FROM e),
+  r(eps, id, m) AS (SELECT eps, vec_id, vec_id FROM embeddings, t UNION SELECT r.eps, r.id, sym.b FROM r JOIN sym ON r.m = sym.a AND r.eps = sym.eps)
+  SELECT eps, count(*) AS betti0 FROM (SELECT eps, id FROM r GROUP BY eps, id HAVING min(m) = id) x GROUP BY eps"""
+)
+def q_h0_components(spark, d):
+    # components of the whole table at several distances, from one diagram
+    diagram = topology.h0(table(spark, d, "embeddings").select("vec_id", "embedding"))
+    return diagram.select(F.explode(F.array(*map(F.lit, (0.4, 0.45, 0.5, 0.55)))).alias("eps"), "death").where("death > eps").groupBy("eps").agg(F.count("*").alias("betti0"))
+
+
 @query(
     """WITH m AS (SELECT i, avg(x) AS m FROM (SELECT unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) x GROUP BY i), c AS (SELECT list(m ORDER BY i) AS c FROM m),
   n AS (SELECT vec_id, sqrt(list_sum(list_transform(list_zip(embedding::DOUBLE[], c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS n FROM embeddings, c)
