@@ -15,7 +15,7 @@ import re
 from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
-from itertools import accumulate, islice
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +29,7 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS, PRIOR, TRUST = 3, 1.5, 0.8
 #: Mentions that are handed on at once.
 MENTIONS = 20_000
-#: Characters beside a span that are searched for context words.
+#: Characters beside a span in which a context word begins or ends; a word that they cut is taken whole.
 REACH = 40
 
 #: The base formats, anchored so that a search takes time in proportion to the text.
@@ -40,11 +40,11 @@ _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _any = re.compile(r"[0-9@]")
 
-#: Runs with digits; the most tokens and characters of a candidate in one; an address with its signs written out.
+#: Runs with digits; the most digits of a candidate in one, those of the longest card; an address with its signs written out.
 _run = re.compile(r"[0-9+(\[][0-9+()\[\]./_\x20-]*[0-9]")
 _tokens = re.compile(r"[^\x20]+")
 _digit = re.compile("[0-9]")
-TOKENS, LONGEST = 7, 80
+DIGITS = 19
 _written = re.compile(r"(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)(?=([A-Za-z0-9-]+(?:(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]+)+))")
 _hint = re.compile(r"[\[(]at[\])]|\x20at\x20[^\x20]+(?:\x20dot\x20|\x20?[\[(]dot)")
 _words = re.compile(r"[^\W\d_]+")
@@ -121,25 +121,37 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[i
             end -= 1
         while text[start] in ")]./_-":
             start += 1
-        if end - start > LONGEST:
-            return []
         part = text[start:end]
         return [(start, kind, end) for kind in _kinds(part, _digits(part))]
 
     def within(low: int, high: int) -> Iterator[tuple[int, int, int]]:
-        found = _tokens.finditer(text, low, high)
-        window = deque(islice(found, TOKENS))
-        while window:
+        found = ((m.start(), m.end(), sum(map(m[0].count, "0123456789"))) for m in _tokens.finditer(text, low, high))
+        window: deque[tuple[int, int, int]] = deque()  # tokens from a start on, until they hold more digits than a candidate may
+        held, ended = 0, False
+        while True:
+            while not ended and held <= DIGITS:
+                if (token := next(found, None)) is None:
+                    ended = True
+                else:
+                    window.append(token)
+                    held += token[2]
+            if not window:
+                return
             hit = 0
-            if _digit.search(window[0][0]) or window[0][0][0] in "+([":
-                for j in range(min(TOKENS, len(window)) - 1, -1, -1):
-                    if _digit.search(window[j][0]) and (some := possible(window[0].start(), window[j].end())):
+            if window[0][2] or text[window[0][0]] in "+([" and len(window) > 1 and window[1][2]:
+                ends_at, digits = [], 0
+                for j, (_, end, n) in enumerate(window):
+                    if (digits := digits + n) > DIGITS:
+                        break
+                    if n:
+                        ends_at.append((j, end))
+                for j, end in reversed(ends_at):
+                    if some := possible(window[0][0], end):
                         yield from some
                         hit = j + 1
                         break
             for _ in range(hit or 1):
-                window.popleft()
-            window.extend(islice(found, hit or 1))
+                held -= window.popleft()[2]
 
     for run in _run.finditer(text):
         at = run.start()
@@ -162,8 +174,12 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[i
 
 def contexts(text: str, start: int, end: int, kind: int) -> list[str]:
     """Lexical patterns of a span: the word before, the two words before, the word after, and the shape of its own characters (not of an email's)."""
-    before = [w.lower() for w in _words.findall(text[max(0, start - REACH) : start])]
-    after = _words.search(text[end : end + REACH])
+    at = max(0, start - REACH)
+    while at and text[at].isalpha() and text[at - 1].isalpha():
+        at -= 1
+    before = [w.lower() for w in _words.findall(text, at, start)]
+    if after := _words.search(text, end, end + REACH):
+        after = _words.match(text, after.start())
     out = ["L " + before[-1]] if before else []
     if len(before) > 1:
         out.append("LL " + " ".join(before[-2:]))

@@ -247,6 +247,25 @@ def test_candidates_are_runs_of_tokens_outside_base_spans():
             assert 0 <= s < e <= len(text) and text[e - 1].isdigit() and all(e <= a or s >= b for a, _, b in base), text
 
 
+def test_candidates_are_bounded_by_digits_alone():
+    def found(text):
+        return [text[s:e] for s, k, e in pii.loose_spans(text, pii.base_spans(text)) if k == 3]
+
+    assert found("id 5 2 3 5 5 5 9 9 9 9 end") == ["5 2 3 5 5 5 9 9 9 9"]  # ten tokens
+    apart = "555 " + "- " * 60 + "123 4567"
+    assert found(f"call {apart} now") == [apart]  # over 80 characters
+    assert max(sum(c.isdigit() for c in x) for x in found("1 2 3 " * 50)) <= 17
+    for text in ("( " * 30_000 + "5", "5 - " * 30_000, "( 5 " * 30_000):  # in time that the length sets
+        assert all(len(x) < 200 for x in found(text))
+
+
+def test_context_words_are_whole():
+    word = "x" * 100
+    text = f"{word} 5551234567 {word}y"
+    assert pii.contexts(text, 101, 111, 3)[:2] == [f"L {word}", f"R {word}y"]
+    assert pii.contexts("near 12 " + "1 " * 40 + "5551234567", 88, 98, 3) == ["S dddddddddd"]  # no word within reach
+
+
 def test_contexts_discover_forms_that_no_seed_has(spark):
     seeds = [(i, f"please call phone +1 (523) 555-1{i:03d} now") for i in range(30)]
     rows = [*seeds, (500, "they call phone 030/1234 5678 today"), (501, "call phone 19 - 28 / 37 - 46 often"), (502, "our part number 030/1234 5679 only"), (503, "call phone number 12 of them"), (504, "write to sales at shop dot example dot org")]
