@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.order import dealt_ranges, keep_top_share, with_rank, with_running_sum
+from millrace.lineage import cut
 from millrace.sources.files import exists
 
 
@@ -30,14 +29,17 @@ def freeze(docs: DataFrame, path: str, fraction: float = 0.02, name: str = "doc_
     spark = docs.sparkSession
     stored = lambda: spark.read.parquet(f"{path}/holdout")
     digest = lambda: holdout_digest(stored().select(F.col(name).cast("string").alias("name"), F.col("text").alias("content")))
+    tree = lambda: digest_tree(stored().select(F.col(name).cast("string").alias("name"), F.col("text").alias("content")))
     if exists(spark, f"{path}/anchor"):
         expected, actual = spark.read.text(f"{path}/anchor").first()[0], digest()
         if actual != expected:
-            raise RuntimeError(f"the holdout's digest is {actual}, the anchor says {expected}: it may not be made again")
+            where = [r["prefix"] for r in changed_ranges(spark.read.parquet(f"{path}/tree"), tree()).orderBy("prefix").limit(8).collect()] if exists(spark, f"{path}/tree") else []
+            raise RuntimeError(f"the holdout's digest is {actual}, the anchor says {expected}: it may not be made again; ranges of name hashes that changed: {', '.join(where) or 'unknown'}")
         return {"status": "already-frozen", "docs": stored().count(), "sha256": expected}
     held = freeze_holdout(docs, fraction)
     held.write.mode("overwrite").parquet(f"{path}/holdout")
     docs.join(stored().select(name), name, "left_anti").write.mode("overwrite").parquet(f"{path}/rest")
+    tree().coalesce(1).write.mode("overwrite").parquet(f"{path}/tree")
     found = digest()
     spark.createDataFrame([(found,)], "value string").coalesce(1).write.text(f"{path}/anchor")  # last, so that a broken attempt is made again
     return {"status": "frozen", "docs": stored().count(), "sha256": found}
@@ -59,16 +61,38 @@ def holdout_digest(files: DataFrame, name: str = "name", content: str = "content
     return out.hexdigest()
 
 
-def parallel_digest(files: DataFrame, name: str = "name", content: str = "content") -> str:
-    """Changes with any name or byte like :func:`holdout_digest`, with another value: contents are hashed on the executors, names and hashes on the driver."""
-    rows = files.select(name, F.sha2(F.col(content).cast("binary"), 256).alias("h")).orderBy(name).toLocalIterator()
-    out, n = hashlib.sha256(), 0
-    for r in rows:
-        out.update(str(r[0]).encode() + b"\0" + bytes.fromhex(r[1]))
-        n += 1
-    if not n:
+def digest_tree(files: DataFrame, depth: int = 2, name: str = "name", content: str = "content") -> DataFrame:
+    """``level, prefix, files, digest``: a hash tree of named contents; the root is level 0, with the empty prefix.
+
+    A file's leaf is the sha256 of its name, a zero byte and its content's sha256; leaves lie in 16^``depth`` ranges by the first
+    digits of their name's sha256, so a file stays in its range whatever else is there. A range hashes its leaves in order of names, and a
+    level above hashes at most 16 rows a row. All of it runs on the executors; choose ``depth`` so that a range's leaves (some 100 bytes each) fit a task.
+    Files of the same name and content count as often as they occur; an empty table has no rows.
+    """
+    leaf = F.sha2(F.concat(F.col(name).cast("string").cast("binary"), F.lit(b"\0"), F.unhex(F.sha2(F.col(content).cast("binary"), 256))), 256)
+    leaves = files.select(F.col(name).cast("string").alias("name"), leaf.alias("leaf"), F.left(F.sha2(F.col(name).cast("string").cast("binary"), 256), F.lit(depth)).alias("prefix"))
+    join = lambda rows, of: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*rows))), lambda r: r[of]), "").cast("binary"), 256)
+    level = cut(leaves.groupBy("prefix").agg(F.count("*").alias("files"), join(("name", "leaf"), "leaf").alias("digest")))
+    out = level.select(F.lit(depth).alias("level"), "prefix", "files", "digest")
+    for k in range(depth - 1, -1, -1):
+        up = level.select(F.left("prefix", F.lit(k)).alias("up"), "prefix", "files", "digest").groupBy("up").agg(F.sum("files").alias("files"), join(("prefix", "digest"), "digest").alias("digest"))
+        level = up.select(F.col("up").alias("prefix"), "files", "digest")
+        out = out.union(level.select(F.lit(k).alias("level"), "prefix", "files", "digest"))
+    return cut(out)
+
+
+def parallel_digest(files: DataFrame, name: str = "name", content: str = "content", depth: int = 2) -> str:
+    """Changes with any name or byte like :func:`holdout_digest`, with another value: the root of :func:`digest_tree`, the only row that reaches the driver."""
+    root = digest_tree(files, depth, name, content).where("level = 0").first()
+    if root is None:
         raise ValueError("empty holdout")
-    return out.hexdigest()
+    return root["digest"]
+
+
+def changed_ranges(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``prefix, before, after`` of the lowest ranges of two digest trees of one depth that differ: where a file was changed, added or lost. Null digests for ranges that one lacks."""
+    low = lambda tree, of: tree.join(F.broadcast(tree.agg(F.max("level").alias("level"))), "level", "left_semi").select("prefix", F.col("digest").alias(of))
+    return low(before, "before").join(low(after, "after"), "prefix", "full").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
 def verify_holdout(files: DataFrame, expected: str | None, **kw) -> str:
@@ -119,44 +143,35 @@ def seeded_sample(rows: DataFrame, k: int, seed: int, key: str) -> DataFrame:
 def budgeted(files: DataFrame, budget: int, seed: int, name: str = "name", size: str = "bytes", parts: int | None = None) -> DataFrame:
     """Files in seeded order while they fit into a byte budget; one that does not fit is skipped and later ones are tried.
 
-    Ranges of the order are decided one after the other: a range that fits whole and one whose least
-    file is too large need no look at their rows; any other is run through in one task, which returns
-    what it leaves. Then all ranges list their files at once, each from what was left before it.
+    Each round settles a whole class of sizes: while at least 2^k bytes are left, but not twice as many, larger classes are
+    out, smaller files all fit, and the class itself has room for one. So running sums of the smaller files find the place
+    where less than 2^k are left, and there are at most as many rounds, of one job each, as the budget has binary digits.
+    Ranges of the order are summed in parallel; one row per range passes through one task. Files of equal names are taken or left together; null sizes are left.
     """
     spark = files.sparkSession
     sized = files.select(F.col(name).alias("name"), F.col(size).cast("long").alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.col(name).cast("string")).cast("binary")).alias("h"))
-    dealt = dealt_ranges(sized, ["h", "name"], parts)
-    stats = dealt.groupBy("_part").agg(F.sum("size").alias("total"), F.min("size").alias("least")).orderBy("_part").collect()  # a row per range
-
-    def taken(left: int, pdf: pd.DataFrame) -> tuple[np.ndarray, int]:
-        pdf.sort_values("_at", inplace=True)
-        keep = np.zeros(len(pdf), bool)
-        for i, n in enumerate(pdf["size"].to_numpy()):
-            if n <= left:
-                keep[i], left = True, left - int(n)
-        return keep, left
-
-    def rest(left: int):
-        return lambda pdf: pd.DataFrame({"left": [taken(left, pdf)[1]]})
-
-    starts, left = [], budget
-    for r in stats:
-        if r["least"] > left:
-            continue
-        starts.append((r["_part"], left))
-        if r["total"] <= left:
-            left -= r["total"]
-        else:
-            left = dealt.where(F.col("_part") == r["_part"]).groupBy("_part").applyInPandas(rest(left), "left long").first()[0]
-    before = spark.createDataFrame(starts, "_part int, _left long")
-    kind = dict(sized.dtypes)["name"]
-
-    def listed(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep, _ = taken(int(pdf["_left"].iloc[0]), pdf)
-        return pdf.loc[keep, ["name"]]
-
-    chosen = dealt.join(F.broadcast(before), "_part").groupBy("_part").applyInPandas(listed, f"name {kind}")
-    return files.join(chosen.withColumnRenamed("name", name), name, "left_semi")
+    dealt = dealt_ranges(sized.where("size is not null"), ["h", "name"], parts)
+    spans, at, left = [], -1, budget  # (after, up to, sizes below), and single files of a class as spans of their own
+    while left >= 0:
+        least = 1 << (left.bit_length() - 1) if left else 1
+        rows = dealt.where((F.col("_at") > at) & (F.col("size") < (2 * least if left else 1))).withColumn("_small", F.when(F.col("size") < least, F.col("size")).otherwise(0))
+        sums = rows.groupBy("_part").agg(F.sum("_small").alias("_sum"))
+        before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_base"))  # a row per range
+        upto = F.col("_base") + F.sum("_small").over(Window.partitionBy("_part").orderBy("_at"))
+        here = rows.join(F.broadcast(before), "_part").withColumn("_left", F.lit(left) - upto - F.when(F.col("size") >= least, F.col("size")).otherwise(0))
+        ends = (F.col("_left") < least) & ((F.col("size") < least) | (F.col("_left") >= 0))
+        met = here.where(ends).agg(F.min(F.struct("_at", "_left", "size"))).first()[0] if left else None
+        spans.append((at, met["_at"] if met else 1 << 62, least))
+        if not met:
+            break
+        if met["size"] >= least:
+            spans.append((met["_at"] - 1, met["_at"], 1 << 62))
+        at, left = met["_at"], met["_left"]
+    taken = F.lit(False)
+    for after, last, below in spans:
+        taken = taken | ((F.col("_at") > after) & (F.col("_at") <= last) & (F.col("size") < below))
+    chosen = dealt.where(taken).select(F.col("name").alias(name))
+    return files.join(chosen, name, "left_semi")
 
 
 def probe_sentences(docs: DataFrame, k: int, seed: int, min_chars: int = 40, min_tokens: int = 8, max_tokens: int = 256) -> DataFrame:

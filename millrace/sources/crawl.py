@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from millrace.functions.text import url_domain, url_key
 
@@ -114,7 +114,10 @@ def pages(log: DataFrame, root: str = "") -> DataFrame:
 
 
 class PagedSource(DataSource):
-    """Batch source over a paging API; ``register`` gives it the function that fetches one page."""
+    """Source over a paging API, for a batch or a stream; ``register`` gives it the function that fetches one page.
+
+    Options: ``count`` of items, ``batch`` of items per page, and for streams ``pages`` per micro-batch.
+    """
 
     fetch: Callable[[int, int], list[tuple]] | None = None
 
@@ -129,6 +132,10 @@ class PagedSource(DataSource):
         return _PagedReader(type(self).fetch, int(self.options.get("count", 0)), int(self.options.get("batch", 20)))
 
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _PagedStream(type(self).fetch, int(self.options.get("count", 0)), int(self.options.get("batch", 20)), int(self.options.get("pages", 8)))
+
+
 class _PagedReader(DataSourceReader):
     def __init__(self, fetch, count: int, batch: int):
         self.fetch, self.count, self.batch = fetch, count, batch
@@ -145,5 +152,37 @@ class _PagedReader(DataSourceReader):
             logging.getLogger(__name__).warning("page at %s failed, its batch ends: %s", partition.value, e)
 
 
+class _PagedStream(DataSourceStreamReader):
+    """Pages of a micro-batch are partitions, fetched on the executors; the offset counts items. A restarted stream is told where it was by an empty range.
+
+    Offsets are in the query's checkpoint, so a stream that was stopped goes on after its last finished batch, and one that failed
+    fetches the pages of the unfinished batch again. A page that fails, fails its task and is tried anew as tasks are: it is never passed over.
+    """
+
+    def __init__(self, fetch, count: int, batch: int, pages: int):
+        self.fetch, self.count, self.batch, self.pages = fetch, count, batch, pages
+        self.at: int | None = None
+
+    def initialOffset(self) -> dict:
+        return {"item": 0}
+
+    def latestOffset(self) -> dict:
+        """One micro-batch on from where the stream is; the end once it is reached."""
+        at = 0 if self.at is None else self.at
+        return {"item": min(self.count, at + self.pages * self.batch)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.at = end["item"]
+        return [InputPartition((i, min(self.batch, end["item"] - i))) for i in range(start["item"], end["item"], self.batch)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if self.fetch is None:
+            raise RuntimeError("no fetch function is registered")
+        yield from self.fetch(*partition.value)
+
+    def commit(self, end: dict) -> None:
+        self.at = max(self.at or 0, end["item"])
+
+
 def register(spark: SparkSession, fetch: Callable[[int, int], list[tuple]]) -> None:
     spark.dataSource.register(type("Paged", (PagedSource,), {"fetch": staticmethod(fetch)}))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.lineage import cut
+
 TRIPLETS = "sub string, rel string, obj string, conf double, source_doc_hash string, triplet_id string, ord long"
 CRAWL_LOG = "url string, status int, bytes long, ts double, note string"
 
@@ -40,13 +42,37 @@ def strict_triplets(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("source_doc_hash", F.coalesce("source_doc_hash", F.lit("")))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line, value``: the lines of text files with their numbers from 1, however files are split.
+
+    Lines are numbered within their split, in the order read; splits of a file are counted, and each starts after those before it:
+    one row per split is ordered, not one per line. Compressed files are one split.
+    """
+    meta = lambda c: F.col(f"_metadata.{c}")
+    lines = cut(spark.read.text(path).select(meta("file_path").alias("file"), meta("file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value"))
+    splits = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    of_file = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("file", "start", "first", F.coalesce(F.sum("n").over(of_file), F.lit(0)).alias("before"))
+    # a split is read by one task from its first line on, so places within it have no gap
+    return lines.join(starts, ["file", "start"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
 def checked_triplets(spark: SparkSession, path: str) -> DataFrame:
-    """Triplets in (sub, obj, confidence descending, id) order; an error quotes a broken line or one without sub, obj or conf."""
+    """Triplets in (sub, obj, confidence descending, id) order; blank lines are skipped.
+
+    A line that is no JSON or lacks sub, obj or conf is an error at once that names the first such file and line. Lines are numbered only then.
+    """
     schema = T.StructType.fromDDL(TRIPLETS).add("_corrupt_record", T.StringType())
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
-    bad = F.col("_corrupt_record").isNotNull() | F.col("sub").isNull() | F.col("obj").isNull() | F.col("conf").isNull()
-    checked = F.when(bad, F.raise_error(F.concat(F.lit("bad triplet: "), F.coalesce("_corrupt_record", F.to_json(F.struct("sub", "obj", "conf")))))).otherwise(F.col("sub"))
-    return rows.withColumn("sub", checked.cast("string")).drop("_corrupt_record").orderBy("sub", "obj", F.desc("conf"), "triplet_id")
+    rows = spark.read.text(path).where("trim(value) <> ''").select("value", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    broken = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
+    absent = F.array_compact(F.array(*[F.when(F.col(f"r.{c}").isNull(), F.lit(c)) for c in ("sub", "obj", "conf")]))
+    bad = rows.where(broken | (F.size(absent) > 0))
+    if bad.limit(1).count():
+        found = numbered_lines(spark, path).where("trim(value) <> ''").withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+        why = F.when(broken, F.lit("no valid JSON")).otherwise(F.concat(F.lit("no "), F.array_join(absent, ", ")))
+        first = found.where(broken | (F.size(absent) > 0)).select("file", "line", "value", why.alias("why")).orderBy("file", "line").first()
+        raise ValueError(f"bad triplet at {first['file']}:{first['line']}: {first['why']}: {first['value']}")
+    return rows.select("r.*").drop("_corrupt_record").orderBy("sub", "obj", F.desc("conf"), "triplet_id")
 
 
 def append_log(rows: DataFrame, path: str, format: str = "json") -> None:
