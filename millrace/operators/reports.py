@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.order import dealt_ranges
+
 Z95 = 1.959963984540054
 
 
@@ -98,9 +100,23 @@ def running_min(rows: DataFrame, value: str, run: str, order: str, name: str = "
     return rows.withColumn(name, F.min(F.when(F.col(value) > 0, F.col(value))).over(w))
 
 
-def p95(column: Column) -> Column:
-    """Exact percentile with linear interpolation."""
-    return F.percentile(column, 0.95)
+def percentiles(rows: DataFrame, by: str, value: str, share: float = 0.95, name: str = "percentile", parts: int | None = None) -> DataFrame:
+    """``by, name``: the exact percentile of each group, with linear interpolation between the two order statistics beside it.
+
+    Ranges of (group, value) are sorted in parallel; a value's rank follows from its place in its range and one row
+    per range and group, so no task holds a group's values, however many they are. Nulls are ignored, a null group is a group.
+    """
+    dealt = dealt_ranges(rows.select(by, F.col(value).cast("double").alias("_v")).where("_v is not null"), [by, "_v"], parts)
+    runs = dealt.groupBy("_part", by).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    of_group = Window.partitionBy(by)
+    before = F.sum("_n").over(of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    placed = runs.select(F.col("_part").alias("_p"), F.col(by).alias("_g"), "_first", before.alias("_before"), ((F.sum("_n").over(of_group) - 1) * F.lit(share)).alias("_want"))
+    joined = dealt.join(placed, (F.col("_part") == F.col("_p")) & F.col(by).eqNullSafe(F.col("_g")))
+    rank = F.col("_before") + F.col("_at") - F.col("_first")
+    near = joined.where((rank == F.floor("_want")) | (rank == F.ceil("_want"))).withColumn("_rank", rank)
+    low, high = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
+    part = F.first("_want") - F.floor(F.first("_want"))
+    return near.groupBy(by).agg((low * (1 - part) + high * part).alias(name))
 
 
 def wilson(successes: Column, total: Column, z: float = Z95) -> tuple[Column, Column]:

@@ -31,29 +31,31 @@ def centred(points: DataFrame, key: str = "vec_id", vector: str = "embedding") -
 
 
 def projected(points: DataFrame, components: int, key: str = "vec_id", vector: str = "v") -> DataFrame:
-    """Coordinates on the leading right singular vectors, largest entry positive; from the Gram matrix summed by task."""
+    """Coordinates on the leading right singular vectors, largest entry positive.
+
+    They are those of the triangular factor of all rows, merged in a tree from one per task: at most as many rows as dimensions each,
+    and of the condition of the data itself, where sums of squares would have its square.
+    """
     ship(points.sparkSession)
     d = points.select(F.size(vector)).first()[0]
 
-    def gram(batches):
-        g = np.zeros((d, d))
+    def factor(batches):
+        r = np.zeros((0, d))
         for b in batches:
             if len(b):
-                x = np.stack(b[vector].to_numpy())
-                g += x.T @ x
-        yield pd.DataFrame({"g": [g.tobytes()]})
+                r = np.linalg.qr(np.vstack([r, np.stack(b[vector].to_numpy())]), mode="r")
+        yield pd.DataFrame({"r": [r.tobytes()]})
 
-    def add(batches):
-        total = np.zeros((d, d))
+    def merge(batches):
+        r = np.zeros((0, d))
         for b in batches:
-            for g in b["g"]:
-                total += np.frombuffer(g).reshape(d, d)
-        yield pd.DataFrame({"g": [total.tobytes()]})
-
-    parts = cut(points.select(vector).mapInPandas(gram, "g binary"))  # one matrix per task, added in a few tasks
-    sums = parts.coalesce(16).mapInPandas(add, "g binary").collect()
-    values, vectors = np.linalg.eigh(sum((np.frombuffer(r["g"]).reshape(d, d) for r in sums), np.zeros((d, d))))
-    basis = vectors[:, np.argsort(-values)[: min(components, d)]].T
+            for x in b["r"]:
+                r = np.linalg.qr(np.vstack([r, np.frombuffer(x).reshape(-1, d)]), mode="r")
+        yield pd.DataFrame({"r": [r.tobytes()]})
+
+    parts = cut(points.select(F.col(vector).cast("array<double>").alias(vector)).mapInPandas(factor, "r binary"))  # one factor per task, merged in a few tasks
+    factors = [np.frombuffer(x["r"]).reshape(-1, d) for x in parts.coalesce(16).mapInPandas(merge, "r binary").collect()]
+    basis = np.linalg.svd(np.vstack(factors) if factors else np.zeros((0, d)), full_matrices=True)[2][: min(components, d)].copy()
     basis *= np.sign(basis[np.arange(len(basis)), np.abs(basis).argmax(axis=1)])[:, None]
 
     @F.pandas_udf("array<double>")

@@ -353,7 +353,7 @@ def q_ppl_gain(spark, d):
 
 @query("SELECT event_type, round(quantile_cont(value::DOUBLE, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def q_p95(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(reports.p95(F.col("value")), 6).alias("p95"))
+    return reports.percentiles(table(spark, d, "events"), "event_type", "value", 0.95).select("event_type", F.round("percentile", 6).alias("p95"))
 
 
 @query(cte("rounds", "metrics") + f"SELECT run_id, round_id, CASE WHEN coalesce(ppl > {GATE.damage_ratio} * champ_ppl, false) THEN 'damage evidence' ELSE 'no verdict' END AS damage FROM metrics")
