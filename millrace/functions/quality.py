@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.config import CLEAN, CleanConfig
-from millrace.functions.text import lines, strip
+from millrace.functions.text import IN_BREAKS, IN_LINE
 
 # Characters that close a line.
 LINE_CLOSERS = ".!?'\"”’):;]"
@@ -56,7 +56,10 @@ def symbol_ratio(text: Column) -> Column:
 
 
 def punct_line_frac(text: Column) -> Column:
-    return listed_share(F.filter(F.transform(lines(text), strip), lambda x: x != ""), lambda x: F.instr(F.lit(LINE_CLOSERS), F.right(x, F.lit(1))) > 0)
+    """Share of the lines with more than white space that end in a closer. Both are counted over the whole text, without making its lines."""
+    filled = F.regexp_count(text, F.lit(rf"(?:\A|[{IN_BREAKS}])[{IN_LINE}]*[^{IN_BREAKS}{IN_LINE}]"))
+    closed = F.regexp_count(text, F.lit("[" + "".join(f"\\x{{{ord(c):X}}}" for c in LINE_CLOSERS) + rf"](?=[{IN_LINE}]*+(?:[{IN_BREAKS}]|\z))"))
+    return share(closed, filled)
 
 
 def stopword_ratio(text: Column, stop: tuple[str, ...] | None = None) -> Column:

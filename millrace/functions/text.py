@@ -32,6 +32,8 @@ PRONOUNS = ("this", "that", "these", "those", "there", "here", "it", "he", "she"
 # Line breaks and white space as the Unicode standard lists them, as regular expressions that Java and RE2 read alike.
 BREAKS = r"\x0D\x0A|[\x0A-\x0D\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# The same, apart: characters that break a line, and white space within one.
+IN_BREAKS, IN_LINE = r"\x0A-\x0D\x1C-\x1E\x{85}\x{2028}\x{2029}", r"\x09\x1F\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
 
 
 def lines(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -183,6 +183,42 @@ def probe_sentences(docs: DataFrame, k: int, seed: int, min_chars: int = 40, min
     return out.select("sentence", F.when(F.count("*").over(Window.partitionBy()) < k, F.raise_error(F.lit("too few sentences")).cast("int")).alias("_ok")).where("_ok is null").drop("_ok")
 
 
+def create_probes(docs: DataFrame, path: str, k: int, seed: int, min_chars: int = 40, min_tokens: int = 8, max_tokens: int = 256) -> dict:
+    """Chooses the probe sentences once and for all: later calls change nothing and answer what was stored.
+
+    Writes ``path/sentences`` (``ord, sentence``, in order of text) and, last, ``path/probes`` with their sha256 (of the sentences
+    joined by line breaks; ``k`` of them reach the driver), the numbers of candidates and of sentences over ``max_tokens``, the limit and the seed. An attempt
+    that broke before the last step is made again; an error if there are too few sentences.
+    """
+    spark = docs.sparkSession
+    if not exists(spark, f"{path}/probes/_SUCCESS"):
+        pieces = docs.select(F.explode(T.sentences(F.col("text"))).alias("sentence")).select(T.strip(F.col("sentence")).alias("sentence")).where(F.length("sentence") >= min_chars)
+        n = F.size(F.filter(F.split("sentence", r"\s+", -1), lambda x: x != ""))
+        seen = pieces.agg(F.count_distinct(F.when(n.between(min_tokens, max_tokens), F.xxhash64("sentence"))).alias("candidates"), F.count_if(n > max_tokens).alias("discarded_overlong")).first()
+        chosen = probe_sentences(docs, k, seed, min_chars, min_tokens, max_tokens).orderBy("sentence")
+        sentences = [r["sentence"] for r in chosen.collect()]
+        spark.createDataFrame(list(enumerate(sentences)), "ord int, sentence string").coalesce(1).write.mode("overwrite").parquet(f"{path}/sentences")
+        row = (_sentences_digest(sentences), k, seen["candidates"], seen["discarded_overlong"], max_tokens, seed)
+        spark.createDataFrame([row], "sha256 string, sentences int, candidates long, discarded_overlong long, max_tokens int, seed long").coalesce(1).write.mode("overwrite").parquet(f"{path}/probes")
+    load_probes(spark, path)
+    return spark.read.parquet(f"{path}/probes").first().asDict()
+
+
+def _sentences_digest(sentences: list[str]) -> str:
+    return hashlib.sha256("\n".join(sentences).encode()).hexdigest()
+
+
+def load_probes(spark: SparkSession, path: str) -> DataFrame:
+    """``ord, sentence`` of the stored probes; an error if there are none, or if they no longer have their digest."""
+    if not exists(spark, f"{path}/probes/_SUCCESS"):
+        raise RuntimeError(f"no probe sentences at {path}: create them once before anything is measured")
+    stored = spark.read.parquet(f"{path}/sentences").orderBy("ord")
+    expected, actual = spark.read.parquet(f"{path}/probes").first()["sha256"], _sentences_digest([r["sentence"] for r in stored.collect()])
+    if actual != expected:
+        raise RuntimeError(f"the probes' digest is {actual}, expected {expected}")
+    return stored
+
+
 def strided(rows: DataFrame, keep: int, order: str, key: str) -> DataFrame:
     """Rows floor(i * n / keep) of the ordered table, i from 0."""
     n = rows.count()

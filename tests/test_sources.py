@@ -134,3 +134,21 @@ def test_a_changed_holdout_names_its_range(spark, tmp_path):
     changed.write.mode("overwrite").parquet(f"{path}/holdout")
     with pytest.raises(RuntimeError, match=f"changed: {hashlib.sha256(str(first).encode()).hexdigest()[:2]}"):
         splits.freeze(docs, path, 0.2)
+
+
+def test_probes_are_written_once(spark, tmp_path):
+    path = str(tmp_path / "p")
+    sentence = lambda i: f"number {i} of the sentences has these many words in it."
+    docs = spark.createDataFrame([(" ".join(sentence(i) for i in range(k, k + 12)),) for k in range(0, 60, 6)] + [(" ".join(["far"] * 300) + ".",), (None,), ("too short.",)], "text string")
+    with pytest.raises(RuntimeError):
+        splits.load_probes(spark, path)
+    made = splits.create_probes(docs, path, 20, 7)
+    stored = [r["sentence"] for r in splits.load_probes(spark, path).collect()]
+    assert len(stored) == 20 == len(set(stored)) and stored == sorted(stored) and {*stored} <= {sentence(i) for i in range(70)}
+    assert made["sha256"] == hashlib.sha256("\n".join(stored).encode()).hexdigest() and made["candidates"] == 66 and made["discarded_overlong"] == 1
+    assert splits.create_probes(docs.limit(1), path, 5, 8) == made  # nothing is chosen anew
+    spark.createDataFrame([(0, "other")], "ord int, sentence string").write.mode("overwrite").parquet(f"{path}/sentences")
+    with pytest.raises(RuntimeError):
+        splits.create_probes(docs, path, 20, 7)
+    with pytest.raises(Exception, match="too few"):
+        splits.create_probes(docs, str(tmp_path / "q"), 500, 7)

@@ -102,3 +102,21 @@ def test_extractors_can_be_replaced(spark):
     assert one(spark, page, lambda c: T.extract_main(c, T.guarded(lambda p: "  "), fails)) is None
     assert one(spark, "<nav>only this</nav>", lambda c: T.extract_main(c, T.pattern_text, T.tag_free_text)) == "only this"
     assert one(spark, "captcha", lambda c: T.extract_main(c, T.guarded(lambda p: "x"))) is None
+
+
+def test_lines_that_end_in_a_closer_equal_a_loop(spark):
+    import random
+
+    from millrace.functions import quality
+
+    rng = random.Random(1)
+    parts = ["a", "b.", "!", " ", "\t", "\n", "\r\n", "\r", "\x0b", "\x1c", "\x1f", "\x85", " ", " ", "　", "”", "]", ")", "'", '"', "é"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+
+    def plain(text):
+        lines = [x.strip() for x in text.splitlines() if x.strip()]
+        return sum(x[-1] in quality.LINE_CLOSERS for x in lines) / len(lines) if lines else 0.0
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", quality.punct_line_frac(df["t"]).alias("share")).collect():
+        assert r["share"] == plain(r["t"]), r["t"]
