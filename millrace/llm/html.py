@@ -1,10 +1,11 @@
 """Main text of web pages: parser events to lines, text-to-tag ratios, Gaussian smoothing, threshold clusters.
 
-Each block of a page is a line. Its ratio is its text outside links over its tags; tags and class words
-of page furniture only lower it, a thousandfold for each such element around the line. Ratios are
-smoothed along the page, not across the edges of furniture or of an article, and lines over a share of
-the page's text-weighted mean form content clusters. The elements that hold the clusters are the
-content regions: short lines in them are kept, and lines that the clusters leave out are not.
+Each block of a page is a line. Its ratio is its text outside links over its tags; a tag or class word
+of page furniture around it, and a place outside the page's articles where it has any, only lower the
+ratio, a thousandfold each. Ratios are smoothed along the page, not across the edges of furniture or of
+an article, and lines over a share of the page's text-weighted mean form content clusters. The regions
+are the articles, else the element that holds most of the clusters: there the clusters are kept, with
+short lines among them whose ratio is not lowered. Beside articles what the clusters hold is kept too.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ SIGMA, SHARE = 1.5, 0.2
 FURNITURE_FACTOR = 1e-3
 #: Share of a page's text that must be outside furniture; with less, furniture that holds most of the rest is the page's frame.
 OUTSIDE = 0.02
-#: Share of the clusters' text that a region must hold, that articles together must, and of the largest article's that any other must.
-REGION, ARTICLES, NEXT_ARTICLE = 0.95, 0.5, 0.1
+#: Share of the clusters' text that a region holds whatever stands beside it, and that it must hold anyhow.
+REGION, MOST = 0.95, 0.5
+#: Share of the text that articles together must hold, and of the largest article's that any other must.
+ARTICLES, NEXT_ARTICLE = 0.5, 0.1
+#: Level of text without a heading.
+NO_HEADING = 7
 #: Share of a line's text inside links from which it is a link.
 LINK = 0.8
 
@@ -250,6 +255,62 @@ def _marks(page: Lines, plain: np.ndarray, at: np.ndarray) -> np.ndarray:
         own[frame] = False
 
 
+def _articles(page: Lines, plain: np.ndarray, at: np.ndarray, marks: np.ndarray) -> list[int]:
+    """Outermost article elements (else main ones) outside furniture, if together they hold most of the text outside furniture; without those far shorter than the longest."""
+    tags, parents = [e[0] for e in page.elements], [e[1] for e in page.elements]
+    held = np.bincount(at, plain, len(tags))
+    for e in range(len(tags) - 1, 0, -1):
+        held[parents[e]] += held[e]
+    for tag in ("article", "main"):
+        inner = np.zeros(len(tags), bool)
+        for e in range(1, len(tags)):
+            inner[e] = inner[parents[e]] or tags[parents[e]] == tag and marks[parents[e]] == 0
+        found = [e for e in range(1, len(tags)) if tags[e] == tag and not inner[e] and marks[e] == 0 and held[e] > 0]
+        if found and sum(held[e] for e in found) >= ARTICLES * held[0]:
+            return [e for e in found if held[e] >= NEXT_ARTICLE * max(held[f] for f in found)]
+    return []
+
+
+def _region(page: Lines, masses: np.ndarray, at: np.ndarray) -> int:
+    """The element that holds the clusters, narrowed from the page while one child holds nearly all of their text, or most of it and the others stand beside the text.
+
+    Beside the text are blocks of one line (notices, credits) and blocks under lower headings than the child's (comments, lists of other pages);
+    paragraphs, and lines between a heading and the child, are not.
+    """
+    tags, parents = [e[0] for e in page.elements], [e[1] for e in page.elements]
+    n = len(tags)
+    held, count = np.bincount(at, masses, n), np.bincount(at, minlength=n)
+    top, own = np.full(n, NO_HEADING), held.copy()  # level of the highest heading, text that is in no child
+    for e in range(n - 1, 0, -1):
+        if tags[e] in HEADINGS and count[e]:
+            top[e] = int(tags[e][1])
+        held[parents[e]] += held[e]
+        count[parents[e]] += count[e]
+        top[parents[e]] = min(top[parents[e]], top[e])
+    children: list[list[int]] = [[] for _ in range(n)]
+    for e in range(1, n):
+        children[parents[e]].append(e)
+    region = 0
+    while True:
+        blocks = [e for e in children[region] if count[e] > 1 and tags[e] not in PARAGRAPHS]
+        best = max(blocks, key=lambda e: held[e], default=0)
+        if not best or held[best] < MOST * held[region]:
+            return region
+        if held[best] < REGION * held[0]:
+            before = [e for e in children[region] if e < best and count[e]]
+            titles = [i for i, e in enumerate(before) if tags[e] in HEADINGS]
+            titled = set(before[titles[-1] :]) if titles else set()  # lines from the last heading before the child on
+            level = min([top[best], *(top[e] for e in titled)])
+            for e in children[region]:
+                lone = count[e] == 1 and tags[e] not in PARAGRAPHS
+                beside = held[e] == 0 or tags[e] in HEADINGS or e not in titled and (lone or level < top[e] and tags[e] not in PARAGRAPHS)
+                if e != best and not beside:
+                    return region
+            if own[region]:
+                return region
+        region = best
+
+
 def main_text(html: str | None) -> str:
     """Main text of one page: the lines of its content regions, by one newline."""
     if not html:
@@ -271,48 +332,27 @@ def main_text(html: str | None) -> str:
     marks = by_element[at]
     if not plain[marks == 0].any():
         return ""  # nothing but furniture
-    evidence = FURNITURE_FACTOR ** marks.astype(float)
+    articles = _articles(page, plain * (marks == 0), at, by_element)
+    within = np.zeros(len(tags), bool)
+    within[articles] = True
+    for e in range(1, len(tags)):
+        within[e] |= within[parents[e]]
+    outside = ~within[at] if articles else np.zeros(len(at), bool)
+    evidence = FURNITURE_FACTOR ** (marks + outside).astype(float)
     masses = plain * evidence
     content = content_lines(masses / np.maximum(tag_counts, 1), masses, groups)
     if not content.any():
         return ""
-    held = np.zeros(len(tags))
-    np.add.at(held, at[content], masses[content])
-    count = np.bincount(at, minlength=len(tags))
-    for e in range(len(tags) - 1, 0, -1):
-        held[parents[e]] += held[e]
-        count[parents[e]] += count[e]
-    whole = held[0]
-    regions: list[int] = []
-    for tag in ("article", "main"):
-        inner = np.zeros(len(tags), bool)
-        for e in range(1, len(tags)):
-            inner[e] = inner[parents[e]] or tags[parents[e]] == tag and by_element[parents[e]] == 0
-        found = [e for e in range(1, len(tags)) if tags[e] == tag and not inner[e] and by_element[e] == 0 and held[e] > 0]
-        if found and sum(held[e] for e in found) >= ARTICLES * whole:
-            most = max(held[e] for e in found)
-            regions = [e for e in found if held[e] >= NEXT_ARTICLE * most]
-            break
-    articles = bool(regions)
-    if not articles:
-        region = 0
-        children: dict[int, list[int]] = {}
-        for e in range(1, len(tags)):
-            children.setdefault(parents[e], []).append(e)
-        while True:
-            below = [e for e in children.get(region, ()) if held[e] >= REGION * whole and count[e] > 1 and tags[e] not in PARAGRAPHS]
-            if not below:
-                break
-            region = below[0]
-        regions = [region]
+    regions = articles or [_region(page, np.where(content, masses, 0), at)]
     of = np.zeros(len(tags), int)  # region by element, 0 for none; numbers from 1
-    for e in range(len(tags)):
-        of[e] = regions.index(e) + 1 if e in regions else of[parents[e]]
+    of[regions] = np.arange(1, len(regions) + 1)
+    for e in range(1, len(tags)):
+        of[e] = of[e] or of[parents[e]]
     mine = of[at]
     # a link stands alone, between content; a run of links is a menu
     alone = ~links | ~(np.append(links[1:], False) | np.insert(links[:-1], 0, False)) & np.isin([tags[e] for e in at], list(SINGLE_LINKS))
     fit = (marks == 0) & alone
-    keep = np.zeros(len(at), bool)
+    keep = content & outside  # what the clusters hold beside the articles
     for r in range(1, len(regions) + 1):
         inside = np.flatnonzero(mine == r)
         core = inside[content[inside] & ((marks[inside] > 0) | fit[inside])]
@@ -322,7 +362,7 @@ def main_text(html: str | None) -> str:
         keep[core] = True
         between = inside[(inside >= first) & (inside <= last) & fit[inside]]
         keep[between] = True
-        if articles:
+        if articles:  # short lines between and around them
             keep[inside[fit[inside] & ~links[inside]]] = True
         else:  # lines like those of the clusters go on, and headings
             like = {(parents[at[i]], tags[at[i]]) for i in core}

@@ -31,6 +31,16 @@ PAGES = {
     "only furniture": ('<body><nav><a>x</a></nav><div class="ad">Buy this thing now</div><footer>me</footer></body>', ""),
     "a paragraph that is a link": (f"<article>{PARAS}<p><a href=x>Read on</a></p>{PARAS}</article>", f"{BODY}\nRead on\n{BODY}"),
     "an unclosed head": (f"<head><title>t</title><p>{TEXT[0]}<p>{TEXT[1]}", f"{TEXT[0]}\n{TEXT[1]}"),
+    "a notice without a name": (f"<body><div>We use cookies to improve your experience on this site, and so do others.</div><div><h1>T</h1>{PARAS}</div></body>", "T\n" + BODY),
+    "reader comments without a name": (f"<body><div><h1>T</h1>{PARAS}</div><div><h3>3 Comments</h3><p>Anna: {TEXT[0]}</p><p>Ben: {TEXT[1]}</p></div></body>", "T\n" + BODY),
+    "a column of other pages": (f'<body><div><h1>T</h1>{PARAS}</div><div id="col2"><h3>Most read</h3><p>{TEXT[2]}</p><p>{TEXT[3]}</p></div></body>', "T\n" + BODY),
+    "all three around a title and its text": (
+        f"<body><div>We use cookies to improve your experience.</div><div><h1>T</h1><div>{PARAS}</div><div><h3>2 Comments</h3><p>Anna: {TEXT[0]}</p></div></div>"
+        f'<div id="col2"><h3>Most read</h3><p>{TEXT[2]}</p></div></body>',
+        "T\n" + BODY,
+    ),
+    "sections under headings of one level": (f"<body><div><h2>A</h2>{PARAS}</div><div><h2>B</h2><p>{TEXT[0]}</p><p>{TEXT[1]}</p></div></body>", f"A\n{BODY}\nB\n{TEXT[0]}\n{TEXT[1]}"),
+    "an introduction under the heading": (f"<body><div><h1>T</h1><div>{TEXT[0]}</div><div>{PARAS}</div></div></body>", f"T\n{TEXT[0]}\n{BODY}"),
     "inline tags across blocks": (f"<article><p><b>{TEXT[0]}<br><p>x &amp; y</b></p><p>z</p></article>", f"{TEXT[0]}\nx & y\nz"),
 }
 
@@ -67,6 +77,28 @@ def test_extract(spark):
     assert extract(pages.limit(0)).count() == 0
 
 
+def right_pages(pages: list[str]) -> int:
+    """How many pages give their heading and the text of their source document."""
+    flat = lambda t: "\n".join(x for x in (" ".join(line.split()) for line in (t or "").split("\n")) if x)
+    sources = {flat(r["text"]) for r in pq.read_table(f"{SF}/documents.parquet", columns=["text"]).to_pylist()}
+    parts = [main_text(p).partition("\n") for p in pages]
+    return sum(rest in sources and rest.startswith(heading[:20]) for heading, _, rest in parts)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_method_without_lists_and_lists_without_method(monkeypatch):
+    pages = [r["html"] for r in pq.read_table(f"{SF}/pages.parquet").to_pylist()]
+    plain = [p.replace("<article", "<div").replace("</article", "</div") for p in pages]
+    assert right_pages(pages) == right_pages(plain) == len(pages)
+    with monkeypatch.context() as m:
+        m.setattr(html, "content_lines", lambda ratios, masses, groups: np.ones(len(ratios), bool))
+        assert right_pages(pages) == 0  # only the clusters leave out what stands beside the text
+    for words in ("FURNITURE_TAGS", "FRAMES", "FURNITURE", "OUTER"):
+        monkeypatch.setattr(html, words, frozenset())
+    monkeypatch.setattr(html, "names_furniture", lambda *_: False)
+    assert right_pages(pages) >= 0.95 * len(pages) and right_pages(plain) >= 0.95 * len(pages)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pages_give_their_source_documents():
     flat = lambda t: "\n".join(x for x in (" ".join(line.split()) for line in (t or "").split("\n")) if x)
