@@ -37,9 +37,9 @@ def java_pattern(pattern: str) -> str:
     return "(?U)" + other.join(map(of, parts))
 
 
-def with_literal(literal: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a literal that stands in the expression once, however often it is used."""
-    return F.get(F.transform(F.array(literal), use), 0)
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that stands in the expression, and is worked out, once, however often it is used: the start of a fold over nothing."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, use)
 
 
 def literal_map(entries: dict[str, object], kind: str) -> Column:
@@ -59,19 +59,19 @@ def folded(word: Column, rank: Callable[[Column], Column]) -> Column:
     """Ids of one word, a string with a character per byte: of all neighbours the first pair of least rank is merged, until no pair has one. A word has at most as many steps as bytes."""
 
     def step(pieces: Column, _: Column) -> Column:
-        pairs = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda b, i: F.coalesce(rank(F.concat(F.get(pieces, i), b)), F.lit(NO_RANK)))
+        # a lookup of null, the last piece's pair, has no rank
+        pairs = F.transform(pieces, lambda a, i: bound(F.concat(a, F.get(pieces, i + 1)), lambda pair: F.coalesce(rank(pair), F.lit(NO_RANK))))
 
-        def merged(pairs: Column) -> Column:
-            least = F.coalesce(F.array_min(pairs), F.lit(NO_RANK))
-            at = F.array_position(pairs, least).cast("int")
-            new = F.array(F.concat(F.get(pieces, at - 1), F.get(pieces, at)))
-            return F.when(least == NO_RANK, pieces).otherwise(F.concat(F.slice(pieces, 1, at - 1), new, F.slice(pieces, at + 2, F.size(pieces))))
+        def merged(at: Column) -> Column:  # piece number at, from 0, goes to the one before it; transform and filter cost far less here than slices and concatenated arrays
+            rest = F.filter(pieces, lambda _, i: i != at)
+            return F.transform(rest, lambda piece, i: F.when(i == at - 1, F.concat(piece, F.get(pieces, at))).otherwise(piece))
 
-        return with_literal(pairs, merged)
+        chosen = lambda pairs: lambda least: F.when(least == NO_RANK, pieces).otherwise(bound(F.array_position(pairs, least).cast("int"), merged))
+        return bound(pairs, lambda pairs: bound(F.array_min(pairs), chosen(pairs)))
 
     merges = F.aggregate(F.sequence(F.lit(1), F.length(word)), F.split(word, ""), step, lambda pieces: F.transform(pieces, rank))
     # a word that is a token is one, whatever its merges
-    return with_literal(rank(word), lambda one: F.when(one.isNotNull(), F.array(one)).otherwise(merges))
+    return bound(rank(word), lambda one: F.when(one.isNotNull(), F.array(one)).otherwise(merges))
 
 
 def pieces_of(text: Column, pattern: str) -> Column:
@@ -110,14 +110,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str = public_tok
         by_id[rank] = piece
 
     rank_of = lambda table: lambda key: found(table, slots, key)
-    known = known_words(docs, pattern, lambda w: with_literal(rank_map, lambda table: folded(w, rank_of(table))), words, one_in)
+    known = known_words(docs, pattern, lambda w: bound(rank_map, lambda table: folded(w, rank_of(table))), words, one_in)
     known_map, known_slots = literal_map(known, "array<int>"), F.lit(1 << max(1, (len(known) - 1).bit_length()))
     each = lambda table, cache: lambda w: F.coalesce(found(cache, known_slots, w), folded(w, rank_of(table)))
-    words_ids = lambda table: with_literal(known_map, lambda cache: F.transform(pieces_of(F.col("text"), pattern), each(table, cache)))
-    ids = F.flatten(with_literal(rank_map, words_ids))
+    words_ids = lambda table: bound(known_map, lambda cache: F.transform(pieces_of(F.col("text"), pattern), each(table, cache)))
+    ids = F.flatten(bound(rank_map, words_ids))
     encoded = docs.select("doc_id", ids.alias("ids"))
     pieces = F.from_json(F.lit(json.dumps(by_id, ensure_ascii=False)), "array<string>")
-    decoded = with_literal(pieces, lambda table: F.encode(F.array_join(F.transform("ids", lambda i: F.get(table, i)), ""), "ISO-8859-1"))
+    decoded = bound(pieces, lambda table: F.encode(F.array_join(F.transform("ids", lambda i: F.get(table, i)), ""), "ISO-8859-1"))
     return encoded.select("doc_id", "ids", decoded.alias("decoded"))
 
 
