@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NO_ID, Scratch, bound_batches, row_keys, trim, with_keys, without_keys
+from millrace.llm.common import Scratch, bound_batches, row_keys, trim, with_keys, without_keys
 
 #: Kinds in the order of ties.
 KINDS = ("email", "ip", "card", "phone")
@@ -40,8 +40,8 @@ _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _any = re.compile(r"[0-9@]")
 
-#: Runs with digits; the most digits of a candidate in one, those of the longest card; an address with its signs written out.
-_run = re.compile(r"[0-9+(\[][0-9+()\[\]./_\x20-]*[0-9]")
+#: Runs that may have digits, cut behind the last; the most digits of a candidate in one, those of the longest card; an address with its signs written out.
+_run = re.compile(r"[0-9+(\[][0-9+()\[\]./_\x20-]*")
 _tokens = re.compile(r"[^\x20]+")
 _digit = re.compile("[0-9]")
 DIGITS = 19
@@ -154,12 +154,16 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[i
                 held -= window.popleft()[2]
 
     for run in _run.finditer(text):
-        at = run.start()
-        for k in range(max(0, bisect_left(starts, at) - 1), bisect_left(starts, run.end())):
+        at, stop = run.span()
+        while stop > at and text[stop - 1] not in "0123456789":  # a pattern that asks for the digit would search a run without one again from each of its signs
+            stop -= 1
+        if stop - at < 2:
+            continue
+        for k in range(max(0, bisect_left(starts, at) - 1), bisect_left(starts, stop)):
             if ends[k] > at:
                 yield from within(at, starts[k])
                 at = ends[k]
-        yield from within(at, run.end())
+        yield from within(at, stop)
     if _hint.search(text):
         for m in _written.finditer(text):
             start, end = m.start(), m.end(1)
@@ -197,12 +201,12 @@ _MENTION = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.in
 def _scan(docs: DataFrame) -> DataFrame:
     """One scan of the texts: base spans, and mentions with their contexts. A row without base spans (null) holds more mentions of a document that has another row."""
 
-    names = ["did", "th", "base", "mentions"]
+    names = ["doc_id", "did", "th", "base", "mentions"]
 
     def run(batches):
         for b in batches:
             rows, held = [], 0
-            for did, th, text in zip(*(b.column(c).to_pylist() for c in ("did", "th", "text")), strict=True):
+            for *keys, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "did", "th", "text")), strict=True):
                 base, mentions = base_spans(text), []
                 spans = [dict(zip(("start", "kind", "end"), x, strict=True)) for x in base]
                 for seed, found in ((True, base), (False, loose_spans(text, base))):
@@ -211,20 +215,20 @@ def _scan(docs: DataFrame) -> DataFrame:
                         mentions.append({"start": s, "kind": k, "end": e, "instance": instance, "patterns": contexts(text, s, e, k), "seed": seed})
                         held += 1
                         if held >= MENTIONS:  # a text of many numbers gives several rows
-                            rows.append((did, th, None, mentions))
+                            rows.append((*keys, None, mentions))
                             yield batch(rows)
                             rows, mentions, held = [], [], 0
-                rows.append((did, th, spans, mentions))
+                rows.append((*keys, spans, mentions))
             yield batch(rows)
         trim()
 
     def batch(rows):
-        types = pa.int64(), pa.int64(), pa.list_(_SPAN), pa.list_(_MENTION)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, types, strict=True)], names)
+        types = pa.int64(), pa.int64(), pa.int64(), pa.list_(_SPAN), pa.list_(_MENTION)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, types, strict=True)], names)
 
     span = "start: int, kind: int, end: int"
-    return docs.select(*row_keys(), "text").mapInArrow(
-        run, f"did long, th long, base array<struct<{span}>>, mentions array<struct<{span}, instance: string, patterns: array<string>, seed: boolean>>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys(), "text").mapInArrow(
+        run, f"doc_id long, did long, th long, base array<struct<{span}>>, mentions array<struct<{span}, instance: string, patterns: array<string>, seed: boolean>>"
     )
 
 
@@ -289,7 +293,7 @@ def find(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     scanned = scratch.keep(_scan(docs))
     none = F.array().cast("array<struct<start: int, kind: int, end: int>>")
     out = scanned.where("base is not null").join(_added(scanned, scratch), ["did", "th"], "left")
-    return out.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "base", F.coalesce("added", none).alias("added"))
+    return out.select("doc_id", "base", F.coalesce("added", none).alias("added"))
 
 
 def _mask(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -340,5 +344,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     kinds = F.array(*map(F.lit, KINDS))
     joined = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", kinds[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    of_kind = lambda k: lambda s: s["kind"] == k  # noqa: E731  one parameter: a second one would be the index
+    count = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *count, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))

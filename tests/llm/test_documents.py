@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
@@ -359,3 +360,21 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path))
     assert {r["doc_id"] for r in packed.collect()} == ids
     assert packed.agg(F.min("length")).first()[0] > 0
+
+
+def test_query_counts_each_kind(spark, tmp_path):
+    texts = ["+1 (523) 555-1055", "1.2.3.4 and 5.6.7.8", "a@b.example.com, 4111 1111 1111 1111, c@d.example.com", "no data", None, ""]
+    rows = [*enumerate(texts), (-(1 << 63), texts[0]), (None, texts[0]), (7, texts[2]), (7, texts[2])]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r)[:6] for r in pii.op10_pii(spark, str(tmp_path)).collect()]
+    want = []
+    for i, t in rows:
+        base = brute(t or "")
+        joined = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        want.append((i, *(sum(k == kind for _, k, _ in base) for kind in range(4)), hashlib.sha256(joined.encode()).hexdigest()))
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_signs_without_digits_take_time_in_proportion():
+    assert list(pii.loose_spans("1 " + "(" * 300_000, [])) == []
+    assert [(s, k) for s, k, _ in pii.loose_spans("[" * 300_000 + " a 555 1234", [])] == [(300_003, 3)]
