@@ -86,12 +86,18 @@ def perplexity(nll: Column, tokens: Column) -> Column:
     return F.when(tokens > 0, F.exp(nll / tokens)).otherwise(F.raise_error(F.lit("no tokens to evaluate")).cast("double"))
 
 
+def quotient(part: Column, whole: Column) -> Column:
+    """``part / whole`` as IEEE 754 has it, in doubles: infinite, or NaN for 0 / 0, where plain division by zero is an error."""
+    part, whole = part.cast("double"), whole.cast("double")
+    return F.when(whole == 0, part * F.pow(whole, F.lit(-1.0))).otherwise(F.try_divide(part, whole))
+
+
 def relative_gain(candidate: Column, champion: Column) -> Column:
-    return (champion - candidate) / champion
+    return quotient(champion - candidate, champion)
 
 
 def delta_percent(new: Column, old: Column) -> Column:
-    return (new - old) / old * 100
+    return quotient(new - old, old) * 100
 
 
 def running_min(rows: DataFrame, value: str, run: str, order: str, name: str = "baseline") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from millrace.operators import reports, topology
+from millrace.operators import gates, reports, topology
 
 
 def test_percentiles_equal_numpy(spark):
@@ -33,3 +35,18 @@ def test_projection_keeps_small_directions(spark):
     assert np.allclose(got / np.abs(want).max(axis=0), want / np.abs(want).max(axis=0), atol=1e-5)
     fewer = topology.projected(points.limit(2), 5).collect()
     assert len(fewer) == 2 and len(fewer[0]["v"]) == 5  # fewer points than dimensions
+
+
+def test_gains_against_a_champion_at_zero(spark):
+    inf = float("inf")
+    rows = [(1.0, 0.0), (0.0, 0.0), (0.0, -0.0), (1.0, -0.0), (9.0, 10.0), (None, 0.0), (1.0, None)]
+    frame = spark.createDataFrame(rows, "ppl double, champ double").coalesce(1)
+    got = [tuple(r) for r in frame.select(reports.relative_gain(F.col("ppl"), F.col("champ")), reports.delta_percent(F.col("ppl"), F.col("champ"))).collect()]
+    duck = duckdb.connect().execute("SELECT (c - p) / c, (p - c) / c * 100 FROM (VALUES " + ", ".join(f"({'NULL' if p is None else p}::DOUBLE, {'NULL' if c is None else c}::DOUBLE)" for p, c in rows) + ") t(p, c)").fetchall()
+    assert got[0] == (-inf, inf) and np.array(got, float) == pytest.approx(np.array(duck, float), nan_ok=True)
+
+
+def test_promotion_against_a_champion_at_zero(spark):
+    rows = [(1.0, 0.0), (0.0, 0.0), (9.0, 10.0), (9.99, 10.0)]
+    frame = spark.createDataFrame([(p, c, 0.5, 0.5, "x", "x") for p, c in rows], "ppl double, champ_ppl double, diversity double, champ_diversity double, digest string, expected_digest string").coalesce(1)
+    assert [r["promote"] for r in gates.promotion(frame).collect()] == [False, True, True, False]
