@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.config import GATE, GateConfig
 from millrace.lineage import cut
+from millrace.operators.reports import relative_gain
 from millrace.operators.splits import strided
 
 
@@ -22,8 +23,9 @@ def promotion(m: DataFrame, cfg: GateConfig = GATE) -> DataFrame:
 
     Rules in order: digest mismatch aborts; no perplexity rejects; no champion promotes; too small a
     gain, then too large a diversity drop (only if both are known and the champion's is positive), reject.
+    A champion at 0 makes the gain minus infinity, which rejects, or NaN against a candidate at 0, which is no gain below the least.
     """
-    gain = (F.col("champ_ppl") - F.col("ppl")) / F.col("champ_ppl")
+    gain = relative_gain(F.col("ppl"), F.col("champ_ppl"))
     drop = F.when(F.col("champ_diversity") > 0, (F.col("champ_diversity") - F.col("diversity")) / F.col("champ_diversity"))
     verdict = lambda p, a, cause: F.struct(F.lit(p).alias("promote"), F.lit(a).alias("abort"), cause.alias("cause"))
     result = (
