@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Multipliers of xxhash64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+#: Shingles that are remixed for all seeds at once; bounds what lies in the cache.
+BLOCK = 256
+
 
 def paragraph_shingles(text: Column, k: int) -> Column:
     """Distinct k-grams of lower-case words, within lines only; short lines give none."""
@@ -30,14 +37,45 @@ def signature(shingles: Column, permutations: int) -> Column:
     return F.get(F.transform(F.array(shingles), every), 0)
 
 
-def fast_signature(shingles: Column, permutations: int) -> Column:
-    """As :func:`signature`, by one 64-bit hash per shingle and cheap remixing; for production."""
-    seeds = F.sequence(F.lit(0), F.lit(permutations - 1))
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The last steps of xxhash64, in place."""
+    for shift, factor in ((33, _P2), (29, _P3)):
+        x ^= x >> np.uint64(shift)
+        x *= factor
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def least_remixed(hashes: np.ndarray, permutations: int) -> np.ndarray:
+    """For each seed the smallest of Spark's ``xxhash64(hash, seed)``, as signed numbers."""
+    x = np.asarray(hashes, np.int64).view(np.uint64)
+    first = _mixed(_turned((np.uint64(42) + _P5 + np.uint64(8)) ^ (_turned(x * _P2, 31) * _P1), 27) * _P1 + _P4) + _P5 + np.uint64(4)
+    seeds = (np.arange(permutations, dtype=np.uint64) * _P1)[:, None]
+    least = np.full(permutations, np.iinfo(np.int64).max)
+    for at in range(0, len(first), BLOCK):
+        every = _turned(first[None, at : at + BLOCK] ^ seeds, 23)
+        every *= _P2
+        every += _P3
+        np.minimum(least, _mixed(every).view(np.int64).min(axis=1), out=least)
+    return least
+
+
+def fast_signatures(rows: DataFrame, key: str, shingles: Column, permutations: int) -> DataFrame:
+    """``key, sig`` of the rows with shingles: as :func:`signature`, by one 64-bit hash per shingle, remixed for each seed in arrays; for production."""
 
-    def least(hashes: Column) -> Column:
-        return F.when(F.size(hashes) > 0, F.transform(seeds, lambda s: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, s)))))
+    def run(batches):
+        for b in batches:
+            ids, hashes = b.column(key), b.column("_h")
+            some = [i for i in range(len(hashes)) if hashes[i].is_valid and len(hashes[i])]
+            sigs = [least_remixed(hashes[i].values.to_numpy(), permutations) for i in some]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(some, pa.int32())), pa.array(sigs, pa.list_(pa.int64()))], [key, "sig"])
 
-    return F.get(F.transform(F.array(F.transform(shingles, lambda x: F.xxhash64(x))), least), 0)
+    hashed = rows.select(key, F.transform(shingles, lambda x: F.xxhash64(x)).alias("_h"))
+    return hashed.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, sig array<long>")
 
 
 def band_keys(sig: Column, bands: int, rows: int) -> Column:

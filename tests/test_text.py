@@ -120,3 +120,15 @@ def test_lines_that_end_in_a_closer_equal_a_loop(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select("t", quality.punct_line_frac(df["t"]).alias("share")).collect():
         assert r["share"] == plain(r["t"]), r["t"]
+
+
+def test_remixed_hashes_equal_those_of_the_engine(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.functions import minhash as M
+
+    rows = [(0, [f"w{i}" for i in range(700)]), (1, ["one"]), (2, []), (3, None), (4, ["é", "x y", ""])]
+    frame = spark.createDataFrame(rows, "id long, g array<string>").repartition(2)
+    plain = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda s: F.array_min(F.transform("g", lambda x: F.xxhash64(F.xxhash64(x), s))))
+    want = {r["id"]: r["b"] for r in frame.select("id", F.when(F.size("g") > 0, plain).alias("b")).collect() if r["b"]}
+    assert {r["id"]: r["sig"] for r in M.fast_signatures(frame, "id", F.col("g"), 128).collect()} == want and want.keys() == {0, 1, 4}
