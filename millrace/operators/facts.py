@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.config import FACTS, FactConfig
 from millrace.functions import text as T
 from millrace.functions.order import with_rank
-from millrace.lineage import cut
+from millrace.lineage import cut, drop
 
 # Surface verbs that stand for a relation in an export.
 ALIASES = {
@@ -79,16 +79,22 @@ def extract(docs: DataFrame, min_conf: float = FACTS.min_conf, key: str = "doc_i
     return out if places else out.drop("part", "pos")
 
 
-def extract_corpus(docs: DataFrame, holdout: DataFrame, cfg: FactConfig = FACTS) -> DataFrame:
-    """Triplets of all documents but exact copies of held-out ones: ``sub, rel, obj, conf, source_doc_hash, triplet_id, ord``.
-
-    In order of document hash, pattern and place; the id names all three, so it is the same in every run.
-    """
+def corpus_facts(docs: DataFrame, holdout: DataFrame, cfg: FactConfig = FACTS) -> DataFrame:
+    """Triplets of all documents but exact copies of held-out ones, in no order: ``source_doc_hash, sub, rel, obj, conf, part, pos, triplet_id``; the id names hash, pattern and place, so it is the same in every run."""
     hashed = docs.withColumn("source_doc_hash", T.doc_hash(F.col("text")))
     rest = hashed.join(holdout.select(T.doc_hash(F.col("text")).alias("source_doc_hash")).distinct(), "source_doc_hash", "left_anti")
     found = extract(rest, cfg.min_conf, "source_doc_hash", places=True)
-    named = found.withColumn("triplet_id", F.concat_ws("-", F.left("source_doc_hash", F.lit(12)), "part", "pos"))
+    return found.withColumn("triplet_id", F.concat_ws("-", F.left("source_doc_hash", F.lit(12)), "part", "pos"))
+
+
+def extract_corpus(docs: DataFrame, holdout: DataFrame, cfg: FactConfig = FACTS) -> DataFrame:
+    """:func:`corpus_facts` in order of document hash, pattern and place: ``sub, rel, obj, conf, source_doc_hash, triplet_id, ord``.
+
+    They are written once, as ranges are sampled before rows are dealt to them, and the texts would be searched for both.
+    """
+    named = cut(corpus_facts(docs, holdout, cfg))
     ranked = with_rank(named, "source_doc_hash", "part", "pos", name="ord")
+    drop(named)  # ranges are tables of their own
     return ranked.select("sub", "rel", "obj", "conf", "source_doc_hash", "triplet_id", "ord")
 
 

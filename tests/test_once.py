@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import quality
 from millrace.functions.order import keep_top_share
+from millrace.operators import facts
 
 
 def seen(spark):
@@ -40,3 +41,14 @@ def test_mean_word_length_takes_no_text_apart_by_what_is_no_word(spark):
     got = df.select("k", quality.mean_word_len(F.col("text")).alias("m"))
     assert [r["m"] for r in got.orderBy("k").collect()] == want
     assert "regexp_replace" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_corpus_triplets_search_texts_once(spark):
+    rows, counted = seen(spark)
+    docs = spark.createDataFrame([(k, f"The cat{k} is a bird. Anna wrote the book.") for k in range(40)], "doc_id long, text string")
+    held = spark.createDataFrame([("The cat3 is a bird. Anna wrote the book.",)], "text string")
+    marked = docs.withColumn("n", counted("doc_id")).where("n >= 0").select("doc_id", "text")
+    out = facts.extract_corpus(marked, held)
+    assert sorted(r["ord"] for r in out.collect()) == list(range(1, out.count() + 1)) and out.where("sub = 'cat3'").count() == 0
+    assert rows.value == 40
+    assert facts.corpus_stats(out).first() == facts.corpus_stats(facts.corpus_facts(docs, held)).first()
