@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.config import CLEAN, CleanConfig
 from millrace.functions import text as T
 from millrace.functions.order import keep_top_share
-from millrace.lineage import cut
+from millrace.lineage import cut, passing
 from millrace.operators import dedup as D
 from millrace.ship import ship
 
@@ -85,7 +85,15 @@ class CorpusState:
         return both.where(shared / (F.size("set") + F.size("stored") - shared) >= self.cfg.jaccard).select("rep").distinct()
 
     def admit(self, docs: DataFrame, number: int) -> None:
-        """Takes in a batch of ``docs(doc_id, source, text)``: what is new is stored with its violations and score."""
+        """Takes in a batch of ``docs(doc_id, source, text)``: what is new is stored with its violations and score.
+
+        Tables that the batch needed on its way are gone when it ends, so their disk does not add up over batches. Texts are written
+        twice, as what is new and as what passed the guards.
+        """
+        with passing(self.spark):
+            self._admit(docs, number)
+
+    def _admit(self, docs: DataFrame, number: int) -> None:
         cfg = self.cfg
         docs = docs.select("doc_id", "source", "text")
         long = D.drop_short(docs, cfg.min_chars)
@@ -105,13 +113,16 @@ class CorpusState:
         gone = cut(hit.union(state.where("not kept").select("id")))
         dropped = members.where("id <> rep").select(F.col("id").alias("doc_id")).union(gone.select(F.col("rep").alias("doc_id")))
         distinct = fresh.join(dropped, "doc_id", "left_anti")
-        tainted = cut(D.tainted(distinct, self.holdout, cfg)) if self.holdout is not None else None
-        guarded = cut(D.judged(distinct if tainted is None else distinct.join(tainted, "doc_id", "left_anti"), cfg))
+        # whole texts are looked at where they lie, and the few that are found are matched by id: what is dropped need not move the others
+        tainted = cut(D.tainted(fresh, self.holdout, cfg).join(dropped, "doc_id", "left_anti")) if self.holdout is not None else None
+        out = dropped if tainted is None else dropped.union(tainted)
+        guarded = D.judged(fresh.join(out, "doc_id", "left_anti"), cfg)
 
         self._write("seen", number, fresh.select("hash"), "hash")
         self._write("sets", number, sets.join(gone, "rep", "left_anti").select("rep", "set"), "rep")
         self._write("postings", number, prefixes.join(gone, "rep", "left_anti").select("s", "rep", "n"), "s")
         self._write("documents", number, guarded.select("doc_id", "source", "text", "hash", "score", "violations"))
+        guarded = self.read("documents").where(F.col("batch") == number)
         self._write("reasons", number, D.discards(docs, long, fresh, distinct, tainted, guarded))
 
     def done(self) -> DataFrame:
@@ -120,11 +131,14 @@ class CorpusState:
 
     def publish(self) -> tuple[DataFrame, DataFrame]:
         """Kept rows of all batches and ``reason, n``, as one pass over them would give: the top share is taken over all that passed."""
-        stored = cut(self.read("documents").join(F.broadcast(self.done()), "batch", "left_semi").where(F.size("violations") == 0).drop("batch"))
-        kept = keep_top_share(stored, self.cfg.keep_quantile, F.round("score", 9).desc(), F.col("doc_id"), key="doc_id") if stored.limit(1).count() else stored
-        kept = cut(kept)
+        stored = self.read("documents").join(F.broadcast(self.done()), "batch", "left_semi").where(F.size("violations") == 0).drop("batch")
+        # texts stay where they are stored: the share is decided on ids and scores
+        scores = stored.select("doc_id", "hash", "score")
+        best = keep_top_share(scores, self.cfg.keep_quantile, F.round("score", 9).desc(), F.col("doc_id"), key="doc_id") if scores.limit(1).count() else scores
+        best = cut(best.select("doc_id", "hash"))
+        kept = cut(stored.join(best, ["doc_id", "hash"], "left_semi").select(*stored.columns))  # later batches may be replayed
         reasons = self.read("reasons").groupBy("reason").agg(F.sum("n").alias("n"))
-        return kept, reasons.union(D.fewer("quantile", stored, kept))
+        return kept, reasons.union(D.fewer("quantile", scores, best))
 
     def compact(self, upto: int) -> None:
         """Joins the folders of all batches up to ``upto`` into that batch's, one file per slot; between batches only.
