@@ -58,18 +58,24 @@ def found(table: Column, n_slots: Column, key: Column) -> Column:
 def folded(word: Column, rank: Callable[[Column], Column]) -> Column:
     """Ids of one word, a string with a character per byte: of all neighbours the first pair of least rank is merged, until no pair has one. A word has at most as many steps as bytes."""
 
-    def step(pieces: Column, _: Column) -> Column:
-        # a lookup of null, the last piece's pair, has no rank
-        pairs = F.transform(pieces, lambda a, i: bound(F.concat(a, F.get(pieces, i + 1)), lambda pair: F.coalesce(rank(pair), F.lit(NO_RANK))))
+    scored = lambda pair: F.coalesce(rank(pair), F.lit(NO_RANK))  # noqa: E731  a lookup of null, the last piece's pair, has no rank
 
-        def merged(at: Column) -> Column:  # piece number at, from 0, goes to the one before it; transform and filter cost far less here than slices and concatenated arrays
-            rest = F.filter(pieces, lambda _, i: i != at)
-            return F.transform(rest, lambda piece, i: F.when(i == at - 1, F.concat(piece, F.get(pieces, at))).otherwise(piece))
+    def step(state: Column, _: Column) -> Column:
+        pieces, ranks = state["p"], state["r"]
 
-        chosen = lambda pairs: lambda least: F.when(least == NO_RANK, pieces).otherwise(bound(F.array_position(pairs, least).cast("int"), merged))
-        return bound(pairs, lambda pairs: bound(F.array_min(pairs), chosen(pairs)))
+        def merged(at: Column) -> Column:  # piece number at, from 0, goes to the one before it; only the pairs on both sides of it get another rank
+            both = F.concat(F.get(pieces, at - 1), F.get(pieces, at))
+            rest = F.transform(F.filter(pieces, lambda _, i: i != at), lambda piece, i: F.when(i == at - 1, both).otherwise(piece))
+            after, before = scored(F.concat(both, F.get(pieces, at + 1))), scored(F.concat(F.get(pieces, at - 2), both))
+            again = F.transform(F.filter(ranks, lambda _, i: i != at), lambda known, i: F.when(i == at - 1, after).when(i == at - 2, before).otherwise(known))
+            return F.struct(rest.alias("p"), again.alias("r"))
 
-    merges = F.aggregate(F.sequence(F.lit(1), F.length(word)), F.split(word, ""), step, lambda pieces: F.transform(pieces, rank))
+        return bound(F.array_min(ranks), lambda least: F.when(least == NO_RANK, state).otherwise(bound(F.array_position(ranks, least).cast("int"), merged)))
+
+    def start(pieces: Column) -> Column:
+        return F.struct(pieces.alias("p"), F.transform(pieces, lambda a, i: scored(F.concat(a, F.get(pieces, i + 1)))).alias("r"))
+
+    merges = F.aggregate(F.sequence(F.lit(1), F.length(word)), bound(F.split(word, ""), start), step, lambda state: F.transform(state["p"], rank))
     # a word that is a token is one, whatever its merges
     return bound(rank(word), lambda one: F.when(one.isNotNull(), F.array(one)).otherwise(merges))
 
