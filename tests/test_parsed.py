@@ -78,6 +78,34 @@ def test_rules_equal_a_loop(spark):
     assert {r["conf"] for r in sure} == {0.7, 0.9}
 
 
+def test_long_sentences_by_joins(spark):
+    """What a sentence's length decides is the way only; and gathered once, sentences are neither shuffled nor joined again."""
+    trees = sentences(300)
+    rows = [(s[0][0] // 7, *t, "") for s in trees for t in s]
+    tokens = spark.createDataFrame(rows, SCHEMA)
+    got = [sorted(map(tuple, parsed.dependency_facts(tokens, 0.0, places=True, long=n).collect())) for n in (0, 4, 256)]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 20
+    plan = parsed.dependency_facts(tokens)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_heads_in_a_circle(spark):
+    rows = [(1, 0, 1, "Ox", "ox", "NOUN", "nsubj", 2), (1, 0, 2, "sees", "see", "VERB", "ROOT", 2), (1, 0, 3, "Ax", "ax", "NOUN", "dobj", 2)]
+    rows += [(1, 0, 4, "x", "x", "NOUN", "det", 5), (1, 0, 5, "y", "y", "NOUN", "det", 4), (2, 0, 1, "Ox", "ox", "NOUN", "nsubj", 2), (2, 0, 2, "a", "see", "VERB", "conj", 1), (2, 0, 3, "Ax", "ax", "NOUN", "dobj", 2)]
+    got = parsed.dependency_facts(spark.createDataFrame(rows, f"doc_id long, {parsed.TOKENS}")).collect()
+    assert sorted((r["doc_id"], r["sub"], r["obj"]) for r in got) == [(1, "ox", "ax"), (2, "ox a ax", "ax")]
+
+
+def test_tokens_as_in_sql(spark, tmp_path):
+    """Spark's own form of the token table has the rows of the SQL, keys without a kind included."""
+    from millrace.plans import derived
+
+    spark.sql("SELECT id - 3 AS l_orderkey, id * 5 AS l_partkey, id * 7 AS l_suppkey, CAST(id % 3 AS INT) AS l_linenumber FROM range(40) UNION ALL SELECT NULL, 1, 1, 1").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{tmp_path}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    want, got = spark.sql(derived.sql_of("tokens")), derived.table(spark, str(tmp_path), "tokens")
+    assert got.schema.simpleString() == want.schema.simpleString() and got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < want.count()
+
+
 def test_parse_adapter(spark):
     def parser():
         """Splits at full stops; the second word is the root verb, the first its subject, the last its object."""
