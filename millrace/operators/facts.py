@@ -25,6 +25,8 @@ ALIASES = {
     "bear": ("born",),
     "have": ("has", "had"),
 }
+#: Triplets of a part of an export: bounds what a task holds.
+PART_ROWS = 250_000
 #: Before a word, of whatever alphabet; Java and RE2 read it alike, which they do not with a word boundary.
 START = r"(?:^|[^\p{L}\p{N}_])"
 #: Pattern families without a parser: regular expression and confidence. Two groups are subject and class; of three the second is the verb, and a passive's object comes first.
@@ -187,14 +189,20 @@ def entity_graph(triplets: DataFrame, cap: int) -> DataFrame:
     return edges.agg(F.count("*").alias("facts"), F.sum("conf").alias("conf"), F.count_distinct("source_doc_hash").alias("docs"))
 
 
-def export_graph(triplets: DataFrame, *conflicts: DataFrame) -> DataFrame:
-    """``s, p, o, consistent``: each fact once, and once per surface verb of its relation; a fact on a side of a conflict (pairs or sides) is inconsistent."""
+def export_graph(triplets: DataFrame, *conflicts: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """``s, p, o, consistent``: each fact once, and once per surface verb of its relation; a fact on a side of a conflict (pairs or sides) is inconsistent.
+
+    Facts and sides are dealt once, by subject and object, to as many parts as ``part_rows`` triplets fill, so that what a task
+    holds does not grow with the table; in a part they are told apart by what each row says, without a join.
+    """
     sides = [c.select("sub", "rel", (F.explode(F.array("obj_a", "obj_b")) if "obj_a" in c.columns else F.col("obj")).alias("obj")) for c in conflicts]
-    bad = reduce(DataFrame.union, sides).distinct().withColumn("_bad", F.lit(True))
-    facts = triplets.select("sub", "rel", "obj").distinct().join(bad, ["sub", "rel", "obj"], "left")
+    bad = reduce(DataFrame.union, sides).dropna()  # a null is no side of a conflict
+    parts = max(int(triplets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-triplets.count() // part_rows))
+    said = triplets.select("sub", "rel", "obj", F.lit(True).alias("_fact")).union(bad.select("sub", "rel", "obj", F.lit(False)))
+    facts = said.repartition(parts, "sub", "obj").groupBy("sub", "rel", "obj").agg(F.max("_fact").alias("_fact"), F.min("_fact").alias("c")).where("_fact")
     verbs = F.create_map(*[x for rel, names in ALIASES.items() for x in (F.lit(rel), F.array(*map(F.lit, names)))])
     every = F.explode(F.concat(F.array("rel"), F.coalesce(F.try_element_at(verbs, F.col("rel")), F.array().cast("array<string>"))))
-    out = facts.select(F.col("sub").alias("s"), every.alias("p"), F.col("obj").alias("o"), F.col("_bad").isNull().alias("c"))
+    out = facts.select(F.col("sub").alias("s"), every.alias("p"), F.col("obj").alias("o"), "c")
     return out.groupBy("s", "p", "o").agg(F.min("c").alias("consistent"))
 
 
