@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +14,10 @@ from pyspark.sql import functions as F
 from millrace.functions.order import dealt_ranges
 
 Z95 = 1.959963984540054
+#: Before a single space between other characters.
+SPACED = re.compile(r"(?<=\S)(?= \S)")
+#: Chunks whose numbers of tokens a task remembers.
+KNOWN_CHUNKS = 1 << 19
 
 
 def source_report(docs: DataFrame, by: str = "source") -> DataFrame:
@@ -59,18 +66,40 @@ def round_diversity(docs: DataFrame, round_id: int, name: str = "doc_id", limit:
     return bigram_ratio(first_documents(docs, name, limit), key=name).select(F.lit(round_id).alias("round_id"), "ratio")
 
 
+def by_chunks(tokenizer: str) -> bool:
+    """Whether a tokenizer, given as JSON, encodes a text piece by piece where single spaces stand between other characters: byte-level BPE, and nothing that looks across them."""
+    t = json.loads(tokenizer)
+    pre = t["pre_tokenizer"] or {}
+    plain = t["model"]["type"] == "BPE" and not t["normalizer"] and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    added = all(not (x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s", x["content"])) for x in t["added_tokens"])
+    return bool(plain and added)
+
+
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``tokens, words`` of every whole text instead of it: ids by a tokenizer's file, and white-space words. A null text has none of either."""
+    """``docs`` with ``tokens, words`` of every whole text instead of it: ids by a tokenizer's file, and white-space words. A null text has none of either.
+
+    Where the tokenizer allows it (:func:`by_chunks`), a chunk between single spaces is encoded once and then counted from a table of bounded size.
+    """
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        cuts = (lambda x: [c for c in SPACED.split(x) if c]) if by_chunks(tokenizer.to_str()) else (lambda x: [x])
+        known: dict[str, int] = {}
         for texts in batches:
-            yield pd.Series([len(tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts], dtype="int64")
+            chunks = [cuts(t or "") for t in texts]
+            new = list({c for of in chunks for c in of} - known.keys())
+            found = dict(zip(new, (len(e) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            yield pd.Series([sum(known[c] if c in known else found[c] for c in of) for of in chunks], dtype="int64")
+            # long chunks and whole texts hardly come again
+            known.update((c, n) for c, n in found.items() if len(c) <= 64)
+            if len(known) > KNOWN_CHUNKS:
+                known.clear()
 
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+", -1), lambda x: x != "")).cast("long")
     return docs.select(*[c for c in docs.columns if c not in ("text", "tokens", "words")], count("text").alias("tokens"), words.alias("words"))

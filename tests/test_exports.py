@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.operators import facts
+from millrace.operators import facts, reports
 
 
 def test_graph_export_in_bounded_parts(spark):
@@ -16,3 +16,21 @@ def test_graph_export_in_bounded_parts(spark):
     # more rows, more parts; and no join whose sides a task would sort besides
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "HashJoin" not in plan and "11), REPARTITION_BY_NUM" in plan
+
+
+def test_token_counts_by_chunks(spark):
+    """Chunks are encoded once; counts are those of whole texts, odd white space and added tokens included."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    assert reports.by_chunks(whole.to_str()) and not reports.by_chunks(whole.to_str().replace('"add_prefix_space":false', '"add_prefix_space":true'))
+    rng = random.Random(3)
+    odd = [" ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "\u200b", "don't", "'s", "word", "Wörter", "12", "3.5", "--", "<|endoftext|>", "漢字", "\u0301", "😀", "_"]
+    texts = ["".join(rng.choices(odd, k=rng.randint(0, 40))) for _ in range(800)] + [None, "", " ", " a", "a ", "x" * 5000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["tokens"] for r in reports.token_counts(rows, path).collect()}
+    assert got == {i: len(whole.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
