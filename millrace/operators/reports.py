@@ -45,7 +45,8 @@ def crawl_span(log: DataFrame, ts: str = "ts", cleaning_s: float = 0.0) -> DataF
 def bigrams(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     toks = F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0))
     pairs = F.when(F.size("_t") >= 2, F.zip_with(F.slice("_t", 1, F.size("_t") - 1), F.slice("_t", 2, F.size("_t") - 1), lambda x, y: F.concat_ws(" ", x, y))).otherwise(F.array().cast("array<string>"))
-    return docs.select(key, toks.alias("_t")).select(key, F.explode(pairs).alias("bigram"))
+    # the filter stays above an outer generator: below it, texts would be searched once more to drop those without bigrams
+    return docs.select(key, toks.alias("_t")).select(key, F.explode_outer(pairs).alias("bigram")).where("bigram is not null")
 
 
 def bigram_ratio(docs: DataFrame, *by: str, key: str = "doc_id") -> DataFrame:
