@@ -226,14 +226,17 @@ def strided(rows: DataFrame, keep: int, order: str, key: str) -> DataFrame:
     return with_rank(rows, order, key).join(picks, "rank", "left_semi").drop("rank")
 
 
-def pack(docs: DataFrame, window: int, order: str, end: int | None = None, pad: int = 0) -> DataFrame:
+def pack(docs: DataFrame, window: int, order: str, end: int | None = None, pad: int = 0, tokens: Column | None = None) -> DataFrame:
     """``window_id, tokens, flags`` from ``docs(order, tokens array<int>)``: concatenated in order, cut, the tail padded; flags mark starts.
 
-    A document is cut into its piece of each window that it meets; a window is at most ``window`` pieces.
+    A document is cut into its piece of each window that it meets; a window is at most ``window`` pieces. ``tokens``, where given, makes them from
+    the other columns of ``docs`` once rows are dealt to their ranges: the ranges' bounds are sampled first, which works out whatever is there once more.
     """
-    toks = F.concat("tokens", F.array(F.lit(end))) if end is not None else F.col("tokens")
-    sized = docs.select(order, toks.alias("tokens")).withColumn("_n", F.size("tokens").cast("long")).where("_n > 0")
-    placed = with_running_sum(sized, "_n", order, name="_before")
+    toks = F.col("tokens") if tokens is None else tokens
+    toks = F.concat(toks, F.array(F.lit(end))) if end is not None else toks
+    sized = lambda dealt: dealt.select(order, toks.alias("tokens"), "_at", "_part").withColumn("_n", F.greatest(F.size("tokens").cast("long"), F.lit(0)))
+    # rows of none go once they are written: a filter of what is not written yet would work the tokens out again
+    placed = with_running_sum(docs, "_n", order, name="_before", made=sized).where("_n > 0")
     first, last = F.expr(f"_before div {window}"), F.expr(f"(_before + _n - 1) div {window}")
 
     def piece(w: Column) -> Column:

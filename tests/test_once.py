@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import quality
 from millrace.functions.order import keep_top_share
-from millrace.operators import facts
+from millrace.operators import facts, splits
 
 
 def seen(spark):
@@ -52,3 +52,11 @@ def test_corpus_triplets_search_texts_once(spark):
     assert sorted(r["ord"] for r in out.collect()) == list(range(1, out.count() + 1)) and out.where("sub = 'cat3'").count() == 0
     assert rows.value == 40
     assert facts.corpus_stats(out).first() == facts.corpus_stats(facts.corpus_facts(docs, held)).first()
+
+
+def test_packing_makes_tokens_once(spark):
+    rows, counted = seen(spark)
+    d = spark.createDataFrame([(k, f"t{k}") for k in range(40)], "ord long, text string")
+    w = splits.pack(d, 8, "ord", end=1, tokens=F.array(counted("ord").cast("int"), F.lit(7)))
+    assert [x for r in w.orderBy("window_id").collect() for x in r["tokens"]] == [x for k in range(40) for x in (k, 7, 1)]
+    assert rows.value == 40
