@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 
 from millrace.llm import registry
-from millrace.llm.bytepair import NEW_LETTERS, NEW_NUMBERS, encode_documents
+from millrace.llm.bytepair import NEW_LETTERS, NEW_NUMBERS, encode_documents, pair_cells
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -53,3 +53,21 @@ def test_query_digests(spark, library):
     for r in got:
         ids = library.encode_ordinary(texts[r["doc_id"]])
         assert tuple(r)[1:] == (len(ids), digest(",".join(map(str, ids)).encode()), digest(texts[r["doc_id"]].encode()))
+
+
+def test_pair_cells_hold_exactly_the_tokens():
+    """The laid-over table gives a rank to every pair of pieces that makes a token, and none to any other pair."""
+    ranks = {c: i for i, c in enumerate("abcd")} | {"ab": 4, "bc": 5, "abc": 6, "cd": 7, "abcd": 8, "dd": 9, "xx": 12}
+    cells, shifts, bits = pair_cells(ranks)
+    for a, left in ranks.items():
+        for b, right in ranks.items():
+            cell = cells[shifts[left] + right]
+            found = None if cell is None else cell ^ (left << bits)
+            assert (None if found is None or found >= 1 << bits else found) == ranks.get(a + b)
+
+
+def test_ranks_without_a_byte_are_an_error(tmp_path):
+    path = tmp_path / "few.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(bytes([i])) + b" %d\n" % i for i in range(255)))
+    with pytest.raises(ValueError, match="single bytes"):
+        encode_documents(None, str(path))
