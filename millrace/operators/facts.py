@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.config import FACTS, FactConfig
 from millrace.functions import text as T
+from millrace.functions.numbers import rounded
 from millrace.functions.order import with_rank
 from millrace.lineage import cut, drop
 
@@ -114,7 +115,7 @@ def class_conflicts(triplets: DataFrame, cfg: FactConfig = FACTS) -> DataFrame:
     first = listed.groupBy("sub", "obj").agg(F.min_by(F.struct("ord", "conf", "source_doc_hash"), "ord").alias("f"))
     side = lambda x: first.select("sub", F.col("obj").alias(f"obj_{x}"), F.col("f.ord").alias(f"ord_{x}"), F.col("f.conf").alias(f"conf_{x}"), F.col("f.source_doc_hash").alias(f"doc_{x}"))
     pairs = side("a").join(side("b"), "sub").where("ord_a > ord_b")
-    return pairs.select("sub", F.lit("is_a").alias("rel"), "obj_a", "doc_a", "obj_b", "doc_b", F.round((F.col("conf_a") + F.col("conf_b")) / 2, 4).alias("conf_mean"))
+    return pairs.select("sub", F.lit("is_a").alias("rel"), "obj_a", "doc_a", "obj_b", "doc_b", rounded((F.col("conf_a") + F.col("conf_b")) / 2, 4).alias("conf_mean"))
 
 
 def _sides(triplets: DataFrame, cfg: FactConfig) -> DataFrame:
@@ -138,7 +139,7 @@ def exclusive_conflicts(triplets: DataFrame, cfg: FactConfig = FACTS) -> DataFra
     sides = _sides(triplets, cfg)
     side = lambda x: sides.select("sub", "rel", F.col("obj").alias(f"obj_{x}"), F.col("source_doc_hash").alias(f"doc_{x}"), F.col("conf").alias(f"conf_{x}"))
     met = side("a").join(_opposites(triplets, cfg, ("obj_a", "obj_b"), False), "obj_a").join(side("b"), ["sub", "rel", "obj_b"])
-    return met.select("sub", "rel", "obj_a", "doc_a", "obj_b", "doc_b", F.round((F.col("conf_a") + F.col("conf_b")) / 2, 4).alias("conf_mean"))
+    return met.select("sub", "rel", "obj_a", "doc_a", "obj_b", "doc_b", rounded((F.col("conf_a") + F.col("conf_b")) / 2, 4).alias("conf_mean"))
 
 
 def exclusive_sides(triplets: DataFrame, cfg: FactConfig = FACTS) -> DataFrame:

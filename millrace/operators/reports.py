@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.numbers import rounded
 from millrace.functions.order import dealt_ranges
 
 Z95 = 1.959963984540054
@@ -22,7 +23,7 @@ KNOWN_CHUNKS = 1 << 19
 
 def source_report(docs: DataFrame, by: str = "source") -> DataFrame:
     """Documents and megabytes (2^20 bytes, three digits) by source."""
-    return docs.groupBy(by).agg(F.count("*").alias("docs"), F.round(F.sum(F.octet_length("text")) / 1048576, 3).alias("mb"))
+    return docs.groupBy(by).agg(F.count("*").alias("docs"), rounded(F.sum(F.octet_length("text")) / 1048576, 3).alias("mb"))
 
 
 def discard_counts(judged: DataFrame, *by: str) -> DataFrame:
@@ -52,7 +53,7 @@ def bigram_ratio(docs: DataFrame, *by: str, key: str = "doc_id") -> DataFrame:
     """Distinct over all bigrams within documents, six digits; 0 without any. Counted in two steps, so no task holds all bigrams."""
     joined = bigrams(docs.withColumn("_key", F.struct(key, *by)), "_key")
     per = joined.groupBy(*[F.col(f"_key.{b}").alias(b) for b in by], "bigram").agg(F.count("*").alias("n"))
-    ratio = F.round(F.coalesce(F.count("*") / F.sum("n"), F.lit(0.0)), 6).alias("ratio")
+    ratio = rounded(F.coalesce(F.count("*") / F.sum("n"), F.lit(0.0)), 6).alias("ratio")
     return per.groupBy(*by).agg(ratio) if by else per.agg(ratio)
 
 
@@ -188,7 +189,7 @@ def divergence_rates(topo: DataFrame, decisions: DataFrame, run: str = "run_id",
     j = t.select(run, "round_id", "arm", "veto").join(decisions.select(run, "round_id", "ns_promote"), [run, "round_id"], "left")
     g = j.groupBy("arm").agg(F.count_if(F.coalesce(F.col("ns_promote") & F.col("veto"), F.lit(False))).alias("divergences"), F.count("*").alias("n"))
     lo, hi = wilson(F.col("divergences"), F.col("n"), z)
-    return g.select("arm", "divergences", "n", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
+    return g.select("arm", "divergences", "n", rounded(lo, 6).alias("lo"), rounded(hi, 6).alias("hi"))
 
 
 def relation_histogram(triplets: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from millrace.functions.numbers import rounded
 from millrace.functions.text import url_domain, url_key
 
 
@@ -46,7 +47,7 @@ def rate_audit(log: DataFrame, rps: float, domain: str, ts: Column) -> DataFrame
         raise ValueError("rate must be positive")
     t = log.select(F.col(domain).alias("domain"), ts.alias("t"))
     gaps = t.withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy("domain").orderBy("t")))
-    return gaps.groupBy("domain").agg(F.count("*").alias("requests"), F.count_if(F.col("gap") < 1 / rps).alias("too_soon"), F.round(F.min("gap"), 6).alias("min_gap"))
+    return gaps.groupBy("domain").agg(F.count("*").alias("requests"), F.count_if(F.col("gap") < 1 / rps).alias("too_soon"), rounded(F.min("gap"), 6).alias("min_gap"))
 
 
 # Seconds before the second, third and later attempts, and answers that end them at once.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.config import CLEAN, CleanConfig
 from millrace.functions import text as T
+from millrace.functions.numbers import rounded
 from millrace.functions.order import keep_top_share
 from millrace.lineage import cut, passing
 from millrace.operators import dedup as D
@@ -134,7 +135,7 @@ class CorpusState:
         stored = self.read("documents").join(F.broadcast(self.done()), "batch", "left_semi").where(F.size("violations") == 0).drop("batch")
         # texts stay where they are stored: the share is decided on ids and scores
         scores = stored.select("doc_id", "hash", "score")
-        best = keep_top_share(scores, self.cfg.keep_quantile, F.round("score", 9).desc(), F.col("doc_id"), key="doc_id") if scores.limit(1).count() else scores
+        best = keep_top_share(scores, self.cfg.keep_quantile, rounded("score", 9).desc(), F.col("doc_id"), key="doc_id") if scores.limit(1).count() else scores
         best = cut(best.select("doc_id", "hash"))
         kept = cut(stored.join(best, ["doc_id", "hash"], "left_semi").select(*stored.columns))  # later batches may be replayed
         reasons = self.read("reasons").groupBy("reason").agg(F.sum("n").alias("n"))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions.numbers import rounded
 from millrace.operators import dedup, gates, reports, topology
 
 
@@ -63,3 +64,17 @@ def test_prefixes_come_from_rows_where_they_lie(spark):
     assert {tuple(r) for r in found.collect()} == want
     assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()
     assert dedup.set_prefixes(frame.where("false"), 0.8).count() == 0
+
+
+def test_rounding_is_that_of_sql_on_doubles(spark):
+    pairs = [(57.63, 6.4), (1.0, 640.0), (513.0, 640.0), (-513.0, 640.0), (2.5, 1.0), (1e300, 1e-5), (1e308, 1e-300), (0.0, 0.0), (None, 1.0), (3.0, 0.0)]
+    pairs += [(a / 100, b / 100) for a in range(1, 4000, 37) for b in range(10, 2000, 10)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE m (k INT, ppl DOUBLE, champ DOUBLE)")
+    con.executemany("INSERT INTO m VALUES (?, ?, ?)", [(k, *p) for k, p in enumerate(pairs)])
+    want = con.execute("SELECT round((champ - ppl) / champ, 6)::VARCHAR, round(ppl * champ, 2)::VARCHAR, round(ppl / champ, 9)::VARCHAR FROM m ORDER BY k").fetchall()
+    m = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, ppl double, champ double").orderBy("k")
+    got = m.select(rounded(reports.relative_gain(F.col("ppl"), F.col("champ")), 6).alias("a"), rounded(F.col("ppl") * F.col("champ"), 2).alias("b"), rounded(reports.quotient(F.col("ppl"), F.col("champ")), 9).alias("c")).collect()
+    plain = lambda x: None if x is None else repr(float(x))
+    assert [tuple(map(plain, r)) for r in got] == [tuple(map(plain, r)) for r in want]
+    assert got[0]["a"] == -8.004687
