@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.keys import marked, with_keys, without_keys  # noqa: F401  for the operators
 from millrace.lineage import shared_folder
 from millrace.ship import ship
 
@@ -130,8 +131,6 @@ def extended(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     return grown.union(joined.join(comp.select("node"), "node", "left_anti").select("node", "component"))
 
 
-#: Bits of the filter below and of one row of it; 2 MB in all, whatever the number of rows.
-FILTER_BITS, ROW_BITS = 1 << 24, 32768
 #: Stands for a null id in keys.
 NO_ID = -(1 << 63)
 
@@ -139,33 +138,3 @@ NO_ID = -(1 << 63)
 def row_keys() -> list[Column]:
     """``did, th``, never null: the id, or NO_ID, and the hash of the text; they tell rows apart, but for those that repeat both."""
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("did"), F.xxhash64("text").alias("th")]
-
-
-def marked(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
-    """``rows`` with a boolean ``_maybe``: false only where their ``keys``, which are never null, are surely not among those of ``wanted``.
-
-    A fixed-size bitmap of hashed keys is broadcast, so wide rows need no shuffle to be told apart;
-    with very many keys it fills up and more rows are marked, never fewer.
-    """
-    slot = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
-    bits = (
-        wanted.select(slot.alias("s"))
-        .groupBy((F.col("s") / ROW_BITS).cast("int").alias("_filter_row"))
-        .agg(F.expr(f"bitmap_construct_agg(s % {ROW_BITS})").alias("_filter_bits"))
-    )
-    at = rows.withColumn("_filter_slot", slot).withColumn("_filter_row", (F.col("_filter_slot") / ROW_BITS).cast("int"))
-    byte = F.conv(F.hex(F.expr(f"substring(_filter_bits, cast((_filter_slot % {ROW_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), F.col("_filter_slot") % 8).cast("int")) != 0, F.lit(False))
-    return at.join(F.broadcast(bits), "_filter_row", "left").withColumn("_maybe", hit).drop("_filter_row", "_filter_slot", "_filter_bits")
-
-
-def with_keys(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
-    """The rows whose ``keys`` are among those of ``wanted``; only rows that pass the bitmap are shuffled."""
-    return marked(rows, keys, wanted).where("_maybe").drop("_maybe").join(wanted.select(*keys), keys, "left_semi")
-
-
-def without_keys(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
-    """The other rows."""
-    some = marked(rows, keys, wanted)
-    rest = some.where("_maybe").drop("_maybe").join(wanted.select(*keys), keys, "left_anti").select(*rows.columns)
-    return some.where("not _maybe").drop("_maybe").unionByName(rest)
