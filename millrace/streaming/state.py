@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.config import CLEAN, CleanConfig
 from millrace.functions import text as T
+from millrace.functions.keys import without_keys
 from millrace.functions.numbers import rounded
 from millrace.functions.order import keep_top_share
-from millrace.lineage import cut, passing
+from millrace.lineage import cut, drop, passing, release
 from millrace.operators import dedup as D
 from millrace.ship import ship
 
@@ -37,7 +39,7 @@ class CorpusState:
 
     def __init__(self, spark: SparkSession, root: str, holdout: DataFrame | None = None, cfg: CleanConfig = CLEAN, id_type: str = "long", slots: int = SLOTS):
         ship(spark)
-        self.spark, self.root, self.holdout, self.cfg, self.slots = spark, root.rstrip("/"), holdout, cfg, slots
+        self.spark, self.root, self.holdout, self.cfg, self.slots, self.id_type = spark, root.rstrip("/"), holdout, cfg, slots, id_type
         scored = "score double, violations array<string>"
         self.schemas = {
             "seen": "hash string, batch long, slot int",
@@ -68,22 +70,21 @@ class CorpusState:
             rows.withColumn("slot", self.slot_of(F.col(key))).repartition("slot").sortWithinPartitions("slot", key).write.mode("overwrite").partitionBy("slot").parquet(path)
 
     def prefixes(self, sets: DataFrame, before: int) -> DataFrame:
-        """``s, rep, n``: the shingles of each set by which similar sets must meet, in the state's order: common ones last, then by hash."""
-        rows = sets.select("rep", F.size("set").alias("n"), F.explode("set").alias("s"))
-        marked = rows.join(self.read("common", before).select("s", F.lit(1).alias("c")), "s", "left")
-        order = Window.partitionBy("rep").orderBy(F.coalesce("c", F.lit(0)), "s")
-        return marked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= D.prefix_length(F.col("n"), self.cfg.jaccard)).select("s", "rep", "n")
+        """``id, n, s``: the shingles of each set by which similar sets must meet, in the state's order: common ones last, then by hash."""
+        common = np.unique(self.read("common", before).select("s").toArrow().column("s").to_numpy().astype(np.int64))  # bounded, see :func:`D.frequent`
+        return D.ordered_prefixes(sets, common, np.ones(len(common), np.int64), self.cfg.jaccard)
 
     def similar_to_stored(self, sets: DataFrame, prefixes: DataFrame, before: int) -> DataFrame:
         """``rep`` of the new sets that reach the threshold with a stored one, verified on both full sets."""
-        asked = prefixes.withColumn("slot", self.slot_of(F.col("s")))
-        stored = self.read("postings", before, asked).select("s", F.col("rep").alias("other"), F.col("n").alias("m"))
-        met = prefixes.join(stored, "s").where(F.least("n", "m") >= F.greatest("n", "m") * self.cfg.jaccard - 1e-9)
-        pairs = cut(met.select("rep", "other").distinct())
-        kept = self.read("sets", before, pairs.withColumn("slot", self.slot_of(F.col("other")))).select(F.col("rep").alias("other"), F.col("set").alias("stored"))
-        both = pairs.join(kept, "other").join(sets, "rep")
-        shared = F.size(F.array_intersect("set", "stored"))
-        return both.where(shared / (F.size("set") + F.size("stored") - shared) >= self.cfg.jaccard).select("rep").distinct()
+        # the same id may be new and stored
+        new, old = (lambda c, mark=m: F.concat(F.lit(mark), F.col(c).cast("string")) for m in ("n", "o"))
+        stored = self.read("postings", before, prefixes.select(self.slot_of(F.col("s")).alias("slot"))).select(old("rep").alias("b"), F.col("n").alias("nb"), "s")
+        pairs = cut(D.met_pairs(prefixes.select(new("id").alias("a"), F.col("n").alias("na"), "s"), stored, self.cfg.jaccard, once=False))
+        slots = pairs.select(F.expr("substring(b, 2)").cast(self.id_type).alias("rep")).select(self.slot_of(F.col("rep")).alias("slot"))
+        both = sets.select(new("rep").alias("rep"), "set").union(self.read("sets", before, slots).select(old("rep").alias("rep"), "set"))
+        hit = D.compared(both, pairs, self.cfg.jaccard)
+        drop(pairs)
+        return hit.select(F.expr("substring(a, 2)").cast(self.id_type).alias("rep")).distinct()
 
     def admit(self, docs: DataFrame, number: int) -> None:
         """Takes in a batch of ``docs(doc_id, source, text)``: what is new is stored with its violations and score.
@@ -98,19 +99,24 @@ class CorpusState:
         cfg = self.cfg
         docs = docs.select("doc_id", "source", "text")
         long = D.drop_short(docs, cfg.min_chars)
-        unique = D.first_by_hash(long, "doc_id")
-        known = self.read("seen", number, long.select(self.slot_of(T.doc_hash(F.col("text"))).alias("slot"))).select("hash")
-        new = D.not_in_history(unique, known)
-        fresh = cut(new if self.holdout is None else D.not_in_holdout(new, self.holdout))
+        hashed = D.hashes(long)
+        known = self.read("seen", number, hashed.select(self.slot_of(F.col("hash")).alias("slot"))).select("hash")
+        new = D.not_in_history(D.first_of_hash(hashed), known)
+        new = cut(new.select("doc_id", "hash") if self.holdout is None else D.not_in_holdout(new, self.holdout).select("doc_id", "hash"))
+        other = cut(hashed.join(new, ["doc_id", "hash"], "left_anti"))
+        fresh = cut(without_keys(long.withColumn("hash", T.doc_hash(F.col("text"))), ["doc_id", "hash"], other))
+        release(self.spark)
         members, sets = D.shingle_classes(fresh, cfg.shingle)
         if number == 0 or self.read("common").limit(1).count() == 0 and self.read("sets", number).limit(1).count() == 0:
-            n = sets.count()
-            counted = sets.select(F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("df"))
-            self._write("common", number, counted.where(F.col("df") >= max(COMMON_LEAST, n // COMMON_SHARE)).select("s"), "s")
+            self._write("common", number, D.frequent(sets, COMMON_SHARE, COMMON_LEAST).select("s"), "s")
         prefixes = cut(self.prefixes(sets, number + 1))
         hit = cut(self.similar_to_stored(sets, prefixes, number))
-        rest = sets.join(hit, "rep", "left_anti")
-        state = D.first_inserted_wins(D.similar_classes(rest, cfg.jaccard))
+        met = D.prefix_pairs(prefixes, cfg.jaccard)
+        for side in ("a", "b"):
+            met = met.join(hit.select(F.col("rep").alias(side)), side, "left_anti")
+        met = cut(met)
+        release(self.spark)
+        state = D.first_inserted_wins(D.compared(sets, met, cfg.jaccard))
         gone = cut(hit.union(state.where("not kept").select("id")))
         dropped = members.where("id <> rep").select(F.col("id").alias("doc_id")).union(gone.select(F.col("rep").alias("doc_id")))
         distinct = fresh.join(dropped, "doc_id", "left_anti")
@@ -119,25 +125,28 @@ class CorpusState:
         out = dropped if tainted is None else dropped.union(tainted)
         guarded = D.judged(fresh.join(out, "doc_id", "left_anti"), cfg)
 
-        self._write("seen", number, fresh.select("hash"), "hash")
+        self._write("seen", number, new.select("hash"), "hash")
         self._write("sets", number, sets.join(gone, "rep", "left_anti").select("rep", "set"), "rep")
-        self._write("postings", number, prefixes.join(gone, "rep", "left_anti").select("s", "rep", "n"), "s")
+        drop(sets)
+        self._write("postings", number, prefixes.join(gone, F.col("id") == F.col("rep"), "left_anti").select("s", F.col("id").alias("rep"), "n"), "s")
+        drop(prefixes)
+        release(self.spark)
         self._write("documents", number, guarded.select("doc_id", "source", "text", "hash", "score", "violations"))
         guarded = self.read("documents").where(F.col("batch") == number)
-        self._write("reasons", number, D.discards(docs, long, fresh, distinct, tainted, guarded))
+        self._write("reasons", number, D.discards(docs, hashed, new, distinct.select("doc_id"), tainted, guarded))
 
     def done(self) -> DataFrame:
         """Batches that were stored as a whole."""
         return self.read("reasons").select("batch").distinct()
 
-    def publish(self) -> tuple[DataFrame, DataFrame]:
-        """Kept rows of all batches and ``reason, n``, as one pass over them would give: the top share is taken over all that passed."""
+    def publish(self, texts: bool = True) -> tuple[DataFrame, DataFrame]:
+        """Kept rows of all batches, with their ``texts`` or without, and ``reason, n``, as one pass over them would give: the top share is taken over all that passed."""
         stored = self.read("documents").join(F.broadcast(self.done()), "batch", "left_semi").where(F.size("violations") == 0).drop("batch")
         # texts stay where they are stored: the share is decided on ids and scores
         scores = stored.select("doc_id", "hash", "score")
         best = keep_top_share(scores, self.cfg.keep_quantile, rounded("score", 9).desc(), F.col("doc_id"), key="doc_id") if scores.limit(1).count() else scores
         best = cut(best.select("doc_id", "hash"))
-        kept = cut(stored.join(best, ["doc_id", "hash"], "left_semi").select(*stored.columns))  # later batches may be replayed
+        kept = cut(stored.join(best, ["doc_id", "hash"], "left_semi").select(*[c for c in stored.columns if texts or c != "text"]))  # later batches may be replayed
         reasons = self.read("reasons").groupBy("reason").agg(F.sum("n").alias("n"))
         return kept, reasons.union(D.fewer("quantile", scores, best))
 
